@@ -71,7 +71,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
-    of_kind = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    of_kind = [secrets.count_of(F.col("found"), k).alias(f"n_{k}") for k in secrets.BASE]
     return found.select(
         "doc_id", *of_kind, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans")
     )
