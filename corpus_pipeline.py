@@ -1,7 +1,78 @@
-"""The training-data pipeline: stages over documents, each one an operator of docweave.llm."""
-STAGES = []
+"""The training-data pipeline over ``documents``, each stage one operator of docweave.llm.
+
+Every stage takes (spark, docs, sf_dir), decides about each row that its predecessor kept,
+and returns a DataFrame; all but the last return the columns of documents.  Stages are
+written as Parquet into the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from docweave.llm import exact_dedup, ngram_join, packing, secrets, toxicity
+from docweave.llm.queries import table, toxicity_network
+from docweave.session import share_code, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the threshold; the network learns from the labels in ``sf_dir``."""
+    network = toxicity_network(share_code(spark), docs, sf_dir)
+    return docs.where(toxicity.score(F.col("text"), network) < toxicity.TOXIC)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal up to white space, the row with the smallest doc_id."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest doc_id.
+
+    A row without an id stays only if its text is linked with no document that has one.
+    """
+    groups = ngram_join.ngram_groups(docs).where("doc_id = component_id OR component_id IS NULL")
+    stay = groups.select(F.col("doc_id").alias("stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the stretches that hold secrets replaced and its length counted anew."""
+    found = docs.withColumn("_found", secrets.secret_spans(F.col("text")))
+    clean = secrets.redacted(F.col("text"), F.col("_found"))
+    changed = F.size("_found") > 0
+    return found.select(
+        *(
+            clean.alias(c)
+            if c == "text"
+            else F.when(changed, F.length(clean).cast(t)).otherwise(F.col(c)).alias(c)
+            if c == "n_chars"
+            else F.col(c)
+            for c, t in docs.dtypes
+        )
+    )
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, packed into sequences of at most 4096 tokens."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scans", hide_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: A trained network decides in the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(share_code(spark), sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

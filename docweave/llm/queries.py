@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, chat_format, exact_dedup, fingerprints, language, packing, secrets
+from docweave.llm import bpe, chat_format, exact_dedup, fingerprints, language, licenses, ngram_join, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.licenses(F.col("text")).alias("found"))
+    best = F.array_max(F.transform("found", lambda f: F.struct(f["dice"].alias("dice"), (-f["start"]).alias("at"), f["license"].alias("license"))))
+    return found.select(
+        "doc_id",
+        best["license"].alias("license"),
+        best["dice"].alias("dice"),
+        F.size("found").cast("long").alias("n_found"),
+        F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.sql(
@@ -64,10 +76,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def toxicity_network(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Network | None:
+    """Learned from labels outside the part held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(3, 1))
+    return toxicity.learn(docs, labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        toxicity.score(F.col("text"), toxicity_network(spark, docs, sf_dir)).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.TOXIC).cast("int"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", secrets.secret_spans(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
@@ -79,11 +111,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_license_scans": op2_license_scans,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_bpe": op5_bpe,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_secret_scans": op10_secret_scans,
 }
 
