@@ -15,19 +15,19 @@ CANDIDATE = r"@?[\p{L}\p{N}]+(?:[._/+:-][\p{L}\p{N}]+)*"
 SEPARATORS = "[._/+:-]+"
 
 
-@F.arrow_udf("string")
-def _nfkc(texts: pa.Array) -> pa.Array:
-    out = [t.as_py() for t in texts]
-    return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in out], pa.string())
-
-
 def nfkc(text: Column) -> Column:
     """Unicode's compatibility composition, which Spark has no function for.
 
     Where a caller knows that texts are composed already, the operators take
     ``composed=True`` and stay inside the JVM.
     """
-    return _nfkc(text)
+
+    @F.arrow_udf("string")
+    def composed(texts: pa.Array) -> pa.Array:
+        out = [t.as_py() for t in texts]
+        return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in out], pa.string())
+
+    return composed(text)
 
 
 def canonicalize(text: Column, composed: bool = False) -> Column:
