@@ -305,11 +305,11 @@ STOP = "(" + ", ".join(f"'{w}'" for w in dims.STOPWORDS) + ")"
 QUESTIONS_SQL = f"""
 q AS (SELECT item_id AS question_id, {norm('text')} AS normal FROM benchmark),
 groups AS (
-  SELECT question_id, at - 1 AS group_no, c AS term, list_distinct({toks('c')}) AS tokens
-  FROM (SELECT question_id, unnest(string_split(normal, ' ')) AS c, generate_subscripts(string_split(normal, ' '), 1) AS at FROM q)
+  SELECT question_id, CAST(k - 1 AS INT) AS group_no, c AS term, list_distinct({toks('c')}) AS tokens
+  FROM (SELECT question_id, unnest(string_split(normal, ' ')) AS c, generate_subscripts(string_split(normal, ' '), 1) AS k FROM q)
   WHERE c <> '' AND c NOT IN {STOP}
-), each AS (SELECT question_id, group_no, unnest({toks('term')}) AS token, generate_subscripts({toks('term')}, 1) AS at FROM groups),
-scoring AS (SELECT question_id, token, min(group_no * 1000 + at) AS pos FROM each GROUP BY ALL)
+), each AS (SELECT question_id, group_no, unnest({toks('term')}) AS token, generate_subscripts({toks('term')}, 1) AS k FROM groups),
+scoring AS (SELECT question_id, token, min(group_no * 1000 + k) AS pos FROM each GROUP BY ALL)
 """
 
 
@@ -466,11 +466,11 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANSWERS_SQL = f"""a AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, turn, {ANSWER_SQL} AS answer FROM conversations WHERE role = 'assistant'),
-m AS (SELECT answer_id, unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) AS n, generate_subscripts(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), 1) AS at FROM a),
-r AS (SELECT answer_id, 'c' || (n::INT % 4) AS citation_id, min(at) AS at FROM m WHERE n::INT IN (1, 2, 4, 5) GROUP BY ALL)"""
+m AS (SELECT answer_id, unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) AS n, generate_subscripts(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), 1) AS k FROM a),
+r AS (SELECT answer_id, 'c' || (n::INT % 4) AS citation_id, min(k) AS k FROM m WHERE n::INT IN (1, 2, 4, 5) GROUP BY ALL)"""
 
 
-@query(f"WITH {ANSWERS_SQL} SELECT answer_id, citation_id, row_number() OVER (PARTITION BY answer_id ORDER BY at) AS place FROM r")
+@query(f"WITH {ANSWERS_SQL} SELECT answer_id, citation_id, row_number() OVER (PARTITION BY answer_id ORDER BY k) AS place FROM r")
 def referenced_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = evidence.referenced_citations(answers(spark, sf_dir), answer_citations(spark, sf_dir))
     return got.select("answer_id", "citation_id", F.col("place").cast("long").alias("place"))
@@ -591,11 +591,11 @@ def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", kind.alias("type"), text_.alias("text")).where("type IS NOT NULL")
 
 
-HISTORY_SQL = f"""e AS (SELECT user_id AS conv_id, ts AS at, event_id, CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'delete' WHEN event_type = 'click' THEN 'prompt' WHEN event_type = 'signup' THEN 'rename' WHEN event_type = 'view' THEN 'pin' WHEN event_type = 'purchase' THEN 'archive' END AS type FROM events),
-g AS (SELECT e.* FROM e LEFT JOIN (SELECT conv_id, max(at) AS gone FROM e WHERE type = 'delete' GROUP BY 1) d USING (conv_id) WHERE gone IS NULL OR at > gone),
-p AS (SELECT conv_id, min(at) AS first, max(at) AS last, arg_min('event ' || event_id, at) AS said FROM g WHERE type = 'prompt' GROUP BY 1),
-h AS (SELECT conv_id, coalesce(arg_max('event ' || event_id, at) FILTER (type = 'rename'), any_value(said)) AS title, epoch_ms(any_value(last)) AS updated_ms,
- count(*) FILTER (type = 'pin') % 2 = 1 AS pinned, count(*) FILTER (type = 'archive' AND at > last) % 2 = 1 AS archived FROM g JOIN p USING (conv_id) WHERE at >= first GROUP BY conv_id)"""
+HISTORY_SQL = f"""e AS (SELECT user_id AS conv_id, ts AS tm, event_id, CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'delete' WHEN event_type = 'click' THEN 'prompt' WHEN event_type = 'signup' THEN 'rename' WHEN event_type = 'view' THEN 'pin' WHEN event_type = 'purchase' THEN 'archive' END AS type FROM events),
+g AS (SELECT e.* FROM e LEFT JOIN (SELECT conv_id, max(tm) AS gone FROM e WHERE type = 'delete' GROUP BY 1) d USING (conv_id) WHERE gone IS NULL OR tm > gone),
+p AS (SELECT conv_id, min(tm) AS first, max(tm) AS last, arg_min('event ' || event_id, tm) AS said FROM g WHERE type = 'prompt' GROUP BY 1),
+h AS (SELECT conv_id, coalesce(arg_max('event ' || event_id, tm) FILTER (type = 'rename'), any_value(said)) AS title, epoch_us(any_value(last)) // 1000 AS updated_ms,
+ count(*) FILTER (type = 'pin') % 2 = 1 AS pinned, count(*) FILTER (type = 'archive' AND tm > last) % 2 = 1 AS archived FROM g JOIN p USING (conv_id) WHERE tm >= first GROUP BY conv_id)"""
 
 
 @query(f"WITH {HISTORY_SQL} SELECT * FROM h")
@@ -603,9 +603,9 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.apply_history_events(history_events(spark, sf_dir)).select("conv_id", "title", F.unix_millis("updated_at").alias("updated_ms"), "pinned", "archived")
 
 
-@query(f"WITH {HISTORY_SQL} SELECT conv_id, title FROM h WHERE NOT archived AND contains(lower(title), 'event 1')")
+@query(f"WITH {HISTORY_SQL} SELECT conv_id, title FROM h WHERE NOT archived AND contains(lower(title), 'event 9')")
 def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.search_conversations(conversations.apply_history_events(history_events(spark, sf_dir)), " Event 1", "all").select("conv_id", "title")
+    return conversations.search_conversations(conversations.apply_history_events(history_events(spark, sf_dir)), " Event 9", "all").select("conv_id", "title")
 
 
 @query(f"""WITH {HISTORY_SQL}, n AS (SELECT date_trunc('day', max(ts)) AS today FROM events)
@@ -632,7 +632,7 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAY = 86_400_000
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id AS request_id, user_id AS key, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+@query("""WITH RECURSIVE e AS (SELECT event_id AS request_id, user_id AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT request_id, key, ms, i, 1 AS n, ms + 86400000 AS reset, true AS allowed, CAST(0 AS BIGINT) AS wait FROM e WHERE i = 1
 UNION ALL SELECT e.request_id, e.key, e.ms, e.i, CASE WHEN r.reset <= e.ms THEN 1 WHEN r.n >= 2 THEN r.n ELSE r.n + 1 END, CASE WHEN r.reset <= e.ms THEN e.ms + 86400000 ELSE r.reset END,
  r.reset <= e.ms OR r.n < 2, CASE WHEN r.reset <= e.ms OR r.n < 2 THEN 0 ELSE greatest(1, r.reset - e.ms) END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
@@ -671,9 +671,9 @@ CASE WHEN event_type IN ('purchase', 'signup') THEN 'answered' END AS outcome, C
 CASE WHEN event_type <> 'view' THEN CAST(round(value * 1000) AS BIGINT) END AS duration_ms FROM events)"""
 
 
-@query(f"WITH {ENDED_SQL} SELECT request_id, ended, outcome, error_code, duration_ms FROM l")
+@query(f"WITH {ENDED_SQL} SELECT request_id, ended, outcome, error_code, coalesce(duration_ms, -1) AS duration_ms FROM l")
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.lifecycle(chat_log(spark, sf_dir)).select("request_id", "ended", "outcome", "error_code", "duration_ms")
+    return logs.lifecycle(chat_log(spark, sf_dir)).select("request_id", "ended", "outcome", "error_code", F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
 
 
 @query(f"WITH {ENDED_SQL} SELECT request_id, 'TIMEOUT' AS error_code FROM l WHERE duration_ms IS NULL OR duration_ms > 45000")
@@ -681,14 +681,14 @@ def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.timeouts(chat_log(spark, sf_dir)).select("request_id", "error_code")
 
 
-@query(f"WITH {ENDED_SQL} SELECT epoch_ms(date_trunc('day', started_at)) AS window_ms, outcome, error_code, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM l GROUP BY ALL")
+@query(f"WITH {ENDED_SQL} SELECT epoch_ms(date_trunc('day', started_at)) AS window_ms, outcome, error_code, count(*) AS n, coalesce(round(avg(duration_ms), 6), -1e0) AS mean_ms, coalesce(max(duration_ms), -1) AS max_ms FROM l GROUP BY ALL")
 def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = logs.outcome_rates(logs.lifecycle(chat_log(spark, sf_dir)))
-    return got.select(F.unix_millis("window_start").alias("window_ms"), "outcome", "error_code", "n", F.round("mean_ms", 6).alias("mean_ms"), "max_ms")
+    return got.select(F.unix_millis("window_start").alias("window_ms"), "outcome", "error_code", "n", F.coalesce(F.round("mean_ms", 6), F.lit(-1.0)).alias("mean_ms"), F.coalesce("max_ms", F.lit(-1)).alias("max_ms"))
 
 
 @query("""WITH u AS (SELECT epoch_ms(date_trunc('day', ts)) AS window_ms, event_type AS model, CAST(json_extract(props, '$.k') AS BIGINT) AS i, event_id % 100 AS o FROM events)
-SELECT window_ms, model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(CASE WHEN model = 'view' THEN 0e0 ELSE sum(i) * 2e0 + sum(o) * 6e0 END, 6) AS cost FROM u GROUP BY ALL""")
+SELECT window_ms, model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(CASE WHEN model = 'view' THEN 0e0 ELSE i * 2e0 + o * 6e0 END), 6) AS cost FROM u GROUP BY ALL""")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.events(spark, sf_dir)
     usage = e.select("ts", F.lit("p").alias("provider"), F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("long").alias("input_tokens"), (F.col("request_id") % 100).alias("output_tokens"))
