@@ -19,6 +19,7 @@ are not read.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,15 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.bpe import byte_letters
 from docweave.llm.wordcache import Remembered
 from docweave.session import cut
 
+#: The printable letter of each byte in a byte-level vocabulary.
+SHOWN = {b: c for c, b in byte_letters().items()}
+#: Letters below U+0250, which are all composed, and ASCII marks.
+LATIN = re.compile(r"((?:(?![\u00aa\u00b5\u00ba\u00d7\u00f7])[A-Za-z\u00c0-\u024f])+)([!-/:-@\[-`{-~]*)")
+
 
 class Words:
     """Ids of a word-level tokenizer, whose words never hold a space.
 
     What the tokenizers library gives for a text is what it gives for the parts between
-    its spaces, so each distinct part is encoded once.
+    its spaces and line feeds, so each distinct part is encoded once.
     """
 
     def __init__(self, path: str):
@@ -46,14 +53,29 @@ class Words:
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.parts = Remembered(self._encode, 400_000)
+        self.words = Remembered(self._word, 300_000)
+        self.marks = Remembered(self._encode, 10_000)
+        self.parts = Remembered(self._part, 300_000)
 
     def _encode(self, part: str) -> bytes:
         return array("I", self.own.encode(part, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A word of lower-case letters needs no more than the tokenizer's model."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+        return array("I", [t.id for t in self.own.model.tokenize(shown)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        # Latin letters, and marks behind them, are words of their own.
+        found = LATIN.fullmatch(part)
+        if found and (word := found[1].lower()).isalpha():
+            return self.words[word] + (self.marks[found[2]] if found[2] else b"")
+        return self._encode(part) if part else b""
+
     def encode(self, text: str | None) -> bytes:
         self.parts.trim()
-        return b"".join(map(self.parts.__getitem__, text.split(" "))) if text else b""
+        self.words.trim()
+        return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
 @functools.lru_cache(maxsize=2)
