@@ -7,7 +7,8 @@
    similar enough share one of them.  Shingles of one vertex only fall away.
 3. The vertices that share a shingle form a bucket.  Not all their pairs are made: a
    bucket's pivots are paired with the other members, pairs pass the length and positional
-   filters, each pair is verified once (suffix filter, then the exact intersection), and
+   filters and the suffix filter (how many digests of either set lie in each stretch of the
+   digests' range bounds their overlap), each pair left is verified once on the texts, and
    links join components.  Members of one component need no pair any more; while a bucket
    holds two components or more, further members become its pivots.  So a group of near
    copies costs about a pair for each member, and no link between components is lost.
@@ -41,7 +42,9 @@ from docweave.session import cut, stored
 WORDS = 5
 PERCENT = 80
 #: Cells of the table of counts: 2 ** CELL_BITS, whatever the size of the input.
-CELL_BITS = 19
+CELL_BITS = 22
+#: Up to so many ids are sent to every task to find their texts; more are joined by a shuffle.
+FEW = 200_000
 #: About so many vertices go to one part of a bucket in the first round.
 PART = 20_000
 STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], np.uint64)
@@ -85,47 +88,69 @@ def needed(a: int, b: int, percent: int = PERCENT) -> int:
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     least = needed(len(a), len(b), percent)
-    if min(len(a), len(b)) < least:
-        return False
-    # Suffix filter: no more can agree in a stretch of digests than either set has there.
-    edges = np.arange(1, 8, dtype=np.uint64) << np.uint64(61)
-    in_a, in_b = (np.diff(np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])) for x in (a, b))
-    if np.minimum(in_a, in_b).sum() < least:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= least
+    return min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
+
+
+def signature(digests: np.ndarray) -> np.ndarray:
+    """How many digests lie in each of 64 to 2048 stretches of their range (255: or more)."""
+    bits = min(11, max(6, (len(digests) - 1).bit_length() - 1))
+    return np.minimum(np.bincount((digests >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def may_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """The suffix filter: no more can agree in a stretch than either set has there."""
+    if len(a) < len(b):
+        a, b = b, a
+    if a.max() == 255 or b.max() == 255:
+        return True
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(axis=1)
+    return int(np.minimum(a, b).sum()) >= needed(int(a.sum()), int(b.sum()), percent)
+
+
+NAMES = ["id", "n", "v", "signature", "cell", "counts"]
+#: Cells in one row of counts.
+CELLS = 1 << 16
 
 
 def sets_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows of id, n, v for each document, and rows of cell and counts from each task."""
+    """A row of id, n, v and signature for each document; and from each task rows of counts.
+
+    A task's counts end at 255: they serve to tell frequent shingles apart.
+    """
     kind = dict(docs.dtypes)["id"]
-    part = 1 << 13
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, counts, id_type = Shingles(), np.zeros(1 << CELL_BITS, np.uint32), None
         for batch in batches:
             id_type = batch.column(0).type
-            sizes, names, cells = [], [], []
+            sizes, names, signs, cells, waiting = [], [], [], [], 0
             for text in batch.column(1):
                 own = made.of(text.as_py())
                 sizes.append(len(own))
                 names.append(vertex(own) if len(own) else None)
+                signs.append(signature(own).tobytes() if len(own) else None)
                 cells.append(own >> np.uint64(64 - CELL_BITS))
-                if len(cells) >= 200:
-                    counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                    cells = []
-            if cells:
-                counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            empty = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *empty], NAMES)
+                waiting += len(own)
+                if waiting > 2_000_000:
+                    _count(counts, cells)
+                    cells, waiting = [], 0
+            _count(counts, cells)
+            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.binary()), *none], NAMES)
         if id_type is not None:
-            k = len(counts) // part
-            held = [c.tobytes() for c in counts.reshape(k, part)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(held, pa.binary())], NAMES)
+            held = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)]
+            k = len(held)
+            none = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(k), pa.int32()), pa.array(held, pa.binary())], NAMES)
 
-    return docs.mapInArrow(read, f"id {kind}, n long, v long, cell int, counts binary")
+    return docs.mapInArrow(read, f"id {kind}, n long, v long, signature binary, cell int, counts binary")
 
 
-NAMES = ["id", "n", "v", "cell", "counts"]
+def _count(counts: np.ndarray, cells: list[np.ndarray]) -> None:
+    if cells:
+        found, n = np.unique(np.concatenate(cells).astype(np.uint32), return_counts=True)
+        counts[found] += n.astype(np.uint32)
 
 
 def levels(first: DataFrame) -> np.ndarray:
@@ -135,18 +160,21 @@ def levels(first: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+                own = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint32)
                 sums[cell] = sums[cell] + own if cell in sums else own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["cell", "counts"])
 
     held = first.where("cell IS NOT NULL").select("cell", "counts").repartition("cell").mapInArrow(add, "cell int, counts binary")
-    total = np.zeros((1 << CELL_BITS) // (1 << 13) * (1 << 13), np.int64).reshape(-1, 1 << 13)
-    for row in held.toLocalIterator():  # as many rows as the table has parts
-        total[row["cell"]] = np.frombuffer(row["counts"], np.int64)
+    total = np.zeros((1 << CELL_BITS) // CELLS * CELLS, np.uint32).reshape(-1, CELLS)
+    for row in held.toLocalIterator():  # as many rows as the table has parts, whatever the input
+        total[row["cell"]] = np.frombuffer(row["counts"], np.uint32)
     total = total.reshape(-1)
     usual = float(np.median(total))
-    beyond = np.maximum(0, total - usual - 6 * np.sqrt(usual + 1) - 8)
-    return np.where(beyond > 0, np.ceil(np.log2(beyond + 1)), 0).astype(np.uint8)
+    bound = usual + 6 * np.sqrt(usual + 1) + 4
+    out = np.zeros(len(total), np.uint8)
+    beyond = np.flatnonzero(total > bound)
+    out[beyond] = np.ceil(np.log2(total[beyond] - bound + 1)).astype(np.uint8)
+    return out
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> DataFrame:
@@ -204,16 +232,50 @@ def may_link(n: Column, place: Column, m: Column, at: Column, percent: int = PER
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (ids of the two vertices) among the pairs a, b."""
-    kind = dict(texts.dtypes)["rep"]
-    one, two = (texts.select(F.col("v").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("text").alias(f"{k}_text")) for k in "ab")
-    rows = pairs.join(one, "a").join(two, "b").select("a", "a_rep", "a_text", "b_rep", "b_text")
+def plausible(pairs: DataFrame, names: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs a, b that pass the suffix filter, with the ids of both."""
+    kind = dict(names.dtypes)["rep"]
+    one, two = (names.select(F.col("v").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("signature").alias(f"{k}_s")) for k in "ab")
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "a_rep", "b_rep", "a_s", "b_s")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(4), batch.column(5))
+            keep = [k for k, (x, y) in enumerate(both) if may_overlap(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), percent)]
+            yield batch.select(["a", "b", "a_rep", "b_rep"]).take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(check, f"a long, b long, a_rep {kind}, b_rep {kind}")
+
+
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows v, text for the vertices of some pairs.
+
+    Few ids are sent to every task (their number is counted first); many are joined.
+    """
+    ids = cut(pairs.select(F.col("a").alias("v"), F.col("a_rep").alias("id")).unionByName(pairs.select(F.col("b").alias("v"), F.col("b_rep").alias("id"))).distinct())
+    near = docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "id").select("v", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Shingles()
+        for batch in batches:  # an id may have several texts
+            keep = [k for k, (v, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))) if len(own := made.of(t.as_py())) and vertex(own) == v]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return stored(near.mapInArrow(check, "v long, text string").dropDuplicates(["v"]))
+
+
+def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links x, y (ids of the two vertices) among the pairs a, b."""
+    pairs = cut(plausible(pairs, names, percent))
+    kind = dict(names.dtypes)["rep"]
+    texts = texts_of(pairs, docs)
+    one, two = (texts.select(F.col("v").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
+    rows = pairs.join(one, "a").join(two, "b").select("a", "a_rep", "b_rep", "a_text", "b_text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, known = Shingles(), {}
         for batch in batches:
-            a, a_text, b_text = batch.column(0).to_pylist(), batch.column(2), batch.column(4)
+            a, a_text, b_text = batch.column(0).to_pylist(), batch.column(3), batch.column(4)
             keep = []
             for k, name in enumerate(a):
                 own = known.get(name)
@@ -224,38 +286,32 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 if linked(own, made.of(b_text[k].as_py()), percent):
                     keep.append(k)
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(3).take(take)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take)], ["x", "y"])
 
-    return rows.mapInArrow(check, f"x {kind}, y {kind}")
+    return cut(rows.mapInArrow(check, f"x {kind}, y {kind}"))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (x, root) after the links x, y have joined components; roots are the least ids.
 
-    Each turn every root takes the least root it is linked to, and paths are then halved until
-    each points to its root; links within a component fall away.
+    Each turn every root moves to the least root that it is linked to, and the links move
+    along; those within a component fall away.  The moves are applied to the labels at the end.
     """
-    def roots(edges: DataFrame) -> DataFrame:
-        left = labels.select(F.col("x").alias("x"), F.col("root").alias("rx"))
-        right = labels.select(F.col("x").alias("y"), F.col("root").alias("ry"))
+
+    def moved(edges: DataFrame, to: DataFrame) -> DataFrame:
+        left, right = (to.select(F.col("x").alias(k), F.col("root").alias(f"r{k}")) for k in "xy")
         at = edges.join(left, "x", "left").join(right, "y", "left")
-        rx, ry = F.coalesce("rx", "x"), F.coalesce("ry", "y")
-        return at.select(F.least(rx, ry).alias("x"), F.greatest(rx, ry).alias("y")).where("x < y").distinct()
+        x, y = F.coalesce("rx", "x"), F.coalesce("ry", "y")
+        return at.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x < y").distinct()
 
-    edges = cut(roots(links))
+    edges = cut(moved(links, labels))
+    ends = edges.select("x").unionByName(edges.select(F.col("y").alias("x"))).distinct()
+    labels = labels.unionByName(ends.join(labels.select("x"), "x", "left_anti").withColumn("root", F.col("x")))
     while not edges.isEmpty():
-        hooks = cut(edges.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("root")))
-        while True:
-            up = hooks.select(F.col("x").alias("root"), F.col("root").alias("above"))
-            moved = cut(hooks.join(up, "root", "left").select("x", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-            hooks = moved.select("x", "root")
-            if moved.where("moved").isEmpty():
-                break
-        up = hooks.select(F.col("x").alias("root"), F.col("root").alias("above"))
-        old = labels.join(up, "root", "left").select("x", F.coalesce("above", "root").alias("root"))
-        labels = cut(old.unionByName(hooks.join(labels.select("x"), "x", "left_anti")))
-        edges = cut(roots(edges))
-    return labels
+        to = edges.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("root"))
+        labels = labels.join(to.select(F.col("x").alias("root"), F.col("root").alias("above")), "root", "left").select("x", F.coalesce("above", "root").alias("root"))
+        edges = cut(moved(edges, to))
+    return cut(labels)
 
 
 def ngram_groups(
@@ -266,24 +322,22 @@ def ngram_groups(
     first = stored(sets_and_counts(rows))
     sets = first.where("cell IS NULL").select("id", "n", "v")
     entries = stored(buckets(prefixes(rows, levels(first), percent)))
-    names = sets.where("v IS NOT NULL AND id IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"))
-    shown = names.join(entries.select("v").distinct(), "v", "left_semi")
-    texts = rows.where("id IS NOT NULL").join(shown.select("v", F.col("rep").alias("id")), "id")
-    texts = stored(one_text(texts))
+    named = first.where("v IS NOT NULL AND id IS NOT NULL")
+    names = stored(named.groupBy("v").agg(F.min(F.struct("id", "signature")).alias("m")).select("v", F.col("m.id").alias("rep"), F.col("m.signature").alias("signature")))
 
     labels = docs.sparkSession.createDataFrame([], f"x {dict(rows.dtypes)['id']}, root {dict(rows.dtypes)['id']}")
     n, place = F.col("n"), F.col("place")
     pairs = entries.where(F.col("v") != F.col("pv")).where(may_link(n, place, F.col("pn"), F.col("pplace"), percent))
     pairs = cut(pairs.select(F.col("pv").alias("a"), F.col("v").alias("b")).distinct())
-    labels = joined(labels, cut(verified(pairs, texts, percent)))
+    labels = joined(labels, verified(pairs, names, rows, percent))
     open_ = entries.where(F.col("v") != F.col("pv")).select("h", "v", "n", "place").unionByName(pivots_of_parts(entries))
-    known, pivots = pairs, 8
+    known, pivots = pairs, 16
     while True:
-        open_ = cut(unsettled(open_, texts.select("v", "rep"), labels))
+        open_ = cut(unsettled(open_, names.select("v", "rep"), labels))
         if open_.isEmpty():
             break
         w = Window.partitionBy("h").orderBy("size", "n", "v")
-        ranked = cut(open_.withColumn("turn", F.row_number().over(w)))
+        ranked = open_.withColumn("turn", F.row_number().over(w))
         lead = ranked.where(F.col("turn") <= pivots).select("h", *(F.col(c).alias(f"p_{c}") for c in ("v", "n", "place", "root", "turn")))
         # Any two pivots are paired once, and every pivot with all who are none.
         near = ranked.join(lead, "h").where((F.col("turn") > F.col("p_turn")) & (F.col("root") != F.col("p_root")))
@@ -291,12 +345,12 @@ def ngram_groups(
         fresh = near.select(F.least("v", "p_v").alias("a"), F.greatest("v", "p_v").alias("b")).distinct()
         done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = cut(fresh.join(done, ["a", "b"], "left_anti"))
-        labels = joined(labels, cut(verified(fresh, texts, percent)))
-        known = cut(known.unionByName(fresh))
+        labels = joined(labels, verified(fresh, names, rows, percent))
+        known = known.unionByName(fresh)
         open_ = ranked.where(F.col("turn") > pivots).select("h", "v", "n", "place")
         pivots *= 8
 
-    roots = cut(names.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
+    roots = cut(names.select("v", "rep").join(labels.withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
     return sets.join(roots, "v", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -304,20 +358,6 @@ def ngram_groups(
     )
 
 
-def one_text(texts: DataFrame) -> DataFrame:
-    """Rows v, rep, text where the text has the set that v names (an id may have several), each v once."""
-    kind = dict(texts.dtypes)["id"]
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Shingles()
-        for batch in batches:
-            keep = [k for k, (v, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))) if len(own := made.of(t.as_py())) and vertex(own) == v]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    right = texts.select("v", F.col("id").alias("rep"), "text").mapInArrow(check, f"v long, rep {kind}, text string")
-    return right.dropDuplicates(["v"])
-
-
 def pivots_of_parts(entries: DataFrame) -> DataFrame:
     """The first vertices of a bucket that was dealt over several parts: the parts are not compared yet."""
     tops = entries.where("v = pv").select("h", "v", "n", "place")

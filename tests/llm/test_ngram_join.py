@@ -89,4 +89,15 @@ def test_filters_keep_every_link():
         for _ in range(pick.randint(0, 8)):
             b.symmetric_difference_update({pick.randrange(60)})
         x, y = (np.sort(np.array(sorted(s), np.uint64) * np.uint64(0x0432_1234_5678_9ABC)) for s in (a, b))
-        assert nj.linked(x, y) == (bool(b) and 100 * len(a & b) >= 80 * len(a | b))
+        want = bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+        assert nj.linked(x, y) == want
+        assert not want or nj.may_overlap(nj.signature(x), nj.signature(y))
+
+
+def test_signature_of_long_sets():
+    pick = np.random.default_rng(3)
+    a = np.unique(pick.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    b = np.unique(np.concatenate([a[: 4600], pick.integers(0, 1 << 63, 300, dtype=np.uint64)]))
+    assert nj.linked(a, b) and nj.may_overlap(nj.signature(a), nj.signature(b))
+    assert not nj.may_overlap(nj.signature(a), nj.signature(pick.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)))
+    assert not nj.may_overlap(nj.signature(a[:300]), nj.signature(a))
