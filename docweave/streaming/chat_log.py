@@ -77,21 +77,20 @@ class Deadline(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         started, ended = self.held.get() if self.held.exists() else (-1, -1)
         for batch in rows:
-            ms = batch["ts"].astype("datetime64[ms, UTC]" if getattr(batch["ts"].dtype, "tz", None) else "datetime64[ms]").astype("int64")
-            for event, at in zip(batch["event"], ms):
+            for event, at in zip(batch["event"], batch["ms"]):
                 if event == "started":
                     started = int(at)
                     self.handle.registerTimer(started + self.limit_ms)
                 else:
                     ended = int(at) if ended < 0 else min(ended, int(at))
         self.held.update((started, ended))
-        yield pd.DataFrame({"request_id": [], "started_ms": []}).astype({"started_ms": "int64"})
+        yield pd.DataFrame({"request_id": pd.Series([], dtype="str"), "started_ms": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         started, ended = self.held.get()
         late = ended < 0 or ended > started + self.limit_ms
         self.held.clear()
-        yield pd.DataFrame({"request_id": [key[0]] * late, "started_ms": [started] * late}).astype({"started_ms": "int64"})
+        yield pd.DataFrame({"request_id": pd.Series([key[0]] * late, dtype="str"), "started_ms": pd.Series([started] * late, dtype="int64")})
 
     def close(self) -> None:
         pass
@@ -99,7 +98,7 @@ class Deadline(StatefulProcessor):
 
 def timeout_stream(log: DataFrame, limit_ms: int = 45_000) -> DataFrame:
     """Requests of a log stream with a watermark that did not end within the limit of event time."""
-    return log.select("request_id", "event", "ts").groupBy("request_id").transformWithStateInPandas(
+    return log.select("request_id", "event", "ts", F.unix_millis("ts").alias("ms")).groupBy("request_id").transformWithStateInPandas(
         statefulProcessor=Deadline(limit_ms), outputStructType="request_id string, started_ms long", outputMode="Append", timeMode="EventTime"
     )
 
