@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from docweave.functions import dims, text
 from docweave.functions.identity import chunk_id, document_id
 from docweave.operators import audits, chunking, conversations, evidence, index, logs, policy, ranking, routing, structure
 from docweave.plans import adapters as ad
-from docweave.session import cut, stored
+from docweave.session import cut, shared_folder, stored
 from docweave.sources import corpus
+from docweave.streaming import chat_log as chat_log_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -257,7 +260,16 @@ def made_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.finish_chunks(made, F.col("doc_id").cast("string"), F.lit(None).cast("string"), composed=True)
 
 
-@query()
+LAST_BREAK = "greatest(CASE WHEN contains(c, ' ') THEN length(c) - strpos(reverse(c), ' ') ELSE -1 END, CASE WHEN contains(c, chr(10)) THEN length(c) - strpos(reverse(c), chr(10)) ELSE -1 END)"
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH RECURSIVE r AS (
+  SELECT doc_id, 0 AS part, CAST(NULL AS VARCHAR) AS content, trim(text, {BLANK}) AS rest FROM documents
+  UNION ALL
+  SELECT doc_id, part + 1, CASE WHEN length(rest) > 1800 THEN trim(substr(rest, 1, e), {BLANK}) ELSE rest END, CASE WHEN length(rest) > 1800 THEN trim(substr(rest, e + 1), {BLANK}) ELSE '' END
+  FROM (SELECT doc_id, part, rest, CASE WHEN {LAST_BREAK} >= 990 THEN {LAST_BREAK} + 1 ELSE 1800 END AS e FROM (SELECT *, substr(rest, 1, 1800) AS c FROM r WHERE rest <> ''))
+) SELECT doc_id, CAST(part - 1 AS INT) AS part, content FROM r WHERE part > 0""")
 def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("part", "content"))
 
@@ -643,6 +655,29 @@ def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("request_id", "allowed", "retry_after_ms", wait.alias("retry_after_s"))
 
 
+def replayed(spark: SparkSession, path: str, schema, **limits) -> DataFrame:
+    """A table read as a stream through the rate limiter, written to the shared folder and read back."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    e = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: the table may be one file
+    asked = e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    try:
+        spark.conf.set(key, store)
+        made = chat_log_stream.rate_limit_stream(asked, **limits)
+        made.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(f"{out}-rows").awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.parquet(f"{out}-rows")
+
+
+@query(ORACLES["rate_limit_replay"].replace("wait AS retry_after_ms, CASE", "wait AS retry_after_ms --, CASE").replace(" END AS retry_after_s FROM r", " END AS retry_after_s\nFROM r"))
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions as the replay, by the stateful stream."""
+    path = f"{sf_dir}/events.parquet"
+    return replayed(spark, path, spark.read.parquet(path).schema, most=2, window_ms=DAY).select("request_id", "allowed", "retry_after_ms")
+
+
 @query("SELECT event_id AS request_id, sha256(CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id WHEN event_id % 3 = 1 THEN '10.1.0.' || user_id ELSE 'unidentified-client' END) AS key FROM events")
 def rate_limit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.table(spark, sf_dir, "events")

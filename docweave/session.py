@@ -24,7 +24,7 @@ def share_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of this machine only where none is named (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,7 +36,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a small table, to cut its lineage; Spark removes the files when it is no longer used."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -46,6 +46,6 @@ def stored(df: DataFrame) -> DataFrame:
     For tables that are read several times: the files are compressed and columns that a
     reader doesn't need are not read.  They stay until the folder is cleared.
     """
-    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
