@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from docweave.functions.text import normalize_text, terms, tokens_of
 from docweave.operators import index as ix
-from docweave.session import stored
+from docweave.session import cut, stored
 
 # Weights and gates of the score.
 SATURATION, LENGTH_PART = 1.2, 0.75
@@ -250,7 +250,9 @@ def score_questions(questions: DataFrame, fields: DataFrame, found: DataFrame, s
     wanted = asked(questions, composed)
     groups = expand_aliases(question_terms(questions, stopwords, composed), aliases)
     tokens = scoring_tokens(groups)
-    weighed = with_idf(tokens, ix.document_frequency(found), ix.corpus_stats(fields))
+    # Only the questions' tokens need a frequency.
+    own = found.join(tokens.select("token").distinct(), "token", "left_semi")
+    weighed = with_idf(tokens, ix.document_frequency(own), ix.corpus_stats(fields))
     near = candidates(weighed, found, ix.body_lengths(fields), wanted.where("limit > 0"))
     rows = ranked(scored(gated(near, group_weights(groups, weighed)), wanted, tokens, fields))
     return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "candidates": near, "ranked": rows}
@@ -264,5 +266,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, stopwords: DataFrame, alia
     fields = stored(ix.index_fields(chunks, composed))
     found = stored(ix.postings(fields))
     made = score_questions(questions, fields, found, stopwords, aliases, composed)
-    matches = suppress_duplicates(made["ranked"], near_lists(near_duplicate_classes(fields)))
+    rows = cut(made["ranked"])
+    # Only bodies that a question ranked can repeat each other there.
+    shown = fields.join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    matches = suppress_duplicates(rows, near_lists(near_duplicate_classes(shown)))
     return matches, outcomes(made["wanted"], matches, considered(made["wanted"], fields, made["tokens"]))
