@@ -405,13 +405,15 @@ hit AS (SELECT question_id, min(rank) AS rank FROM ranked JOIN truth USING (ques
 SELECT count(*) AS n_questions, round(avg(CASE WHEN rank = 1 THEN 1e0 ELSE 0e0 END), 9) AS hit_at_1, round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 9) AS hit_at_k,
  round(avg(coalesce(1e0 / rank, 0e0)), 9) AS mrr FROM t LEFT JOIN hit USING (question_id)""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth: documents that hold the first 60 characters of a question; found by 12-character pieces first."""
+    """Truth: documents that hold the first 60 characters of a question.
+
+    They meet on the second word of those, which white space bounds on both sides.
+    """
     own, made = made_ranking(spark, sf_dir)
     matches = ranking.top_k(made["ranked"])
     questions = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("lead"))
-    # A text that holds the lead holds its first word pair: candidates meet on words of the lead.
     words = lambda c: F.filter(F.split(c, r"[\s]+"), lambda w: F.length(w) > 0)
-    inner = questions.select("question_id", "lead", F.get(words(F.col("lead")), F.lit(2)).alias("word")).where("word IS NOT NULL")
+    inner = questions.select("question_id", "lead", F.get(words(F.col("lead")), F.lit(1)).alias("word")).where("word IS NOT NULL")
     texts = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     near = texts.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(F.broadcast(inner), "word").select("chunk_id", "question_id", "lead")
     truth = near.join(texts, "chunk_id").where(F.contains("text", F.col("lead"))).select("question_id", "chunk_id").distinct()
