@@ -13,8 +13,8 @@
    holds two components or more, further members become its pivots.  So a group of near
    copies costs about a pair for each member, and no link between components is lost.
 
-A shingle that very many vertices share is dealt over several parts of its bucket in the
-first round, by a salt.
+Entries of a shingle that very many vertices share are dealt over several tasks by a salt
+while copies are taken out; pivots are then found by aggregates that start on the map side.
 
 Sets are compared by digests: for a pair of texts to be misjudged, two different shingles
 of the pair must have the same 64 bits; for two sets to be confused, their digests.
@@ -198,7 +198,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> Data
                     order = np.argsort(own_rank, kind="stable")[:count]
                     first, rank_of = own[order], own_rank[order]
                     over = np.maximum(1, (1 << rank_of.astype(np.int64)) // PART)
-                    salt = np.abs(v) % over
+                    salt = np.where(over > 1, 1 + abs(v) % over, 0)
                 else:
                     first, salt = own[:count], np.zeros(count, np.int64)
                 place = np.arange(count)
@@ -213,17 +213,27 @@ def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> Data
 
 
 def buckets(entries: DataFrame) -> DataFrame:
-    """Entries of shingles that two vertices or more share, each beside its bucket's first vertex."""
+    """Entries of shingles that two vertices or more share, each vertex once a shingle.
+
+    A part of a bucket can't tell whether it is alone, so all its rows stay.
+    """
     whole = entries.select("h", "salt", "v", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place"))
     w = Window.partitionBy("h", "salt").orderBy("n", "v")
-    seen = whole.select(
-        "h", "salt", "v", "n", "place",
-        F.lag("v").over(w).alias("before"),
-        F.lead("v").over(w).alias("after"),
-        F.first(F.struct("v", "n", "place")).over(w).alias("pivot"),
-    )
+    seen = whole.select("h", "salt", "v", "n", "place", F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"))
     several = (F.col("before").isNull() & (F.col("after").isNotNull() | (F.col("salt") > 0))) | (F.col("before") != F.col("v"))
-    return seen.where(several).select("h", "v", "n", "place", F.col("pivot.v").alias("pv"), F.col("pivot.n").alias("pn"), F.col("pivot.place").alias("pplace"))
+    return seen.where(several).select("h", "v", "n", "place")
+
+
+def hubs(entries: DataFrame) -> DataFrame:
+    """The first pivot of each bucket: the vertex that meets most others over all its buckets.
+
+    In a group of near copies that is the text that they were made from, so that one round
+    of pairs joins most of the group.
+    """
+    sizes = entries.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    met = entries.join(sizes, "h").groupBy("v").agg(F.sum("size").alias("met"))
+    first = entries.join(met, "v").groupBy("h").agg(F.max(F.struct("met", (-F.col("n")).alias("m"), "v", "n", "place")).alias("p"))
+    return cut(first.select("h", F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace")))
 
 
 def may_link(n: Column, place: Column, m: Column, at: Column, percent: int = PERCENT) -> Column:
@@ -291,8 +301,13 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, percent: int =
     return cut(rows.mapInArrow(check, f"x {kind}, y {kind}"))
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """A checkpointed table of ids, marked for broadcast if it has few rows; else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (x, root) after the links x, y have joined components; roots are the least ids.
+    """``labels`` (x, root; checkpointed) after the links x, y have joined components; roots are the least ids.
 
     Each turn every root moves to the least root that it is linked to, and the links move
     along; those within a component fall away.  The moves are applied to the labels at the end.
@@ -304,11 +319,14 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         x, y = F.coalesce("rx", "x"), F.coalesce("ry", "y")
         return at.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x < y").distinct()
 
-    edges = cut(moved(links, labels))
+    known = sized(labels)
+    edges = cut(moved(links, known))
+    if edges.isEmpty():
+        return labels
     ends = edges.select("x").unionByName(edges.select(F.col("y").alias("x"))).distinct()
-    labels = labels.unionByName(ends.join(labels.select("x"), "x", "left_anti").withColumn("root", F.col("x")))
+    labels = labels.unionByName(ends.join(known.select("x"), "x", "left_anti").withColumn("root", F.col("x")))
     while not edges.isEmpty():
-        to = edges.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("root"))
+        to = sized(cut(edges.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("root"))))
         labels = labels.join(to.select(F.col("x").alias("root"), F.col("root").alias("above")), "root", "left").select("x", F.coalesce("above", "root").alias("root"))
         edges = cut(moved(edges, to))
     return cut(labels)
@@ -325,13 +343,14 @@ def ngram_groups(
     named = first.where("v IS NOT NULL AND id IS NOT NULL")
     names = stored(named.groupBy("v").agg(F.min(F.struct("id", "signature")).alias("m")).select("v", F.col("m.id").alias("rep"), F.col("m.signature").alias("signature")))
 
-    labels = docs.sparkSession.createDataFrame([], f"x {dict(rows.dtypes)['id']}, root {dict(rows.dtypes)['id']}")
+    labels = cut(docs.sparkSession.createDataFrame([], f"x {dict(rows.dtypes)['id']}, root {dict(rows.dtypes)['id']}"))
     n, place = F.col("n"), F.col("place")
-    pairs = entries.where(F.col("v") != F.col("pv")).where(may_link(n, place, F.col("pn"), F.col("pplace"), percent))
-    pairs = cut(pairs.select(F.col("pv").alias("a"), F.col("v").alias("b")).distinct())
+    led = entries.join(hubs(entries), "h").where(F.col("v") != F.col("pv"))
+    pairs = led.where(may_link(n, place, F.col("pn"), F.col("pplace"), percent))
+    pairs = cut(pairs.select(F.least("pv", "v").alias("a"), F.greatest("pv", "v").alias("b")).distinct())
     labels = joined(labels, verified(pairs, names, rows, percent))
-    open_ = entries.where(F.col("v") != F.col("pv")).select("h", "v", "n", "place").unionByName(pivots_of_parts(entries))
-    known, pivots = pairs, 16
+    open_ = led.select("h", "v", "n", "place")
+    known, pivots = pairs, 4
     while True:
         open_ = cut(unsettled(open_, names.select("v", "rep"), labels))
         if open_.isEmpty():
@@ -343,14 +362,14 @@ def ngram_groups(
         near = ranked.join(lead, "h").where((F.col("turn") > F.col("p_turn")) & (F.col("root") != F.col("p_root")))
         near = near.where(may_link(n, place, F.col("p_n"), F.col("p_place"), percent))
         fresh = near.select(F.least("v", "p_v").alias("a"), F.greatest("v", "p_v").alias("b")).distinct()
-        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = cut(fresh.join(done, ["a", "b"], "left_anti"))
-        labels = joined(labels, verified(fresh, names, rows, percent))
+        fresh = cut(fresh.join(known, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            labels = joined(labels, verified(fresh, names, rows, percent))
         known = known.unionByName(fresh)
         open_ = ranked.where(F.col("turn") > pivots).select("h", "v", "n", "place")
-        pivots *= 8
+        pivots *= 4
 
-    roots = cut(names.select("v", "rep").join(labels.withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
+    roots = cut(names.select("v", "rep").join(sized(labels).withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
     return sets.join(roots, "v", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -358,16 +377,9 @@ def ngram_groups(
     )
 
 
-def pivots_of_parts(entries: DataFrame) -> DataFrame:
-    """The first vertices of a bucket that was dealt over several parts: the parts are not compared yet."""
-    tops = entries.where("v = pv").select("h", "v", "n", "place")
-    several = tops.groupBy("h").count().where("count > 1").select("h")
-    return tops.join(several, "h", "left_semi")
-
-
 def unsettled(entries: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of buckets that hold two components or more, with their root and its size in the bucket."""
-    own = reps.join(labels.withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root"))
+    own = reps.join(sized(labels).withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root"))
     here = entries.join(own, "v")
     several = here.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
     return here.join(several, "h", "left_semi").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h", "root")))
