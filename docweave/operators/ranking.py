@@ -211,8 +211,9 @@ def suppress_duplicates(rows: DataFrame, near: DataFrame, first: int = 100) -> D
         step = lambda kept, c: F.when((F.size(kept) < F.col("limit")) & ~F.exists(kept, lambda k: repeats(k, c)), F.concat(kept, F.array(c))).otherwise(kept)
         return listed.select("question_id", "limit", "total", F.aggregate("c", empty, step).alias("kept"))
 
-    counted = known.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("question_id")))
-    short = walk(counted.where(F.col("rank") <= first))
+    # Both are read more than once below.
+    counted = cut(known.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("question_id"))))
+    short = cut(walk(counted.where(F.col("rank") <= first)))
     full = (F.size("kept") >= F.col("limit")) | (F.col("total") <= first)
     again = walk(counted.join(short.where(~full).select("question_id"), "question_id", "left_semi"))
     each = short.where(full).unionByName(again).select("question_id", F.posexplode("kept").alias("at", "m"))
