@@ -6,9 +6,9 @@ right one is the first that may follow the last token of the shorter prefix, tha
 for which merging would never have joined across the border of the pair.  The table of
 last tokens then serves as back-pointers.
 
-Words come from the tokenizer's split pattern.  A single space between two other
-characters always starts a new word, so texts are cut there first and the ids of each
-cut are remembered.
+Words come from the tokenizer's split pattern.  A single space or line feed
+between two other characters always starts a new word, so texts are cut there first and
+the ids of each cut are remembered.
 
 Defined cases: null counts as empty and has no ids; special tokens in a text become
 their own ids; unused truncation and padding; ids are little-endian unsigned 32-bit
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -66,18 +67,18 @@ class BytePairs:
         self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.words = regex.compile(WORDS)
-        self.odd = regex.compile(rf" [{WHITE}]|[{WHITE}] ")
+        self.odd = re.compile(r"\s\s")  # what the standard library takes for white space is more than WHITE
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known = Remembered(lambda word: array("I", self.word(word.encode("utf-8"))).tobytes())
+        self.known = Remembered(lambda word: array("I", self.word(word.encode("utf-8"))).tobytes(), 200_000)
         self.first = Remembered(self._piece, 20_000)
-        self.later = Remembered(lambda piece: self._piece(" " + piece), 400_000)
+        self.later = Remembered(lambda piece: self._piece(piece if piece[:1] == "\n" else " " + piece), 200_000)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives back this pair."""
         key = (left, right)
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > 300_000:
                 self.follows.clear()
             known = self.follows[key] = self._border_holds(left, right)
         return known
@@ -117,9 +118,9 @@ class BytePairs:
         return self.known[words[0]] if len(words) == 1 else b"".join(map(self.known.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
-        if self.odd.search(text):  # white space next to a space: only the pattern can tell the words
+        if self.odd.search(text):  # only the pattern can tell the words
             return self._words(text)
-        pieces = text.split(" ")
+        pieces = text.replace("\n", " \n").split(" ")
         head = self.first[pieces[0]]
         return head + b"".join(map(self.later.__getitem__, pieces[1:]))
 
@@ -173,3 +174,16 @@ def decode(ids: Column, path: str) -> Column:
             yield pa.array((model.decode(i.as_py()) for i in some), pa.string())
 
     return text(ids)
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """A struct of each text's ``ids`` and what those ids decode to, made by one worker."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = loaded(path)
+        for texts in batches:
+            ids = [model.encode(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(model.decode, ids), pa.string())], ["ids", "decoded"])
+
+    return both(text)

@@ -59,12 +59,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    made = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    return made.withColumn("decoded", bpe.decode(F.col("ids"), path)).select(
+    made = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(F.col("text"), path).alias("made"))
+    return made.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.octet_length("made.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("made.ids", 256).alias("ids_sha256"),
+        F.sha2("made.decoded", 256).alias("decoded_sha256"),
     )
 
 
