@@ -8,24 +8,28 @@ Running sums then bound the overlap of every stretch, and only those that could
 threshold are compared exactly.  Of stretches that overlap the one with the highest
 coefficient stays; ties go to the earlier one, then to the template named first.
 
+``licenses`` compares to the templates below and to those of ``license_texts``: notices, headers and
+whole texts of the common licences in their versions, so that the nearest gives the name.
+
 Defined cases: null and empty texts have no licence; repeated rows are scanned row by row;
 no templates give no findings.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.llm import license_texts
+from docweave.llm.license_texts import WORD
 from docweave.llm.wordcache import Remembered
 
-WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 FOUND = "array<struct<license: string, start: int, end: int, dice: double>>"
 
 #: Texts of public licences and of usual notices.
@@ -67,17 +71,24 @@ def normal_words(text: str | None) -> list[str]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], threshold: float = 0.8):
-        self.threshold, self.names = threshold, list(templates)
-        words = [normal_words(t) for t in templates.values()]
+    def __init__(self, templates: dict[str, str] | Iterable[tuple[str, str]], threshold: float = 0.8):
+        pairs = list(templates.items() if isinstance(templates, dict) else templates)
+        self.threshold, self.names = threshold, [name for name, _ in pairs]
+        words = [normal_words(t) for _, t in pairs]
         self.codes = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for t in words for w in t))}
-        self.sizes = [len(t) for t in words]
-        self.own = [Counter(zip(c, c[1:])) for c in ([self.codes[w] for w in t] for t in words)]
+        self.sizes = np.array([len(t) for t in words], np.int64)
         n = len(self.codes) + 1
-        self.templates_of = np.zeros((n, n), np.uint64)  # of each bigram, one bit for each template
-        for k, bigrams in enumerate(self.own):
-            for a, b in bigrams:
-                self.templates_of[a, b] |= np.uint64(1) << np.uint64(k)
+        self.ids = np.zeros((n, n), np.int32)  # of each bigram of the templates; 0: of none
+        self.own: list[dict[int, int]] = []  # how often each template has its bigrams
+        ids: dict[tuple[int, int], int] = {}
+        for t in words:
+            c = [self.codes[w] for w in t]
+            self.own.append(dict(Counter(ids.setdefault(x, len(ids) + 1) for x in zip(c, c[1:]))))
+        for (x, y), k in ids.items():
+            self.ids[x, y] = k
+        self.has = np.zeros((len(ids) + 1, len(pairs)), bool)  # which templates have a bigram
+        for k, own in enumerate(self.own):
+            self.has[list(own), k] = True
         self.parts = Remembered(self._codes, 150_000)
 
     def _codes(self, part: str) -> bytes:
@@ -91,25 +102,44 @@ class Scanner:
         codes = np.frombuffer(b"".join(map(self.parts.__getitem__, text.split())), np.uint16)
         if len(codes) < 2:
             return []
-        bits = self.templates_of[codes[:-1], codes[1:]]
-        if not bits.any():
+        ids = self.ids[codes[:-1], codes[1:]]
+        at = np.flatnonzero(ids)
+        if not len(at):
+            return []
+        widths = np.minimum(self.sizes, len(codes))  # words of the stretches
+        least = self.threshold * (widths - 1 + self.sizes - 1) / 2
+        may = (self.sizes >= 2) & (widths - 1 >= self.threshold / (2 - self.threshold) * (self.sizes - 1) - 1e-9) & (len(at) >= least - 1e-9)
+        if not may.any():
             return []
+        few = np.flatnonzero(may)
+        has = self.has[ids[at]][:, few]
         rated = []
-        for k, (size, own) in enumerate(zip(self.sizes, self.own)):
-            width = min(size, len(codes))  # words of the stretches
-            pairs, least = width - 1, self.threshold * (width - 1 + size - 1) / 2
-            if size < 2 or pairs < self.threshold / (2 - self.threshold) * (size - 1) - 1e-9:
-                continue
-            hits = (bits >> np.uint64(k)) & np.uint64(1)
-            if hits.sum() < least - 1e-9:
+        for j in np.flatnonzero(has.sum(0) >= least[few] - 1e-9):
+            k, hits = int(few[j]), at[has[:, j]]
+            size, width, own = int(self.sizes[k]), int(widths[k]), self.own[k]
+            pairs, need = width - 1, max(1, math.ceil(least[k] - 1e-9))
+            if not (hits[need - 1 :] - hits[: len(hits) - need + 1] < pairs).any():
                 continue
-            sums = np.concatenate([[0], np.cumsum(hits.astype(np.int64))])
-            for start in np.flatnonzero(sums[pairs:] - sums[:-pairs] >= least - 1e-9):
-                part = codes[start : start + width].tolist()
-                both = sum((Counter(zip(part, part[1:])) & own).values())
+            sums = np.zeros(len(ids) + 1, np.int64)
+            sums[hits + 1] = 1
+            sums = np.cumsum(sums)
+            last, both, now = -2, 0, Counter()
+            for start in np.flatnonzero(sums[pairs:] - sums[:-pairs] >= least[k] - 1e-9).tolist():
+                if start == last + 1:  # one bigram leaves the stretch and one comes
+                    gone, new = int(ids[last]), int(ids[last + pairs])
+                    if gone in own:
+                        now[gone] -= 1
+                        both -= now[gone] < own[gone]
+                    if new in own:
+                        both += now[new] < own[new]
+                        now[new] += 1
+                else:
+                    now = Counter(x for x in ids[start : start + pairs].tolist() if x in own)
+                    both = sum(min(c, own[x]) for x, c in now.items())
+                last = start
                 dice = 2.0 * both / (pairs + size - 1)
                 if dice >= self.threshold - 1e-12:
-                    rated.append((-dice, int(start), k, int(start) + width))
+                    rated.append((-dice, start, k, start + width))
         rated.sort()
         taken, out = np.zeros(len(codes), bool), []
         for dice, start, k, end in rated:
@@ -121,9 +151,7 @@ class Scanner:
 
 def licenses(text: Column, templates: dict[str, str] | None = None, threshold: float = 0.8) -> Column:
     """An array of license, start, end (in words) and dice for each text."""
-    own = dict(TEMPLATES if templates is None else templates)
-    if len(own) > 64:
-        raise ValueError("at most 64 templates at a time")
+    own = [*TEMPLATES.items(), *license_texts.common()] if templates is None else list(templates.items())
 
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

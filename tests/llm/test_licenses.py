@@ -60,3 +60,34 @@ def test_whole_table(spark):
         own = brute(docs[r.doc_id][:3000], short, 0.8) if len(docs[r.doc_id]) <= 3000 else None
         if own is not None:
             assert r.n_found == len(own)
+
+
+def test_common_licences_get_their_own_names(spark):
+    both = [*li.TEMPLATES.items(), *li.license_texts.common()]
+    scanner = li.Scanner(both)
+
+    def named(text):
+        return scanner.names[max(scanner.find(text), key=lambda f: (f[3], -f[1]))[0]]
+
+    bare = lambda name: name.removesuffix("-notice").removesuffix("-header").removesuffix("-terms")
+    for name, text in both:
+        assert bare(named(f"words before\n{text}\nwords behind it")) == bare(name), text[:200]
+    cases = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-notice",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0-notice",
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1-notice",
+        "Licensed under the Apache License, Version 9.0.": "Apache-notice",
+        "Licensed under CC BY-NC 3.0.": "CC-BY-NC-3.0-notice",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0-notice",
+    }
+    assert {text: named(text) for text in cases} == cases
+    got = spark.createDataFrame([(t,) for t in cases], "text string").select("text", li.licenses(F.col("text"))[0]["license"].alias("l")).collect()
+    assert {r.text: r.l for r in got} == cases
+
+
+def test_long_template_with_changes_against_brute_force():
+    whole = li.license_texts.files()["LGPL-3.0"].split()
+    words = ["the", "software", *whole[:400], "other", *whole[401:], "license", "of"] + whole[:30]
+    templates = {"LGPL-3.0": " ".join(whole), "part": " ".join(whole[500:560])}
+    assert li.Scanner(templates).find(" ".join(words)) == brute(" ".join(words), templates, 0.8)
