@@ -28,13 +28,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id.
+    """Of the rows whose texts links connect, the one with the smallest doc_id; rows without an id come last.
 
-    A row without an id stays only if its text is linked with no document that has one.
+    Rows are told apart by a key of their own, as ids may be null or occur twice; it is stored
+    with them, so that each reading finds the same.
     """
-    groups = ngram_join.ngram_groups(docs).where("doc_id = component_id OR component_id IS NULL")
-    stay = groups.select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi")
+    keyed = stored(docs.withColumn("_key", F.monotonically_increasing_id()))
+    groups = ngram_join.ngram_groups(keyed, "_key").select("_key", "component_id").join(keyed.select("_key", "doc_id"), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first")
+    stay = groups.groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
+    return keyed.join(stay, "_key", "left_semi").select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_stages_on_odd_rows(spark):
     got = sorted((r.doc_id, r.text, r.n_chars) for r in docs.collect())
     assert got == [(1, None, None), (3, "[secret]", 8), (4, "[secret]", 8)]
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_without_ids(spark):
+    base, other = (" ".join(f"{c}{k}" for k in range(200)) for c in "ab")
+    texts = [(None, base), (None, base + " x"), (7, base + " x y"), (5, base + " z"), (None, other), (None, other + " x"), (None, ""), (None, None), (9, ""), (None, "on its own"), (5, base)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert len([x for x in got if x[1] and x[1].startswith("a0")]) == 1 and {x[0] for x in got if x[1] and x[1].startswith("a0")} == {5}
+    assert [x[0] for x in got if x[1] and x[1].startswith("b0")] == [None]
+    rest = [x for x in got if not x[1] or x[1][:2] not in ("a0", "b0")]
+    assert sorted(rest, key=repr) == sorted([(None, ""), (None, None), (9, ""), (None, "on its own")], key=repr)
