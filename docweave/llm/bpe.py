@@ -130,9 +130,6 @@ class BytePairs:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        self.first.trim()
-        self.later.trim()
-        self.known.trim()
         if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         out = []

@@ -98,7 +98,6 @@ class Scanner:
         """Template number, first word, end and coefficient of each finding, in order of words."""
         if not text or not self.names:
             return []
-        self.parts.trim()
         codes = np.frombuffer(b"".join(map(self.parts.__getitem__, text.split())), np.uint16)
         if len(codes) < 2:
             return []

@@ -1,28 +1,35 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Every text becomes a set of 64-bit digests of its word shingles; equal sets are one
-   vertex, named by a digest of the set.  The same pass counts shingles in a table of
-   fixed size, which tells the frequent ones apart.
-2. Each vertex gives the first shingles of its set, rare ones first: two sets that are
-   similar enough share one of them.  Shingles of one vertex only fall away.
-3. The vertices that share a shingle form a bucket.  Not all their pairs are made: a
-   bucket's pivots are paired with the other members, pairs pass the length and positional
-   filters and the suffix filter (how many digests of either set lie in each stretch of the
-   digests' range bounds their overlap), each pair left is verified once on the texts, and
-   links join components.  Members of one component need no pair any more; while a bucket
-   holds two components or more, further members become its pivots.  So a group of near
-   copies costs about a pair for each member, and no link between components is lost.
-
-Entries of a shingle that very many vertices share are dealt over several tasks by a salt
-while copies are taken out; pivots are then found by aggregates that start on the map side.
+1. One pass over the texts turns each into a sorted set of 64-bit digests of its word
+   shingles and names the set by a 128-bit digest.  Sets are gathered in chunks of a few
+   million shingles; a chunk sends each range of digests once, with the number of its sets
+   that have each digest (so that the most frequent shingle costs one entry a chunk).
+2. Each range adds up the exact number of sets that have a digest and answers every chunk
+   with the digests that two sets or more share.  Equal sets become one vertex.
+3. A chunk orders the shingles of its vertices by frequency, rare ones first, and emits the
+   first of them: two sets that are similar enough share one of those.  A shingle of one
+   set only takes a place but makes no entry, so most texts without a near copy end here.
+4. The vertices that share an entry form a bucket.  Pairs of a bucket pass the length and
+   positional filters and a bound on what the rest can share, by the parity of how many
+   digests fall into each of 256 stretches; each pair left is verified once, by counts in 64
+   stretches (suffix filter) and then by the digests themselves.  Links join components.
+5. Not all pairs of a bucket are made.  First its pivot, the vertex whose shingles are the
+   most frequent (in a group of near copies the text that they were made from), is paired
+   with the others; while that pays, the heaviest vertex outside the pivots' components is
+   the next pivot.  At last every pair left over whose ends are in different components is
+   made, except those inside the bucket's largest component.  No link between components is
+   lost, and a group of near copies costs about one pair for each member.
 
 Sets are compared by digests: for a pair of texts to be misjudged, two different shingles
-of the pair must have the same 64 bits; for two sets to be confused, their digests.
+of the pair must have the same 64 bits; for two sets to be confused, their 128 bits.
+
+The texts are numbered by their place in the input, which must give the same rows in the
+same order when it is read again (files do; write other inputs to files first).
 
 Defined cases: a text with fewer words than a shingle is one shingle; null texts and texts
-without words have an empty set and are linked with nothing; rows that repeat are copies;
-a null id is no vertex of its own: such a row takes the component of its set, or null; an
-empty table gives an empty result; other columns are not read.
+without words have an empty set, are linked with nothing and keep their own id; rows that
+repeat are copies; rows with a null id take part, and a component without any id has the
+null id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,286 +38,397 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docweave.llm.wordcache import Remembered
 from docweave.session import cut, stored
 
 WORDS = 5
 PERCENT = 80
-#: Cells of the table of counts: 2 ** CELL_BITS, whatever the size of the input.
-CELL_BITS = 22
-#: Up to so many ids are sent to every task to find their texts; more are joined by a shuffle.
-FEW = 200_000
-#: About so many vertices go to one part of a bucket in the first round.
-PART = 20_000
+#: A chunk ends after so many shingles or sets.
+CHUNK, SETS = 4_000_000, 30_000
+#: Sets that share a digest within a chunk are listed to its range up to so many; else only their number.
+LISTED = 16
+STRETCHES, PARITY = 64, 256
+
 STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], np.uint64)
+#: Bytes of words longer than this are hashed one word at a time.
+LONG_WORD, BLOCK = 64, 1 << 21
+BASE = 0xD6E8FEB86659FD93
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+
+
+def _byte_values() -> np.ndarray:
+    """A random number for each byte; white space has none, and both cases of A-Z the same."""
+    values = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+    values[65:91] = values[97:123]
+    values[SPACE] = 0
+    return values
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+VALUES, UP, DOWN = _byte_values(), _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One digest for each word: a polynomial of its bytes, over blocks of many words at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+        first, last = int(starts[at]), int(ends[upto - 1])
+        if last - first <= BLOCK:
+            own = starts[at:upto] - first
+            values = VALUES[data[first:last]]
+            values *= UP[: last - first]
+            out[at:upto] = np.add.reduceat(values, own) * DOWN[own]
+        at = upto
+    out += (ends - starts).astype(np.uint64)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes().lower())
+    return _mixed(out)
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct digests of all texts, one text after the other, and how many each has."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    begin, end = int(bounds[0]), int(bounds[-1])
+    if begin == end:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    data, bounds = np.frombuffer(texts.buffers()[2], np.uint8)[begin:end], bounds - begin
+    ink = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(ink & (edge[:-1] | np.concatenate([[True], ~ink[:-1]])))
+    ends = np.flatnonzero(ink & (edge[1:] | np.concatenate([~ink[1:], [True]]))) + 1
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    words = word_digests(data, starts, ends)
+    first = np.searchsorted(starts, bounds)
+    count = np.diff(first)
+    windows = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))
+    offset = np.concatenate([[0], np.cumsum(windows)])
+    h = np.empty(int(offset[-1]), np.uint64)
+    # All windows of the texts that have a whole one; then the short texts, by their number of words.
+    whole = np.zeros(len(words), bool)
+    if len(words) >= WORDS:
+        sums = np.zeros(len(words) - WORDS + 1, np.uint64)
+        for k in range(WORDS):
+            sums += words[k : k + len(sums)] * STEPS[k]
+        text_of = np.repeat(np.arange(len(count)), count)
+        whole = text_of[: len(sums)] == text_of[WORDS - 1 :]
+        h[np.repeat(count >= WORDS, windows)] = sums[whole]
+    for size in range(1, WORDS):
+        short = np.flatnonzero(count == size)
+        h[offset[short]] = sum(words[first[short] + k] * STEPS[k] for k in range(size)) + np.uint64(size) if len(short) else 0
+    h = _mixed(h)
+    for a, b in zip(offset[:-1].tolist(), offset[1:].tolist()):
+        h[a:b].sort()
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[offset[:-1][windows > 0]] = True
+    sizes = np.diff(np.concatenate([[0], np.cumsum(fresh)])[offset])
+    return h[fresh], sizes
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.large_string()))[0]
 
 
-class Shingles:
-    """Sets of shingle digests; remembers the digests of words."""
+def needed(a: int, b: int, percent: int = PERCENT) -> int:
+    """The least overlap of sets of these sizes that makes a link."""
+    return -(-percent * (a + b) // (100 + percent))
 
-    def __init__(self):
-        self.words = Remembered(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct digests."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        self.words.trim()
-        own = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(own) - WORDS + 1)
-        h = np.zeros(n, np.uint64)
-        for k in range(min(WORDS, len(own))):
-            h += own[k : k + n] * STEPS[k]
-        if len(own) < WORDS:
-            h += np.uint64(len(own))
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h.sort()
-        return h[np.concatenate([[True], h[1:] != h[:-1]])]
+def stretches(shared: np.ndarray) -> np.ndarray:
+    """How many of the sorted digests lie in each of 64 stretches of their range."""
+    edges = np.arange(1, STRETCHES, dtype=np.uint64) << np.uint64(64 - 6)
+    return np.diff(np.concatenate([[0], np.searchsorted(shared, edges), [len(shared)]]))
 
 
-def vertex(digests: np.ndarray) -> int:
-    value = xxhash.xxh3_64_intdigest(digests.tobytes())
-    return value - (1 << 64) if value >= 1 << 63 else value
+def linked(n: int, a: np.ndarray, m: int, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m shingles link; a and b hold at least all that they have in common."""
+    least = needed(n, m, percent)
+    if min(len(a), len(b)) < least or int(np.minimum(stretches(a), stretches(b)).sum()) < least:
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int(np.count_nonzero(b[at] == a)) >= least
 
 
-def needed(a: int, b: int, percent: int = PERCENT) -> int:
-    """The least overlap of sets of these sizes that makes a link."""
-    return -(-percent * (a + b) // (100 + percent))
+def planes(digests: np.ndarray) -> bytes:
+    """The first bytes of all digests, then the second bytes, and so on: sorted digests compress well so."""
+    return np.ascontiguousarray(digests.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    least = needed(len(a), len(b), percent)
-    return min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
+def from_planes(held: pa.Scalar) -> np.ndarray:
+    held = np.frombuffer(held.as_buffer(), np.uint8)
+    return np.ascontiguousarray(held.reshape(8, -1).T).view(">u8").reshape(-1).astype(np.uint64)
 
 
-def signature(digests: np.ndarray) -> np.ndarray:
-    """How many digests lie in each of 64 to 2048 stretches of their range (255: or more)."""
-    bits = min(11, max(6, (len(digests) - 1).bit_length() - 1))
-    return np.minimum(np.bincount((digests >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+DOC, COUNTED, FREQUENT = 0, 1, 2
+FIELDS = "kind int, id {}, n long, name binary, v long, part int, chunk long, h binary, df binary, count binary, sets binary"
 
 
-def may_overlap(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """The suffix filter: no more can agree in a stretch than either set has there."""
-    if len(a) < len(b):
-        a, b = b, a
-    if a.max() == 255 or b.max() == 255:
-        return True
-    if len(a) > len(b):
-        a = a.reshape(len(b), -1).sum(axis=1)
-    return int(np.minimum(a, b).sum()) >= needed(int(a.sum()), int(b.sum()), percent)
+def rows_of(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
+    """A batch of ``size`` rows; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays(
+        [c if isinstance(c := columns.get(f.name), pa.Array) else pa.array(c, f.type) if c is not None else pa.nulls(size, f.type) for f in schema], schema=schema
+    )
 
 
-NAMES = ["id", "n", "v", "signature", "cell", "counts"]
-#: Cells in one row of counts.
-CELLS = 1 << 16
+def schema_of(id_type: pa.DataType) -> pa.Schema:
+    kinds = {"kind": pa.int32(), "id": id_type, "n": pa.int64(), "name": pa.binary(), "v": pa.int64(), "part": pa.int32(), "chunk": pa.int64()}
+    return pa.schema(list(kinds.items()) + [(c, pa.binary()) for c in ("h", "df", "count", "sets")])
 
 
-def sets_and_counts(docs: DataFrame) -> DataFrame:
-    """A row of id, n, v and signature for each document; and from each task rows of counts.
+def in_chunks(docs: DataFrame, parts: int) -> DataFrame:
+    """A row for each document, and the shingles of each chunk of documents, dealt by ranges of digests.
 
-    A task's counts end at 255: they serve to tell frequent shingles apart.
+    A vertex is numbered by task, chunk and place in the chunk.
     """
-    kind = dict(docs.dtypes)["id"]
+    starts = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
+
+    def send(schema: pa.Schema, chunk: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, sets = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
+        order = np.argsort(h, kind="stable")
+        h, sets = h[order], sets[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count, h = np.diff(np.append(first, len(h))), h[first]
+        many = count > LISTED
+        listed = np.repeat(~many, count)
+        if many.any():
+            yield rows_of(schema, 1, kind=[FREQUENT], part=[chunk % parts], chunk=[chunk], h=[planes(h[many])], count=[count[many].astype(np.uint16).tobytes()], sets=[sets[~listed].tobytes()])
+        sets = sets[listed]
+        to = np.concatenate([[0], np.cumsum(np.where(many, 0, count))])
+        edges = np.append(np.searchsorted(h, starts), len(h))
+        some = np.flatnonzero(np.diff(edges)).tolist()
+        own = [(edges[p], edges[p + 1]) for p in some]
+        yield rows_of(
+            schema, len(some), kind=[COUNTED] * len(some), part=some, chunk=[chunk] * len(some), h=[planes(h[a:b]) for a, b in own],
+            count=[count[a:b].astype(np.uint16).tobytes() for a, b in own], sets=[sets[to[a] : to[b]].tobytes() for a, b in own],
+        )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, counts, id_type = Shingles(), np.zeros(1 << CELL_BITS, np.uint32), None
+        chunk, schema, known, held, waiting = TaskContext.get().partitionId() << 16, None, {}, [], 0
         for batch in batches:
-            id_type = batch.column(0).type
-            sizes, names, signs, cells, waiting = [], [], [], [], 0
-            for text in batch.column(1):
-                own = made.of(text.as_py())
-                sizes.append(len(own))
-                names.append(vertex(own) if len(own) else None)
-                signs.append(signature(own).tobytes() if len(own) else None)
-                cells.append(own >> np.uint64(64 - CELL_BITS))
-                waiting += len(own)
-                if waiting > 2_000_000:
-                    _count(counts, cells)
-                    cells, waiting = [], 0
-            _count(counts, cells)
-            none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.binary()), *none], NAMES)
-        if id_type is not None:
-            held = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)]
-            k = len(held)
-            none = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(k), pa.int32()), pa.array(held, pa.binary())], NAMES)
-
-    return docs.mapInArrow(read, f"id {kind}, n long, v long, signature binary, cell int, counts binary")
-
-
-def _count(counts: np.ndarray, cells: list[np.ndarray]) -> None:
-    if cells:
-        found, n = np.unique(np.concatenate(cells).astype(np.uint32), return_counts=True)
-        counts[found] += n.astype(np.uint32)
-
-
-def levels(first: DataFrame) -> np.ndarray:
-    """For each cell of the table of counts, how far its count lies beyond chance, as a power of two."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.uint32)
-                sums[cell] = sums[cell] + own if cell in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["cell", "counts"])
-
-    held = first.where("cell IS NOT NULL").select("cell", "counts").repartition("cell").mapInArrow(add, "cell int, counts binary")
-    total = np.zeros((1 << CELL_BITS) // CELLS * CELLS, np.uint32).reshape(-1, CELLS)
-    for row in held.toLocalIterator():  # as many rows as the table has parts, whatever the input
-        total[row["cell"]] = np.frombuffer(row["counts"], np.uint32)
-    total = total.reshape(-1)
-    usual = float(np.median(total))
-    bound = usual + 6 * np.sqrt(usual + 1) + 4
-    out = np.zeros(len(total), np.uint8)
-    beyond = np.flatnonzero(total > bound)
-    out[beyond] = np.ceil(np.log2(total[beyond] - bound + 1)).astype(np.uint8)
-    return out
-
-
-def prefixes(docs: DataFrame, level: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Rows of shingle ``h``, salt, vertex, size of its set, and place of the shingle in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)  # 2 ** CELL_BITS bytes
+            schema = schema or schema_of(batch.column(0).type)
+            flat, sizes = shingle_sets(batch.column(1))
+            names, numbers, at = [], [], 0
+            for size in sizes.tolist():
+                own, at = flat[at : at + size], at + size
+                if not size:
+                    names.append(None)
+                    numbers.append(None)
+                    continue
+                name = xxhash.xxh3_128_digest(own.tobytes())
+                if name not in known:
+                    if held and (waiting + size > CHUNK or len(held) >= SETS):
+                        yield from send(schema, chunk, held)
+                        chunk, known, held, waiting = chunk + 1, {}, [], 0
+                    known[name] = chunk << 16 | len(held)
+                    held.append(own)
+                    waiting += size
+                names.append(name)
+                numbers.append(known[name])
+            yield rows_of(schema, len(sizes), kind=[DOC] * len(sizes), id=batch.column(0), n=sizes, name=names, v=numbers, part=np.arange(len(sizes)) % parts)
+        if held:
+            yield from send(schema, chunk, held)
+
+    return docs.mapInArrow(read, FIELDS.format(dict(docs.dtypes)["id"]))
+
+
+def counted(rows: DataFrame, parts: int) -> DataFrame:
+    """The shared digests of each chunk with their exact frequencies; other rows as they are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, rank, seen = Shingles(), shared.value, set()
+        hs, counts, sets, chunks, schema = [], [], [], [], None
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for text in batch.column(0):
-                own = made.of(text.as_py())
-                if not len(own) or (v := vertex(own)) in seen:
-                    continue
-                if len(seen) < 200_000:  # copies within a task
-                    seen.add(v)
-                n = len(own)
-                count = n - -(-percent * n // 100) + 1
-                own_rank = rank[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                if own_rank.any():
-                    order = np.argsort(own_rank, kind="stable")[:count]
-                    first, rank_of = own[order], own_rank[order]
-                    over = np.maximum(1, (1 << rank_of.astype(np.int64)) // PART)
-                    salt = np.where(over > 1, 1 + abs(v) % over, 0)
-                else:
-                    first, salt = own[:count], np.zeros(count, np.int64)
-                place = np.arange(count)
-                parts.append((first.view(np.int64), salt, np.full(count, v, np.int64), np.full(count, n), place))
-            if parts:
-                h, salt, v, n, place = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(v), pa.array(n << 32 | place), pa.array(salt.astype(np.int32))], ["h", "v", "size_place", "salt"]
-                )
-
-    return docs.select("text").mapInArrow(read, "h long, v long, size_place long, salt int")
-
-
-def buckets(entries: DataFrame) -> DataFrame:
-    """Entries of shingles that two vertices or more share, each vertex once a shingle.
-
-    A part of a bucket can't tell whether it is alone, so all its rows stay.
+            schema = batch.schema
+            own = pc.equal(batch.column("kind"), COUNTED)
+            yield batch.filter(pc.invert(own))
+            batch = batch.filter(own)
+            hs += [from_planes(x) for x in batch.column("h")]
+            counts += [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("count")]
+            sets += [np.frombuffer(x.as_buffer(), np.uint16).copy() for x in batch.column("sets")]
+            chunks += batch.column("chunk").to_pylist()
+        if not hs:
+            return
+        h = np.concatenate(hs)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        del h
+        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
+        df = np.empty(len(order), np.int64)
+        df[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        at = 0
+        for own, count, listed, chunk in zip(hs, counts, sets, chunks):
+            mine, at = df[at : at + len(own)], at + len(own)
+            keep = mine > 1
+            if keep.any():
+                some = np.repeat(keep, np.where(count > LISTED, 0, count))
+                yield rows_of(schema, 1, kind=[COUNTED], chunk=[chunk], h=[planes(own[keep])], df=[mine[keep].tobytes()], count=[count[keep].tobytes()], sets=[listed[some].tobytes()])
+
+    return rows.repartitionById(parts, F.col("part")).mapInArrow(read, rows.schema)
+
+
+ENTRY = pa.schema([(c, pa.int64()) for c in ("h", "v", "n", "alone", "place")] + [("weight", pa.float64())] + [(f"s{k}", pa.int64()) for k in range(PARITY // 64)] + [("shared", pa.binary())])
+
+
+def entries_of(found: DataFrame, vertices: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows of two kinds: h, v, n, alone, place, weight, s0 to s3 for the first shared shingles of each
+    vertex; and v, n, shared with all its shared shingles, where it has an entry.
+
+    ``place`` is the place of h in the set, rare shingles first; the first ``alone`` are in this
+    set only.  ``weight`` is the mean frequency of the set's shingles.
     """
-    whole = entries.select("h", "salt", "v", F.shiftright("size_place", 32).alias("n"), F.col("size_place").bitwiseAND(0xFFFFFFFF).alias("place"))
-    w = Window.partitionBy("h", "salt").orderBy("n", "v")
-    seen = whole.select("h", "salt", "v", "n", "place", F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"))
-    several = (F.col("before").isNull() & (F.col("after").isNotNull() | (F.col("salt") > 0))) | (F.col("before") != F.col("v"))
-    return seen.where(several).select("h", "v", "n", "place")
-
 
-def hubs(entries: DataFrame) -> DataFrame:
-    """The first pivot of each bucket: the vertex that meets most others over all its buckets.
-
-    In a group of near copies that is the text that they were made from, so that one round
-    of pairs joins most of the group.
+    def read(told: pa.Table, reps: pa.Table) -> pa.Table:
+        if not told.num_rows or not reps.num_rows:
+            return ENTRY.empty_table()
+        numbers = reps.column("v").to_numpy()
+        size = np.zeros(1 << 16, np.int64)
+        size[numbers & 0xFFFF] = reps.column("n").to_numpy()
+        many_h, many_df, h, df, who = [], [], [], [], []
+        kinds, cols = told.column("kind").to_pylist(), [told.column(c) for c in ("h", "df", "count", "sets")]
+        for k in (k for k, kind in enumerate(kinds) if kind == COUNTED):
+            own, count = from_planes(cols[0][k]), np.frombuffer(cols[2][k].as_buffer(), np.uint16)
+            own_df = np.frombuffer(cols[1][k].as_buffer(), np.int64)
+            few = count <= LISTED
+            many_h.append(own[~few])
+            many_df.append(own_df[~few])
+            h.append(np.repeat(own[few], count[few]))
+            df.append(np.repeat(own_df[few], count[few]))
+            who.append(np.frombuffer(cols[3][k].as_buffer(), np.uint16))
+        if many_h and any(len(x) for x in many_h):
+            many, many_df = np.concatenate(many_h), np.concatenate(many_df)
+            order = np.argsort(many)
+            many, many_df = many[order], many_df[order]
+            for k in (k for k, kind in enumerate(kinds) if kind == FREQUENT):
+                own, count = from_planes(cols[0][k]), np.frombuffer(cols[2][k].as_buffer(), np.uint16)
+                h.append(np.repeat(own, count))
+                df.append(np.repeat(many_df[np.searchsorted(many, own)], count))
+                who.append(np.frombuffer(cols[3][k].as_buffer(), np.uint16))
+        if not h:
+            return ENTRY.empty_table()
+        h, df, who = np.concatenate(h), np.concatenate(df), np.concatenate(who).astype(np.int64)
+        mine = size[who] > 0
+        h, df, who = h[mine], df[mine], who[mine]
+        shared = np.bincount(who, minlength=1 << 16)
+        alone = size - shared
+        prefix = size + (-percent * size) // 100 + 1
+        alive = (size > 0) & (prefix > alone)
+        mine = alive[who]
+        h, df, who = h[mine], df[mine], who[mine]
+        if not len(h):
+            return ENTRY.empty_table()
+        order = np.lexsort((h, df, who))
+        h, df, who = h[order], df[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        runs = np.diff(np.append(first, len(who)))
+        place = np.arange(len(who)) - np.repeat(first, runs) + alone[who]
+        some = who[first]
+        weight = np.zeros(1 << 16)
+        weight[some] = (np.add.reduceat(df, first) + alone[some]) / size[some]
+        nth = np.repeat(np.arange(len(first)), runs)
+        bits = np.bincount(nth * PARITY + ((h >> np.uint64(20)) % np.uint64(PARITY)).astype(np.int64), minlength=len(first) * PARITY) & 1
+        sketch = np.packbits(bits.astype(np.uint8).reshape(-1, PARITY), axis=1, bitorder="little").view(np.int64)
+        chunk = int(numbers[0]) >> 16 << 16
+        held = [np.sort(h[a : a + k]).tobytes() for a, k in zip(first.tolist(), runs.tolist())]
+        whole = rows_of(ENTRY, len(some), v=some | chunk, n=size[some], shared=held)
+        keep = place < prefix[who]
+        h, who, place, nth = h[keep], who[keep], place[keep], nth[keep]
+        signs = {f"s{k}": sketch[nth, k] for k in range(PARITY // 64)}
+        own = rows_of(ENTRY, len(h), h=h.view(np.int64), v=who | chunk, n=size[who], alone=alone[who], place=place, weight=weight[who], **signs)
+        return pa.Table.from_batches([own, whole])
+
+    told = found.where(F.col("kind") != DOC).select("chunk", "kind", "h", "df", "count", "sets")
+    reps = vertices.select(F.shiftright("v", 16).alias("chunk"), "v", "n")
+    fields = "h long, v long, n long, alone long, place long, weight double, s0 long, s1 long, s2 long, s3 long, shared binary"
+    return told.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(read, fields)
+
+
+SIGNS = [f"s{k}" for k in range(PARITY // 64)]
+OWN = ["v", "n", "alone", "place", *SIGNS]
+
+
+def may_link(one: str = "", two: str = "p_", percent: int = PERCENT) -> Column:
+    """Length, positional and parity filters for two entries of one shingle.
+
+    What comes before the shingle is common at most as far as either has shared shingles there;
+    what comes after, as far as either goes on.  An odd difference in the number of digests of a stretch
+    is at least one digest that only one of the two has, beside those that they have alone.
     """
-    sizes = entries.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    met = entries.join(sizes, "h").groupBy("v").agg(F.sum("size").alias("met"))
-    first = entries.join(met, "v").groupBy("h").agg(F.max(F.struct("met", (-F.col("n")).alias("m"), "v", "n", "place")).alias("p"))
-    return cut(first.select("h", F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace")))
-
-
-def may_link(n: Column, place: Column, m: Column, at: Column, percent: int = PERCENT) -> Column:
-    """Length and positional filters for two sets of sizes n and m that share a shingle at these places."""
-    most = F.least(place, at) + 1 + F.least(n - place - 1, m - at - 1)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
-
+    n, m, a, b, at, to = (F.col(f"{side}{c}") for c in ("n", "alone", "place") for side in (one, two))
+    odd = sum((F.bit_count(F.col(f"{one}{s}").bitwiseXOR(F.col(f"{two}{s}"))) for s in SIGNS), a + b)
+    most = F.least(at - a, to - b) + 1 + F.least(n - at - 1, m - to - 1)
+    both = n + m
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * both) & ((100 + percent) * (both - odd) >= 2 * percent * both)
 
-def plausible(pairs: DataFrame, names: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs a, b that pass the suffix filter, with the ids of both."""
-    kind = dict(names.dtypes)["rep"]
-    one, two = (names.select(F.col("v").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("signature").alias(f"{k}_s")) for k in "ab")
-    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "a_rep", "b_rep", "a_s", "b_s")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column(4), batch.column(5))
-            keep = [k for k, (x, y) in enumerate(both) if may_overlap(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), percent)]
-            yield batch.select(["a", "b", "a_rep", "b_rep"]).take(pa.array(keep, pa.int64()))
+def pairs_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("v", "p_v").alias("a"), F.greatest("v", "p_v").alias("b")).distinct()
 
-    return rows.mapInArrow(check, f"a long, b long, a_rep {kind}, b_rep {kind}")
 
+def as_pivot(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("h", *(F.col(c).alias(f"p_{c}") for c in (*OWN, *more)))
 
-def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows v, text for the vertices of some pairs.
 
-    Few ids are sent to every task (their number is counted first); many are joined.
-    """
-    ids = cut(pairs.select(F.col("a").alias("v"), F.col("a_rep").alias("id")).unionByName(pairs.select(F.col("b").alias("v"), F.col("b_rep").alias("id"))).distinct())
-    near = docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "id").select("v", "text")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Shingles()
-        for batch in batches:  # an id may have several texts
-            keep = [k for k, (v, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))) if len(own := made.of(t.as_py())) and vertex(own) == v]
-            yield batch.take(pa.array(keep, pa.int64()))
+def heaviest(rows: DataFrame, *more: str) -> DataFrame:
+    """The pivot of each bucket: one order of all vertices, by weight; made by partial aggregates."""
+    best = F.max(F.struct("weight", "v", *(c for c in (*OWN, *more) if c != "v"))).alias("best")
+    return rows.groupBy("h").agg(best, F.count(F.lit(1)).alias("size"))
 
-    return stored(near.mapInArrow(check, "v long, text string").dropDuplicates(["v"]))
 
-
-def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links x, y (ids of the two vertices) among the pairs a, b."""
-    pairs = cut(plausible(pairs, names, percent))
-    kind = dict(names.dtypes)["rep"]
-    texts = texts_of(pairs, docs)
-    one, two = (texts.select(F.col("v").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
-    rows = pairs.join(one, "a").join(two, "b").select("a", "a_rep", "b_rep", "a_text", "b_text")
+def verified(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links x, y among the pairs a, b."""
+    one, two = (whole.select(F.col("v").alias(k), F.col("n").alias(f"{k}_n"), F.col("shared").alias(f"{k}_s")) for k in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, known = Shingles(), {}
         for batch in batches:
-            a, a_text, b_text = batch.column(0).to_pylist(), batch.column(3), batch.column(4)
-            keep = []
-            for k, name in enumerate(a):
-                own = known.get(name)
-                if own is None:
-                    if len(known) >= 64:
-                        known.clear()
-                    own = known[name] = made.of(a_text[k].as_py())
-                if linked(own, made.of(b_text[k].as_py()), percent):
-                    keep.append(k)
+            a, b, n, m = (batch.column(c) for c in ("a_s", "b_s", "a_n", "b_n"))
+            keep = [
+                k
+                for k, (size, other) in enumerate(zip(n.to_pylist(), m.to_pylist()))
+                if linked(size, np.frombuffer(a[k].as_buffer(), np.uint64), other, np.frombuffer(b[k].as_buffer(), np.uint64), percent)
+            ]
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["x", "y"])
 
-    return cut(rows.mapInArrow(check, f"x {kind}, y {kind}"))
+    return cut(pairs.join(one, "a").join(two, "b").mapInArrow(check, "x long, y long"))
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    """A checkpointed table of ids, marked for broadcast if it has few rows; else joined by a shuffle."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def flat(to: DataFrame) -> DataFrame:
+    """x, root (root below x): every root replaced by the last one of its chain, by doubling."""
+    while True:
+        above = to.select(F.col("x").alias("root"), F.col("root").alias("above"))
+        if to.join(above, "root", "left_semi").isEmpty():
+            return to
+        to = cut(to.join(above, "root", "left").select("x", F.coalesce("above", "root").alias("root")))
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (x, root; checkpointed) after the links x, y have joined components; roots are the least ids.
+    """``labels`` (x, root; checkpointed) after the links x, y have joined components; roots are the least vertices.
 
     Each turn every root moves to the least root that it is linked to, and the links move
-    along; those within a component fall away.  The moves are applied to the labels at the end.
+    along; those within a component fall away.
     """
 
     def moved(edges: DataFrame, to: DataFrame) -> DataFrame:
@@ -319,67 +437,80 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         x, y = F.coalesce("rx", "x"), F.coalesce("ry", "y")
         return at.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x < y").distinct()
 
-    known = sized(labels)
-    edges = cut(moved(links, known))
+    edges = cut(moved(links, labels))
     if edges.isEmpty():
         return labels
     ends = edges.select("x").unionByName(edges.select(F.col("y").alias("x"))).distinct()
-    labels = labels.unionByName(ends.join(known.select("x"), "x", "left_anti").withColumn("root", F.col("x")))
+    labels = labels.unionByName(ends.join(labels.select("x"), "x", "left_anti").withColumn("root", F.col("x")))
     while not edges.isEmpty():
-        to = sized(cut(edges.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("root"))))
+        to = flat(cut(edges.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("root"))))
         labels = labels.join(to.select(F.col("x").alias("root"), F.col("root").alias("above")), "root", "left").select("x", F.coalesce("above", "root").alias("root"))
         edges = cut(moved(edges, to))
     return cut(labels)
 
 
+def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries, with their roots, of the buckets that hold two components or more."""
+    here = entries.join(labels.withColumnRenamed("x", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    several = here.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    return cut(here.join(cut(several), "h", "left_semi"))
+
+
+def components(entries: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """x, root for every vertex that has a link; the root is the component's least vertex."""
+    hubs = cut(heaviest(entries).where("size > 1"))
+    led = entries.join(as_pivot(hubs.select("h", "best.*")), "h").where(F.col("v") != F.col("p_v"))
+    known = cut(pairs_of(led.where(may_link(percent=percent))))
+    links = verified(known, whole, percent)
+    labels = joined(cut(links.sparkSession.createDataFrame([], "x long, root long")), links)
+    rest = unsettled(entries.join(hubs.select("h"), "h", "left_semi"), labels)
+    pivots = hubs.select("h", F.col("best.v").alias("v"))
+    while not rest.isEmpty():
+        at = labels.select(F.col("x").alias("v"), "root")
+        roots = pivots.join(at, "v", "left").select("h", F.coalesce("root", "v").alias("root")).distinct()
+        next_ = cut(heaviest(rest.join(roots, ["h", "root"], "left_anti"), "root").select("h", "best.*"))
+        led = rest.join(as_pivot(next_, "root"), "h").where(F.col("root") != F.col("p_root")).where(may_link(percent=percent))
+        pairs = cut(pairs_of(led).join(known, ["a", "b"], "left_anti"))
+        known = known.unionByName(pairs)
+        links = verified(pairs, whole, percent)
+        labels = joined(labels, links)
+        rest = unsettled(rest.drop("root"), labels)
+        pivots = pivots.unionByName(next_.select("h", "v"))
+        if links.count() * 10 < pairs.count() or pairs.isEmpty():
+            break
+    if rest.isEmpty():
+        return labels
+    # What is left: all pairs of different components, but for those inside the largest of the bucket.
+    sizes = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = cut(sizes.groupBy("h").agg(F.max(F.struct("size", "root")).alias("m")).select("h", F.col("m.root").alias("main")))
+    marked = cut(rest.join(largest, "h"))
+    minor = as_pivot(marked.where("root != main"), "root")
+    once = (F.col("root") == F.col("main")) | (F.col("v") < F.col("p_v"))
+    led = marked.join(minor, "h").where((F.col("root") != F.col("p_root")) & once & may_link(percent=percent))
+    return joined(labels, verified(cut(pairs_of(led).join(known, ["a", "b"], "left_anti")), whole, percent))
+
+
 def ngram_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the least id of its component)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = stored(sets_and_counts(rows))
-    sets = first.where("cell IS NULL").select("id", "n", "v")
-    entries = stored(buckets(prefixes(rows, levels(first), percent)))
-    named = first.where("v IS NOT NULL AND id IS NOT NULL")
-    names = stored(named.groupBy("v").agg(F.min(F.struct("id", "signature")).alias("m")).select("v", F.col("m.id").alias("rep"), F.col("m.signature").alias("signature")))
-
-    labels = cut(docs.sparkSession.createDataFrame([], f"x {dict(rows.dtypes)['id']}, root {dict(rows.dtypes)['id']}"))
-    n, place = F.col("n"), F.col("place")
-    led = entries.join(hubs(entries), "h").where(F.col("v") != F.col("pv"))
-    pairs = led.where(may_link(n, place, F.col("pn"), F.col("pplace"), percent))
-    pairs = cut(pairs.select(F.least("pv", "v").alias("a"), F.greatest("pv", "v").alias("b")).distinct())
-    labels = joined(labels, verified(pairs, names, rows, percent))
-    open_ = led.select("h", "v", "n", "place")
-    known, pivots = pairs, 4
-    while True:
-        open_ = cut(unsettled(open_, names.select("v", "rep"), labels))
-        if open_.isEmpty():
-            break
-        w = Window.partitionBy("h").orderBy("size", "n", "v")
-        ranked = open_.withColumn("turn", F.row_number().over(w))
-        lead = ranked.where(F.col("turn") <= pivots).select("h", *(F.col(c).alias(f"p_{c}") for c in ("v", "n", "place", "root", "turn")))
-        # Any two pivots are paired once, and every pivot with all who are none.
-        near = ranked.join(lead, "h").where((F.col("turn") > F.col("p_turn")) & (F.col("root") != F.col("p_root")))
-        near = near.where(may_link(n, place, F.col("p_n"), F.col("p_place"), percent))
-        fresh = near.select(F.least("v", "p_v").alias("a"), F.greatest("v", "p_v").alias("b")).distinct()
-        fresh = cut(fresh.join(known, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            labels = joined(labels, verified(fresh, names, rows, percent))
-        known = known.unionByName(fresh)
-        open_ = ranked.where(F.col("turn") > pivots).select("h", "v", "n", "place")
-        pivots *= 4
-
-    roots = cut(names.select("v", "rep").join(sized(labels).withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root")))
-    return sets.join(roots, "v", "left").select(
+    session = docs.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * rows.rdd.getNumPartitions())
+    found = stored(counted(in_chunks(rows, parts), parts))
+    named = found.where(F.col("name").isNotNull())
+    vertices = stored(named.groupBy("name").agg(F.min("v").alias("v"), F.min("id").alias("rep"), F.first("n").alias("n")))
+    made = stored(entries_of(found, vertices, percent))
+    labels = components(made.where("h IS NOT NULL").drop("shared"), made.where("h IS NULL").select("v", "n", "shared"), percent)
+
+    at = vertices.join(labels.withColumnRenamed("x", "v"), "v")
+    least = at.groupBy("root").agg(F.min("rep").alias("least"))
+    linked_ = at.join(least, "root").select("v", "least")
+    whose = vertices.join(linked_.withColumn("linked", F.lit(True)), "v", "left")
+    whose = whose.select("name", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component"))
+    sets = found.where(F.col("kind") == DOC).select("id", "n", "name")
+    return sets.join(whose, "name", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("root")).alias("component_id"),
+        F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
-
-
-def unsettled(entries: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entries of buckets that hold two components or more, with their root and its size in the bucket."""
-    own = reps.join(sized(labels).withColumnRenamed("x", "rep"), "rep", "left").select("v", F.coalesce("root", "rep").alias("root"))
-    here = entries.join(own, "v")
-    several = here.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
-    return here.join(several, "h", "left_semi").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h", "root")))

@@ -73,8 +73,6 @@ class Words:
         return self._encode(part) if part else b""
 
     def encode(self, text: str | None) -> bytes:
-        self.parts.trim()
-        self.words.trim()
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 

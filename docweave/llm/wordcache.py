@@ -2,8 +2,8 @@
 
 Texts are sequences of pieces that repeat, so a worker makes each result once and
 then looks it up.  Two generations bound the memory: when the young one is full it
-becomes the old one, and pieces still in use move back.  The result never depends on
-what is remembered.
+becomes the old one, within a text as well as between texts, and pieces still in use
+move back.  The result never depends on what is remembered.
 """
 
 from __future__ import annotations
@@ -21,11 +21,8 @@ class Remembered(dict):
         if found is None:
             found = self.make(piece)
         if len(piece) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
             self[piece] = found
         return found
-
-    def trim(self) -> None:
-        """Call between texts."""
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()

@@ -75,29 +75,89 @@ def test_cases(spark):
     assert run(spark, []) == []
 
 
-def test_salted_parts(spark, monkeypatch):
+def test_small_chunks(spark, monkeypatch):
     rows = texts(5, 150)
-    monkeypatch.setattr(nj, "levels", lambda first: np.full(1 << nj.CELL_BITS, 16, np.uint8))  # every shingle counts as frequent
+    for name, value in (("CHUNK", 300), ("SETS", 7), ("LISTED", 1)):
+        monkeypatch.setattr(nj, name, value)
     assert run(spark, rows) == brute(rows)
 
 
-def test_filters_keep_every_link():
-    pick = random.Random(8)
+def test_many_components_in_a_bucket(spark):
+    """Families of near copies that share their rarest passage; chains, whose ends aren't alike."""
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(5))
+    common, rows = " ".join(word() for _ in range(60)), []
+    for family in range(6):
+        own = [word() for _ in range(pick.randint(40, 90))]
+        for _ in range(12):
+            kept = list(own)
+            kept[pick.randrange(len(kept))] = word()
+            rows.append((len(rows) + 1, common + " " + " ".join(kept), "x", 0))
+    chain = [word() for _ in range(80)]
+    for step in range(25):
+        chain[(3 * step) % 80] = word()
+        rows.append((len(rows) + 1, " ".join(chain), "x", 0))
+    assert run(spark, rows) == brute(rows)
+
+
+def sets(seed, size=60):
+    pick = random.Random(seed)
     for _ in range(300):
-        a = set(pick.sample(range(60), pick.randint(1, 40)))
+        a = set(pick.sample(range(size), pick.randint(1, 40)))
         b = set(a)
         for _ in range(pick.randint(0, 8)):
-            b.symmetric_difference_update({pick.randrange(60)})
-        x, y = (np.sort(np.array(sorted(s), np.uint64) * np.uint64(0x0432_1234_5678_9ABC)) for s in (a, b))
-        want = bool(b) and 100 * len(a & b) >= 80 * len(a | b)
-        assert nj.linked(x, y) == want
-        assert not want or nj.may_overlap(nj.signature(x), nj.signature(y))
+            b.symmetric_difference_update({pick.randrange(size)})
+        yield a, b
 
 
-def test_signature_of_long_sets():
-    pick = np.random.default_rng(3)
-    a = np.unique(pick.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
-    b = np.unique(np.concatenate([a[: 4600], pick.integers(0, 1 << 63, 300, dtype=np.uint64)]))
-    assert nj.linked(a, b) and nj.may_overlap(nj.signature(a), nj.signature(b))
-    assert not nj.may_overlap(nj.signature(a), nj.signature(pick.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)))
-    assert not nj.may_overlap(nj.signature(a[:300]), nj.signature(a))
+def test_check_of_pairs():
+    for a, b in sets(8):
+        x, y = (np.sort(np.array(sorted(s), np.uint64) * np.uint64(0x0432_1234_5678_9ABC)) for s in (a, b))
+        want = bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+        assert nj.linked(len(x), x, len(y), y) == want
+
+
+def test_filters_keep_every_link(spark):
+    """Entries of made-up sets, as may_link sees them: a pair that links passes at every shingle that both have."""
+    rows, wants = [], []
+    for a, b in sets(9):
+        alone = {0: a - b, 1: b - a}
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        row = []
+        for k, own in enumerate((a, b)):
+            order = sorted(own, key=lambda x: (x not in alone[k], x))
+            bits = [0, 0, 0, 0]
+            for x in own - alone[k]:
+                bits[x % 256 // 64] ^= 1 << x % 64
+            row.append((order, len(alone[k]), [v - (1 << 64) if v >> 63 else v for v in bits]))
+        for x in a & b:
+            (p, u, s), (q, w, t) = row
+            rows.append((len(p), u, p.index(x), *s, len(q), w, q.index(x), *t))
+    names = ["n", "alone", "place", *nj.SIGNS]
+    got = spark.createDataFrame(rows, [*names, *(f"p_{c}" for c in names)])
+    assert len(rows) > 500 and got.where(~nj.may_link()).count() == 0
+
+
+def test_digests_of_words():
+    """White space and case as the contract has them; long words and many texts at once give what each alone does."""
+    import pyarrow as pa
+
+    many = ["A b\tC\x0bd e f", None, "", " ", "É x", "é x", "w" * 5000 + " v", "W" * 5000 + " V", "a b", "b a", "a\u00a0b c d e f g", "ab" * 40 + " c"]
+    flat, sizes = nj.shingle_sets(pa.array(many, pa.string()))
+    ends = np.cumsum(sizes)
+    for k, text in enumerate(many):
+        assert np.array_equal(nj.shingle_set(text), flat[ends[k] - sizes[k] : ends[k]])
+    of = lambda t: nj.shingle_set(t).tolist()
+    assert of("A b\tC\x0bd e f") == of("a B c d E  F") and len(of("a b c d e f")) == 2
+    assert of("É x") != of("é x") and of(many[6]) == of(many[7]) and of("a b") != of("b a")
+    assert len(of("a b a b a b a b a b a b")) == 2 and of(" ".join("abc" * 3)) != of("".join("abc" * 3))
+
+
+def test_long_words_and_texts():
+    import time
+
+    began = time.time()
+    assert len(nj.shingle_set("x" * 5_000_000 + " y z")) == 1
+    assert len(nj.shingle_set("q " + " ".join(str(k) for k in range(1_000_000)))) == 999_997
+    assert time.time() - began < 10

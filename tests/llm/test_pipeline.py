@@ -17,8 +17,7 @@ def test_stages_against_brute_force(spark):
     for i in sorted(left):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
     left = {i: left[i] for i in first.values()}
-    made = ngram_join.Shingles()
-    sets = {i: frozenset(made.of(t).tolist()) for i, t in left.items()}
+    sets = {i: frozenset(ngram_join.shingle_set(t).tolist()) for i, t in left.items()}
     by, parent = {}, {i: i for i in sets}
     for i, s in sets.items():
         for h in s:
