@@ -11,29 +11,51 @@ from pyspark.sql import functions as F
 # Characters that a normal form drops, turns to a space, or folds.
 DIACRITICS = r"[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 ZERO_WIDTH = r"[‌‍⁠﻿]"
-CANDIDATE = r"@?[\p{L}\p{N}]+(?:[._/+:-][\p{L}\p{N}]+)*"
+# A term; possessive, as nothing after a part may give it back (Java matches other repeated groups by recursion).
+CANDIDATE = r"@?[\p{L}\p{N}]++(?:[._/+:-][\p{L}\p{N}]++)*+"
 SEPARATORS = "[._/+:-]+"
+# Fixed value: what counts as white space at the ends of a text.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def strip(text: Column) -> Column:
+    """Without the white space of any kind at its ends (Spark's own ``trim`` takes U+0020 only)."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def strip_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def squeeze(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return strip(F.regexp_replace(text, f"[{WHITE}]+", " "))
+
+
+# Characters that composition leaves as they are, whatever stands beside them: ASCII, the letters of most
+# European languages and of Arabic script, dashes and quotation marks.
+STABLE = "\\x00-\\x7F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏء-ي٠-٩ٱ-ٴٹ-ۓ–—‘-„•"
 
 
 def nfkc(text: Column) -> Column:
     """Unicode's compatibility composition, which Spark has no function for.
 
-    Where a caller knows that texts are composed already, the operators take
-    ``composed=True`` and stay inside the JVM.
+    Only texts with a character that it could change go through Python.  Where a caller knows
+    that texts are composed already, the operators take ``composed=True``.
     """
 
     @F.arrow_udf("string")
     def composed(texts: pa.Array) -> pa.Array:
-        out = [t.as_py() for t in texts]
-        return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in out], pa.string())
+        return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
-    return composed(text)
+    return F.coalesce(composed(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
 
 
 def canonicalize(text: Column, composed: bool = False) -> Column:
     lowered = F.lower(text if composed else nfkc(text))
     spaced = F.regexp_replace(F.regexp_replace(lowered, DIACRITICS, ""), ZERO_WIDTH, " ")
-    return F.translate(spaced, "ىيك", "ییک")
+    # most texts hold none of the characters that are folded, and one search tells
+    return F.when(lowered.rlike(f"{DIACRITICS}|{ZERO_WIDTH}|[ىيك]"), F.translate(spaced, "ىيك", "ییک")).otherwise(lowered)
 
 
 def normalize_text(text: Column, composed: bool = False) -> Column:
@@ -91,6 +113,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+# Letters of the two directions.
 RTL, LATIN = r"[\p{IsArabic}\p{IsHebrew}]", r"\p{IsLatin}"
 
 
@@ -102,20 +125,21 @@ def text_direction(text: Column) -> Column:
 
 
 def is_persian(question: Column, preferred: Column) -> Column:
-    wish = F.lower(F.trim(F.coalesce(preferred, F.lit(""))))
+    wish = F.lower(strip(F.coalesce(preferred, F.lit(""))))
     return F.when(wish != "", (wish == "fa") | wish.startswith("fa-") | (wish == "persian")).otherwise(
         F.coalesce(question.rlike("[؀-ۿ]"), F.lit(False))
     )
 
 
 # Fixed value: links, drive paths, absolute paths and addresses inside prose.
-TECHNICAL = r"https?://[^\s<>()]+|www\.[^\s<>()]+|[a-zA-Z]:\\[^\s]+|(?:/[\w.@~:+-]+){1,}|\b\d{1,3}(?:\.\d{1,3}){3}\b"
+TECHNICAL = r"https?://[^\s<>()]+|www\.[^\s<>()]+|[a-zA-Z]:\\[^\s]+|(?:/[\w.@~:+-]++)++|\b\d{1,3}(?:\.\d{1,3}){3}\b"
 
 
 def technical_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TECHNICAL), 0)
 
 
+# Fixed value: a fenced block with its language.
 FENCE = r"```([^\n]*)\n([\s\S]*?)```"
 
 
@@ -127,7 +151,7 @@ def fenced_code(text: Column) -> Column:
     return F.transform(
         zipped,
         lambda x: F.struct(
-            F.when(F.trim(x["lang"]) == "", "text").otherwise(F.trim(x["lang"])).alias("lang"),
+            F.when(strip(x["lang"]) == "", "text").otherwise(strip(x["lang"])).alias("lang"),
             F.regexp_replace(x["code"], r"\n$", "").alias("code"),
         ),
     )

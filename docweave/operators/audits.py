@@ -42,6 +42,23 @@ def citation_audit(answers: DataFrame, found: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+def holding(texts: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id and chunk_id of every text that holds the whole text of a question.
+
+    They meet on the question's longest inner word, which is a whole word of any text that holds it;
+    a question of fewer than three words has none and is looked for in every text.
+    """
+    words = F.split("text", r"[\s]+")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = questions.where("text != ''").select("question_id", F.col("text").alias("asked"), key.alias("word"))
+    there = texts.select("chunk_id", F.explode(F.array_distinct(words)).alias("word"))
+    met = there.join(asked.where("word IS NOT NULL").select("question_id", "word"), "word").select("chunk_id", "question_id")
+    long = met.join(texts, "chunk_id").join(asked, "question_id").where(F.contains("text", F.col("asked")))
+    short = texts.join(asked.where("word IS NULL"), F.contains("text", F.col("asked")))
+    return long.select("question_id", "chunk_id").unionByName(short.select("question_id", "chunk_id")).distinct()
+
+
 def retrieval_quality(matches: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """One row: questions with a truth, hits at 1 and at k, and the mean reciprocal rank."""
     hit = matches.join(truth, ["question_id", "chunk_id"]).groupBy("question_id").agg(F.min("rank").alias("rank"))

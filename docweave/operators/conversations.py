@@ -10,15 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docweave.functions.text import WHITE, squeeze, strip
+
 MESSAGE, RECENT, RECENT_MESSAGES, RECENT_TOTAL, BODY = 8000, 2000, 6, 6000, 16_384
 OPAQUE = "^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 CONTEXT = {"framework": (1, 80), "runtime": (1, 80), "service": (1, 80), "projectDescription": (1, 1200), "preferredLanguage": (2, 35)}
 ENUMS = {"experienceLevel": ["beginner", "intermediate", "advanced"], "answerDepth": ["concise", "balanced", "detailed"]}
-REQUEST = (
-    "version string, conversationId string, clientRequestId string, message string, recentContext array<struct<role:string,content:string>>, userContext struct<"
-    + ",".join(f"{c}:string" for c in [*CONTEXT, *ENUMS])
-    + ">"
-)
+CONTEXT_TYPE = "struct<" + ",".join(f"{c}:string" for c in [*CONTEXT, *ENUMS]) + ">"
+REQUEST = f"version string, conversationId string, clientRequestId string, message string, recentContext array<struct<role:string,content:string>>, userContext {CONTEXT_TYPE}"
 
 
 def unknown_keys(json: Column, known: list[str]) -> Column:
@@ -27,33 +26,65 @@ def unknown_keys(json: Column, known: list[str]) -> Column:
     return F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, F.lit(False))
 
 
+def json_type(value: Column, path: str) -> Column:
+    """The type that a variant has at a path: STRING, BIGINT, OBJECT<...>, VOID for null; null where it has none."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def not_of(kind: Column, name: str) -> Column:
+    """A value that may be missing, but must have this type where it is there."""
+    return F.coalesce(~kind.startswith(name), F.lit(False))
+
+
+def outside(text: Column, least: int, most: int) -> Column:
+    size = F.length(strip(text))
+    return (size < least) | (size > most)
+
+
+def bad_user_context(value: Column, json: Column, context: Column) -> Column:
+    """Whether ``$.userContext`` breaks a rule: no object, other keys, other types, lengths or values."""
+    bad = not_of(json_type(value, "$.userContext"), "OBJECT")
+    for name in [*CONTEXT, *ENUMS]:
+        bad = bad | not_of(json_type(value, f"$.userContext.{name}"), "STRING")
+    for name, (least, most) in CONTEXT.items():
+        bad = bad | F.coalesce(outside(context[name], least, most), F.lit(False))
+    for name, allowed in ENUMS.items():
+        bad = bad | F.coalesce(~context[name].isin(*allowed), F.lit(False))
+    return bad
+
+
 def validate_requests(raw: DataFrame, version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Valid requests (request_id and parsed columns), and request_id with codes of the others."""
+    """Valid requests (request_id and parsed columns, texts stripped), and request_id with codes of the others.
+
+    Types are strict: a number is no text.  An object that names a key twice is no JSON.
+    """
     fields = ["version", "conversationId", "clientRequestId", "message", "recentContext", "userContext"]
-    rows = raw.withColumn("r", F.from_json("body", REQUEST, {"mode": "PERMISSIVE"}))
-    recent, context = F.col("r.recentContext"), F.col("r.userContext")
-    long = lambda c, lo, hi: (F.length(F.trim(c)) < lo) | (F.length(F.trim(c)) > hi)
+    rows = raw.withColumn("r", F.from_json("body", REQUEST, {"mode": "PERMISSIVE"})).withColumn("v", F.try_parse_json("body"))
+    recent, v = F.col("r.recentContext"), F.col("v")
+    kind = lambda name: json_type(v, f"$.{name}")
+    opaque = lambda name: not_of(kind(name), "STRING") | ~F.col(f"r.{name}").rlike(OPAQUE)
+    messages = F.transform(F.try_variant_get(v, "$.recentContext", "array<variant>"), lambda m: F.schema_of_variant(m))
     rules = {
         "body_too_large": F.octet_length("body") > BODY,
-        "not_json": F.json_object_keys("body").isNull(),
+        "not_json": F.json_object_keys("body").isNull() | v.isNull(),
         "unknown_field": unknown_keys(F.col("body"), fields) | unknown_keys(F.get_json_object("body", "$.userContext"), [*CONTEXT, *ENUMS]),
-        "bad_version": F.coalesce(F.col("r.version") != version, F.lit(True)),
-        "bad_conversation_id": ~F.col("r.conversationId").rlike(OPAQUE),
-        "bad_client_request_id": ~F.col("r.clientRequestId").rlike(OPAQUE),
-        "bad_message": F.coalesce(long(F.col("r.message"), 1, MESSAGE), F.lit(True)),
-        "bad_recent": (F.size(recent) > RECENT_MESSAGES)
-        | F.exists(recent, lambda m: F.coalesce(~m["role"].isin("user", "assistant") | long(m["content"], 1, RECENT), F.lit(True)))
-        | (F.aggregate(recent, F.lit(0), lambda s, m: s + F.length(F.trim(F.coalesce(m["content"], F.lit(""))))) > RECENT_TOTAL),
+        "bad_version": F.coalesce((F.col("r.version") != version) | (kind("version") != "STRING"), F.lit(True)),
+        "bad_conversation_id": opaque("conversationId"),
+        "bad_client_request_id": opaque("clientRequestId"),
+        "bad_message": F.coalesce(outside(F.col("r.message"), 1, MESSAGE) | (kind("message") != "STRING"), F.lit(True)),
+        "bad_recent": not_of(kind("recentContext"), "ARRAY")
+        | F.coalesce(F.exists(messages, lambda k: k != "OBJECT<content: STRING, role: STRING>"), F.lit(False))
+        | F.coalesce(F.size(recent) > RECENT_MESSAGES, F.lit(False))
+        | F.coalesce(F.exists(recent, lambda m: F.coalesce(~m["role"].isin("user", "assistant") | outside(m["content"], 1, RECENT), F.lit(True))), F.lit(False))
+        | (F.aggregate(recent, F.lit(0), lambda s, m: s + F.length(strip(F.coalesce(m["content"], F.lit(""))))) > RECENT_TOTAL),
+        "bad_user_context": bad_user_context(v, F.col("body"), F.col("r.userContext")),
     }
-    bad = F.lit(False)
-    for name, (lo, hi) in CONTEXT.items():
-        bad = bad | F.coalesce(long(context[name], lo, hi), F.lit(False))
-    for name, allowed in ENUMS.items():
-        bad = bad | F.coalesce(~context[name].isin(*allowed), F.lit(False))
-    rules["bad_user_context"] = bad
     codes = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items())))
     marked = rows.withColumn("codes", codes)
-    return marked.where("size(codes) = 0").select("request_id", "r.*"), marked.where("size(codes) > 0").select("request_id", "codes")
+    told = {"message": strip(F.col("r.message")), "recentContext": F.transform(recent, lambda m: m.withField("content", strip(m["content"])))}
+    context = F.when(F.col("r.userContext").isNotNull(), F.struct(*(strip(F.col(f"r.userContext.{c}")).alias(c) for c in [*CONTEXT, *ENUMS])))
+    good = marked.where("size(codes) = 0").select("request_id", *(told.get(c, F.col(f"r.{c}")).alias(c) for c in fields[:-1]), context.alias("userContext"))
+    return good, marked.where("size(codes) > 0").select("request_id", "codes")
 
 
 def recent_context(turns: DataFrame) -> DataFrame:
@@ -62,7 +93,7 @@ def recent_context(turns: DataFrame) -> DataFrame:
     Of its last six messages (each cut to 2000 characters) the newest come first into 6000
     characters, and one that does not fit is skipped.
     """
-    said = F.trim(F.coalesce("text", F.lit("")))
+    said = strip(F.coalesce("text", F.lit("")))
     texts = turns.withColumn("content", F.substring(F.when(F.col("role") == "assistant", said).otherwise(F.coalesce("text", F.lit(""))), 1, RECENT))
     texts = texts.where("role = 'user' OR content != ''")
     last = texts.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("back") <= RECENT_MESSAGES)
@@ -105,24 +136,31 @@ def entry_state(entries: DataFrame) -> DataFrame:
     return entries.select("entry_id", F.coalesce("stream_text", "local_text").alias("text"), F.coalesce("stream_error", "local_error").alias("error"), end.alias("state"))
 
 
-PREFERENCES = "mode string, reduceMotion boolean, userContext struct<" + ",".join(f"{c}:string" for c in [*CONTEXT, *ENUMS]) + ">"
+# Names and modes of the stored preferences.
+CONNECTION_MODES = ("preview", "live")
+PREFERENCES = f"userContext {CONTEXT_TYPE}, connectionMode string, sendOnEnter boolean"
 
 
-def read_preferences(rows: DataFrame, modes: tuple[str, ...] = ("ask", "troubleshoot", "learn")) -> tuple[DataFrame, DataFrame]:
-    """Stored preferences (id, json), and the ids whose text breaks a rule."""
-    p = rows.withColumn("p", F.from_json("json", PREFERENCES)).withColumn(
-        "_bad",
+def read_preferences(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored preferences (id, json), and the ids whose text breaks a rule; all three fields must be there."""
+    p = rows.withColumn("p", F.from_json("json", PREFERENCES)).withColumn("v", F.try_parse_json("json"))
+    kind = lambda name: F.coalesce(json_type(F.col("v"), f"$.{name}"), F.lit(""))
+    bad = (
         F.json_object_keys("json").isNull()
-        | unknown_keys(F.col("json"), ["mode", "reduceMotion", "userContext"])
+        | unknown_keys(F.col("json"), ["userContext", "connectionMode", "sendOnEnter"])
         | unknown_keys(F.get_json_object("json", "$.userContext"), [*CONTEXT, *ENUMS])
-        | F.coalesce(~F.col("p.mode").isin(*modes), F.lit(True))
-        | F.col("p.reduceMotion").isNull(),
+        | ~kind("userContext").startswith("OBJECT")
+        | bad_user_context(F.col("v"), F.col("json"), F.col("p.userContext"))
+        | (kind("connectionMode") != "STRING")
+        | F.coalesce(~F.col("p.connectionMode").isin(*CONNECTION_MODES), F.lit(True))
+        | (kind("sendOnEnter") != "BOOLEAN")
     )
+    p = p.withColumn("_bad", F.coalesce(bad, F.lit(True)))
     return p.where("NOT _bad").select("id", "p.*"), p.where("_bad").select("id")
 
 
 def conversation_title(prompt: Column) -> Column:
-    short = F.trim(F.regexp_replace(prompt, r"\s+", " "))
+    short = squeeze(prompt)
     return F.when(F.length(short) <= 48, short).otherwise(F.concat(F.rtrim(F.substring(short, 1, 47)), F.lit("…")))
 
 
@@ -133,7 +171,7 @@ def titles(turns: DataFrame) -> DataFrame:
 
 def search_conversations(conversations: DataFrame, query: str, which: str = "all") -> DataFrame:
     shown = {"archived": F.col("archived"), "pinned": F.col("pinned") & ~F.col("archived")}.get(which, ~F.col("archived"))
-    return conversations.where(shown & F.contains(F.lower("title"), F.lit(query.strip().lower())))
+    return conversations.where(shown & F.contains(F.lower("title"), F.lit(query.strip(WHITE).lower())))
 
 
 def group_conversations(conversations: DataFrame, now: Column) -> DataFrame:
@@ -147,7 +185,7 @@ def group_conversations(conversations: DataFrame, now: Column) -> DataFrame:
 def apply_history_events(events: DataFrame) -> DataFrame:
     """Conversations after a log of events (conv_id, at, event_id, type, text).
 
-    Prompts create and unarchive; a rename squeezes and cuts to 80 and is ignored when blank;
+    Prompts create and unarchive; transcripts (an answer was stored) set the time; a rename squeezes and cuts to 80 and is ignored when blank;
     toggles count from the last event that set the value; a deletion ends the conversation, and
     a later prompt begins it anew.
     """
@@ -157,12 +195,12 @@ def apply_history_events(events: DataFrame) -> DataFrame:
     rows = rows.where("_gone IS NULL OR _at > _gone")
     rows = rows.withColumn("_first", F.min(F.when(F.col("type") == "prompt", F.col("_at"))).over(by)).where("_first IS NOT NULL AND _at >= _first")
     rows = rows.withColumn("_prompt", F.max(F.when(F.col("type") == "prompt", F.col("_at"))).over(by))
-    name = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 80)
+    name = F.substring(squeeze(F.col("text")), 1, 80)
     renamed = F.max(F.when((F.col("type") == "rename") & (name != ""), F.struct("_at", name.alias("name")))).getField("name")
     first = F.min(F.when(F.col("type") == "prompt", F.struct("_at", "text"))).getField("text")
     return rows.groupBy("conv_id").agg(
         F.coalesce(renamed, conversation_title(first)).alias("title"),
-        F.max("_prompt").getField("at").alias("updated_at"),
+        F.max(F.when(F.col("type").isin("prompt", "transcript"), F.col("at"))).alias("updated_at"),
         (F.count_if(F.col("type") == "pin") % 2 == 1).alias("pinned"),
         (F.count_if((F.col("type") == "archive") & (F.col("_at") > F.col("_prompt"))) % 2 == 1).alias("archived"),
     )
@@ -170,6 +208,6 @@ def apply_history_events(events: DataFrame) -> DataFrame:
 
 def normalize_user_context(rows: DataFrame) -> DataFrame:
     """Blank fields removed; values outside a list removed."""
-    out = {c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in CONTEXT if c in rows.columns}
+    out = {c: F.nullif(strip(F.col(c)), F.lit("")) for c in CONTEXT if c in rows.columns}
     out |= {c: F.when(F.col(c).isin(*allowed), F.col(c)) for c, allowed in ENUMS.items() if c in rows.columns}
     return rows.withColumns(out)

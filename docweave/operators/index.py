@@ -6,7 +6,7 @@ heading_path (array), content, chunk_order, category, framework and service.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.text import normalize_text, tokens_of
@@ -40,29 +40,22 @@ def index_fields(chunks: DataFrame, composed: bool = False) -> DataFrame:
         filter_key(F.col("service"), composed).alias("service_key"),
         *(normalize_text(text[f], composed).alias(f"{f}_text") for f in FIELDS),
     )
-    return made.withColumn("body_len", F.size(tokens_of(F.col("body_text"))))
+    return made.withColumns({"body_len": F.size(tokens_of(F.col("body_text"))), "body_hash": F.sha2("body_text", 256)})
 
 
 def field_tokens(fields: DataFrame) -> DataFrame:
     """A row for each token of each field."""
     bits = F.array(*(F.struct(F.lit(k).alias("field"), tokens_of(F.col(f"{f}_text")).alias("tokens")) for k, f in enumerate(FIELDS)))
-    each = fields.select("chunk_id", "chunk_order", "category", "framework_key", "service_key", F.explode(bits).alias("f"))
-    return each.select("chunk_id", "chunk_order", "category", "framework_key", "service_key", F.col("f.field").alias("field"), F.explode("f.tokens").alias("token"))
+    each = fields.select("chunk_id", F.explode(bits).alias("f"))
+    return each.select("chunk_id", F.col("f.field").alias("field"), F.explode("f.tokens").alias("token"))
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    """Rows of token and chunk: how often in the body, and whether in each other field.
-
-    Summed on the map side first; the chunk's keys for filters come along.
-    """
+    """Rows of token and chunk: how often in the body, and whether in each other field; summed on the map side first."""
     field = F.col("field")
-    return (
-        field_tokens(fields)
-        .groupBy("token", "chunk_id", "chunk_order", "category", "framework_key", "service_key")
-        .agg(
-            F.count_if(field == 0).alias("tf_body"),
-            *(F.max(field == k).alias(f"in_{f}") for k, f in enumerate(FIELDS) if k),
-        )
+    return field_tokens(fields).groupBy("token", "chunk_id").agg(
+        F.count_if(field == 0).alias("tf_body"),
+        *(F.max(field == k).alias(f"in_{f}") for k, f in enumerate(FIELDS) if k),
     )
 
 
@@ -71,26 +64,31 @@ def document_frequency(found: DataFrame) -> DataFrame:
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def body_lengths(fields: DataFrame) -> DataFrame:
-    return fields.select("chunk_id", "body_len")
+def chunk_facts(fields: DataFrame) -> DataFrame:
+    """What scoring and filters ask about a chunk."""
+    return fields.select("chunk_id", "body_len", "chunk_order", "category", "framework_key", "service_key")
 
 
 def corpus_stats(fields: DataFrame) -> DataFrame:
     """One row: the number of chunks and the mean number of body tokens."""
-    return body_lengths(fields).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("body_len").alias("avg_body_len"))
+    return fields.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("body_len").alias("avg_body_len"))
 
 
 def idf(df: Column, n: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def write_index(fields: DataFrame, found: DataFrame, path: str, revision: str, buckets: int = 64) -> None:
-    """The index of a revision as Parquet, laid out by token so that readers prune by it."""
+def write_index(fields: DataFrame, path: str, revision: str, buckets: int | None = None) -> None:
+    """The index of a revision as Parquet: the fields, then the postings made from the written fields.
+
+    Postings lie together by token and sorted by it, so that readers of few tokens skip most of each file.
+    """
     fields.write.mode("overwrite").parquet(f"{path}/fields/revision={revision}")
-    found.repartitionByRange(buckets, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings/revision={revision}")
+    found = postings(fields.sparkSession.read.schema(fields.schema).parquet(f"{path}/fields/revision={revision}"))
+    dealt = found.repartition(buckets, "token") if buckets else found.repartition("token")
+    dealt.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings/revision={revision}")
 
 
-def read_index(spark, path: str, revision: str) -> tuple[DataFrame, DataFrame]:
+def read_index(spark: SparkSession, path: str, revision: str) -> tuple[DataFrame, DataFrame]:
+    """Fields and postings as they were written."""
     return tuple(spark.read.parquet(f"{path}/{part}/revision={revision}") for part in ("fields", "postings"))
-
-

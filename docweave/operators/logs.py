@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions import dims
+from docweave.functions.text import strip
+
+
+ENDS = ("completed", "failed", "cancelled")
 
 
 def rate_limit_replay(log: DataFrame, most: int = 20, window_ms: int = 60_000) -> DataFrame:
@@ -46,8 +50,8 @@ def rate_limit_replay(log: DataFrame, most: int = 20, window_ms: int = 60_000) -
 
 def rate_limit_key(real_ip: Column, forwarded: Column) -> Column:
     """Digest of the client's address, as far as headers tell it."""
-    first = F.nullif(F.trim(F.split_part(forwarded, F.lit(","), F.lit(1))), F.lit(""))
-    return F.sha2(F.substring(F.coalesce(F.nullif(F.trim(real_ip), F.lit("")), first, F.lit("unidentified-client")), 1, 128), 256)
+    first = F.nullif(strip(F.split_part(forwarded, F.lit(","), F.lit(1))), F.lit(""))
+    return F.sha2(F.substring(F.coalesce(F.nullif(strip(real_ip), F.lit("")), first, F.lit("unidentified-client")), 1, 128), 256)
 
 
 def retry_after_seconds(ms: Column) -> Column:
@@ -55,19 +59,30 @@ def retry_after_seconds(ms: Column) -> Column:
 
 
 def lifecycle(log: DataFrame) -> DataFrame:
-    """One row a request from its events (request_id, event, ts, outcome, error_code)."""
-    end = F.when(F.col("event") != "started", F.struct("ts", "event", "outcome", "error_code"))
-    rows = log.groupBy("request_id").agg(F.min(F.when(F.col("event") == "started", F.col("ts"))).alias("started_at"), F.min(end).alias("e"))
+    """One row a request from its events (request_id, event, ts, outcome, error_code).
+
+    Events are started, first_chunk, and the ends completed, failed and cancelled, of which the first counts.
+    """
+    end = F.when(F.col("event").isin(*ENDS), F.struct("ts", "event", "outcome", "error_code"))
+    at = lambda event: F.min(F.when(F.col("event") == event, F.col("ts")))
+    rows = log.groupBy("request_id").agg(at("started").alias("started_at"), at("first_chunk").alias("chunk_at"), F.min(end).alias("e"))
     return rows.where("started_at IS NOT NULL").select(
         "request_id", "started_at", F.col("e.event").alias("ended"), F.col("e.outcome").alias("outcome"), F.col("e.error_code").alias("error_code"),
-        (F.unix_millis("e.ts") - F.unix_millis("started_at")).alias("duration_ms"),
+        (F.unix_millis("e.ts") - F.unix_millis("started_at")).alias("duration_ms"), (F.unix_millis("chunk_at") - F.unix_millis("started_at")).alias("first_chunk_ms"),
     )
 
 
-def timeouts(log: DataFrame, limit_ms: int = 45_000) -> DataFrame:
-    """Requests that were started and did not end in time."""
+def timeouts(log: DataFrame, limit_ms: int = 45_000, first_chunk_ms: int | None = 15_000) -> DataFrame:
+    """Requests that were started and broke a limit, and which of the two.
+
+    ``first_chunk``: neither a first chunk nor an end came in ``first_chunk_ms`` (None: a log without
+    such events); else ``total``: no end came in ``limit_ms``.
+    """
+    sign = F.least("first_chunk_ms", "duration_ms")
+    waited = F.lit(False) if first_chunk_ms is None else sign.isNull() | (sign > first_chunk_ms)
     late = F.col("duration_ms").isNull() | (F.col("duration_ms") > limit_ms)
-    return lifecycle(log).where(late).select("request_id", "started_at", F.lit("TIMEOUT").alias("error_code"))
+    which = F.when(waited, "first_chunk").when(late, "total")
+    return lifecycle(log).withColumn("broke", which).where("broke IS NOT NULL").select("request_id", "started_at", F.lit("TIMEOUT").alias("error_code"), "broke")
 
 
 def classify_failures(failures: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.identity import document_id
+from docweave.functions.text import strip
 
 SEGMENT = "^(?i)[a-z0-9][a-z0-9._-]*$"
 
@@ -85,6 +86,6 @@ def with_allowlisted(rows: DataFrame, origins: DataFrame, url_col: str = "url")
 
 def safe_link(label: Column, url: Column) -> Column:
     """``label (target)`` where the target is relative, a fragment or http(s); else the label."""
-    target = F.trim(url)
+    target = strip(url)
     safe = target.rlike(r"^(/|\./|\.\./|#)") | target.rlike(r"^(?i)https?://[^/\s]")
     return F.when(F.coalesce(safe, F.lit(False)), F.concat(label, F.lit(" ("), target, F.lit(")"))).otherwise(label)

@@ -93,14 +93,14 @@ def asked(questions: DataFrame, composed: bool = False) -> DataFrame:
     )
 
 
-def candidates(weighed: DataFrame, found: DataFrame, lengths: DataFrame, wanted: DataFrame) -> DataFrame:
+def candidates(weighed: DataFrame, found: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Question and chunk for every chunk that shares a token, passes the filters, and its evidence.
 
     Terms meet postings on the token; Catalyst broadcasts the terms while they are small and
     splits hot tokens otherwise.  Contributions are summed in the order of the question.
     """
     near = weighed.join(found, "token").join(wanted.select("question_id", "q_category", "q_framework", "q_service"), "question_id")
-    near = near.where(passes_filters()).join(lengths, "chunk_id")
+    near = near.join(facts, "chunk_id").where(passes_filters())
     parts = [bm25(F.col("tf_body"), F.col("body_len"), F.col("avg_body_len"), F.col("idf"))]
     parts += [F.when(F.col(f"in_{f}"), F.col("idf") * F.lit(b)).otherwise(F.lit(0.0)) for f, b in FIELD_BOOST.items()]
     local = (F.col("tf_body") > 0) | F.col("in_heading") | ((F.col("chunk_order") == 0) & (F.col("in_title") | F.col("in_path")))
@@ -128,7 +128,7 @@ def scored(rows: DataFrame, wanted: DataFrame, tokens: DataFrame, fields: DataFr
     """Final scores: the coverage's part and the phrase bonus added; low scores left out."""
     several = tokens.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tokens"))
     near = rows.join(wanted.join(several, "question_id"), "question_id").join(
-        fields.select("chunk_id", "document_id", "section_id", "path", "title_text", "heading_text", "body_text"), "chunk_id"
+        fields.select("chunk_id", "document_id", "section_id", "path", "title_text", "heading_text", "body_text", "body_hash"), "chunk_id"
     )
     bonus = F.lit(0.0)
     for f in ("body", "heading", "title"):
@@ -139,12 +139,13 @@ def scored(rows: DataFrame, wanted: DataFrame, tokens: DataFrame, fields: DataFr
         .where(F.col("whole") >= LEAST_SCORE)
         .select(
             "question_id", "chunk_id", "document_id", "section_id", "path", "chunk_order", "limit", "matched_terms",
-            F.round("whole", 6).alias("score"), F.sha2("body_text", 256).alias("body_hash"), (F.col("body_text") == "").alias("body_empty"),
+            F.round("whole", 6).alias("score"), "body_hash", (F.col("body_text") == "").alias("body_empty"),
         )
     )
 
 
 def ranked(rows: DataFrame) -> DataFrame:
+    """Adds rank.  A caller that keeps ranks up to a number lets Spark cut each question's rows before the shuffle."""
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "path", "chunk_order", "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order))
 
@@ -155,7 +156,7 @@ def top_k(rows: DataFrame) -> DataFrame:
 
 def body_classes(fields: DataFrame) -> DataFrame:
     """One row for each distinct body: its hash, its distinct tokens and its length."""
-    own = fields.where("body_text != ''").select(F.sha2("body_text", 256).alias("body_hash"), "body_text").dropDuplicates(["body_hash"])
+    own = fields.where("body_text != ''").select("body_hash", "body_text").dropDuplicates(["body_hash"])
     return own.select("body_hash", F.length("body_text").alias("chars"), F.array_distinct(tokens_of(F.col("body_text"))).alias("tokens"))
 
 
@@ -164,18 +165,21 @@ def near_duplicate_classes(fields: DataFrame) -> DataFrame:
 
     Equal bodies are one class, so copies are never expanded into pairs.  Bodies meet on the
     first tokens of their sets, rare ones first; two sets that are near enough share one of them.
+    Pairs pass the filters of length and place before their sets are compared.
     """
-    own = body_classes(fields).where(F.size("tokens") >= NEAR_TOKENS)
+    own = stored(body_classes(fields).where(F.size("tokens") >= NEAR_TOKENS))
     each = own.select("body_hash", "chars", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # Only rows of a token that several bodies have can meet; the place counts all of them.
     w = Window.partitionBy("body_hash").orderBy("df", "token")
     placed = each.join(df, "token").withColumn("place", F.row_number().over(w))
-    lead = placed.where((F.col("place") <= F.floor(F.col("n") * (1 - NEAR_JACCARD) + 1e-9) + 1) & (F.col("df") > 1)).select("token", "body_hash", "chars", "n")
-    other = lead.select("token", *(F.col(c).alias(f"b_{c}") for c in ("body_hash", "chars", "n")))
+    lead = cut(placed.where((F.col("place") <= F.floor(F.col("n") * (1 - NEAR_JACCARD) + 1e-9) + 1) & (F.col("df") > 1)).select("token", "body_hash", "chars", "n", "place"))
+    other = lead.select("token", *(F.col(c).alias(f"b_{c}") for c in ("body_hash", "chars", "n", "place")))
     near = lead.join(other, "token").where(F.col("body_hash") < F.col("b_body_hash"))
     ratio = lambda a, b, least: F.least(a, b) >= F.greatest(a, b) * least
+    most = F.least("place", "b_place") + F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place"))
     near = near.where(ratio(F.col("chars"), F.col("b_chars"), NEAR_LENGTH) & ratio(F.col("n"), F.col("b_n"), NEAR_JACCARD))
+    near = near.where(most * (1 + NEAR_JACCARD) >= (F.col("n") + F.col("b_n")) * NEAR_JACCARD - 1e-9)
     pairs = near.select(F.col("body_hash").alias("a"), F.col("b_body_hash").alias("b")).distinct()
     sets = own.select("body_hash", "tokens")
     both = pairs.join(sets.select(F.col("body_hash").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("body_hash").alias("b"), F.col("tokens").alias("y")), "b")
@@ -183,40 +187,58 @@ def near_duplicate_classes(fields: DataFrame) -> DataFrame:
     return both.where(same / (F.size("x") + F.size("y") - same) >= NEAR_JACCARD).select("a", "b")
 
 
-def near_lists(pairs: DataFrame) -> DataFrame:
-    """For each body the bodies that are near it."""
+def near_lists(shown: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For the bodies shown to a question (question_id, body_hash; distinct) those near them that it is shown too."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy(F.col("a").alias("body_hash")).agg(F.collect_list("b").alias("near"))
+    mine = shown.select("question_id", F.col("body_hash").alias("a")).join(both, "a")
+    there = mine.join(shown.select("question_id", F.col("body_hash").alias("b")), ["question_id", "b"])
+    return there.groupBy("question_id", F.col("a").alias("body_hash")).agg(F.collect_list("b").alias("near"))
 
 
-def suppress_duplicates(rows: DataFrame, near: DataFrame, first: int = 100) -> DataFrame:
-    """Walk each question's candidates in rank order and leave out what repeats a kept one.
+ITEM = ["rank", "chunk_id", "document_id", "section_id", "body_hash", "body_empty", "score", "matched_terms", "path", "chunk_order"]
 
-    Only the first ``first`` candidates are walked; a question that has more and is not
-    full yet is walked again over all of them.  Distinct sections of one document never
-    repeat each other.
+
+def suppress_duplicates(rows: DataFrame, fields: DataFrame, first: int = 100) -> DataFrame:
+    """Walk each question's scored candidates in rank order and leave out what repeats a kept one.
+
+    Ranks are walked in stretches, the first of ``first`` ranks and each next one four times as
+    far; only questions that are neither full nor at their end go on, with the kept candidates (20
+    at most) as their state.  So no step holds more of a question than a stretch.  Distinct
+    sections of one document never repeat each other.
     """
-    known = rows.join(near, "body_hash", "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
-    item = F.struct("rank", "chunk_id", "document_id", "section_id", "body_hash", "body_empty", "near", "score", "matched_terms", "path", "chunk_order")
-    none = "array<struct<rank:int,chunk_id:{0},document_id:{1},section_id:{2},body_hash:string,body_empty:boolean,near:array<string>,score:double,matched_terms:array<string>,path:string,chunk_order:{3}>>"
-    kinds = dict(rows.dtypes)
-    empty = F.array().cast(none.format(kinds["chunk_id"], kinds["document_id"], kinds["section_id"], kinds["chunk_order"]))
+    kinds = dict(rows.dtypes) | {"rank": "int"}
+    item = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in ITEM) + ">"
 
-    def repeats(kept: Column, c: Column) -> Column:
+    def repeats(kept: Column, c: Column, near: Column) -> Column:
         other_section = (kept["document_id"] == c["document_id"]) & ~kept["section_id"].eqNullSafe(c["section_id"]) & kept["section_id"].isNotNull() & c["section_id"].isNotNull()
-        return ~other_section & ((~c["body_empty"] & (kept["body_hash"] == c["body_hash"])) | F.array_contains(c["near"], kept["body_hash"]))
-
-    def walk(some: DataFrame) -> DataFrame:
-        listed = some.groupBy("question_id", "limit").agg(F.sort_array(F.collect_list(item)).alias("c"), F.max("total").alias("total"))
-        step = lambda kept, c: F.when((F.size(kept) < F.col("limit")) & ~F.exists(kept, lambda k: repeats(k, c)), F.concat(kept, F.array(c))).otherwise(kept)
-        return listed.select("question_id", "limit", "total", F.aggregate("c", empty, step).alias("kept"))
-
-    # Both are read more than once below.
-    counted = cut(known.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("question_id"))))
-    short = cut(walk(counted.where(F.col("rank") <= first)))
-    full = (F.size("kept") >= F.col("limit")) | (F.col("total") <= first)
-    again = walk(counted.join(short.where(~full).select("question_id"), "question_id", "left_semi"))
-    each = short.where(full).unionByName(again).select("question_id", F.posexplode("kept").alias("at", "m"))
+        return ~other_section & ((~c["body_empty"] & (kept["body_hash"] == c["body_hash"])) | F.array_contains(near, kept["body_hash"]))
+
+    totals = rows.groupBy("question_id", "limit").agg(F.count(F.lit(1)).alias("total"))
+    open_ = cut(totals.withColumn("kept", F.array().cast(f"array<{item}>")))
+    done, lo, hi = [], 0, first
+    while True:
+        here = cut(ranked(rows.join(open_.select("question_id"), "question_id", "left_semi")).where(F.col("rank") <= hi).where(F.col("rank") > lo))
+        held = open_.select("question_id", F.explode("kept").alias("k")).select("question_id", "k.body_hash", "k.chunk_id", "k.body_empty")
+        shown = here.select("question_id", "body_hash", "chunk_id", "body_empty").unionByName(held).where("NOT body_empty")
+        # one chunk stands for each body that some question is shown here
+        bodies = shown.groupBy("body_hash").agg(F.min("chunk_id").alias("chunk_id"))
+        pairs = near_duplicate_classes(fields.join(bodies.select("chunk_id"), "chunk_id", "left_semi"))
+        near = near_lists(shown.select("question_id", "body_hash").distinct(), pairs)
+        known = here.join(near, ["question_id", "body_hash"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
+        listed = known.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "near"))).alias("c"))
+        bare = lambda c: F.struct(*(c[f].alias(f) for f in ITEM))
+        step = lambda kept, c: F.when((F.size(kept) < F.col("limit")) & ~F.exists(kept, lambda k: repeats(k, c, c["near"])), F.concat(kept, F.array(bare(c)))).otherwise(kept)
+        walked = cut(open_.join(listed, "question_id", "left").select("question_id", "limit", "total", F.aggregate(F.coalesce("c", F.array().cast(listed.schema["c"].dataType)), F.col("kept"), step).alias("kept")))
+        full = (F.size("kept") >= F.col("limit")) | (F.col("total") <= hi)
+        done.append(walked.where(full))
+        open_ = cut(walked.where(~full))
+        if open_.isEmpty():
+            break
+        lo, hi = hi, hi * 4
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    each = whole.select("question_id", F.posexplode("kept").alias("at", "m"))
     return each.select("question_id", (F.col("at") + 1).alias("rank"), *(F.col(f"m.{c}").alias(c) for c in ("chunk_id", "document_id", "score", "matched_terms", "path", "chunk_order")))
 
 
@@ -247,28 +269,30 @@ def outcomes(wanted: DataFrame, matches: DataFrame, counted: DataFrame) -> DataF
 
 
 def score_questions(questions: DataFrame, fields: DataFrame, found: DataFrame, stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> dict[str, DataFrame]:
-    """The tables from terms to ranked candidates, by name."""
+    """The tables from terms to scored candidates, by name; ``fields`` and ``found`` are the index, stored."""
     wanted = asked(questions, composed)
-    groups = expand_aliases(question_terms(questions, stopwords, composed), aliases)
+    groups = cut(expand_aliases(question_terms(questions, stopwords, composed), aliases))
     tokens = scoring_tokens(groups)
     # Only the questions' tokens need a frequency.
     own = found.join(tokens.select("token").distinct(), "token", "left_semi")
-    weighed = with_idf(tokens, ix.document_frequency(own), ix.corpus_stats(fields))
-    near = candidates(weighed, found, ix.body_lengths(fields), wanted.where("limit > 0"))
-    rows = ranked(scored(gated(near, group_weights(groups, weighed)), wanted, tokens, fields))
-    return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "candidates": near, "ranked": rows}
+    weighed = cut(with_idf(tokens, ix.document_frequency(own), ix.corpus_stats(fields)))
+    near = candidates(weighed, found, ix.chunk_facts(fields), wanted.where("limit > 0"))
+    rows = scored(gated(near, group_weights(groups, weighed)), wanted, tokens, fields)
+    return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "candidates": near, "scored": rows, "ranked": ranked(rows)}
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The whole pipeline: matches (ranked from 1, duplicates left out) and outcomes.
+def build_index(chunks: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The analysed fields and the postings, written once to the shared folder and read back.
 
-    The index is written once, as several parts of the plan read it.
+    ``index.write_index`` keeps them under a revision instead, for later sessions.
     """
     fields = stored(ix.index_fields(chunks, composed))
-    found = stored(ix.postings(fields))
+    return fields, stored(ix.postings(fields))
+
+
+def retrieve(questions: DataFrame, built: tuple[DataFrame, DataFrame], stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The whole pipeline over an index: matches (ranked from 1, duplicates left out) and outcomes."""
+    fields, found = built
     made = score_questions(questions, fields, found, stopwords, aliases, composed)
-    rows = cut(made["ranked"])
-    # Only bodies that a question ranked can repeat each other there.
-    shown = fields.join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    matches = suppress_duplicates(rows, near_lists(near_duplicate_classes(shown)))
+    matches = suppress_duplicates(stored(made["scored"]), fields)
     return matches, outcomes(made["wanted"], matches, considered(made["wanted"], fields, made["tokens"]))

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import dims
-from docweave.functions.text import is_persian, nfkc
+from docweave.functions.text import is_persian, nfkc, strip
 
 
 def normalize_intent(message: Column, composed: bool = False) -> Column:
     folded = F.translate(F.lower(message if composed else nfkc(message)), "يك", "یک")
-    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
+    return strip(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
 
 def direct_intent(requests: DataFrame, intents: DataFrame, composed: bool = False) -> DataFrame:
@@ -33,7 +33,7 @@ def direct_intent(requests: DataFrame, intents: DataFrame, composed: bool = Fals
 def needs_clarification() -> Column:
     """Trouble is reported, but framework, stage or details are missing."""
     message = F.coalesce("message", F.lit(""))
-    said = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    said = lambda c: F.coalesce(strip(c), F.lit("")) != ""
     framework = said("framework") | said("runtime") | message.rlike(dims.FRAMEWORK_FIELD) | message.rlike(dims.FRAMEWORK)
     return message.rlike(dims.TROUBLE) & ~(framework & message.rlike(dims.STAGE) & message.rlike(dims.DETAIL))
 
@@ -53,17 +53,15 @@ def route(requests: DataFrame, intents: DataFrame, composed: bool = False) -> Da
     return rows.select("request_id", where.alias("route"), "intent", language.alias("language"), retrieval_text().alias("retrieval_text"))
 
 
+# Labels of the form, which the patterns of trouble, stage and detail know.
+CLARIFIED = ["Original question: ", "Framework/runtime: ", "Error stage: ", "Error message/log:\n", "Additional details:\n"]
+
+
 def clarified_message(original: Column, framework: Column, stage: Column, log: Column, details: Column) -> Column:
     """The follow-up that a clarification form sends; it always routes to retrieval."""
-    given = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("Not provided"))
-    return F.concat_ws(
-        "\n\n",
-        F.concat(F.lit("Original question: "), original),
-        F.concat(F.lit("Framework/runtime: "), framework),
-        F.concat(F.lit("Error stage: "), stage),
-        F.concat(F.lit("Error message/log:\n"), given(log)),
-        F.concat(F.lit("Additional details:\n"), given(details)),
-    )
+    given = lambda c: F.coalesce(F.nullif(strip(c), F.lit("")), F.lit("Not provided"))
+    said = zip(CLARIFIED, (original, framework, stage, given(log), given(details)))
+    return F.concat_ws("\n\n", *(F.concat(F.lit(label), answer) for label, answer in said))
 
 
 def route_mix(routed: DataFrame) -> DataFrame:

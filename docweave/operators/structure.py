@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docweave.functions.text import strip
+
 DEEPEST = 6
 MOST_DIAGNOSTICS = 100
 EMPTY_CELL = "—"
@@ -18,7 +20,7 @@ TICK = "✓"
 
 def normalize_prose(text: Column) -> Column:
     lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "[\t ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(lines, " *\n *", " "), r"\s{2,}", " "))
+    return strip(F.regexp_replace(F.regexp_replace(lines, " *\n *", " "), r"\s{2,}", " "))
 
 
 def normalize_code(text: Column) -> Column:
@@ -43,7 +45,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
         .when(F.col("text").rlike(r"^#{1,6}\s+\S"), "heading")
         .when(F.col("text").rlike(r"^\s*(?:[-*+]|\d+[.)])\s+\S"), "list")
         .when(F.col("text").rlike(r"^\s*>"), "quote")
-        .when(F.trim("text") == "", "blank")
+        .when(strip(F.col("text")) == "", "blank")
         .otherwise("text")
     )
     rows = rows.withColumn("kind", kind).withColumn("opens", opens)
@@ -51,7 +53,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     # headings and list entries stand alone; other lines join the run that they continue
     starts = F.col("kind").isin("heading", "list", "blank", "fence") | ~F.col("kind").eqNullSafe(F.lag("kind").over(order))
     rows = rows.withColumn("run", F.sum(starts.cast("int")).over(before))
-    language = F.when(F.col("opens"), F.trim(F.regexp_replace("text", r"^\s*```", "")))
+    language = F.when(F.col("opens"), strip(F.regexp_replace("text", r"^\s*```", "")))
     rows = rows.withColumn("language", F.last(language, ignorenulls=True).over(before)).where("kind NOT IN ('blank', 'fence')")
     joined = rows.groupBy("doc_id", "run", "kind").agg(
         F.min("line").alias("pos"),
@@ -129,7 +131,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
 def table_rows(header: Column, rows: Column) -> Column:
     """Lines of a table: cells joined, empty ones marked, true ones ticked."""
-    cell = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", EMPTY_CELL).when(c == "true", TICK).otherwise(F.trim(c))
+    cell = lambda c: F.when(F.coalesce(strip(c), F.lit("")) == "", EMPTY_CELL).when(c == "true", TICK).otherwise(strip(c))
     line = lambda r: F.array_join(F.transform(r, cell), " | ")
     return F.concat(F.when(F.size(header) > 0, F.array(line(header))).otherwise(F.array().cast("array<string>")), F.transform(F.filter(rows, lambda r: F.size(r) > 0), line))
 
@@ -155,7 +157,7 @@ def compact_blocks(items: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("pos")
     same = (F.col("kind") == "text") & (F.lag("kind").over(order) == "text") & (F.lag("text").over(order) == F.col("text"))
-    return items.where(F.trim("text") != "").withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
+    return items.where(strip(F.col("text")) != "").withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
 
 
 def pick_titles(items: DataFrame, heads: DataFrame) -> DataFrame:
@@ -200,7 +202,8 @@ def build_sections(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.max(F.when(F.col("marker"), F.col("text"))).alias("heading"),
         F.max(F.when(F.col("marker"), F.col("heading_path"))).alias("heading_path"),
         F.max(F.when(F.col("marker"), F.col("anchor"))).alias("anchor"),
-        F.count_if(~F.col("marker") & (F.trim("text") != "")).alias("n_blocks"),
+        F.min("pos").alias("pos"),
+        F.count_if(~F.col("marker") & (strip(F.col("text")) != "")).alias("n_blocks"),
     )
     order = Window.partitionBy("doc_id").orderBy("section_no")
     kept = own.where("n_blocks > 0").withColumn("section_order", F.row_number().over(order) - 1)
@@ -210,7 +213,9 @@ def build_sections(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "doc_id", "section_no", "section_order", "heading", F.coalesce("heading_path", F.array().cast("array<string>")).alias("heading_path"),
         F.when(F.col("use") == 1, F.col("anchor")).alias("anchor"), "n_blocks",
     )
-    doubled = kept.where("use > 1").select("doc_id", "section_order", F.lit("duplicate_section_anchor").alias("code"))
+    doubled = kept.where("use > 1").select(
+        "doc_id", "section_order", F.lit("duplicate_section_anchor").alias("code"), F.concat(F.lit("another section has the anchor "), "anchor").alias("message"), F.col("pos")
+    )
     blocks = rows.where("NOT marker").join(sections.select("doc_id", "section_no", "section_order"), ["doc_id", "section_no"])
     numbered = Window.partitionBy("doc_id", "section_order").orderBy("pos")
     return sections, blocks.select("doc_id", "section_order", (F.row_number().over(numbered) - 1).alias("block_no"), "kind", "text", "language"), doubled
@@ -218,13 +223,20 @@ def build_sections(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def classify_skips(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Documents (doc_id, raw) without sections, and why."""
-    blank = F.trim(F.regexp_replace(F.coalesce("raw", F.lit("")), r"\s", "")) == ""
+    blank = strip(F.coalesce("raw", F.lit(""))) == ""
     return docs.join(sections.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.when(blank, "empty_source").otherwise("no_retrievable_content").alias("reason"))
 
 
 def limit_diagnostics(found: DataFrame, most: int = MOST_DIAGNOSTICS) -> DataFrame:
-    """At most ``most`` rows a document in their order (``pos``), then one that says so."""
-    rows = found.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "code")))
-    kept = rows.where(F.col("turn") <= most).select("doc_id", "turn", "code")
-    over = rows.where(F.col("turn") == most + 1).select("doc_id", "turn", F.lit("diagnostic_limit_reached").alias("code"))
+    """At most ``most`` rows a document in their order (``pos``), then one that says so.
+
+    found has doc_id, pos and code, and message and position (line, column, offset) where they are known.
+    """
+    place = "struct<line:int,column:int,offset:int>"
+    more = {c: F.lit(None).cast(k) for c, k in (("message", "string"), ("position", place)) if c not in found.columns}
+    rows = found.withColumns(more).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "code")))
+    kept = rows.where(F.col("turn") <= most).select("doc_id", "turn", "code", "message", F.col("position").cast(place).alias("position"))
+    over = rows.where(F.col("turn") == most + 1).select(
+        "doc_id", "turn", F.lit("diagnostic_limit_reached").alias("code"), F.lit(f"more than {most} diagnostics").alias("message"), F.lit(None).cast(place).alias("position")
+    )
     return kept.unionByName(over)

@@ -11,6 +11,7 @@ from docweave.functions import dims, text
 from docweave.functions.identity import chunk_id, document_id
 from docweave.operators import audits, chunking, conversations, evidence, index, logs, policy, ranking, routing, structure
 from docweave.plans import adapters as ad
+from docweave.plans import oracles
 from docweave.session import cut, shared_folder, stored
 from docweave.sources import corpus
 from docweave.streaming import chat_log as chat_log_stream
@@ -105,7 +106,11 @@ def text_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.text_direction(F.col("text")).alias("direction"), text.is_persian(F.col("text"), F.lit(None).cast("string")).alias("persian"))
 
 
-@query("SELECT doc_id, len(s) AS n_spans, array_to_string(s, ' ') AS spans FROM (SELECT doc_id, regexp_extract_all(text, '" + text.TECHNICAL.replace("\\b\\d{1,3}(?:", "\\b\\d{1,3}(?:") + "') AS s FROM documents)")
+# The spans in the SQL's own words: links and www names to the next white space, angle or bracket; drive and absolute paths; addresses.
+SPANS_SQL = r"(?:https?://|www\.)[^\s<>()]+|[A-Za-z]:\\\S+|(?:/[0-9A-Za-z_.@~:+-]+)+|\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
+
+
+@query(f"SELECT doc_id, len(s) AS n_spans, array_to_string(s, ' ') AS spans FROM (SELECT doc_id, regexp_extract_all(text, '{SPANS_SQL}') AS s FROM documents)")
 def technical_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ad.table(spark, sf_dir, "documents").select("doc_id", text.technical_spans(F.col("text")).alias("s"))
     return docs.select("doc_id", F.size("s").cast("long").alias("n_spans"), F.array_join("s", " ").alias("spans"))
@@ -212,12 +217,12 @@ def as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.array_join(lines, "\n"), F.lit("\n\n```py\nx = 1\n\ny = 2\n```\n")).alias("raw"))
 
 
-@query()
+@query(f"WITH {oracles.MARKDOWN} SELECT *, CAST(NULL AS VARCHAR) AS anchor FROM items")
 def markdown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.compact_blocks(structure.markdown_blocks(as_markdown(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {oracles.SECTIONS} SELECT * FROM sections")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, _ = structure.build_sections(structure.compact_blocks(structure.markdown_blocks(as_markdown(spark, sf_dir))))
     return found.select("doc_id", "section_order", "heading", F.array_join("heading_path", " > ").alias("heading_path"), "anchor", "n_blocks")
@@ -229,12 +234,13 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.html_head(ad.table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), "head_title")
 
 
-@query()
+@query(f"WITH {oracles.HTML} SELECT * FROM page_blocks")
 def html_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.compact_blocks(structure.html_blocks(ad.table(spark, sf_dir, "pages")))
 
 
-@query()
+@query(f"""WITH {oracles.HTML}, first AS (SELECT doc_id, arg_min(text, pos) AS said FROM page_items WHERE kind = 'heading' GROUP BY doc_id)
+SELECT doc_id, coalesce(said, head_title, 'Page ' || doc_id) AS title FROM page_heads LEFT JOIN first USING (doc_id)""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = ad.table(spark, sf_dir, "pages")
     heads = structure.html_head(pages).select(F.col("page_id").alias("doc_id"), "head_title", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("slug"))
@@ -260,26 +266,20 @@ def made_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.finish_chunks(made, F.col("doc_id").cast("string"), F.lit(None).cast("string"), composed=True)
 
 
-LAST_BREAK = "greatest(CASE WHEN contains(c, ' ') THEN length(c) - strpos(reverse(c), ' ') ELSE -1 END, CASE WHEN contains(c, chr(10)) THEN length(c) - strpos(reverse(c), chr(10)) ELSE -1 END)"
-BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
-
-@query(f"""WITH RECURSIVE r AS (
-  SELECT doc_id, 0 AS part, CAST(NULL AS VARCHAR) AS content, trim(text, {BLANK}) AS rest FROM documents
-  UNION ALL
-  SELECT doc_id, part + 1, CASE WHEN length(rest) > 1800 THEN trim(substr(rest, 1, e), {BLANK}) ELSE rest END, CASE WHEN length(rest) > 1800 THEN trim(substr(rest, e + 1), {BLANK}) ELSE '' END
-  FROM (SELECT doc_id, part, rest, CASE WHEN {LAST_BREAK} >= 990 THEN {LAST_BREAK} + 1 ELSE 1800 END AS e FROM (SELECT *, substr(rest, 1, 1800) AS c FROM r WHERE rest <> ''))
-) SELECT doc_id, CAST(part - 1 AS INT) AS part, content FROM r WHERE part > 0""")
+PACKED_SQL = oracles.packed_sql(toks(f"({norm('content')})"))
+@query(f"WITH RECURSIVE {oracles.split_sql('r', 'documents', 'doc_id')} SELECT doc_id, CAST(part - 1 AS INT) AS part, content FROM r WHERE part > 0")
 def split_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("part", "content"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PACKED_SQL} SELECT doc_id, chunk_order, chunk_id, estimated_tokens, CAST(length(content) AS INT) AS chars, md5(content) AS digest FROM packed")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made_chunks(spark, sf_dir).select("doc_id", "chunk_order", "chunk_id", "estimated_tokens", F.length("content").alias("chars"), F.md5("content").alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PACKED_SQL}, by_doc AS (SELECT doc_id, count(*) AS n, min(chunk_order) AS lo, max(chunk_order) AS hi FROM packed GROUP BY doc_id)
+SELECT (SELECT count(*) FROM by_doc WHERE lo <> 0 OR hi <> n - 1) AS order_gaps, (SELECT count(*) FROM (SELECT chunk_id FROM packed GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids,
+ count(*) AS n_chunks, count(*) FILTER (length(content) > 1800) AS too_long, count(*) FILTER (trim(content, {oracles.WHITE}) = '') AS blank FROM packed""")
 def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_invariants(stored(made_chunks(spark, sf_dir)))
 
@@ -368,9 +368,16 @@ covered AS (
 """
 
 
+DISTINCT_SQL = f"""f AS (SELECT doc_id, {norm('text')} AS body FROM documents),
+c AS (SELECT sha256(body) AS body_hash, any_value(length(body)) AS chars, any_value(list_distinct({toks('body')})) AS t FROM f WHERE body <> '' GROUP BY 1)"""
+
+
+def built_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return ranking.build_index(ad.chunks(spark, sf_dir), composed=True)
+
+
 def made_ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    own = stored(fields(spark, sf_dir))
-    found = stored(index.postings(own))
+    own, found = built_index(spark, sf_dir)
     return own, ranking.score_questions(ad.questions(spark, sf_dir), own, found, dims.stopwords(spark), dims.aliases(spark), composed=True)
 
 
@@ -385,9 +392,12 @@ def ranked_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(made_ranking(spark, sf_dir)[1]["ranked"]).select("question_id", "rank", "chunk_id", "score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANK_SQL}, {DISTINCT_SQL}, {oracles.SUPPRESSED}, terms AS (SELECT question_id, chunk_id, string_agg(token, ' ' ORDER BY pos) AS matched_terms FROM hits GROUP BY ALL)
+SELECT k.question_id, k.rank, k.chunk_id, r.score, matched_terms FROM kept k JOIN ranked r USING (question_id, chunk_id) JOIN terms USING (question_id, chunk_id)""")
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches, _ = ranking.retrieve(ad.questions(spark, sf_dir), ad.chunks(spark, sf_dir), dims.stopwords(spark), dims.aliases(spark))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    index.write_index(index.index_fields(ad.chunks(spark, sf_dir)), path, ad.REVISION)
+    matches, _ = ranking.retrieve(ad.questions(spark, sf_dir), index.read_index(spark, path, ad.REVISION), dims.stopwords(spark), dims.aliases(spark))
     return matches.select("question_id", "rank", "chunk_id", "score", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
@@ -400,34 +410,22 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.outcomes(made["wanted"], ranking.top_k(made["ranked"]), counted).select("question_id", "kind", "considered_count")
 
 
-@query(f"""WITH {RANK_SQL}, truth AS (SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))),
+@query(f"""WITH {RANK_SQL}, truth AS (SELECT item_id AS question_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 hit AS (SELECT question_id, min(rank) AS rank FROM ranked JOIN truth USING (question_id, chunk_id) WHERE rank <= 10 GROUP BY ALL), t AS (SELECT DISTINCT question_id FROM truth)
-SELECT count(*) AS n_questions, round(avg(CASE WHEN rank = 1 THEN 1e0 ELSE 0e0 END), 9) AS hit_at_1, round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 9) AS hit_at_k,
- round(avg(coalesce(1e0 / rank, 0e0)), 9) AS mrr FROM t LEFT JOIN hit USING (question_id)""")
+SELECT count(*) AS n_questions, coalesce(round(avg(CASE WHEN rank = 1 THEN 1e0 ELSE 0e0 END), 9), 0) AS hit_at_1, coalesce(round(avg(CASE WHEN rank <= 10 THEN 1e0 ELSE 0e0 END), 9), 0) AS hit_at_k,
+ coalesce(round(avg(coalesce(1e0 / rank, 0e0)), 9), 0) AS mrr FROM t LEFT JOIN hit USING (question_id)""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth: documents that hold the first 60 characters of a question.
-
-    They meet on the second word of those, which white space bounds on both sides.
-    """
+    """Truth: documents that hold the whole text of a question."""
     own, made = made_ranking(spark, sf_dir)
-    matches = ranking.top_k(made["ranked"])
-    questions = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 60).alias("lead"))
-    words = lambda c: F.filter(F.split(c, r"[\s]+"), lambda w: F.length(w) > 0)
-    inner = questions.select("question_id", "lead", F.get(words(F.col("lead")), F.lit(1)).alias("word")).where("word IS NOT NULL")
+    questions = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     texts = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    near = texts.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(F.broadcast(inner), "word").select("chunk_id", "question_id", "lead")
-    truth = near.join(texts, "chunk_id").where(F.contains("text", F.col("lead"))).select("question_id", "chunk_id").distinct()
-    got = audits.retrieval_quality(matches, truth)
+    got = audits.retrieval_quality(ranking.top_k(made["ranked"]), audits.holding(texts, questions))
     return got.select("n_questions", *(F.round(c, 9).alias(c) for c in ("hit_at_1", "hit_at_k", "mrr")))
 
 
-DISTINCT_SQL = f"""f AS (SELECT doc_id, {norm('text')} AS body FROM documents),
-c AS (SELECT sha256(body) AS body_hash, any_value(length(body)) AS chars, any_value(list_distinct({toks('body')})) AS t FROM f WHERE body <> '' GROUP BY 1)"""
-
-
 @query(f"WITH {DISTINCT_SQL} SELECT doc_id, sha256(body) AS body_hash, count(*) OVER (PARTITION BY body) AS copies FROM f WHERE body <> ''")
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fields(spark, sf_dir).where("body_text != ''").select(F.col("chunk_id").alias("doc_id"), F.sha2("body_text", 256).alias("body_hash"))
+    own = stored(fields(spark, sf_dir).where("body_text != ''").select(F.col("chunk_id").alias("doc_id"), "body_hash"))
     sizes = own.groupBy("body_hash").agg(F.count(F.lit(1)).alias("copies"))
     return own.join(sizes, "body_hash").select("doc_id", "body_hash", "copies")
 
@@ -449,7 +447,8 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.join(shown, "chunk_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANK_SQL}, shown AS (SELECT question_id, rank, title, '{ad.ORIGIN}' || published_path AS url, content FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 10), {oracles.CONTEXTS}
+SELECT question_id, CAST(length(formatted) AS INT) AS chars, md5(formatted) AS digest FROM contexts""")
 def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, contexts = evidence.pack_context(evidence_rows(spark, sf_dir))
     return contexts.select("question_id", F.length("formatted").alias("chars"), F.md5("formatted").alias("digest"))
@@ -691,7 +690,7 @@ def rate_limit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A start for each event, and an end after ``value`` seconds unless it is a view."""
+    """A start for each event; an end after ``value`` seconds unless it is a view, and a first chunk halfway to completed ones."""
     e = ad.events(spark, sf_dir)
     none = F.lit(None).cast("string")
     start = e.select("request_id", F.lit("started").alias("event"), "ts", none.alias("outcome"), none.alias("error_code"), F.lit("secret").alias("prompt"))
@@ -701,7 +700,11 @@ def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", event.alias("event"), F.timestamp_millis(F.col("ms") + F.round(F.col("value") * 1000).cast("long")).alias("ts"),
         F.when(kind.isin("purchase", "signup"), "answered").alias("outcome"), F.when(kind == "error", "MODEL_UNAVAILABLE").alias("error_code"), F.lit("secret").alias("prompt"),
     )
-    return logs.redact_log(start.unionByName(end))
+    chunk = e.where(kind.isin("purchase", "signup")).select(
+        "request_id", F.lit("first_chunk").alias("event"), F.timestamp_millis(F.col("ms") + F.round(F.col("value") * 500).cast("long")).alias("ts"),
+        none.alias("outcome"), none.alias("error_code"), F.lit("secret").alias("prompt"),
+    )
+    return logs.redact_log(start.unionByName(end).unionByName(chunk))
 
 
 ENDED_SQL = """l AS (SELECT event_id AS request_id, ts AS started_at, CASE WHEN event_type IN ('purchase', 'signup') THEN 'completed' WHEN event_type = 'error' THEN 'failed' WHEN event_type <> 'view' THEN 'cancelled' END AS ended,
@@ -714,9 +717,10 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.lifecycle(chat_log(spark, sf_dir)).select("request_id", "ended", "outcome", "error_code", F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
 
 
-@query(f"WITH {ENDED_SQL} SELECT request_id, 'TIMEOUT' AS error_code FROM l WHERE duration_ms IS NULL OR duration_ms > 45000")
+@query(f"""WITH {ENDED_SQL}, s AS (SELECT l.*, CASE WHEN ended = 'completed' THEN least(duration_ms, CAST(round(value * 500) AS BIGINT)) ELSE duration_ms END AS sign_ms FROM l JOIN events ON event_id = request_id)
+SELECT request_id, 'TIMEOUT' AS error_code, CASE WHEN sign_ms IS NULL OR sign_ms > 15000 THEN 'first_chunk' ELSE 'total' END AS broke FROM s WHERE sign_ms IS NULL OR sign_ms > 15000 OR duration_ms > 45000""")
 def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.timeouts(chat_log(spark, sf_dir)).select("request_id", "error_code")
+    return logs.timeouts(chat_log(spark, sf_dir)).select("request_id", "error_code", "broke")
 
 
 @query(f"WITH {ENDED_SQL} SELECT epoch_ms(date_trunc('day', started_at)) AS window_ms, outcome, error_code, count(*) AS n, coalesce(round(avg(duration_ms), 6), -1e0) AS mean_ms, coalesce(max(duration_ms), -1) AS max_ms FROM l GROUP BY ALL")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from docweave.operators.logs import ENDS
+
 LOG = "event string, request_id string, ts timestamp, outcome string, error_code string"
 
 
@@ -29,7 +31,7 @@ class FixedWindow(StatefulProcessor):
         self.open = handle.getValueState("open", held, self.kept_ms) if self.kept_ms else handle.getValueState("open", held)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])
+        batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])  # a micro-batch of one client; maxFilesPerTrigger bounds it
         count, reset = self.open.get() if self.open.exists() else (0, -1)
         allowed, retry = [], []
         for at in batch["ms"]:
@@ -65,48 +67,63 @@ def rate_limit_stream(requests: DataFrame, most: int = 20, window_ms: int = 60_0
 
 
 class Deadline(StatefulProcessor):
-    """Reports a request whose end has not come when its time is over."""
+    """Reports a request whose first chunk or end has not come when its time is over."""
 
-    def __init__(self, limit_ms: int):
-        self.limit_ms = limit_ms
+    def __init__(self, limit_ms: int, first_chunk_ms: int):
+        self.limit_ms, self.first_chunk_ms = limit_ms, first_chunk_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", StructType([StructField("started", LongType()), StructField("ended", LongType())]))
+        self.held = handle.getValueState("held", StructType([StructField(c, LongType()) for c in ("started", "chunk", "ended")]))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        started, ended = self.held.get() if self.held.exists() else (-1, -1)
+        started, chunk, ended = self.held.get() if self.held.exists() else (-1, -1, -1)
         for batch in rows:
-            for event, at in zip(batch["event"], batch["ms"]):
+            for event, at in zip(batch["event"], batch["ms"].astype(int)):
                 if event == "started":
                     started = int(at)
-                    self.handle.registerTimer(started + self.limit_ms)
-                else:
+                    for limit in {self.limit_ms, self.first_chunk_ms or self.limit_ms}:
+                        self.handle.registerTimer(started + limit)
+                elif event == "first_chunk":
+                    chunk = int(at) if chunk < 0 else min(chunk, int(at))
+                elif event in ENDS:
                     ended = int(at) if ended < 0 else min(ended, int(at))
-        self.held.update((started, ended))
-        yield pd.DataFrame({"request_id": pd.Series([], dtype="str"), "started_ms": pd.Series([], dtype="int64")})
+        self.held.update((started, chunk, ended))
+        yield self.late(key, started, None)
+
+    def late(self, key: tuple, started: int, broke: str | None) -> pd.DataFrame:
+        n = int(broke is not None)
+        return pd.DataFrame({"request_id": pd.Series([key[0]] * n, dtype="str"), "started_ms": pd.Series([started] * n, dtype="int64"), "broke": pd.Series([broke] * n, dtype="str")})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        started, ended = self.held.get()
-        late = ended < 0 or ended > started + self.limit_ms
-        self.held.clear()
-        yield pd.DataFrame({"request_id": pd.Series([key[0]] * late, dtype="str"), "started_ms": pd.Series([started] * late, dtype="int64")})
+        if not self.held.exists():
+            return
+        started, chunk, ended = self.held.get()
+        signs = [at for at in (chunk, ended) if at >= 0]
+        broke = None
+        if self.first_chunk_ms and (not signs or min(signs) > started + self.first_chunk_ms):
+            broke = "first_chunk"
+        elif expiredTimerInfo.getExpiryTimeInMs() >= started + self.limit_ms and (ended < 0 or ended > started + self.limit_ms):
+            broke = "total"
+        if broke or expiredTimerInfo.getExpiryTimeInMs() >= started + self.limit_ms:
+            self.held.clear()
+        yield self.late(key, started, broke)
 
     def close(self) -> None:
         pass
 
 
-def timeout_stream(log: DataFrame, limit_ms: int = 45_000) -> DataFrame:
-    """Requests of a log stream with a watermark that did not end within the limit of event time."""
+def timeout_stream(log: DataFrame, limit_ms: int = 45_000, first_chunk_ms: int | None = 15_000) -> DataFrame:
+    """Requests of a log stream with a watermark that broke a limit of event time, as ``logs.timeouts`` finds them."""
     return log.select("request_id", "event", "ts", F.unix_millis("ts").alias("ms")).groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=Deadline(limit_ms), outputStructType="request_id string, started_ms long", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=Deadline(limit_ms, first_chunk_ms or 0), outputStructType="request_id string, started_ms long, broke string", outputMode="Append", timeMode="EventTime"
     )
 
 
 def lifecycle_stream(log: DataFrame, late: str = "10 minutes", longest: str = "15 minutes") -> DataFrame:
     """Starts joined to ends of the same request within ``longest``."""
     start = log.where("event = 'started'").select(F.col("request_id"), F.col("ts").alias("started_at")).withWatermark("started_at", late)
-    end = log.where("event != 'started'").select(F.col("request_id").alias("_id"), F.col("ts").alias("ended_at"), "event", "outcome", "error_code").withWatermark("ended_at", late)
+    end = log.where(F.col("event").isin(*ENDS)).select(F.col("request_id").alias("_id"), F.col("ts").alias("ended_at"), "event", "outcome", "error_code").withWatermark("ended_at", late)
     near = (F.col("request_id") == F.col("_id")) & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
     return start.join(end, near).select("request_id", "started_at", F.col("event").alias("ended"), "outcome", "error_code", (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("duration_ms"))
 
