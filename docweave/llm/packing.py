@@ -196,12 +196,17 @@ def pack(
         "_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     )
 
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(frames)
+        if not found:
+            return
+        group = pd.concat(found)
         group = group.sort_values(["length", *[c for c in ("ids_crc32",) if c in group]], ascending=False, kind="stable")
         bins, offsets = fill(group["length"].to_numpy(np.int64), capacity, docs, cost, select, weights)
         group["sequence_id"] = (group["_group"].to_numpy(np.int64) << 32) + bins
         group["offset"] = offsets
-        return group.drop(columns="_group")
+        yield group.drop(columns="_group")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-    return dealt.groupBy("_group").applyInPandas(packed, f"{fields}, sequence_id long, offset long")
+    # one task for each group, whose size is bounded
+    return dealt.repartitionById(groups, F.col("_group")).mapInPandas(packed, f"{fields}, sequence_id long, offset long")

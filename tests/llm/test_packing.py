@@ -74,3 +74,43 @@ def test_pack_whole_table(spark):
         assert at <= 128
     assert len(by) <= 1.1 * sum(r.length for r in rows) / 128 + 6
     assert pack(pieces(df.limit(0), PATH)).count() == 0
+
+
+@pytest.mark.parametrize("select", ["norm", "dot"])
+def test_choice_of_bin_against_all_bins(select):
+    """Every bin ever opened is looked at anew for each piece."""
+    pick = random.Random(11)
+    for _ in range(25):
+        capacity, max_docs, weights = 100, pick.randint(1, 5), (1.0, 0.3, 0.2)
+        lengths = np.array([pick.randint(1, 80) for _ in range(120)])
+        cost = float(pick.randint(6400, 12_000))
+        got, _ = fill(lengths, capacity, max_docs, cost, select, weights)
+        bins, want = [], [0] * len(lengths)
+        for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+            own = (lengths[i] / capacity, 1 / max_docs, lengths[i] ** 2 / cost)
+            rated = []
+            for b, left in enumerate(bins):
+                rest = [x - y for x, y in zip(left, own)]
+                if min(rest) >= -1e-12:
+                    value = sum(w * r * r for w, r in zip(weights, rest)) if select == "norm" else -sum(w * y * x for w, x, y in zip(weights, left, own))
+                    rated.append((value, b))
+            if not rated:
+                bins.append([1.0, 1.0, 1.0])
+                rated = [(0.0, len(bins) - 1)]
+            least = min(v for v, _ in rated)
+            equal = {b for v, b in rated if v <= least + 1e-12}
+            assert got[i] in equal or (len(equal) == 1 and False), (i, got[i], rated)
+            best = int(got[i])
+            want[i] = best
+            bins[best] = [x - y for x, y in zip(bins[best], own)]
+        assert list(got) == want
+
+
+def test_one_very_long_text(spark):
+    import time
+
+    text = " ".join(f"w{k}" for k in range(150_000)) + " " + "z" * 300_000
+    began = time.time()
+    made = pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert sum(r.length for r in made) == len(THEIRS.encode(text, add_special_tokens=False).ids) + 1
+    assert time.time() - began < 60
