@@ -19,11 +19,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space that counts as one space, and nothing else.
-BLANKS = r"[\x20\x09-\x0D]+"
+from docweave.session import stored
+
+#: Runs of ASCII white space that aren't one space already; nothing else counts as white space.
+BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
 
 
 def normal_text(text: Column) -> Column:
+    """Each run of ASCII white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
@@ -56,21 +59,17 @@ def exact_dedup(
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; one row where an id repeats.
 
-    The groups carry only digests and ids, so a row's text is not shuffled for the
-    decision; repeated ids are told apart by the row's number within its input.
+    Repeated ids are told apart by a number of the row, which must be the same whenever the
+    row is read.  ``files`` says that ``docs`` is read from files and so gives the same rows in
+    the same order again; any other input is stored with its numbers first.
     """
-    # Each row gets a number so that exactly one of several equal (id, text) rows stays.
-    body = normal_text(F.col(f"d.{text_col}"))
-    d = docs.alias("d").select(
-        F.struct("d.*").alias("row"),
-        F.col(f"d.{id_col}").alias("id"),
-        content_hash(body).alias("digest"),
-        body.alias("body"),
-        F.monotonically_increasing_id().alias("n"),
-    )
+    held = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n"))
+    held = held if files else stored(held)
+    body = normal_text(F.col(f"row.{text_col}"))
+    d = held.select("row", F.col(f"row.{id_col}").alias("id"), content_hash(body).alias("digest"), body.alias("body"), "n")
     first = d.groupBy("digest", "body").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "n")).alias("first")
     )
