@@ -13,7 +13,9 @@ lengths, at the best of the compatible block sizes, and 0 if the letters share n
 and there by chance.
 
 Defined cases: null counts as empty; the empty fingerprint is ``4::`` and is like itself
-only; equal texts have equal fingerprints.
+only; equal texts have equal fingerprints.  ``compared_with_next`` takes integer ids (null and
+repeated ones too, row by row); an empty table gives an empty result, a table of one row is
+compared with itself, and other columns are not read.
 """
 
 from __future__ import annotations

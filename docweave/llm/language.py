@@ -3,7 +3,7 @@
 Counts of hashed 1- to 3-grams of lower-cased texts are summed by Spark for each
 language over all training rows; the smoothed log-probability matrix (buckets by
 languages, at most ``MOST_LANGUAGES``) is broadcast, and each batch of texts is scored as
-a sparse matrix of counts in numpy.
+a sparse matrix of counts in numpy, some texts at a time so that memory stays bounded.
 
 Defined cases: a text that is null or has no letter, or a model without training rows,
 gives ``und`` with score 0; a tie goes to the language that sorts first; null ids are
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 13
 ORDERS = 3
-#: Bound on the size of the model; more languages than this are an error.
-MOST_LANGUAGES = 256
+#: Bound on the size of the model (64 MB); more languages than this are an error.
+MOST_LANGUAGES = 1024
+#: Products held at a time while a batch is scored.
+MOST_CELLS = 1 << 22
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -77,18 +79,28 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
 
 def score_batch(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Best language and its probability for texts that have letters."""
-    columns, counts, starts, at = [], [], [], 0
-    for text in texts:
+    total = np.empty((len(texts), len(model.log_prior)))
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def add_up() -> None:
+        """Counts times rows of the matrix, summed for each text that waits."""
+        if held:
+            columns, counts = (np.concatenate([h[j] for h in held]) for j in (1, 2))
+            starts = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])[:-1]])
+            weighted = counts[:, None] * model.log_probability[columns]
+            total[[h[0] for h in held]] = np.add.reduceat(weighted, starts, axis=0) + model.log_prior
+            held.clear()
+
+    for k, text in enumerate(texts):
         own = np.bincount(buckets(text), minlength=BUCKETS)
         some = np.flatnonzero(own)
-        columns.append(some)
-        counts.append(own[some])
-        starts.append(at)
-        at += len(some)
-    if not texts:
-        return np.empty(0, int), np.empty(0)
-    weighted = np.concatenate(counts)[:, None] * model.log_probability[np.concatenate(columns)]
-    total = np.add.reduceat(weighted, np.array(starts), axis=0) + model.log_prior
+        if (size + len(some)) * len(model.log_prior) > MOST_CELLS:
+            add_up()
+            size = 0
+        held.append((k, some, own[some]))
+        size += len(some)
+    add_up()
     best = total.argmax(axis=1)
     return best, 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
 
