@@ -15,7 +15,9 @@ through everything that any later pattern could match.
 
 Defined cases: null counts as empty and has no spans; spans are code points with an
 exclusive end, by start and then by kind as listed in ``KINDS``; of one kind they never
-overlap, of different kinds they may.
+overlap, of different kinds they may.  Texts are read one by one, so repeated rows get
+equal spans, an empty table gives an empty result, other columns are not read, and a very
+long text takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ SPANS = "array<struct<kind: string, start: int, end: int>>"
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is matched whole
-TOKEN = re.compile(r"[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# A run without a dot is tried from its start only, so a long one takes time in proportion.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){40,}|(?:[0-9A-F]{2}){40,}")
 ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
@@ -171,21 +174,27 @@ def secret_spans(text: Column) -> Column:
     return scan(text)
 
 
+def cover(text: str, starts: list[int], ends: list[int], mark: str = "[secret]") -> str:
+    """The text with each stretch that spans (in order of their starts) cover replaced by ``mark``."""
+    out, upto = [], 0
+    for start, end in zip(starts, ends):
+        if start >= upto and end > start:
+            out += [text[upto:start], mark]
+        upto = max(upto, end)
+    return "".join(out) + text[upto:]
+
+
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each stretch that spans cover replaced by ``mark``; no spans: as it was."""
-    # Joined stretches: the spans are by start, so a stretch ends where the next start lies beyond all ends.
-    start = F.struct(F.lit(0).alias("upto"), F.lit("").alias("out"))
-
-    def step(done: Column, span: Column) -> Column:
-        fresh = span["start"] >= done["upto"]
-        kept = F.when(fresh, F.substr(text, done["upto"] + 1, span["start"] - done["upto"])).otherwise("")
-        return F.struct(
-            F.greatest(done["upto"], span["end"]).alias("upto"),
-            F.concat(done["out"], kept, F.when(fresh & (span["end"] > span["start"]), mark).otherwise("")).alias("out"),
-        )
-
-    whole = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substr(text, done["upto"] + 1)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    """The text without what spans cover; texts without spans stay as they were."""
+
+    @F.arrow_udf("string")
+    def made(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, starts, ends in batches:
+            rows = zip(texts, starts, ends)
+            yield pa.array([cover(t.as_py(), a.as_py(), b.as_py(), mark) if t.is_valid else None for t, a, b in rows], pa.string())
+
+    some = F.size(spans) > 0
+    return F.when(some, made(F.when(some, text), spans["start"], spans["end"])).otherwise(text)
 
 
 def count_of(spans: Column, kind: str) -> Column:

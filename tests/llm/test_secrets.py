@@ -80,3 +80,24 @@ def test_odd_cases_and_redaction(spark):
     assert got[3] == (3, "", "password: abc")
     assert got[4][1] == "assign:14:26"
     assert got[5][1] == "assign:300000:300030,hex:300006:300030" and got[5][2] == "ab " * 100_000 + "[secret]"
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    for unit in ("aB3_", "a.bb", "AKIA", "0f", "eyJ.", " =", "-----BEGIN PRIVATE KEY-----"):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        secrets.find(text)
+        assert time.time() - began < 10, unit
+    token = jwt({"alg": "HS256"}, {"sub": 1})
+    assert ("jwt", token) in kinds("x" * 1_000_000 + " " + token)
+    assert secrets.cover("abc" * 400_000, list(range(0, 1_200_000, 6)), list(range(2, 1_200_002, 6))).startswith("[secret]cabc[secret]")
+
+
+def test_empty_table_repeats_and_clashing_columns(spark):
+    rows = [(1, "token = abcdefgh", "x"), (1, "token = abcdefgh", "y"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = df.withColumn("spans", secrets.secret_spans(F.col("text"))).withColumn("clean", secrets.redacted(F.col("text"), F.col("spans"))).collect()
+    assert sorted((r.doc_id or 0, len(r.spans), r.clean or "") for r in got) == [(0, 0, ""), (1, 1, "[secret]"), (1, 1, "[secret]")]
+    assert df.limit(0).select(secrets.secret_spans(F.col("text")).alias("s")).count() == 0
