@@ -12,7 +12,9 @@ the ids of each cut are remembered.
 
 Defined cases: null counts as empty and has no ids; special tokens in a text become
 their own ids; unused truncation and padding; ids are little-endian unsigned 32-bit
-integers in one binary value.
+integers in one binary value.  Texts are read one by one, so repeated rows get equal ids, an
+empty table gives an empty result, other columns are not read, and the memory for a long
+text is its ids and a bounded store of parts.
 """
 
 from __future__ import annotations

@@ -333,11 +333,11 @@ def learn(
     sample: int = 4000,
     longest: int = 20_000,
 ) -> Network | None:
-    """Train on at most ``sample`` rows of ``labels`` joined to their texts."""
+    """Train on at most ``sample`` rows, of at most ``longest`` characters each: labels joined to their texts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL")
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for k in (0, 1)]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").orderBy("id", "text").limit(2 * sample).toArrow()
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").orderBy("id", "text").limit(sample).toArrow()
     return fit(rows.column("text").to_pylist(), np.array(rows.column("label").to_pylist(), float))
 
 

@@ -83,3 +83,58 @@ def test_cases(spark):
     assert 0 <= got[100] == got[101] <= 1
     assert tx.learn(docs, labels.where("toxic = 1")) is None
     assert docs.limit(0).select(tx.score(F.col("text"), net)).count() == 0
+
+
+def test_forward_pass_number_by_number():
+    """Gates, states, attention and score of each window in plain Python."""
+    import math
+
+    net, words, rows, mask = small()
+    rng = np.random.default_rng(9)
+    net.p = {k: v + rng.standard_normal(v.shape).astype(np.float32) * 0.1 for k, v in net.p.items()}
+    x = net.inputs(words)
+    got = net.run(net.gates(x), rows, mask)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    squash = lambda v: 1 / (1 + math.exp(-v))
+    n = tx.STATE
+
+    def states(way, seen):
+        h, out = [0.0] * n, {}
+        for t in seen if way == "f" else reversed(seen):
+            v, w, u, b = x[rows[t, k]], p[f"W{way}"], p[f"U{way}"], p[f"b{way}"]
+            gate = [sum(v[i] * w[i, j] for i in range(len(v))) + b[j] for j in range(3 * n)]
+            back = [sum(h[i] * u[i, j] for i in range(n)) for j in range(3 * n)]
+            z = [squash(gate[j] + back[j]) for j in range(n)]
+            r = [squash(gate[n + j] + back[n + j]) for j in range(n)]
+            c = [math.tanh(gate[2 * n + j] + r[j] * back[2 * n + j]) for j in range(n)]
+            h = [c[j] + z[j] * (h[j] - c[j]) for j in range(n)]
+            out[t] = h
+        return out
+
+    for k in range(rows.shape[1]):
+        seen = [t for t in range(len(rows)) if mask[t, k]]
+        one, two = states("f", seen), states("b", seen)
+        both = {t: one[t] + two[t] for t in seen}
+        e = {t: sum(math.tanh(sum(both[t][i] * p["Wa"][i, a] for i in range(2 * n)) + p["ba"][a]) * p["va"][a] for a in range(tx.ATTEND)) for t in seen}
+        top = sum(math.exp(v) for v in e.values())
+        pooled = [sum(math.exp(e[t]) / top * both[t][i] for t in seen) for i in range(2 * n)]
+        assert abs(sum(pooled[i] * p["wo"][i] for i in range(2 * n)) + p["bo"][0] - got[k]) < 1e-4
+
+
+def test_inputs_word_by_word():
+    net, words, *_ = small()
+    for word, got in zip(words, net.inputs(words)):
+        marked = "\x02" + word + "\x03"
+        parts = []
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            h = ((ord(a) * 0x01000193 + ord(b)) * 0x01000193 + ord(c)) % (1 << 32)
+            parts.append(net.p["char"][((h ^ h >> 15) * 0x9E3779B1 % (1 << 32)) >> 21])
+        want = np.concatenate([net.p["word"][net.vocabulary.get(word, 0)], np.mean(parts, axis=0)])
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert tx.learn(docs, spark.createDataFrame([], "doc_id long, toxic int")) is None
+    assert tx.learn(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")) is None
+    assert docs.select(tx.score(F.col("text"), None).alias("s")).first().s == 0.0
