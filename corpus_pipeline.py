@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), decides about each row that its predecessor kept,
 and returns a DataFrame; all but the last return the columns of documents.  Stages are
-written as Parquet into the shared folder and read again.
+written as Parquet into the shared folder and read again, so ``docs`` is always read from
+files, which give the same rows in the same order to every reading.
 """
 
 from __future__ import annotations
@@ -24,7 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to white space, the row with the smallest doc_id."""
-    return exact_dedup.keep_first(docs)
+    return exact_dedup.keep_first(docs, files=True)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have yet, whatever the case of its names."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name = f"_{name}"
+    return name
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,28 +42,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are told apart by a key of their own, as ids may be null or occur twice; it is stored
     with them, so that each reading finds the same.
     """
-    keyed = stored(docs.withColumn("_key", F.monotonically_increasing_id()))
-    groups = ngram_join.ngram_groups(keyed, "_key").select("_key", "component_id").join(keyed.select("_key", "doc_id"), "_key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")).alias("first")
-    stay = groups.groupBy("component_id").agg(first).select(F.col("first._key").alias("_key"))
-    return keyed.join(stay, "_key", "left_semi").select(docs.columns)
+    key = free_name(docs, "_key")
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = ngram_join.ngram_groups(keyed, key).select(key, "component_id").join(keyed.select(key, "doc_id"), key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(key).alias("key"))).alias("first")
+    stay = groups.groupBy("component_id").agg(first).select(F.col("first.key").alias(key))
+    return keyed.join(stay, key, "left_semi").select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the stretches that hold secrets replaced and its length counted anew."""
-    found = docs.withColumn("_found", secrets.secret_spans(F.col("text")))
-    clean = secrets.redacted(F.col("text"), F.col("_found"))
-    changed = F.size("_found") > 0
-    return found.select(
-        *(
-            clean.alias(c)
-            if c == "text"
-            else F.when(changed, F.length(clean).cast(t)).otherwise(F.col(c)).alias(c)
-            if c == "n_chars"
-            else F.col(c)
-            for c, t in docs.dtypes
-        )
-    )
+    spans = free_name(docs, "_spans")
+    found = docs.withColumn(spans, secrets.secret_spans(F.col("text")))
+    clean, changed = secrets.redacted(F.col("text"), F.col(spans)), F.size(spans) > 0
+    told = {"text": clean, "n_chars": F.when(changed, F.length(clean)).otherwise(F.col("n_chars"))}
+    return found.select(*(told[c].cast(t).alias(c) if c in told else F.col(c) for c, t in docs.dtypes))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
