@@ -1,11 +1,12 @@
 """Small policy tables that callers may replace; the defaults are fixed values.
 
-Each function gives a DataFrame of bounded size (it is written out here), so operators
-broadcast it.
+Each function gives a local table whose size Spark knows, so joins with it become broadcasts
+while it is small, and a caller's large table is joined by a shuffle.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Words that a question's terms leave out.
@@ -28,14 +29,40 @@ ALIASES = {
     "پروژه": ["app", "application", "برنامه"],
     "database": ["دیتابیس"],
     "databases": ["دیتابیس"],
+    "deploy": DEPLOY,
+    "deployed": DEPLOY,
+    "deployment": DEPLOY,
+    "استقرار": DEPLOY,
+    "دیپلوی": DEPLOY,
+    "مستقر": DEPLOY,
     "domain": ["دامنه"],
     "domains": ["دامنه"],
     "email": ["ایمیل"],
-    **dict.fromkeys(["deploy", "deployed", "deployment", "استقرار", "دیپلوی", "مستقر"], DEPLOY),
-    **dict.fromkeys(["next.js", "nextjs", "next", "نکست"], NEXT),
-    **dict.fromkeys(["env", "environment", "variable", "variables", "متغیر", "متغیرهای", "محیطی"], ENVIRONMENT),
-    **dict.fromkeys(["build", "built", "بیلد"], BUILD),
-    **dict.fromkeys(["log", "logging", "logs", "error", "errors", "fail", "failed", "failure", "خطا", "مشکل", "لاگ"], FAILURE),
+    "next.js": NEXT,
+    "nextjs": NEXT,
+    "next": NEXT,
+    "نکست": NEXT,
+    "env": ENVIRONMENT,
+    "environment": ENVIRONMENT,
+    "variable": ENVIRONMENT,
+    "variables": ENVIRONMENT,
+    "متغیر": ENVIRONMENT,
+    "متغیرهای": ENVIRONMENT,
+    "محیطی": ENVIRONMENT,
+    "build": BUILD,
+    "built": BUILD,
+    "بیلد": BUILD,
+    "log": FAILURE,
+    "logging": FAILURE,
+    "logs": FAILURE,
+    "error": FAILURE,
+    "errors": FAILURE,
+    "fail": FAILURE,
+    "failed": FAILURE,
+    "failure": FAILURE,
+    "خطا": FAILURE,
+    "مشکل": FAILURE,
+    "لاگ": FAILURE,
 }
 
 # Phrases and patterns of questions that need no retrieval, by intent, in order.
@@ -91,34 +118,47 @@ FAILURES = [
 ]
 
 
+KINDS = {int: pa.int32(), bool: pa.bool_(), str: pa.string(), float: pa.float64()}
+
+
+def written(spark: SparkSession, rows: list[tuple], **columns: type) -> DataFrame:
+    """A table written out here; Spark knows its size and so decides by it whether to broadcast it."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], KINDS[kind]) for k, (name, kind) in enumerate(columns.items())}))
+
+
 def stopwords(spark: SparkSession, words: list[str] | None = None) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in (STOPWORDS if words is None else words)], "term string")
+    return written(spark, [(w,) for w in (STOPWORDS if words is None else words)], term=str)
 
 
 def aliases(spark: SparkSession, groups: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows of term, place and alias (a text of one or more words)."""
     found = ALIASES if groups is None else groups
-    return spark.createDataFrame([(t, k, a) for t, own in found.items() for k, a in enumerate(own)], "term string, place int, alias string")
+    return written(spark, [(t, k, a) for t, own in found.items() for k, a in enumerate(own)], term=str, place=int, alias=str)
 
 
 def taxonomy(spark: SparkSession, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """Rows of category, segment and kind (framework or service)."""
     found = rows if rows is not None else [("paas", f, "framework") for f in FRAMEWORKS] + [("dbaas", s, "service") for s in SERVICES]
-    return spark.createDataFrame(found, "category string, segment string, kind string")
+    return written(spark, found, category=str, segment=str, kind=str)
 
 
 def categories(spark: SparkSession, names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "category string")
+    return written(spark, [(n,) for n in names], category=str)
 
 
 def origins(spark: SparkSession, rows: list[tuple[str, str | None]]) -> DataFrame:
     """Hosts that links may name, with the path that they must lie under, if any."""
-    return spark.createDataFrame(rows, "host string, path_prefix string")
+    return written(spark, rows, host=str, path_prefix=str)
 
 
 def intents(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, i, k) for k, (i, own) in enumerate(INTENTS.items()) for p in own], "phrase string, intent string, turn int")
+    return written(spark, [(p, i, k) for k, (i, own) in enumerate(INTENTS.items()) for p in own], phrase=str, intent=str, turn=int)
 
 
 def failures(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FAILURES, "cause string, phase string, code string, status int, retryable boolean")
+    return written(spark, FAILURES, cause=str, phase=str, code=str, status=int, retryable=bool)
+
+
+def prices(spark: SparkSession, rows: list[tuple[str, str, float, float]]) -> DataFrame:
+    """Prices of a token that goes in and of one that comes out, by provider and model."""
+    return written(spark, rows, provider=str, model=str, input_price=float, output_price=float)

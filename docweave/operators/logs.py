@@ -88,7 +88,7 @@ def timeouts(log: DataFrame, limit_ms: int = 45_000, first_chunk_ms: int | None
 def classify_failures(failures: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Adds code, status and retryable to rows of cause and phase; unknown causes fall back by phase."""
     table = known if known is not None else dims.failures(failures.sparkSession)
-    near = failures.join(F.broadcast(table), ["cause", "phase"], "left")
+    near = failures.join(table, ["cause", "phase"], "left")
     stream = F.col("phase") == "streaming"
     return near.withColumns(
         {
@@ -110,7 +110,7 @@ def token_usage(usage: DataFrame, prices: DataFrame, window: str = "1 day") -> D
     """Tokens and cost by window, provider and model; prices are per token."""
     sums = usage.groupBy(F.window("ts", window).alias("w"), "provider", "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     cost = F.col("input_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(0.0))
-    return sums.join(F.broadcast(prices), ["provider", "model"], "left").select(
+    return sums.join(prices, ["provider", "model"], "left").select(
         F.col("w.start").alias("window_start"), "provider", "model", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), cost.alias("cost")
     )
 

@@ -28,7 +28,7 @@ def parse_path(files: DataFrame, root: tuple[str, ...] = ("src", "pages"), suffi
 def check_category(parsed: DataFrame, categories: DataFrame) -> DataFrame:
     """Adds ``category``; a path outside the list is rejected as ``UNSUPPORTED_CATEGORY``."""
     known = categories.select(F.col("category").alias("_known"))
-    near = parsed.join(F.broadcast(known), F.get("segments", F.lit(0)) == F.col("_known"), "left")
+    near = parsed.join(known, F.get("segments", F.lit(0)) == F.col("_known"), "left")
     lost = F.col("reject_code").isNull() & F.col("_known").isNull()
     return near.withColumn("reject_code", F.when(lost, F.lit("UNSUPPORTED_CATEGORY")).otherwise(F.col("reject_code"))).withColumnRenamed("_known", "category")
 
@@ -37,7 +37,7 @@ def classify(parsed: DataFrame, taxonomy: DataFrame, one_click: str = "one-click
     """Adds framework and service from the second segment."""
     known = taxonomy.select(F.col("category").alias("_c"), F.col("segment").alias("_s"), "kind")
     second = F.get("segments", F.lit(1))
-    near = parsed.join(F.broadcast(known), (F.col("category") == F.col("_c")) & (second == F.col("_s")), "left")
+    near = parsed.join(known, (F.col("category") == F.col("_c")) & (second == F.col("_s")), "left")
     own = (F.col("category") == one_click) & (second != "about") & (F.size("segments") >= 3)
     return (
         near.withColumn("framework", F.when(F.col("kind") == "framework", second))
@@ -81,7 +81,7 @@ def with_allowlisted(rows: DataFrame, origins: DataFrame, url_col: str = "url")
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     under = F.col("_prefix").isNull() | (path == F.col("_prefix")) | path.startswith(F.concat("_prefix", F.lit("/")))
     ok = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.col("_host").isNotNull() & under
-    return rows.join(F.broadcast(known), host_of(url) == F.col("_host"), "left").withColumn("allowlisted", F.coalesce(ok, F.lit(False))).drop("_host", "_prefix")
+    return rows.join(known, host_of(url) == F.col("_host"), "left").withColumn("allowlisted", F.coalesce(ok, F.lit(False))).drop("_host", "_prefix")
 
 
 def safe_link(label: Column, url: Column) -> Column:

@@ -27,7 +27,7 @@ NEAR_TOKENS, NEAR_JACCARD, NEAR_LENGTH = 20, 0.95, 0.85
 def question_terms(questions: DataFrame, stopwords: DataFrame, composed: bool = False) -> DataFrame:
     """Rows of question_id, group_no (its place) and term; stopwords left out, repeats kept."""
     each = questions.select("question_id", F.posexplode(terms(normalize_text(F.col("text"), composed))).alias("group_no", "term"))
-    return each.join(F.broadcast(stopwords), "term", "left_anti").select("question_id", "group_no", "term")
+    return each.join(stopwords, "term", "left_anti").select("question_id", "group_no", "term")
 
 
 def expand_aliases(found: DataFrame, aliases: DataFrame, composed: bool = False) -> DataFrame:
@@ -35,7 +35,7 @@ def expand_aliases(found: DataFrame, aliases: DataFrame, composed: bool = False)
     own = aliases.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("place", "alias"))).alias("a"))
     own = own.select("term", F.transform("a", lambda x: normalize_text(x["alias"], True)).alias("said"))
     more = F.flatten(F.transform(F.coalesce("said", F.array().cast("array<string>")), tokens_of))
-    return found.join(F.broadcast(own), "term", "left").select(
+    return found.join(own, "term", "left").select(
         "question_id", "group_no", "term", F.array_distinct(F.concat(tokens_of(F.col("term")), more)).alias("tokens")
     )
 

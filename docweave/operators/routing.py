@@ -22,7 +22,7 @@ def direct_intent(requests: DataFrame, intents: DataFrame, composed: bool = Fals
     """Adds ``intent``: greeting, thanks, acknowledgement or meta, in that order, else null."""
     rows = requests.withColumn("_intent", normalize_intent(F.coalesce("message", F.lit("")), composed))
     known = intents.select(F.col("phrase").alias("_intent"), F.col("intent").alias("_said"))
-    near = rows.join(F.broadcast(known), "_intent", "left")
+    near = rows.join(known, "_intent", "left")
     meta = F.lit(False)
     for pattern in dims.META_PATTERNS:
         meta = meta | F.col("_intent").rlike(pattern)

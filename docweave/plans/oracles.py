@@ -40,6 +40,7 @@ paths AS (SELECT m.doc_id, m.pos, string_agg(h.text, ' > ' ORDER BY h.pos) AS he
   WHERE NOT EXISTS (SELECT 1 FROM heads g WHERE g.doc_id = m.doc_id AND g.pos > h.pos AND g.pos <= m.pos AND g.level <= h.level) GROUP BY ALL),
 bodies AS (SELECT i.doc_id, i.pos, (SELECT max(h.pos) FROM heads h WHERE h.doc_id = i.doc_id AND h.pos <= i.pos) AS head FROM items i WHERE kind <> 'heading'),
 counted AS (SELECT doc_id, head, count(*) AS n_blocks FROM bodies GROUP BY ALL),
+numbered AS (SELECT doc_id, head, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(head, -1)) - 1 AS INT) AS section_order FROM counted),
 sections AS (SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY coalesce(c.head, -1)) - 1 AS INT) AS section_order, h.text AS heading, coalesce(heading_path, '') AS heading_path, CAST(NULL AS VARCHAR) AS anchor, n_blocks
   FROM counted c LEFT JOIN heads h ON h.doc_id = c.doc_id AND h.pos = c.head LEFT JOIN paths p ON p.doc_id = c.doc_id AND p.pos = c.head)
 """
@@ -80,9 +81,13 @@ WHOLE_TAIL = f"coalesce(list_max(list_filter(range(1, len(held) + 1), lambda k:
 SUFFIX = f"trim(CASE WHEN contains(right(held[-1], 240), ' ') THEN substr(right(held[-1], 240), strpos(right(held[-1], 240), ' ') + 1) ELSE right(held[-1], 240) END, {WHITE})"
 
 
-def packed_sql(toks_of_content: str) -> str:
+LINES = "tl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS block_no FROM documents)"
+
+
+def packed_sql(toks_of_content: str, blocks: str = LINES) -> str:
+    """Chunks of the text blocks tl (doc_id, block_no, text); a code block may only be its document's last."""
     return f"""
-tl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS block_no FROM documents),
+{blocks},
 {split_sql("tp", "tl", "doc_id, block_no")},
 units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, part) AS i, content AS u FROM tp WHERE part > 0),
 walk AS (

@@ -99,11 +99,14 @@ def token_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.token_frequencies(docs, "doc_id")
 
 
-@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{Arabic}\p{Hebrew}]')) AS r, len(regexp_extract_all(text, '\p{Latin}')) AS l FROM documents)
-SELECT doc_id, CASE WHEN r > l THEN 'rtl' ELSE 'ltr' END AS direction, false AS persian FROM c""")
+@query(r"""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{Arabic}\p{Hebrew}]')) AS r, len(regexp_extract_all(text, '\p{Latin}')) AS l, doc_id % 3 = 1 OR (doc_id % 3 = 2 AND doc_id % 2 = 0) AS persian FROM documents)
+SELECT doc_id, CASE WHEN r > l THEN 'rtl' ELSE 'ltr' END AS direction, persian FROM c""")
 def text_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ad.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.text_direction(F.col("text")).alias("direction"), text.is_persian(F.col("text"), F.lit(None).cast("string")).alias("persian"))
+    """Texts of one kind of id ask for Persian, of another kind hold a Persian word at times; no text of the tables does."""
+    docs, k = ad.table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    wish = F.when(k == 0, F.lit("en")).when(k == 1, F.lit(" FA-ir "))
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", "text", F.lit("سلام"))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.text_direction(F.col("text")).alias("direction"), text.is_persian(said, wish).alias("persian"))
 
 
 # The spans in the SQL's own words: links and www names to the next white space, angle or bracket; drive and absolute paths; addresses.
@@ -330,10 +333,11 @@ def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.question_terms(ad.questions(spark, sf_dir), dims.stopwords(spark), composed=True)
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT question_id, token FROM scoring")
+@query(f"WITH {QUESTIONS_SQL} SELECT question_id, token, pos AS place FROM scoring")
 def scoring_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = ranking.question_terms(ad.questions(spark, sf_dir), dims.stopwords(spark), composed=True)
-    return ranking.scoring_tokens(ranking.expand_aliases(terms, dims.aliases(spark))).select("question_id", "token")
+    tokens = ranking.scoring_tokens(ranking.expand_aliases(terms, dims.aliases(spark)))
+    return tokens.select("question_id", "token", (F.col("pos.group_no") * 1000 + F.col("pos.at") + 1).cast("long").alias("place"))
 
 
 RANK_SQL = f"""{CHUNKS_SQL}, {QUESTIONS_SQL},
@@ -622,20 +626,33 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {HISTORY_SQL}, n AS (SELECT date_trunc('day', max(ts)) AS today FROM events)
-SELECT conv_id, CASE WHEN date_trunc('day', make_timestamp(updated_ms * 1000)) = today THEN 'Today' WHEN date_trunc('day', make_timestamp(updated_ms * 1000)) = today - INTERVAL 1 DAY THEN 'Yesterday' ELSE 'Older' END AS "group" FROM h, n""")
+SELECT conv_id, CASE WHEN date_trunc('day', make_timestamp(updated_ms * 1000)) = today THEN 'Today' WHEN date_trunc('day', make_timestamp(updated_ms * 1000)) = today - INTERVAL 1 DAY THEN 'Yesterday' ELSE 'Older' END AS "group",
+ row_number() OVER (PARTITION BY CASE WHEN date_trunc('day', make_timestamp(updated_ms * 1000)) = today THEN 0 WHEN date_trunc('day', make_timestamp(updated_ms * 1000)) = today - INTERVAL 1 DAY THEN 1 ELSE 2 END ORDER BY pinned DESC, updated_ms DESC, conv_id) AS place FROM h, n""")
 def group_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = ad.events(spark, sf_dir).agg(F.max("ts").alias("now"))
     rows = conversations.apply_history_events(history_events(spark, sf_dir)).crossJoin(F.broadcast(now))
-    return conversations.group_conversations(rows, F.col("now")).select("conv_id", "group")
+    return conversations.group_conversations(rows, F.col("now")).select("conv_id", "group", "place")
+
+
+REQUEST_SQL = """b AS (SELECT conv_id * 1000 + turn AS request_id, turn % 4 AS k, conv_id % 5 AS c, text FROM conversations),
+bodies AS (SELECT *, '{"version":"' || CASE k WHEN 2 THEN '2' ELSE '1' END || '","conversationId":"' || CASE k WHEN 3 THEN '-bad-' ELSE 'conv-1' END || '","message":' || to_json(CASE WHEN k = 3 THEN chr(10) || ' ' ELSE coalesce(text, '') END) ||
+ CASE c WHEN 1 THEN ',"recentContext":[{"role":"user","content":"one"}],"userContext":{"framework":"django"}' WHEN 2 THEN ',"recentContext":[{"role":"system","content":"one"}]' WHEN 3 THEN ',"userContext":{"framework":" "}'
+ WHEN 4 THEN ',"recentContext":[{"role":"user","content":"one","more":1}]' ELSE '' END || CASE k WHEN 1 THEN ',"extra":"x"' ELSE '' END || '}' AS body FROM b)"""
 
 
-@query("""SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 = 1 THEN 'unknown_field' WHEN turn % 4 = 2 THEN 'bad_version' ELSE 'bad_conversation_id,bad_message' END AS codes FROM conversations""")
+@query(f"""WITH {REQUEST_SQL} SELECT request_id, concat_ws(',', CASE WHEN strlen(body) > 16384 THEN 'body_too_large' END, CASE WHEN k = 1 THEN 'unknown_field' END, CASE WHEN k = 2 THEN 'bad_version' END,
+ CASE WHEN k = 3 THEN 'bad_conversation_id' END, CASE WHEN k = 3 OR length(trim(coalesce(text, ''), {oracles.WHITE})) NOT BETWEEN 1 AND 8000 THEN 'bad_message' END, CASE WHEN c IN (2, 4) THEN 'bad_recent' END, CASE WHEN c = 3 THEN 'bad_user_context' END) AS codes FROM bodies""")
 def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with the whole texts as messages; the SQL holds for texts within the limits, as those of the tables are."""
-    t, k = ad.table(spark, sf_dir, "conversations"), F.col("turn") % 4
+    """Requests with the whole texts as messages; recent messages and contexts by conversation, some spoilt."""
+    t, k, c = ad.table(spark, sf_dir, "conversations"), F.col("turn") % 4, F.col("conv_id") % 5
+    none = F.lit(None).cast("string")
+    message = lambda role, more: F.array(F.struct(F.lit(role).alias("role"), F.lit("one").alias("content"), more.alias("more")))
     body = F.to_json(F.struct(
         F.when(k == 2, F.lit("2")).otherwise(F.lit("1")).alias("version"), F.when(k == 3, F.lit("-bad-")).otherwise(F.lit("conv-1")).alias("conversationId"),
-        F.when(k == 3, F.lit("  ")).otherwise(F.col("text")).alias("message"), F.when(k == 1, F.lit("x")).alias("extra"),
+        F.when(k == 3, F.lit("\n ")).otherwise(F.coalesce("text", F.lit(""))).alias("message"),
+        F.when(c == 1, message("user", none)).when(c == 2, message("system", none)).when(c == 4, message("user", F.lit("1"))).alias("recentContext"),
+        F.when(c == 1, F.struct(F.lit("django").alias("framework"))).when(c == 3, F.struct(F.lit(" ").alias("framework"))).alias("userContext"),
+        F.when(k == 1, F.lit("x")).alias("extra"),
     ))
     good, bad = conversations.validate_requests(t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), body.alias("body")))
     return good.select("request_id", F.lit("").alias("codes")).unionByName(bad.select("request_id", F.array_join("codes", ",").alias("codes")))
@@ -646,34 +663,42 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAY = 86_400_000
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id AS request_id, user_id AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+REPLAY_SQL = """WITH RECURSIVE e AS (SELECT event_id AS request_id, user_id AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT request_id, key, ms, i, 1 AS n, ms + 86400000 AS reset, true AS allowed, CAST(0 AS BIGINT) AS wait FROM e WHERE i = 1
 UNION ALL SELECT e.request_id, e.key, e.ms, e.i, CASE WHEN r.reset <= e.ms THEN 1 WHEN r.n >= 2 THEN r.n ELSE r.n + 1 END, CASE WHEN r.reset <= e.ms THEN e.ms + 86400000 ELSE r.reset END,
- r.reset <= e.ms OR r.n < 2, CASE WHEN r.reset <= e.ms OR r.n < 2 THEN 0 ELSE greatest(1, r.reset - e.ms) END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)
-SELECT request_id, allowed, wait AS retry_after_ms, CASE WHEN allowed THEN 0 ELSE CAST(greatest(1, ceil(wait / 1000)) AS INT) END AS retry_after_s FROM r""")
+ r.reset <= e.ms OR r.n < 2, CASE WHEN r.reset <= e.ms OR r.n < 2 THEN 0 ELSE greatest(1, r.reset - e.ms) END FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1)"""
+
+
+@query(f"{REPLAY_SQL} SELECT request_id, allowed, wait AS retry_after_ms, CASE WHEN allowed THEN 0 ELSE CAST(greatest(1, ceil(wait / 1000)) AS INT) END AS retry_after_s FROM r")
 def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = logs.rate_limit_replay(ad.events(spark, sf_dir), 2, DAY)
     wait = F.when(F.col("allowed"), F.lit(0)).otherwise(logs.retry_after_seconds(F.col("retry_after_ms")))
     return got.select("request_id", "allowed", "retry_after_ms", wait.alias("retry_after_s"))
 
 
+def streamed(made: DataFrame, path: str) -> None:
+    """Runs a stream over what there is and writes its rows as Parquet."""
+    made.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+
+
 def replayed(spark: SparkSession, path: str, schema, **limits) -> DataFrame:
-    """A table read as a stream through the rate limiter, written to the shared folder and read back."""
-    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key, None)
-    e = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: the table may be one file
+    """A table read as a stream through the rate limiter, written to the shared folder and read back.
+
+    A session of its own has the state store that the limiter needs; other settings stay as they are.
+    """
+    own = spark.newSession()
+    for key, value in {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}.items():
+        own.conf.set(f"spark.sql.streaming.{key}", value)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    e = own.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: the table may be one file
     asked = e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    try:
-        spark.conf.set(key, store)
-        made = chat_log_stream.rate_limit_stream(asked, **limits)
-        made.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(f"{out}-rows").awaitTermination()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return spark.read.parquet(f"{out}-rows")
+    streamed(chat_log_stream.rate_limit_stream(asked, **limits), out)
+    return spark.read.parquet(out)
 
 
-@query(ORACLES["rate_limit_replay"].replace("wait AS retry_after_ms, CASE", "wait AS retry_after_ms --, CASE").replace(" END AS retry_after_s FROM r", " END AS retry_after_s\nFROM r"))
+@query(f"{REPLAY_SQL} SELECT request_id, allowed, wait AS retry_after_ms FROM r")
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions as the replay, by the stateful stream."""
     path = f"{sf_dir}/events.parquet"
@@ -723,10 +748,10 @@ def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.timeouts(chat_log(spark, sf_dir)).select("request_id", "error_code", "broke")
 
 
-@query(f"WITH {ENDED_SQL} SELECT epoch_ms(date_trunc('day', started_at)) AS window_ms, outcome, error_code, count(*) AS n, coalesce(round(avg(duration_ms), 6), -1e0) AS mean_ms, coalesce(max(duration_ms), -1) AS max_ms FROM l GROUP BY ALL")
+@query(f"WITH {ENDED_SQL} SELECT epoch_ms(date_trunc('day', started_at)) AS window_ms, outcome, error_code, count(*) AS n, coalesce(round(avg(duration_ms), 6), -1e0) AS mean_ms, coalesce(max(duration_ms), -1) AS max_ms, coalesce(quantile_disc(duration_ms, 0.95), -1) AS p95_ms FROM l GROUP BY ALL")
 def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = logs.outcome_rates(logs.lifecycle(chat_log(spark, sf_dir)))
-    return got.select(F.unix_millis("window_start").alias("window_ms"), "outcome", "error_code", "n", F.coalesce(F.round("mean_ms", 6), F.lit(-1.0)).alias("mean_ms"), F.coalesce("max_ms", F.lit(-1)).alias("max_ms"))
+    return got.select(F.unix_millis("window_start").alias("window_ms"), "outcome", "error_code", "n", F.coalesce(F.round("mean_ms", 6), F.lit(-1.0)).alias("mean_ms"), F.coalesce("max_ms", F.lit(-1)).alias("max_ms"), F.coalesce("p95_ms", F.lit(-1)).alias("p95_ms"))
 
 
 @query("""WITH u AS (SELECT epoch_ms(date_trunc('day', ts)) AS window_ms, event_type AS model, CAST(json_extract(props, '$.k') AS BIGINT) AS i, event_id % 100 AS o FROM events)
@@ -734,7 +759,7 @@ SELECT window_ms, model, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.events(spark, sf_dir)
     usage = e.select("ts", F.lit("p").alias("provider"), F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("long").alias("input_tokens"), (F.col("request_id") % 100).alias("output_tokens"))
-    prices = spark.createDataFrame([("p", m, 2.0, 6.0) for m in ("click", "signup", "purchase", "error")], "provider string, model string, input_price double, output_price double")
+    prices = dims.prices(spark, [("p", m, 2.0, 6.0) for m in ("click", "signup", "purchase", "error")])
     got = logs.token_usage(usage, prices)
     return got.select(F.unix_millis("window_start").alias("window_ms"), "model", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"))
 
@@ -755,12 +780,4 @@ def classify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.classify_failures(e.select("request_id", cause.alias("cause"), phase.alias("phase"))).select("request_id", "code", "status", "retryable")
 
 
-@query("""SELECT 'files' AS what, '' AS detail, count(*) AS n FROM documents UNION ALL SELECT 'documents', '', count(*) FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'chunks', '', count(*) FROM documents WHERE doc_id % 5 <> 0
-UNION ALL SELECT 'skipped', CASE WHEN doc_id % 3 = 0 THEN 'empty_source' ELSE 'no_retrievable_content' END, count(*) FROM documents WHERE doc_id % 5 = 0 GROUP BY 2
-UNION ALL SELECT 'diagnostics', 'duplicate_section_anchor', count(*) FROM documents WHERE doc_id % 4 = 0""")
-def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = ad.files(spark, sf_dir)
-    good = files.where("doc_id % 5 != 0")
-    lost = files.where("doc_id % 5 = 0").select(F.when(F.col("doc_id") % 3 == 0, "empty_source").otherwise("no_retrievable_content").alias("reason"))
-    notes = files.where("doc_id % 4 = 0").select(F.lit("duplicate_section_anchor").alias("code"))
-    return audits.corpus_counts(files, good, good, lost, notes)
+from docweave.plans import further  # noqa: E402, F401  (registers the remaining queries)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,27 +28,65 @@ def share_code(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of this machine only where none is named (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; one of this machine only for a local master that names none (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-")
-        )
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docweave-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table, to cut its lineage; Spark removes the files when it is no longer used."""
+    """Checkpoint a small table, to cut its lineage.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files when the table
+    is no longer used.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Folders stored within each open ``scratch`` of this thread.
+_open = threading.local()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table as Parquet into the shared folder and read it back.
 
     For tables that are read several times: the files are compressed and columns that a
-    reader doesn't need are not read.  They stay until the folder is cleared.
+    reader doesn't need are not read.  They stay until the ``scratch`` around ends or, without
+    one, until the folder is cleared.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    for folders in getattr(_open, "stack", [])[-1:]:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is removed at the end: for jobs whose result is written before that."""
+    stack = _open.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove(spark, path)
+
+
+def kept(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` plans, written to ``path`` and read back; what it stored on the way is removed."""
+    with scratch(spark):
+        made = make()
+        made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
