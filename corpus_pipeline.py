@@ -8,13 +8,15 @@ files, which give the same rows in the same order to every reading.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from docweave.llm import exact_dedup, ngram_join, packing, secrets, toxicity
 from docweave.llm.queries import table, toxicity_network
-from docweave.session import share_code, stored
+from docweave.session import kept, remove, share_code, shared_folder, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(share_code(spark), sf_dir, "documents")
+    """The stages one after the other; what a stage read or stored on its way is removed once its result is written."""
+    docs, before = table(share_code(spark), sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        docs = kept(spark, path, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
