@@ -38,16 +38,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table, to cut its lineage.
-
-    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files when the table
-    is no longer used.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Folders stored within each open ``scratch`` of this thread.
 _open = threading.local()
 
@@ -66,6 +56,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table, as loops need it at each turn.
+
+    A written table: unlike a checkpoint's, its size is that of its files, so Spark broadcasts small
+    ones, and its estimates don't multiply from turn to turn.
+    """
+    return stored(df)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import dims, text
 from docweave.functions.identity import digest_id, section_id
-from docweave.operators import audits, chunking, conversations, evidence, logs, policy, ranking, routing, structure
+from docweave.operators import audits, chunking, conversations, evidence, index, logs, policy, ranking, routing, structure
 from docweave.sources import corpus, history
 from docweave.streaming import chat_log
 
@@ -344,3 +344,81 @@ def test_streams_of_the_log(rocks, tmp_path):
     assert run(chat_log.outcome_rate_stream(base), "rates", spark).count() >= 1
     firsts = run(chat_log.first_requests(read().withColumn("client_request_id", F.col("request_id"))), "firsts", spark)
     assert firsts.count() == 5
+
+
+def test_scratch_removes_what_was_stored(spark):
+    import os
+
+    from docweave import session
+
+    rows = spark.range(3)
+    with session.scratch(spark):
+        one = session.stored(rows)
+        inner = session.kept(spark, f"{session.shared_folder(spark)}/kept-table", lambda: session.stored(one))
+        paths = [f.removeprefix("file:").removeprefix("//") for f in one.inputFiles()]
+        assert all(map(os.path.exists, paths)) and inner.count() == 3
+    assert not any(map(os.path.exists, paths)) and inner.count() == 3
+    session.remove(spark, f"{session.shared_folder(spark)}/kept-table")
+
+
+def test_index_of_a_revision(spark, tmp_path):
+    rows = [(k, k, None, "nodejs", f"Title {k}", f"alpha beta number{k} next.js") for k in range(12)]
+    fields = index.index_fields(chunk(spark, rows))
+    for revision in ("r1", "r2"):
+        index.write_index(fields if revision == "r1" else fields.where("chunk_id < 3"), str(tmp_path), revision)
+    back, found = index.read_index(spark, str(tmp_path), "r1")
+    want = index.postings(fields)
+    assert found.select(want.columns).exceptAll(want).count() == 0 and found.count() == want.count() and back.count() == 12
+    assert index.read_index(spark, str(tmp_path), "r2")[0].count() == 3
+
+
+def test_texts_that_hold_a_question(spark):
+    texts = spark.createDataFrame([(1, "say one two\tthree now"), (2, "one two"), (3, "x one twofold"), (4, "bar foo"), (5, ""), (6, None), (7, "xone two threefold")], "chunk_id long, text string")
+    asked = [(1, "one two\tthree"), (2, "one two"), (3, "foo"), (4, "absent words here"), (5, ""), (6, None)]
+    got = audits.holding(texts, spark.createDataFrame(asked, "question_id long, text string")).collect()
+    want = {(q, c) for q, a in asked for c, t in [(r.chunk_id, r.text) for r in texts.collect()] if a and t and a in t}
+    assert {(r.question_id, r.chunk_id) for r in got} == want and len(want) == 6
+
+
+def test_walk_in_stretches(spark):
+    """Short stretches give what one long walk gives, and what a plain loop gives."""
+    import random
+
+    pick = random.Random(2)
+    bodies = [" ".join(f"w{b}x{k}" for k in range(30)) for b in range(9)] + ["short text", ""]
+    rows, texts = [], {}
+    for i in range(60):
+        b = pick.randrange(len(bodies))
+        texts[i] = bodies[b] + (f" extra{i}" if b < 9 and pick.random() < 0.5 else "")
+    near = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split())) >= 0.95 if min(len(set(x.split())), len(set(y.split()))) >= 20 else False
+    made = chunk(spark, [(i, i % 50, i % 3 if i % 2 else None, "go", f"t{i}", t) for i, t in texts.items()])
+    fields = index.index_fields(made).cache()
+    for q in range(3):
+        for i in pick.sample(range(60), 45):
+            rows.append((q, i, i % 50, i % 3 if i % 2 else None, f"p{i}", 0, [3, 20, 8][q], ["t"], round(pick.random(), 6)))
+    kinds = "question_id long, chunk_id long, document_id long, section_id long, path string, chunk_order int, limit int, matched_terms array<string>, score double"
+    scored = spark.createDataFrame(rows, kinds).join(fields.select("chunk_id", "body_hash", (F.col("body_text") == "").alias("body_empty")), "chunk_id").cache()
+    want = set()
+    for q in range(3):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[8], r[4])):
+            apart = lambda k: k[2] == r[2] and k[3] is not None and r[3] is not None and k[3] != r[3]  # noqa: E731, B023
+            same = lambda k: (texts[k[1]] == texts[r[1]] != "") or near(texts[k[1]], texts[r[1]])  # noqa: E731, B023
+            if len(kept) < r[6] and not any(not apart(k) and same(k) for k in kept):
+                kept.append(r)
+        want |= {(q, n + 1, r[1]) for n, r in enumerate(kept)}
+    for first in (4, 100):
+        got = {(r.question_id, r.rank, r.chunk_id) for r in ranking.suppress_duplicates(scored, fields, first).collect()}
+        assert got == want
+
+
+def test_places_of_groups(spark):
+    rows = [(k, f"2024-01-{10 - k % 4:02d} 10:{k % 7:02d}:{k % 5:02d}", k % 6 == 0) for k in range(80)]
+    table = spark.createDataFrame(rows, "conv_id long, at string, pinned boolean").select("conv_id", F.to_timestamp("at").alias("updated_at"), "pinned")
+    got = {(r.conv_id, r.group, r.place) for r in conversations.group_conversations(table, F.to_timestamp(F.lit("2024-01-10 23:00:00"))).collect()}
+    day = {"2024-01-10": "Today", "2024-01-09": "Yesterday"}
+    want = set()
+    for name in ("Today", "Yesterday", "Older"):
+        own = sorted((r for r in sorted(rows) if day.get(r[1][:10], "Older") == name), key=lambda r: r[1], reverse=True)
+        want |= {(r[0], name, n + 1) for n, r in enumerate(sorted(own, key=lambda r: not r[2]))}
+    assert got == want
