@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from docweave.llm.chat_format import digests, format_chat, loss_text, read_turns
-from docweave.llm.exact_dedup import exact_dedup, keep_first
+from docweave.llm.exact_dedup import exact_dedup, keep_first, normal_text
 
 DOCS = "doc_id long, text string, lang string, keep_id long"
 
@@ -29,6 +29,22 @@ def test_keep_first_keeps_one_row_of_repeats(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
 
 
+def test_keep_first_of_an_input_without_order(spark):
+    rows = [(k % 7, f"text  {k % 5}" if k % 2 else f"text {k % 5}", "x", k) for k in range(200)]
+    shuffled = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = keep_first(shuffled).collect()
+    assert sorted((r.doc_id, " ".join(r.text.split())) for r in got) == [(0, f"text {k}") for k in range(5)]
+    assert keep_first(shuffled.limit(0)).count() == 0
+
+
+def test_white_space_runs(spark):
+    import itertools
+
+    texts = ["".join(t) for n in range(6) for t in itertools.product("a \t", repeat=n)] + ["a\x0b\x0c\r\n b", "\u00a0 a", " " * 100_000 + "x"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("n", normal_text(F.col("t"))).collect()
+    assert all(r.n == re.sub(r"[\x20\x09-\x0D]+", " ", r.t) for r in rows)
+
+
 TALK = "conv_id long, turn long, role string, text string, formatted string"
 SAID = [
     (1, 2, "assistant", "two <|im_end|>\n<|im_start|>assistant x", "clash"),
@@ -60,3 +76,11 @@ def test_chat_digests(spark):
     got = {r.conv_id: r for r in digests(format_chat(spark.createDataFrame(SAID, TALK))).collect()}
     assert got[3].n_turns == 3 and got[3].loss_chars == 0
     assert got[3].turns_sha256 == hashlib.sha256(b"user\ntie a\nuser\ntie a\nuser\ntie b\n").hexdigest()
+
+
+def test_chat_of_one_very_long_conversation(spark):
+    said = [(1, k, "user" if k % 2 else "assistant", f"<|im_end|> {k}", None) for k in range(3000)] + [(1, 3000, "assistant", "a\\|" * 300_000, None)]
+    got = digests(format_chat(spark.createDataFrame(said, TALK))).first()
+    assert got.n_turns == 3001 and got.loss_chars == sum(len(t) for _, _, role, t, _ in said if role == "assistant")
+    want = hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t, _ in said).encode()).hexdigest()
+    assert got.turns_sha256 == want

@@ -56,7 +56,7 @@ def test_stages_against_brute_force(spark):
 def test_stages_on_odd_rows(spark):
     rows = [(1, None, None, None, None, 5), (1, None, None, None, None, 5), (2, "", "en", "s", 0, 1), (None, "token = abcdefgh", "en", "s", 16, 1), (3, "token = abcdefgh", "en", "s", 16, 1), (4, "token = 12345678", "en", "s", 16, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n long")
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    for name, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "n"], name
     got = sorted((r.doc_id, r.text, r.n_chars) for r in docs.collect())
@@ -73,3 +73,12 @@ def test_near_copies_without_ids(spark):
     assert [x[0] for x in got if x[1] and x[1].startswith("b0")] == [None]
     rest = [x for x in got if not x[1] or x[1][:2] not in ("a0", "b0")]
     assert sorted(rest, key=repr) == sorted([(None, ""), (None, None), (9, ""), (None, "on its own")], key=repr)
+
+
+def test_columns_with_the_names_of_the_stages_own(spark):
+    rows = [(1, "token = abcdefgh", 16, "k", "s"), (2, "token = abcdefgh", 16, "K", "S"), (3, "clean", 5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _key string, _spans string")
+    near = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert near.dtypes == docs.dtypes and sorted((r.doc_id, r._key) for r in near.collect()) == [(1, "k"), (3, None)]
+    clean = corpus_pipeline.hide_secrets(spark, docs, SF)
+    assert clean.dtypes == docs.dtypes and [(r.text, r.n_chars, r._spans) for r in clean.orderBy("doc_id").collect()] == [("[secret]", 8, "s"), ("[secret]", 8, "S"), ("clean", 5, None)]
