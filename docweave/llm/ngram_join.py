@@ -48,8 +48,9 @@ from docweave.session import cut, stored
 
 WORDS = 5
 PERCENT = 80
-#: A chunk ends after so many shingles or sets.
-CHUNK, SETS = 4_000_000, 30_000
+#: A chunk ends after so many shingles for each range of digests, but within these bounds (a task holds
+#: about 50 bytes for each), or after so many sets.
+EACH, LEAST, MOST, SETS = 4096, 1_000_000, 8_000_000, 30_000
 #: Sets that share a digest within a chunk are listed to its range up to so many; else only their number.
 LISTED = 16
 STRETCHES, PARITY = 64, 256
@@ -204,6 +205,7 @@ def in_chunks(docs: DataFrame, parts: int) -> DataFrame:
     A vertex is numbered by task, chunk and place in the chunk.
     """
     starts = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
+    most = min(MOST, max(LEAST, EACH * parts))
 
     def send(schema: pa.Schema, chunk: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, sets = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), [len(x) for x in held])
@@ -239,7 +241,7 @@ def in_chunks(docs: DataFrame, parts: int) -> DataFrame:
                     continue
                 name = xxhash.xxh3_128_digest(own.tobytes())
                 if name not in known:
-                    if held and (waiting + size > CHUNK or len(held) >= SETS):
+                    if held and (waiting + size > most or len(held) >= SETS):
                         yield from send(schema, chunk, held)
                         chunk, known, held, waiting = chunk + 1, {}, [], 0
                     known[name] = chunk << 16 | len(held)
@@ -250,6 +252,7 @@ def in_chunks(docs: DataFrame, parts: int) -> DataFrame:
             yield rows_of(schema, len(sizes), kind=[DOC] * len(sizes), id=batch.column(0), n=sizes, name=names, v=numbers, part=np.arange(len(sizes)) % parts)
         if held:
             yield from send(schema, chunk, held)
+        pa.default_memory_pool().release_unused()  # workers stay for other tasks
 
     return docs.mapInArrow(read, FIELDS.format(dict(docs.dtypes)["id"]))
 
@@ -285,6 +288,7 @@ def counted(rows: DataFrame, parts: int) -> DataFrame:
             if keep.any():
                 some = np.repeat(keep, np.where(count > LISTED, 0, count))
                 yield rows_of(schema, 1, kind=[COUNTED], chunk=[chunk], h=[planes(own[keep])], df=[mine[keep].tobytes()], count=[count[keep].tobytes()], sets=[listed[some].tobytes()])
+        pa.default_memory_pool().release_unused()
 
     return rows.repartitionById(parts, F.col("part")).mapInArrow(read, rows.schema)
 
@@ -437,7 +441,10 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         x, y = F.coalesce("rx", "x"), F.coalesce("ry", "y")
         return at.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x < y").distinct()
 
-    edges = cut(moved(links, labels))
+    if labels.isEmpty():
+        edges = links.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    else:
+        edges = cut(moved(links, labels))
     if edges.isEmpty():
         return labels
     ends = edges.select("x").unionByName(edges.select(F.col("y").alias("x"))).distinct()

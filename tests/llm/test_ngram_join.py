@@ -77,7 +77,7 @@ def test_cases(spark):
 
 def test_small_chunks(spark, monkeypatch):
     rows = texts(5, 150)
-    for name, value in (("CHUNK", 300), ("SETS", 7), ("LISTED", 1)):
+    for name, value in (("MOST", 300), ("SETS", 7), ("LISTED", 1)):
         monkeypatch.setattr(nj, name, value)
     assert run(spark, rows) == brute(rows)
 
