@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 DIACRITICS = r"[ؐ-ًؚ-ٰٟۖ-ۭـ]"
 ZERO_WIDTH = r"[‌‍⁠﻿]"
 # A term; possessive, as nothing after a part may give it back (Java matches other repeated groups by recursion).
-CANDIDATE = r"@?[\p{L}\p{N}]++(?:[._/+:-][\p{L}\p{N}]++)*+"
+CANDIDATE = r"@?[a-z0-9\p{L}\p{N}]++(?:[._/+:-][a-z0-9\p{L}\p{N}]++)*+"
 SEPARATORS = "[._/+:-]+"
 # Fixed value: what counts as white space at the ends of a text.
 WHITE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -48,14 +48,16 @@ def nfkc(text: Column) -> Column:
     def composed(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
-    return F.coalesce(composed(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
+    some = (F.octet_length(text) > F.length(text)) & text.rlike(f"[^{STABLE}]")
+    return F.coalesce(composed(F.when(some, text)), text)
 
 
 def canonicalize(text: Column, composed: bool = False) -> Column:
     lowered = F.lower(text if composed else nfkc(text))
     spaced = F.regexp_replace(F.regexp_replace(lowered, DIACRITICS, ""), ZERO_WIDTH, " ")
-    # most texts hold none of the characters that are folded, and one search tells
-    return F.when(lowered.rlike(f"{DIACRITICS}|{ZERO_WIDTH}|[ىيك]"), F.translate(spaced, "ىيك", "ییک")).otherwise(lowered)
+    # most texts hold none of the characters that are folded, and one search for any of them tells
+    folded = (F.octet_length(lowered) > F.length(lowered)) & lowered.rlike(f"[{DIACRITICS[1:-1]}{ZERO_WIDTH[1:-1]}ىيك]")
+    return F.when(folded, F.translate(spaced, "ىيك", "ییک")).otherwise(lowered)
 
 
 def normalize_text(text: Column, composed: bool = False) -> Column:

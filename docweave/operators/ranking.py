@@ -93,19 +93,33 @@ def asked(questions: DataFrame, composed: bool = False) -> DataFrame:
     )
 
 
-def candidates(weighed: DataFrame, found: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Question and chunk for every chunk that shares a token, passes the filters, and its evidence.
+def gains(groups: DataFrame) -> DataFrame:
+    """Of each question's tokens the summed weight of the groups that have it, and the sum of all its groups."""
+    each = groups.select("question_id", "total", F.explode("groups").alias("g")).select("question_id", "total", F.explode("g.tokens").alias("token"), F.col("g.weight").alias("weight"))
+    return each.groupBy("question_id", "token").agg(F.sum("weight").alias("gain"), F.first("total").alias("total"))
+
+
+def candidates(weighed: DataFrame, groups: DataFrame, found: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Question and chunk for the chunks that share tokens, pass the filters and may pass the gates, and their evidence.
 
     Terms meet postings on the token; Catalyst broadcasts the terms while they are small and
-    splits hot tokens otherwise.  Contributions are summed in the order of the question.
+    splits hot tokens otherwise.  Sums and maxima tell first which chunks can't pass a gate (what
+    their tokens gain is at least what the groups cover); only the others' hits are gathered, in
+    the order of the question.
     """
-    near = weighed.join(found, "token").join(wanted.select("question_id", "q_category", "q_framework", "q_service"), "question_id")
+    terms = weighed.join(gains(groups), ["question_id", "token"])
+    near = terms.join(found, "token").join(wanted.select("question_id", "q_category", "q_framework", "q_service"), "question_id")
     near = near.join(facts, "chunk_id").where(passes_filters())
+    local = (F.col("tf_body") > 0) | F.col("in_heading") | ((F.col("chunk_order") == 0) & (F.col("in_title") | F.col("in_path")))
+    telling = F.col("df") / F.col("n_chunks") <= COMMON_RATIO
+    light = near.groupBy("question_id", "chunk_id").agg(
+        F.max(local).alias("local"), F.max(telling | (F.col("n_chunks") < COMMON_FROM)).alias("telling"), F.sum("gain").alias("gain"), F.max("total").alias("total")
+    )
+    able = cut(light.where("local AND telling").where(F.col("gain") >= F.col("total") * (LEAST_COVERAGE - 1e-9)).select("question_id", "chunk_id"))
     parts = [bm25(F.col("tf_body"), F.col("body_len"), F.col("avg_body_len"), F.col("idf"))]
     parts += [F.when(F.col(f"in_{f}"), F.col("idf") * F.lit(b)).otherwise(F.lit(0.0)) for f, b in FIELD_BOOST.items()]
-    local = (F.col("tf_body") > 0) | F.col("in_heading") | ((F.col("chunk_order") == 0) & (F.col("in_title") | F.col("in_path")))
-    hit = F.struct("pos", "token", F.array(*parts).alias("parts"), (F.col("df") / F.col("n_chunks") <= COMMON_RATIO).alias("telling"))
-    return near.groupBy("question_id", "chunk_id", "chunk_order", "n_chunks").agg(
+    hit = F.struct("pos", "token", F.array(*parts).alias("parts"), telling.alias("telling"))
+    return near.join(able, ["question_id", "chunk_id"]).groupBy("question_id", "chunk_id", "chunk_order", "n_chunks").agg(
         F.sort_array(F.collect_list(hit)).alias("hits"), F.max(local).alias("local")
     )
 
@@ -276,9 +290,11 @@ def score_questions(questions: DataFrame, fields: DataFrame, found: DataFrame, s
     # Only the questions' tokens need a frequency.
     own = found.join(tokens.select("token").distinct(), "token", "left_semi")
     weighed = cut(with_idf(tokens, ix.document_frequency(own), ix.corpus_stats(fields)))
-    near = candidates(weighed, found, ix.chunk_facts(fields), wanted.where("limit > 0"))
-    rows = scored(gated(near, group_weights(groups, weighed)), wanted, tokens, fields)
-    return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "candidates": near, "scored": rows, "ranked": ranked(rows)}
+    weights = cut(group_weights(groups, weighed))
+    near = candidates(weighed, weights, found, ix.chunk_facts(fields), wanted.where("limit > 0"))
+    passed = gated(near, weights)
+    rows = scored(passed, wanted, tokens, fields)
+    return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "gated": passed, "scored": rows, "ranked": ranked(rows)}
 
 
 def build_index(chunks: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -388,7 +388,7 @@ def made_ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
 @query(f"WITH {RANK_SQL} SELECT question_id, chunk_id, round(coverage, 9) AS coverage FROM gated")
 def gated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, made = made_ranking(spark, sf_dir)
-    return ranking.gated(made["candidates"], ranking.group_weights(made["groups"], made["weighed"])).select("question_id", "chunk_id", F.round("coverage", 9).alias("coverage"))
+    return made["gated"].select("question_id", "chunk_id", F.round("coverage", 9).alias("coverage"))
 
 
 @query(f"WITH {RANK_SQL} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, score FROM ranked WHERE rank <= 10")
