@@ -15,9 +15,9 @@
    stretches (suffix filter) and then by the digests themselves.  Links join components.
 5. Not all pairs of a bucket are made.  First its pivot, the vertex whose shingles are the
    most frequent (in a group of near copies the text that they were made from), is paired
-   with the others; while that pays, the heaviest vertex outside the pivots' components is
-   the next pivot.  At last every pair left over whose ends are in different components is
-   made, except those inside the bucket's largest component.  No link between components is
+   with the others; while the pairs left over are many and that pays, the heaviest vertex
+   outside the pivots' components is the next pivot.  At last every pair left over whose ends
+   are in different components is made, except those inside the bucket's largest component.  No link between components is
    lost, and a group of near copies costs about one pair for each member.
 
 Sets are compared by digests: for a pair of texts to be misjudged, two different shingles
@@ -54,6 +54,8 @@ EACH, LEAST, MOST, SETS = 4096, 1_000_000, 8_000_000, 30_000
 #: Sets that share a digest within a chunk are listed to its range up to so many; else only their number.
 LISTED = 16
 STRETCHES, PARITY = 64, 256
+#: Further pivots are sought while the pairs left over are more than so many for each entry.
+COMBINED = 64
 
 STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], np.uint64)
 #: Bytes of words longer than this are hashed one word at a time.
@@ -463,6 +465,13 @@ def unsettled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(here.join(cut(several), "h", "left_semi"))
 
 
+def few_combinations(rest: DataFrame) -> bool:
+    """Whether the pairs between a bucket's components, but for those inside the largest, are in proportion to the entries."""
+    sizes = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.sum("size").alias("size"), F.max("size").alias("main"))
+    sums = sizes.agg(F.sum((F.col("size") - F.col("main")) * F.col("size")).alias("made"), F.sum("size").alias("held")).first()
+    return (sums["made"] or 0) <= COMBINED * (sums["held"] or 0)
+
+
 def components(entries: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """x, root for every vertex that has a link; the root is the component's least vertex."""
     hubs = cut(heaviest(entries).where("size > 1"))
@@ -472,7 +481,7 @@ def components(entries: DataFrame, whole: DataFrame, percent: int = PERCENT) ->
     labels = joined(cut(links.sparkSession.createDataFrame([], "x long, root long")), links)
     rest = unsettled(entries.join(hubs.select("h"), "h", "left_semi"), labels)
     pivots = hubs.select("h", F.col("best.v").alias("v"))
-    while not rest.isEmpty():
+    while not rest.isEmpty() and not few_combinations(rest):
         at = labels.select(F.col("x").alias("v"), "root")
         roots = pivots.join(at, "v", "left").select("h", F.coalesce("root", "v").alias("root")).distinct()
         next_ = cut(heaviest(rest.join(roots, ["h", "root"], "left_anti"), "root").select("h", "best.*"))

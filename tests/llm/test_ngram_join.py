@@ -82,8 +82,10 @@ def test_small_chunks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_many_components_in_a_bucket(spark):
+@pytest.mark.parametrize("combined", [0, 64])
+def test_many_components_in_a_bucket(spark, monkeypatch, combined):
     """Families of near copies that share their rarest passage; chains, whose ends aren't alike."""
+    monkeypatch.setattr(nj, "COMBINED", combined)
     pick = random.Random(3)
     word = lambda: "".join(pick.choice("abcdefgh") for _ in range(5))
     common, rows = " ".join(word() for _ in range(60)), []
