@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, chat_format, exact_dedup, fingerprints, language, licenses, ngram_join, packing, secrets, toxicity
+from docweave.llm import alignment, bpe, chat_format, exact_dedup, fingerprints, html_text, language, licenses, ngram_join, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_license_scans": op2_license_scans,
@@ -120,6 +130,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scans": op10_secret_scans,
+    "op12_html_text": op12_html_text,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES = {
