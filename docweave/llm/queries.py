@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import alignment, bpe, chat_format, exact_dedup, fingerprints, html_text, language, licenses, ngram_join, packing, secrets, toxicity
+from docweave.llm import alignment, bpe, chat_format, exact_dedup, fingerprints, html_text, language, licenses, ngram_join, packing, prefix_trie, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.borrowed_prefixes(turns), turns.select("conv").distinct())
+
+
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
@@ -130,6 +135,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scans": op10_secret_scans,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_html_text": op12_html_text,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
@@ -137,4 +143,5 @@ QUERIES = {
 ORACLES = {
     "op3_chat_formatting": chat_format.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
