@@ -33,7 +33,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -48,6 +50,10 @@ from docweave.session import stored
 
 #: Before a single space or line feed between other characters.
 CELLS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: A word of letters below U+0250 behind a space, and ASCII marks behind it.
+PLAIN = re.compile(r"( (?:(?![\u00aa\u00b5\u00ba\u00d7\u00f7])[A-Za-z\u00c0-\u024f])+)([!-/:-@\[-`{-~]*)")
+#: The printable letter of each byte.
+SHOWN = {b: c for c, b in byte_letters().items()}
 NONE = np.empty((0, 2), np.int64)
 
 
@@ -76,9 +82,8 @@ def group_text(a: list[int], b: list[int]) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
-def closed_groups(a: np.ndarray, b: np.ndarray, base: int) -> Closed:
-    """Of tokens that start and end at common offsets."""
-    ia, ea, ib, eb = a[:, 0].tolist(), a[:, 1].tolist(), b[:, 0].tolist(), b[:, 1].tolist()
+def groups_of(ia: list[int], ea: list[int], ib: list[int], eb: list[int], base: int) -> tuple[list[str], list[int]]:
+    """Groups and links of tokens (ids and ends) that start and end at common offsets."""
     i = j = last_i = last_j = 0
     links, texts = [], []
     while i < len(ia):
@@ -91,6 +96,12 @@ def closed_groups(a: np.ndarray, b: np.ndarray, base: int) -> Closed:
             i += 1
         else:
             j += 1
+    return texts, links
+
+
+def closed_groups(a: np.ndarray, b: np.ndarray, base: int) -> Closed:
+    """Of tokens that start and end at common offsets."""
+    texts, links = groups_of(*a.T.tolist(), *b.T.tolist(), base) if len(a) else ([], [])
     return Closed(";".join(texts), len(texts), np.array(links, np.int64))
 
 
@@ -130,17 +141,6 @@ def whole(x: Fragment, base: int) -> Closed:
     return joined(first, x.closed) if x.closed else first
 
 
-class Cell(NamedTuple):
-    ok: bool
-    n_a: int
-    n_b: int
-    groups: str
-    n_groups: int
-    links: bytes
-    a: bytes  # ids and ends in the cell
-    b: bytes
-
-
 class Tokenizers:
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
@@ -160,47 +160,57 @@ class Tokenizers:
         if self.base * len(self.a_bytes) > 1 << 32:
             raise ValueError("the vocabularies are too large for links of 32 bits")
         self.cells = Remembered(self._cell, 200_000)
+        self.marks = Remembered(lambda marks: self.a.encode(marks, add_special_tokens=False).ids, 10_000)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _cell(self, cell: str) -> Cell:
-        a = self.a.encode(cell, add_special_tokens=False).ids
-        if cell[0] == " ":
-            b = self.b.encode(cell[1:])
+    def ids(self, cell: str) -> tuple[list[int], list[int]]:
+        """The ids of A and B for a cell."""
+        found = PLAIN.fullmatch(cell)
+        if found:  # a word of letters, and marks behind it, are words of their own
+            shown = found[1].encode().decode("latin-1").translate(SHOWN)
+            a = [t.id for t in self.a.model.tokenize(shown)] + (self.marks[found[2]] if found[2] else [])
         else:
-            b = self.b.encode(cell)
-            b = b[1:] if b[:1] == [self.space] else []
+            a = self.a.encode(cell, add_special_tokens=False).ids
+        if cell[0] == " ":
+            return a, self.b.encode(cell[1:])
+        b = self.b.encode(cell)
+        return a, b[1:] if b[:1] == [self.space] else []
+
+    def _cell(self, cell: str) -> tuple[str, bytes, int, int, int] | None:
+        """Groups, links, and the numbers of tokens and groups; None if bytes differ."""
+        a, b = self.ids(cell)
         parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         own = cell.encode()
         if b"".join(parts_a) != own or b"".join(parts_b) != own:
-            return Cell(False, 0, 0, "", 0, b"", b"", b"")
-        ta, tb = (np.stack([np.array(i, np.int64), np.cumsum([len(p) for p in parts])], 1) for i, parts in ((a, parts_a), (b, parts_b)))
-        c = closed_groups(ta, tb, self.base)
-        return Cell(True, len(a), len(b), c.groups, c.n_groups, c.links.tobytes(), ta.tobytes(), tb.tobytes())
+            return None
+        texts, links = groups_of(a, list(accumulate(map(len, parts_a))), b, list(accumulate(map(len, parts_b))), self.base)
+        return ";".join(texts), array("I", links).tobytes(), len(a), len(b), len(texts)
 
     def of_text(self, text: str) -> tuple[Closed, int, int] | None:
         """All groups of a text, and its tokens; None if its bytes differ."""
-        found = [self.cells[c] for c in CELLS.split(" " + text)]
-        if not all(c.ok for c in found):
+        found = list(map(self.cells.__getitem__, CELLS.split(" " + text)))
+        if None in found:
             return None
-        links = np.frombuffer(b"".join(c.links for c in found), np.int64)
-        return Closed(";".join(c.groups for c in found), sum(c.n_groups for c in found), links), sum(c.n_a for c in found), sum(c.n_b for c in found)
+        groups, links, n_a, n_b, n_groups = zip(*found)
+        return Closed(";".join(groups), sum(n_groups), np.frombuffer(b"".join(links), np.uint32)), sum(n_a), sum(n_b)
 
     def of_chunk(self, piece: str, start: int, low: int, high: int) -> Fragment | None:
         """The fragment of the bytes from ``low`` to ``high``; ``piece`` are the cells around, whose bytes begin at ``start``."""
         found, at = ([], []), start
         for text in CELLS.split(piece):
             cell = self.cells[text]
-            if not cell.ok:
+            if cell is None:
                 return None
-            for side, own in zip(found, (cell.a, cell.b)):
-                tokens = np.frombuffer(own, np.int64).reshape(-1, 2) + (0, at)
-                begins = np.concatenate([[at], tokens[:-1, 1]])
-                side.append(tokens[(begins >= low) & (begins < high)])
+            groups = [g.split("|") for g in cell[0].split(";")]
+            for k, (side, table) in enumerate(zip(found, (self.a_bytes, self.b_bytes))):
+                ids = [int(i) for g in groups for i in g[k].split(",")]
+                ends = list(accumulate((len(table[i]) for i in ids), initial=at))
+                side += [(i, end) for i, begin, end in zip(ids, ends, ends[1:]) if low <= begin < high]
             at += len(text.encode())
-        return fragment(np.concatenate(found[0]), np.concatenate(found[1]), self.base)
+        return fragment(*(np.array(side, np.int64).reshape(-1, 2) for side in found), self.base)
 
 
 @functools.lru_cache(maxsize=1)
@@ -227,8 +237,8 @@ def chunks(text: str, size: int) -> Iterator[tuple[str, int, int, int]]:
 
 def packed(links: np.ndarray) -> tuple[bytes, bytes]:
     """Distinct links and how often each occurs."""
-    codes, times = np.unique(links, return_counts=True)
-    return codes.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()
+    codes, times = np.unique(links.astype(np.uint32), return_counts=True)
+    return codes.tobytes(), times.astype(np.uint32).tobytes()
 
 
 FACTS = "n_a long, n_b long, n_groups long, groups_sha256 string, groups string, codes binary, times binary"
@@ -248,7 +258,7 @@ def as_row(x: Fragment | None, n_a: int, n_b: int) -> tuple:
     if x is None:
         return False, 0, 0, b"", b"", None, 0, b"", b"", b""
     c = x.closed
-    own = (c.groups, c.n_groups, c.links.tobytes()) if c else (None, 0, b"")
+    own = (c.groups, c.n_groups, c.links.astype(np.uint32).tobytes()) if c else (None, 0, b"")
     return True, n_a, n_b, x.head_a.tobytes(), x.head_b.tobytes(), *own, x.tail_a.tobytes(), x.tail_b.tobytes()
 
 
@@ -256,7 +266,7 @@ def from_row(row) -> Fragment | None:
     if not row.ok:
         return None
     head_a, head_b, tail_a, tail_b = (np.frombuffer(x, np.int64).reshape(-1, 2) for x in (row.head_a, row.head_b, row.tail_a, row.tail_b))
-    closed = None if row.groups is None else Closed(row.groups, row.n_groups, np.frombuffer(row.links, np.int64))
+    closed = None if row.groups is None else Closed(row.groups, row.n_groups, np.frombuffer(row.links, np.uint32))
     return Fragment(head_a, head_b, closed, tail_a, tail_b)
 
 
