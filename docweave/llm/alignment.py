@@ -32,9 +32,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -52,8 +53,8 @@ from docweave.session import stored
 CELLS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: A word of letters below U+0250 behind a space, and ASCII marks behind it.
 PLAIN = re.compile(r"( (?:(?![\u00aa\u00b5\u00ba\u00d7\u00f7])[A-Za-z\u00c0-\u024f])+)([!-/:-@\[-`{-~]*)")
-#: The printable letter of each byte.
-SHOWN = {b: c for c, b in byte_letters().items()}
+#: White space that isn't alone.
+ODD = re.compile(r"\s\s")
 NONE = np.empty((0, 2), np.int64)
 
 
@@ -141,6 +142,30 @@ def whole(x: Fragment, base: int) -> Closed:
     return joined(first, x.closed) if x.closed else first
 
 
+class Words(Remembered):
+    def put(self, piece: str, made: tuple | None) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = made
+
+
+def one_word(path: str) -> Callable[[bytes], list[int]] | None:
+    """Ids of the bytes of one word, from the ranks of the file's merges; None if merges don't have ranks of their own."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters, vocab = byte_letters(), model["vocab"]
+    order = [c for c in letters if c in vocab] + ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if len(order) != len(set(order)) or len(letters) != sum(c in vocab for c in letters):
+        return None
+    ranks = {bytes(letters[c] for c in token): n for n, token in enumerate(order)}
+    ids = [vocab[token] for token in order]
+    own = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return lambda word: [ids[n] for n in own._encode_single_piece(word)]
+
+
 class Tokenizers:
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
@@ -159,29 +184,31 @@ class Tokenizers:
         self.base = self.b.vocab_size()
         if self.base * len(self.a_bytes) > 1 << 32:
             raise ValueError("the vocabularies are too large for links of 32 bits")
-        self.cells = Remembered(self._cell, 200_000)
+        self.cells = Remembered(self._cell, 20_000)
+        #: By piece: the cell is the piece itself if it begins with a line feed, else a space and the piece.
+        self.words = Words(lambda piece: self._cell(piece if piece[0] == "\n" else " " + piece), 200_000)
+        self.quick = one_word(byte_path)
         self.marks = Remembered(lambda marks: self.a.encode(marks, add_special_tokens=False).ids, 10_000)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def ids(self, cell: str) -> tuple[list[int], list[int]]:
-        """The ids of A and B for a cell."""
+    def _ids(self, cell: str) -> list[int]:
+        """The ids of A for a cell."""
         found = PLAIN.fullmatch(cell)
-        if found:  # a word of letters, and marks behind it, are words of their own
-            shown = found[1].encode().decode("latin-1").translate(SHOWN)
-            a = [t.id for t in self.a.model.tokenize(shown)] + (self.marks[found[2]] if found[2] else [])
-        else:
-            a = self.a.encode(cell, add_special_tokens=False).ids
-        if cell[0] == " ":
-            return a, self.b.encode(cell[1:])
-        b = self.b.encode(cell)
-        return a, b[1:] if b[:1] == [self.space] else []
+        if found and self.quick:  # a word of letters, and marks behind it, are words of their own
+            a = self.quick(found[1].encode())
+            return a + self.marks[found[2]] if found[2] else a
+        return self.a.encode(cell, add_special_tokens=False).ids
 
-    def _cell(self, cell: str) -> tuple[str, bytes, int, int, int] | None:
+    def _cell(self, cell: str, b: list[int] | None = None) -> tuple[str, bytes, int, int, int] | None:
         """Groups, links, and the numbers of tokens and groups; None if bytes differ."""
-        a, b = self.ids(cell)
+        a = self._ids(cell)
+        if b is None:
+            b = self.b.encode(cell[1:] if cell[0] == " " else cell)
+            if cell[0] != " ":
+                b = b[1:] if b[:1] == [self.space] else []
         parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         own = cell.encode()
         if b"".join(parts_a) != own or b"".join(parts_b) != own:
@@ -189,9 +216,21 @@ class Tokenizers:
         texts, links = groups_of(a, list(accumulate(map(len, parts_a))), b, list(accumulate(map(len, parts_b))), self.base)
         return ";".join(texts), array("I", links).tobytes(), len(a), len(b), len(texts)
 
+    def _found(self, text: str) -> list[tuple | None]:
+        """What each cell of a space and the text gives."""
+        if not text or ODD.search(text) or text[0].isspace() or text[-1].isspace():  # only the pattern can tell the cells
+            return list(map(self.cells.__getitem__, CELLS.split(" " + text)))
+        words = self.words
+        pieces = text.replace("\n", " \n").split(" ")
+        new = [p for p in set(pieces) if p not in words and p not in words.old and p[0] != "\n"]
+        if new:
+            for piece, b in zip(new, self.b.encode(new, num_threads=1)):
+                words.put(piece, self._cell(" " + piece, b))
+        return list(map(words.__getitem__, pieces))
+
     def of_text(self, text: str) -> tuple[Closed, int, int] | None:
         """All groups of a text, and its tokens; None if its bytes differ."""
-        found = list(map(self.cells.__getitem__, CELLS.split(" " + text)))
+        found = self._found(text)
         if None in found:
             return None
         groups, links, n_a, n_b, n_groups = zip(*found)
