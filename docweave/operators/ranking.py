@@ -6,13 +6,19 @@ framework and service (null: no filter).
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.text import normalize_text, terms, tokens_of
 from docweave.operators import index as ix
-from docweave.session import cut, stored
+from docweave.session import cut, shared_folder, stored
 
 # Weights and gates of the score.
 SATURATION, LENGTH_PART = 1.2, 0.75
@@ -20,7 +26,11 @@ FIELD_BOOST = {"title": 2.4, "heading": 1.9, "path": 1.15, "class": 0.85}
 PHRASE_BONUS = {"title": 2.4, "heading": 1.9, "body": 1.1}
 COVERAGE_WEIGHT, LEAST_COVERAGE, LEAST_SCORE = 0.35, 0.4, 0.55
 COMMON_RATIO, COMMON_FROM = 0.65, 10
+#: What coverage and phrase can add to the sum of the tokens, and a margin for rounding.
+MOST_BEYOND = COVERAGE_WEIGHT + max(PHRASE_BONUS.values()) + 1e-5
 MOST_RESULTS = 20
+#: Ranks that the first walk takes, and blocks that a question looks into first.
+FIRST_RANKS, FIRST_BLOCKS = 60, 8
 NEAR_TOKENS, NEAR_JACCARD, NEAR_LENGTH = 20, 0.95, 0.85
 
 
@@ -50,7 +60,8 @@ def with_idf(tokens: DataFrame, frequencies: DataFrame, stats: DataFrame) -> Dat
     """Tokens of questions with df and idf; a token that no chunk has counts with df 0."""
     near = tokens.join(frequencies, "token", "left").join(F.broadcast(stats))
     df = F.coalesce("df", F.lit(0))
-    return near.select(tokens["*"], df.alias("df"), ix.idf(df, F.col("n_chunks")).alias("idf"), "n_chunks", "avg_body_len")
+    more = [c for c in stats.columns if c == "buckets"]
+    return near.select(tokens["*"], df.alias("df"), ix.idf(df, F.col("n_chunks")).alias("idf"), "n_chunks", "avg_body_len", *more)
 
 
 def group_weights(groups: DataFrame, weighed: DataFrame) -> DataFrame:
@@ -99,25 +110,45 @@ def gains(groups: DataFrame) -> DataFrame:
     return each.groupBy("question_id", "token").agg(F.sum("weight").alias("gain"), F.first("total").alias("total"))
 
 
-def candidates(weighed: DataFrame, groups: DataFrame, found: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
+def impact(idf: Column) -> list[Column]:
+    """What a token adds to a chunk's score, field by field; of a block's row the most that it can add."""
+    parts = [bm25(F.col("tf_body"), F.col("body_len"), F.col("avg_body_len"), idf)]
+    return parts + [F.when(F.col(f"in_{f}"), idf * F.lit(b)).otherwise(F.lit(0.0)) for f, b in FIELD_BOOST.items()]
+
+
+def added(parts: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a + b, parts)
+
+
+def block_bounds(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """For each question and block of chunks the most that a chunk of it can score, coverage and phrase included."""
+    near = terms.join(blocks, ["bucket", "token"])
+    return near.groupBy("question_id", "block").agg((F.sum(added(impact(F.col("idf")))) + MOST_BEYOND).alias("most"))
+
+
+def candidates(terms: DataFrame, found: DataFrame, wanted: DataFrame, within: DataFrame | None = None, floor: DataFrame | None = None) -> DataFrame:
     """Question and chunk for the chunks that share tokens, pass the filters and may pass the gates, and their evidence.
 
-    Terms meet postings on the token; Catalyst broadcasts the terms while they are small and
-    splits hot tokens otherwise.  Sums and maxima tell first which chunks can't pass a gate (what
-    their tokens gain is at least what the groups cover); only the others' hits are gathered, in
-    the order of the question.
+    Terms meet postings on bucket and token: the buckets of the terms prune the scan; Catalyst broadcasts the
+    terms while they are small and splits hot tokens otherwise.  Sums and maxima tell first which
+    chunks can't pass a gate (what their tokens gain is at least what the groups cover) or stay below
+    the question's ``floor`` (question_id, least score); only the others' hits are gathered, in the
+    order of the question.  ``within`` are the only blocks to look into (question_id, block).
     """
-    terms = weighed.join(gains(groups), ["question_id", "token"])
-    near = terms.join(found, "token").join(wanted.select("question_id", "q_category", "q_framework", "q_service"), "question_id")
-    near = near.join(facts, "chunk_id").where(passes_filters())
+    near = terms.join(found, ["bucket", "token"])
+    if within is not None:
+        near = near.join(within.select("question_id", "block"), ["question_id", "block"], "left_semi")
+    near = near.join(wanted.select("question_id", "q_category", "q_framework", "q_service"), "question_id").where(passes_filters())
     local = (F.col("tf_body") > 0) | F.col("in_heading") | ((F.col("chunk_order") == 0) & (F.col("in_title") | F.col("in_path")))
     telling = F.col("df") / F.col("n_chunks") <= COMMON_RATIO
+    parts = impact(F.col("idf"))
     light = near.groupBy("question_id", "chunk_id").agg(
-        F.max(local).alias("local"), F.max(telling | (F.col("n_chunks") < COMMON_FROM)).alias("telling"), F.sum("gain").alias("gain"), F.max("total").alias("total")
+        F.max(local).alias("local"), F.max(telling | (F.col("n_chunks") < COMMON_FROM)).alias("telling"), F.sum("gain").alias("gain"), F.max("total").alias("total"), F.sum(added(parts)).alias("sum")
     )
-    able = cut(light.where("local AND telling").where(F.col("gain") >= F.col("total") * (LEAST_COVERAGE - 1e-9)).select("question_id", "chunk_id"))
-    parts = [bm25(F.col("tf_body"), F.col("body_len"), F.col("avg_body_len"), F.col("idf"))]
-    parts += [F.when(F.col(f"in_{f}"), F.col("idf") * F.lit(b)).otherwise(F.lit(0.0)) for f, b in FIELD_BOOST.items()]
+    light = light.where("local AND telling").where(F.col("gain") >= F.col("total") * (LEAST_COVERAGE - 1e-9))
+    if floor is not None:
+        light = light.join(floor, "question_id", "left").where(F.col("least").isNull() | (F.col("sum") + MOST_BEYOND >= F.col("least")))
+    able = cut(light.select("question_id", "chunk_id"))
     hit = F.struct("pos", "token", F.array(*parts).alias("parts"), telling.alias("telling"))
     return near.join(able, ["question_id", "chunk_id"]).groupBy("question_id", "chunk_id", "chunk_order", "n_chunks").agg(
         F.sort_array(F.collect_list(hit)).alias("hits"), F.max(local).alias("local")
@@ -201,73 +232,97 @@ def near_duplicate_classes(fields: DataFrame) -> DataFrame:
     return both.where(same / (F.size("x") + F.size("y") - same) >= NEAR_JACCARD).select("a", "b")
 
 
-def near_lists(shown: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For the bodies shown to a question (question_id, body_hash; distinct) those near them that it is shown too."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mine = shown.select("question_id", F.col("body_hash").alias("a")).join(both, "a")
-    there = mine.join(shown.select("question_id", F.col("body_hash").alias("b")), ["question_id", "b"])
-    return there.groupBy("question_id", F.col("a").alias("body_hash")).agg(F.collect_list("b").alias("near"))
+ITEM = ["chunk_id", "document_id", "score", "matched_terms", "path", "chunk_order"]
+
+
+class Kept:
+    """The at most 20 candidates that a question has kept, and whether another one repeats one of them."""
+
+    def __init__(self):
+        self.rows: list = []
 
+    def repeats(self, c) -> bool:
+        return any(self.same(k, c) for k in self.rows)
 
-ITEM = ["rank", "chunk_id", "document_id", "section_id", "body_hash", "body_empty", "score", "matched_terms", "path", "chunk_order"]
+    @staticmethod
+    def same(k, c) -> bool:
+        sections = k.section_id is not None and c.section_id is not None and k.section_id != c.section_id
+        if k.document_id == c.document_id and sections:
+            return False
+        if c.body_hash == k.body_hash:
+            return not c.body_empty
+        n, m = len(k.tokens), len(c.tokens)
+        if min(n, m) < NEAR_TOKENS or min(n, m) < max(n, m) * NEAR_JACCARD or min(k.chars, c.chars) < max(k.chars, c.chars) * NEAR_LENGTH:
+            return False
+        both = len(np.intersect1d(k.tokens, c.tokens, assume_unique=True))
+        return both / (n + m - both) >= NEAR_JACCARD
 
 
-def suppress_duplicates(rows: DataFrame, fields: DataFrame, first: int = 100) -> DataFrame:
+def walk(ranks: DataFrame, fields: DataFrame) -> DataFrame:
+    """Each question's candidates in rank order, without those that repeat a kept one, until its limit.
+
+    A question's rows reach one task sorted by rank and are read as a stream; the state is the rows kept so
+    far, so memory doesn't grow with the candidates, and a full question skips the rest.
+    """
+    body = F.col("body_text")
+    sets = F.transform(F.array_distinct(tokens_of(body)), lambda t: F.xxhash64(t))
+    rows = ranks.join(fields.select("chunk_id", F.length(body).alias("chars"), sets.alias("tokens")), "chunk_id")
+    kinds = dict(ranks.dtypes)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        question, kept = None, Kept()
+        for frame in frames:
+            frame["section_id"] = frame["section_id"].astype(object).where(frame["section_id"].notna(), None)
+            out = []
+            for c in frame.itertuples(index=False):
+                if c.question_id != question:
+                    question, kept = c.question_id, Kept()
+                if len(kept.rows) < c.limit and not kept.repeats(c):
+                    kept.rows.append(c)
+                    out.append((c.question_id, len(kept.rows), *(getattr(c, f) for f in ITEM)))
+            yield pd.DataFrame(out, columns=["question_id", "rank", *ITEM])
+
+    dealt = rows.repartition("question_id").sortWithinPartitions("question_id", "rank")
+    columns = ", ".join(f"{c} {kinds[c]}" for c in ITEM)
+    return dealt.mapInPandas(read, f"question_id {kinds['question_id']}, rank int, {columns}")
+
+
+def open_questions(rows: DataFrame, kept: DataFrame, first: int) -> DataFrame:
+    """Questions that the first ranks didn't fill and that may have more."""
+    n = kept.groupBy("question_id").agg(F.count(F.lit(1)).alias("_kept"))
+    seen = rows.groupBy("question_id", "limit").agg(F.count(F.lit(1)).alias("_seen")).join(n, "question_id", "left")
+    return seen.where((F.col("_seen") >= first) & (F.coalesce("_kept", F.lit(0)) < F.col("limit"))).select("question_id")
+
+
+def suppress_duplicates(rows: DataFrame, fields: DataFrame, first: int = FIRST_RANKS) -> DataFrame:
     """Walk each question's scored candidates in rank order and leave out what repeats a kept one.
 
-    Ranks are walked in stretches, the first of ``first`` ranks and each next one four times as
-    far; only questions that are neither full nor at their end go on, with the kept candidates (20
-    at most) as their state.  So no step holds more of a question than a stretch.  Distinct
-    sections of one document never repeat each other.
+    The first ranks do for most questions; those that they don't fill are walked over all their candidates.
+    Distinct sections of one document never repeat each other.
     """
-    kinds = dict(rows.dtypes) | {"rank": "int"}
-    item = "struct<" + ",".join(f"{c}:{kinds[c]}" for c in ITEM) + ">"
-
-    def repeats(kept: Column, c: Column, near: Column) -> Column:
-        other_section = (kept["document_id"] == c["document_id"]) & ~kept["section_id"].eqNullSafe(c["section_id"]) & kept["section_id"].isNotNull() & c["section_id"].isNotNull()
-        return ~other_section & ((~c["body_empty"] & (kept["body_hash"] == c["body_hash"])) | F.array_contains(near, kept["body_hash"]))
-
-    totals = rows.groupBy("question_id", "limit").agg(F.count(F.lit(1)).alias("total"))
-    open_ = cut(totals.withColumn("kept", F.array().cast(f"array<{item}>")))
-    done, lo, hi = [], 0, first
-    while True:
-        here = cut(ranked(rows.join(open_.select("question_id"), "question_id", "left_semi")).where(F.col("rank") <= hi).where(F.col("rank") > lo))
-        held = open_.select("question_id", F.explode("kept").alias("k")).select("question_id", "k.body_hash", "k.chunk_id", "k.body_empty")
-        shown = here.select("question_id", "body_hash", "chunk_id", "body_empty").unionByName(held).where("NOT body_empty")
-        # one chunk stands for each body that some question is shown here
-        bodies = shown.groupBy("body_hash").agg(F.min("chunk_id").alias("chunk_id"))
-        pairs = near_duplicate_classes(fields.join(bodies.select("chunk_id"), "chunk_id", "left_semi"))
-        near = near_lists(shown.select("question_id", "body_hash").distinct(), pairs)
-        known = here.join(near, ["question_id", "body_hash"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
-        listed = known.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "near"))).alias("c"))
-        bare = lambda c: F.struct(*(c[f].alias(f) for f in ITEM))
-        step = lambda kept, c: F.when((F.size(kept) < F.col("limit")) & ~F.exists(kept, lambda k: repeats(k, c, c["near"])), F.concat(kept, F.array(bare(c)))).otherwise(kept)
-        walked = cut(open_.join(listed, "question_id", "left").select("question_id", "limit", "total", F.aggregate(F.coalesce("c", F.array().cast(listed.schema["c"].dataType)), F.col("kept"), step).alias("kept")))
-        full = (F.size("kept") >= F.col("limit")) | (F.col("total") <= hi)
-        done.append(walked.where(full))
-        open_ = cut(walked.where(~full))
-        if open_.isEmpty():
-            break
-        lo, hi = hi, hi * 4
-    whole = done[0]
-    for more in done[1:]:
-        whole = whole.unionByName(more)
-    each = whole.select("question_id", F.posexplode("kept").alias("at", "m"))
-    return each.select("question_id", (F.col("at") + 1).alias("rank"), *(F.col(f"m.{c}").alias(c) for c in ("chunk_id", "document_id", "score", "matched_terms", "path", "chunk_order")))
+    early = stored(walk(ranked(rows).where(F.col("rank") <= first), fields))
+    again = cut(open_questions(rows, early, first))
+    if again.isEmpty():
+        return early
+    late = walk(ranked(rows.join(again, "question_id", "left_semi")), fields)
+    return early.join(again, "question_id", "left_anti").unionByName(late)
 
 
 def considered(wanted: DataFrame, chunks: DataFrame, tokens: DataFrame) -> DataFrame:
     """For each question the chunks that pass its filters; 0 without terms or with limit 0.
 
-    Chunks are counted by their filter keys first, so few rows meet the questions.
+    Chunks are counted for each set of filters that may be given (a cube of three keys), so a question meets
+    one row by equality: a filter that isn't given asks for the row of all.
     """
-    keys = chunks.groupBy("category", "framework_key", "service_key").agg(F.count(F.lit(1)).alias("n"))
+    keys = {"category": "q_category", "framework_key": "q_framework", "service_key": "q_service"}
+    cube = chunks.cube(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(k).alias(f"_{q}") for k, q in keys.items()))
+    # a key that is null or empty passes no filter
+    cube = cube.where(functools.reduce(lambda a, b: a & b, [(F.col(f"_{q}") == 1) | (F.col(k).isNotNull() & (F.lit(k == "category") | (F.col(k) != ""))) for k, q in keys.items()]))
+    cube = cube.select("n", *(f"_{q}" for q in keys.values()), *(F.coalesce(k, F.lit("")).alias(q) for k, q in keys.items()))
     asks = wanted.join(tokens.select("question_id").distinct(), "question_id", "left_semi").where("limit > 0")
-    kinds = asks.select("q_category", "q_framework", "q_service").distinct()
-    sums = kinds.join(keys, passes_filters(), "left").groupBy("q_category", "q_framework", "q_service").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    same = [asks[c].eqNullSafe(sums[c]) for c in ("q_category", "q_framework", "q_service")]
-    got = asks.join(sums, same[0] & same[1] & same[2], "left").select("question_id", "n")
-    return wanted.select("question_id").join(got, "question_id", "left").select("question_id", F.coalesce("n", F.lit(0)).cast("long").alias("considered_count"))
+    asks = asks.select("question_id", *(F.col(q).isNull().cast("byte").alias(f"_{q}") for q in keys.values()), *(F.coalesce(q, F.lit("")).alias(q) for q in keys.values()))
+    got = asks.join(cube, [c for c in asks.columns if c != "question_id"])
+    return wanted.select("question_id").join(got.select("question_id", "n"), "question_id", "left").select("question_id", F.coalesce("n", F.lit(0)).cast("long").alias("considered_count"))
 
 
 def outcomes(wanted: DataFrame, matches: DataFrame, counted: DataFrame) -> DataFrame:
@@ -282,33 +337,69 @@ def outcomes(wanted: DataFrame, matches: DataFrame, counted: DataFrame) -> DataF
     )
 
 
-def score_questions(questions: DataFrame, fields: DataFrame, found: DataFrame, stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> dict[str, DataFrame]:
-    """The tables from terms to scored candidates, by name; ``fields`` and ``found`` are the index, stored."""
+def prepare(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> dict[str, DataFrame]:
+    """What questions ask, by name: wanted, groups, tokens, weighed, weights and terms (tokens that some chunk has)."""
     wanted = asked(questions, composed)
     groups = cut(expand_aliases(question_terms(questions, stopwords, composed), aliases))
     tokens = scoring_tokens(groups)
-    # Only the questions' tokens need a frequency.
-    own = found.join(tokens.select("token").distinct(), "token", "left_semi")
-    weighed = cut(with_idf(tokens, ix.document_frequency(own), ix.corpus_stats(fields)))
+    weighed = cut(with_idf(tokens, built.frequencies, built.stats))
     weights = cut(group_weights(groups, weighed))
-    near = candidates(weighed, weights, found, ix.chunk_facts(fields), wanted.where("limit > 0"))
-    passed = gated(near, weights)
-    rows = scored(passed, wanted, tokens, fields)
-    return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "gated": passed, "scored": rows, "ranked": ranked(rows)}
+    terms = weighed.join(gains(weights), ["question_id", "token"]).join(wanted.where("limit > 0").select("question_id"), "question_id", "left_semi")
+    terms = cut(terms.withColumn("bucket", ix.bucket_of(F.col("token"), F.col("buckets"))).drop("buckets"))
+    # the filter tells Catalyst that the terms are few of all tokens, so that their buckets prune the postings
+    return {"wanted": wanted, "groups": groups, "tokens": tokens, "weighed": weighed, "weights": weights, "terms": terms.where("df > 0")}
+
 
+def score_questions(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> dict[str, DataFrame]:
+    """The tables from terms to all scored candidates, by name."""
+    made = prepare(questions, built, stopwords, aliases, composed)
+    passed = gated(candidates(made["terms"], built.postings, made["wanted"]), made["weights"])
+    rows = scored(passed, made["wanted"], made["tokens"], built.fields)
+    return made | {"gated": passed, "scored": rows, "ranked": ranked(rows)}
 
-def build_index(chunks: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The analysed fields and the postings, written once to the shared folder and read back.
 
-    ``index.write_index`` keeps them under a revision instead, for later sessions.
+def best_scored(made: dict[str, DataFrame], built: ix.Index, first: int = FIRST_RANKS, lead: int = FIRST_BLOCKS) -> DataFrame:
+    """Scored candidates, of which each question's first ranks are those among all candidates.
+
+    A question looks into the blocks with the greatest bounds first.  The score at rank ``first``
+    there is a floor: blocks and chunks whose bound is below it can't reach these ranks and are left out.
+    A question with fewer candidates than that has no floor, and gets all of them.
     """
-    fields = stored(ix.index_fields(chunks, composed))
-    return fields, stored(ix.postings(fields))
+    bounds = cut(block_bounds(made["terms"], built.blocks))
+    turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("most"), "block"))
+    early = cut(bounds.withColumn("turn", turn).where(F.col("turn") <= lead))
+
+    def score(within: DataFrame, floor: DataFrame | None) -> DataFrame:
+        near = candidates(made["terms"], built.postings, made["wanted"], within, floor)
+        return stored(scored(gated(near, made["weights"]), made["wanted"], made["tokens"], built.fields))
 
+    head = score(early, None)
+    floor = cut(ranked(head).where(F.col("rank") == first).select("question_id", F.col("score").alias("least")))
+    rest = bounds.join(early, ["question_id", "block"], "left_anti").join(floor, "question_id", "left")
+    rest = cut(rest.where(F.col("least").isNull() | (F.col("most") >= F.col("least"))).select("question_id", "block"))
+    return head.unionByName(score(rest, floor))
 
-def retrieve(questions: DataFrame, built: tuple[DataFrame, DataFrame], stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The whole pipeline over an index: matches (ranked from 1, duplicates left out) and outcomes."""
-    fields, found = built
-    made = score_questions(questions, fields, found, stopwords, aliases, composed)
-    matches = suppress_duplicates(stored(made["scored"]), fields)
-    return matches, outcomes(made["wanted"], matches, considered(made["wanted"], fields, made["tokens"]))
+
+def build_index(chunks: DataFrame, composed: bool = False, buckets: int = 8) -> ix.Index:
+    """The index in the shared folder, for one use; ``index.open_index`` keeps it under a revision."""
+    root = f"{shared_folder(chunks.sparkSession)}/{uuid.uuid4().hex}"
+    ix.write_tables(ix.index_fields(chunks, composed), root, buckets)
+    return ix.tables_at(chunks.sparkSession, root)
+
+
+def retrieve(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliases: DataFrame, composed: bool = False, first: int = FIRST_RANKS) -> tuple[DataFrame, DataFrame]:
+    """The whole pipeline over an index: matches (ranked from 1, duplicates left out) and outcomes.
+
+    Questions that their first ranks don't fill are scored in full and walked to their end.
+    """
+    made = prepare(questions, built, stopwords, aliases, composed)
+    rows = best_scored(made, built, first)
+    early = stored(walk(ranked(rows).where(F.col("rank") <= first), built.fields))
+    again = cut(open_questions(rows, early, first))
+    matches = early
+    if not again.isEmpty():
+        terms = made["terms"].join(again, "question_id", "left_semi")
+        passed = gated(candidates(terms, built.postings, made["wanted"]), made["weights"])
+        late = walk(ranked(scored(passed, made["wanted"], made["tokens"], built.fields)), built.fields)
+        matches = stored(early.join(again, "question_id", "left_anti").unionByName(late))
+    return matches, outcomes(made["wanted"], matches, considered(made["wanted"], built.fields, made["tokens"]))

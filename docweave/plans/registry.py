@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import dims, text
 from docweave.functions.identity import chunk_id, document_id
-from docweave.operators import audits, chunking, conversations, evidence, index, logs, policy, ranking, routing, structure
+from docweave.operators import answering, audits, chunking, conversations, evidence, index, logs, policy, ranking, routing, structure
 from docweave.plans import adapters as ad
 from docweave.plans import oracles
 from docweave.session import cut, shared_folder, stored
@@ -376,13 +376,16 @@ DISTINCT_SQL = f"""f AS (SELECT doc_id, {norm('text')} AS body FROM documents),
 c AS (SELECT sha256(body) AS body_hash, any_value(length(body)) AS chars, any_value(list_distinct({toks('body')})) AS t FROM f WHERE body <> '' GROUP BY 1)"""
 
 
-def built_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return ranking.build_index(ad.chunks(spark, sf_dir), composed=True)
+def made_ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    built = ranking.build_index(ad.chunks(spark, sf_dir), composed=True)
+    return built.fields, ranking.score_questions(ad.questions(spark, sf_dir), built, dims.stopwords(spark), dims.aliases(spark), composed=True)
 
 
-def made_ranking(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    own, found = built_index(spark, sf_dir)
-    return own, ranking.score_questions(ad.questions(spark, sf_dir), own, found, dims.stopwords(spark), dims.aliases(spark), composed=True)
+def best_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's best chunks, duplicates among them."""
+    built = ranking.build_index(ad.chunks(spark, sf_dir), composed=True)
+    made = ranking.prepare(ad.questions(spark, sf_dir), built, dims.stopwords(spark), dims.aliases(spark), composed=True)
+    return ranking.top_k(ranking.ranked(ranking.best_scored(made, built, first=ranking.MOST_RESULTS)))
 
 
 @query(f"WITH {RANK_SQL} SELECT question_id, chunk_id, round(coverage, 9) AS coverage FROM gated")
@@ -393,15 +396,15 @@ def gated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RANK_SQL} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, score FROM ranked WHERE rank <= 10")
 def ranked_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(made_ranking(spark, sf_dir)[1]["ranked"]).select("question_id", "rank", "chunk_id", "score")
+    return best_ranked(spark, sf_dir).select("question_id", "rank", "chunk_id", "score")
 
 
 @query(f"""WITH RECURSIVE {RANK_SQL}, {DISTINCT_SQL}, {oracles.SUPPRESSED}, terms AS (SELECT question_id, chunk_id, string_agg(token, ' ' ORDER BY pos) AS matched_terms FROM hits GROUP BY ALL)
 SELECT k.question_id, k.rank, k.chunk_id, r.score, matched_terms FROM kept k JOIN ranked r USING (question_id, chunk_id) JOIN terms USING (question_id, chunk_id)""")
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    index.write_index(index.index_fields(ad.chunks(spark, sf_dir)), path, ad.REVISION)
-    matches, _ = ranking.retrieve(ad.questions(spark, sf_dir), index.read_index(spark, path, ad.REVISION), dims.stopwords(spark), dims.aliases(spark))
+    built = index.open_index(spark, path, ad.REVISION, lambda: index.index_fields(ad.chunks(spark, sf_dir)), buckets=8)
+    matches, _ = ranking.retrieve(ad.questions(spark, sf_dir), built, dims.stopwords(spark), dims.aliases(spark))
     return matches.select("question_id", "rank", "chunk_id", "score", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
@@ -420,10 +423,9 @@ SELECT count(*) AS n_questions, coalesce(round(avg(CASE WHEN rank = 1 THEN 1e0 E
  coalesce(round(avg(coalesce(1e0 / rank, 0e0)), 9), 0) AS mrr FROM t LEFT JOIN hit USING (question_id)""")
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth: documents that hold the whole text of a question."""
-    own, made = made_ranking(spark, sf_dir)
     questions = ad.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     texts = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    got = audits.retrieval_quality(ranking.top_k(made["ranked"]), audits.holding(texts, questions))
+    got = audits.retrieval_quality(best_ranked(spark, sf_dir), audits.holding(texts, questions))
     return got.select("n_questions", *(F.round(c, 9).alias(c) for c in ("hit_at_1", "hit_at_k", "mrr")))
 
 
@@ -446,9 +448,13 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked matches with what their evidence shows."""
-    matches = cut(ranking.top_k(made_ranking(spark, sf_dir)[1]["ranked"]).select("question_id", "rank", "chunk_id"))
-    shown = ad.chunks(spark, sf_dir).select("chunk_id", "title", "heading", F.concat(F.lit(ad.ORIGIN), "published_path").alias("published_url"), "path", "category", "content", F.lit(None).cast("string").alias("anchor"))
-    return matches.join(shown, "chunk_id")
+    matches = cut(best_ranked(spark, sf_dir).select("question_id", "rank", "chunk_id"))
+    return matches.join(shown_chunks(spark, sf_dir), "chunk_id")
+
+
+def shown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What evidence shows of a chunk."""
+    return ad.chunks(spark, sf_dir).select("chunk_id", "title", "heading", F.concat(F.lit(ad.ORIGIN), "published_path").alias("published_url"), "path", "category", "content", F.lit(None).cast("string").alias("anchor"))
 
 
 @query(f"""WITH RECURSIVE {RANK_SQL}, shown AS (SELECT question_id, rank, title, '{ad.ORIGIN}' || published_path AS url, content FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 10), {oracles.CONTEXTS}
@@ -459,7 +465,7 @@ def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHUNKS_SQL} SELECT chunk_id, 'citation_' || chunk_id AS citation_id, '{ad.ORIGIN}' || published_path || '#a%20b%C3%A9(' || chunk_id || ')' AS url,
-CASE WHEN length(content) <= 600 THEN content ELSE rtrim(substr(content, 1, 599), ' ') || '…' END AS snippet FROM chunks""")
+CASE WHEN length(content) <= 600 THEN content ELSE rtrim(substr(content, 1, 599), {oracles.WHITE}) || '…' END AS snippet FROM chunks""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ad.chunks(spark, sf_dir).withColumns({"question_id": F.lit(0), "citation_index": F.lit(1), "published_url": F.concat(F.lit(ad.ORIGIN), "published_path"), "anchor": F.concat(F.lit("a bé("), F.col("chunk_id").cast("string"), F.lit(")"))})
     return evidence.citations(rows).select(F.col("source_id").cast("long").alias("chunk_id"), "citation_id", "url", "snippet")
@@ -538,8 +544,12 @@ def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Routing
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(ad.table(spark, sf_dir, "conversations"))
+
+
+def requests_of(turns: DataFrame) -> DataFrame:
     """User turns as requests; some are given the wording of the other routes."""
-    t = ad.turns(spark, sf_dir).where("role = 'user'")
+    t = turns.where("role = 'user'")
     k = (F.col("conv_id") + F.col("turn")) % 7
     message = F.when(k == 0, F.lit("Hello!")).when(k == 1, F.lit("thank you")).when(k == 2, F.concat(F.lit("Deploy failed: "), "text")).when(k == 3, F.concat(F.lit("My Django build failed with exit code 137. "), "text")).otherwise(F.col("text"))
     none = F.lit(None).cast("string")
@@ -570,6 +580,28 @@ def clarified_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(rows.withColumn("message", said), dims.intents(spark)).select("request_id", "route")
 
 
+ANSWERED_SQL = f"""{RANK_SQL.replace(f"q AS (SELECT item_id AS question_id, {norm('text')} AS normal FROM benchmark)", f"{ROUTES_SQL}, q AS (SELECT request_id AS question_id, {norm('retrieval_text')} AS normal FROM rt WHERE route = 'retrieve')")}, {DISTINCT_SQL},
+{oracles.SUPPRESSED.replace("len(kept) < 10", "len(kept) < 6").replace("walk", "shown_walk")}, shown AS (SELECT k.question_id, k.rank, title, '{ad.ORIGIN}' || published_path AS url, content FROM kept k JOIN chunks USING (chunk_id)), {oracles.CONTEXTS},
+cited AS (SELECT question_id, count(*) AS n_matches FROM kept GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {ANSWERED_SQL} SELECT request_id, route, language, CASE WHEN route = 'retrieve' THEN CASE WHEN n_matches > 0 THEN 'matches' ELSE 'no_matches' END END AS outcome,
+ CASE WHEN route = 'retrieve' THEN coalesce(n_matches, 0) END AS n_matches, CASE WHEN route = 'retrieve' THEN md5(coalesce(formatted, '[]')) END AS context,
+ CASE WHEN route = 'retrieve' THEN CAST(CASE WHEN formatted IS NULL THEN 0 ELSE (length(formatted) - length(replace(formatted, '{{"citation":', ''))) // length('{{"citation":') END AS BIGINT) END AS n_citations
+ FROM rt LEFT JOIN cited ON cited.question_id = request_id LEFT JOIN contexts ON contexts.question_id = request_id""")
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a stream against the index of a revision: routes, matches, contexts and citations of each micro-batch."""
+    path, source = f"{shared_folder(spark)}/{uuid.uuid4().hex}", f"{sf_dir}/conversations.parquet"
+    index.open_index(spark, path, ad.REVISION, lambda: index.index_fields(ad.chunks(spark, sf_dir), composed=True), buckets=8)
+    read = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source[:-1]}[{source[-1]}]")
+    job = answering.answer_stream(requests_of(read), lambda: index.read_index(spark, path, ad.REVISION), lambda: shown_chunks(spark, sf_dir), f"{path}/answers", composed=True)
+    job.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    routed, contexts, cited = (spark.read.parquet(f"{path}/answers/{name}") for name in ("routes", "contexts", "citations"))
+    n = cited.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = routed.join(contexts.select("request_id", F.md5("formatted").alias("context")), "request_id", "left").join(n, "request_id", "left")
+    return whole.select("request_id", "route", "language", "outcome", "n_matches", "context", F.when(F.col("route") == "retrieve", F.coalesce("n", F.lit(0))).alias("n_citations"))
+
+
 # Conversations
 
 @query("""WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pair_no, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations WHERE role = 'user')

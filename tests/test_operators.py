@@ -361,17 +361,6 @@ def test_scratch_removes_what_was_stored(spark):
     session.remove(spark, f"{session.shared_folder(spark)}/kept-table")
 
 
-def test_index_of_a_revision(spark, tmp_path):
-    rows = [(k, k, None, "nodejs", f"Title {k}", f"alpha beta number{k} next.js") for k in range(12)]
-    fields = index.index_fields(chunk(spark, rows))
-    for revision in ("r1", "r2"):
-        index.write_index(fields if revision == "r1" else fields.where("chunk_id < 3"), str(tmp_path), revision)
-    back, found = index.read_index(spark, str(tmp_path), "r1")
-    want = index.postings(fields)
-    assert found.select(want.columns).exceptAll(want).count() == 0 and found.count() == want.count() and back.count() == 12
-    assert index.read_index(spark, str(tmp_path), "r2")[0].count() == 3
-
-
 def test_texts_that_hold_a_question(spark):
     texts = spark.createDataFrame([(1, "say one two\tthree now"), (2, "one two"), (3, "x one twofold"), (4, "bar foo"), (5, ""), (6, None), (7, "xone two threefold")], "chunk_id long, text string")
     asked = [(1, "one two\tthree"), (2, "one two"), (3, "foo"), (4, "absent words here"), (5, ""), (6, None)]
