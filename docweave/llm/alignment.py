@@ -80,6 +80,8 @@ UNIT = Fragment(NONE, NONE, None, NONE, NONE)
 
 
 def group_text(a: list[int], b: list[int]) -> str:
+    if len(a) == len(b) == 1:
+        return f"{a[0]}|{b[0]}"
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
@@ -184,9 +186,10 @@ class Tokenizers:
         self.base = self.b.vocab_size()
         if self.base * len(self.a_bytes) > 1 << 32:
             raise ValueError("the vocabularies are too large for links of 32 bits")
+        self.size_a = list(map(len, self.a_bytes))
         self.cells = Remembered(self._cell, 20_000)
         #: By piece: the cell is the piece itself if it begins with a line feed, else a space and the piece.
-        self.words = Words(lambda piece: self._cell(piece if piece[0] == "\n" else " " + piece), 200_000)
+        self.words = Words(lambda piece: self._cell(piece if piece[0] == "\n" else " " + piece), 40_000)
         self.quick = one_word(byte_path)
         self.marks = Remembered(lambda marks: self.a.encode(marks, add_special_tokens=False).ids, 10_000)
 
@@ -194,26 +197,24 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _ids(self, cell: str) -> list[int]:
-        """The ids of A for a cell."""
-        found = PLAIN.fullmatch(cell)
-        if found and self.quick:  # a word of letters, and marks behind it, are words of their own
-            a = self.quick(found[1].encode())
-            return a + self.marks[found[2]] if found[2] else a
-        return self.a.encode(cell, add_special_tokens=False).ids
-
     def _cell(self, cell: str, b: list[int] | None = None) -> tuple[str, bytes, int, int, int] | None:
         """Groups, links, and the numbers of tokens and groups; None if bytes differ."""
-        a = self._ids(cell)
         if b is None:
             b = self.b.encode(cell[1:] if cell[0] == " " else cell)
             if cell[0] != " ":
                 b = b[1:] if b[:1] == [self.space] else []
-        parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         own = cell.encode()
-        if b"".join(parts_a) != own or b"".join(parts_b) != own:
+        found = PLAIN.fullmatch(cell) if self.quick else None
+        if found:  # a word of letters, and marks behind it, are words of their own
+            marks = found[2]
+            a = self.quick(own[: len(own) - len(marks)]) + self.marks[marks] if marks else self.quick(own)
+        else:
+            a = self.a.encode(cell, add_special_tokens=False).ids
+        parts_b = [self.b_bytes[i] for i in b]
+        ends_a = list(accumulate([self.size_a[i] for i in a]))
+        if ends_a[-1:] != [len(own)] or b"".join(parts_b) != own or not (found or b"".join([self.a_bytes[i] for i in a]) == own):
             return None
-        texts, links = groups_of(a, list(accumulate(map(len, parts_a))), b, list(accumulate(map(len, parts_b))), self.base)
+        texts, links = groups_of(a, ends_a, b, list(accumulate(map(len, parts_b))), self.base)
         return ";".join(texts), array("I", links).tobytes(), len(a), len(b), len(texts)
 
     def _found(self, text: str) -> list[tuple | None]:
