@@ -15,9 +15,11 @@
    stretches (suffix filter) and then by the digests themselves.  Links join components.
 5. Not all pairs of a bucket are made.  First its pivot, the vertex whose shingles are the
    most frequent (in a group of near copies the text that they were made from), is paired
-   with the others; while the pairs left over are many and that pays, the heaviest vertex
-   outside the pivots' components is the next pivot.  At last every pair left over whose ends
-   are in different components is made, except those inside the bucket's largest component.  No link between components is
+   with the others; while the pairs left over are many and each round settles a tenth of the entries, the heaviest vertex
+   outside the pivots' components is the next pivot.  What is left are texts that share frequent passages without being
+   alike: a bucket with many of them is split by the second shingle in common, and again (``split``), so
+   that they don't meet pair by pair.  At last every pair left over whose ends are in different components is
+   made, except those inside the bucket's largest component.  No link between components is
    lost, and a group of near copies costs about one pair for each member.
 
 Sets are compared by digests: for a pair of texts to be misjudged, two different shingles
@@ -54,8 +56,11 @@ EACH, LEAST, MOST, SETS = 4096, 1_000_000, 8_000_000, 30_000
 #: Sets that share a digest within a chunk are listed to its range up to so many; else only their number.
 LISTED = 16
 STRETCHES, PARITY = 64, 256
-#: Further pivots are sought while the pairs left over are more than so many for each entry.
-COMBINED = 64
+#: Further pivots are sought while the pairs left over are more than so many for each entry, and each
+#: round settles at least so much of the entries.
+COMBINED, PAYS = 64, 0.1
+#: Buckets of more members may be split by the next shingles in common, of which so many are used.
+WIDE, FURTHER = 64, 4
 
 STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], np.uint64)
 #: Bytes of words longer than this are hashed one word at a time.
@@ -359,7 +364,7 @@ def entries_of(found: DataFrame, vertices: DataFrame, percent: int = PERCENT) ->
         chunk = int(numbers[0]) >> 16 << 16
         held = [np.sort(h[a : a + k]).tobytes() for a, k in zip(first.tolist(), runs.tolist())]
         whole = rows_of(ENTRY, len(some), v=some | chunk, n=size[some], shared=held)
-        keep = place < prefix[who]
+        keep = place < prefix[who] + FURTHER
         h, who, place, nth = h[keep], who[keep], place[keep], nth[keep]
         signs = {f"s{k}": sketch[nth, k] for k in range(PARITY // 64)}
         own = rows_of(ENTRY, len(h), h=h.view(np.int64), v=who | chunk, n=size[who], alone=alone[who], place=place, weight=weight[who], **signs)
@@ -472,37 +477,78 @@ def few_combinations(rest: DataFrame) -> bool:
     return (sums["made"] or 0) <= COMBINED * (sums["held"] or 0)
 
 
+def prefix_size(percent: int) -> Column:
+    """How many shingles of a set, rare ones first, hold one of any set that is similar enough."""
+    return F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+
+
+def split(rest: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """``rest`` with the key that its rows meet on: the shingle, or in a wide bucket the first shingles in common.
+
+    Two sets that are similar enough have k shingles in common within the first ones and k - 1 more.  So rows of a wide
+    bucket may meet on that shingle and the next one in common, which is any later one (``tokens``:
+    v, h, place) within one place more, and so on.  A bucket is split where that makes fewer rows than
+    its pairs; what stays wide after ``FURTHER`` shingles is left as it is.  ``met`` is the number of
+    shingles in the key and ``last`` the place of the last.
+    """
+    rows, done = rest.select("*", F.col("h").alias("key"), F.col("place").alias("last"), F.lit(1).alias("met")), []
+    end = prefix_size(percent)
+    for met in range(1, FURTHER + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(end + met - F.col("last") - 1).alias("cost"))
+        wide = cut(sizes.where((F.col("size") > WIDE) & (F.col("size") * F.col("size") > 2 * F.col("cost"))).select("key"))
+        if wide.isEmpty():
+            break
+        done.append(rows.join(wide, "key", "left_anti"))
+        next_ = tokens.select("v", F.col("h").alias("t"), F.col("place").alias("t_place"))
+        more = rows.join(wide, "key", "left_semi").join(next_, "v").where((F.col("t_place") > F.col("last")) & (F.col("t_place") < end + met))
+        more = more.withColumns({"key": F.xxhash64("key", "t"), "last": F.col("t_place"), "met": F.lit(met + 1)}).select(rows.columns)
+        several = more.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        rows = cut(more.join(several, "key", "left_semi"))
+    for more in done:
+        rows = rows.unionByName(more)
+    return cut(rows)
+
+
+def may_meet(percent: int) -> Column:
+    """As ``may_link`` for rows of one key; those that met on several shingles have no other ones in common before the last."""
+    after = F.least(F.col("n") - F.col("last") - 1, F.col("p_n") - F.col("p_last") - 1)
+    return may_link(percent=percent) & ((F.col("met") == 1) | ((100 + percent) * (F.col("met") + after) >= percent * (F.col("n") + F.col("p_n"))))
+
+
 def components(entries: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """x, root for every vertex that has a link; the root is the component's least vertex."""
+    tokens, entries = entries.select("v", "h", "place"), entries.where(F.col("place") < prefix_size(percent))
     hubs = cut(heaviest(entries).where("size > 1"))
     led = entries.join(as_pivot(hubs.select("h", "best.*")), "h").where(F.col("v") != F.col("p_v"))
     known = cut(pairs_of(led.where(may_link(percent=percent))))
     links = verified(known, whole, percent)
     labels = joined(cut(links.sparkSession.createDataFrame([], "x long, root long")), links)
     rest = unsettled(entries.join(hubs.select("h"), "h", "left_semi"), labels)
-    pivots = hubs.select("h", F.col("best.v").alias("v"))
-    while not rest.isEmpty() and not few_combinations(rest):
+    pivots, left = hubs.select("h", F.col("best.v").alias("v")), rest.count()
+    while left and not few_combinations(rest):
         at = labels.select(F.col("x").alias("v"), "root")
         roots = pivots.join(at, "v", "left").select("h", F.coalesce("root", "v").alias("root")).distinct()
         next_ = cut(heaviest(rest.join(roots, ["h", "root"], "left_anti"), "root").select("h", "best.*"))
         led = rest.join(as_pivot(next_, "root"), "h").where(F.col("root") != F.col("p_root")).where(may_link(percent=percent))
         pairs = cut(pairs_of(led).join(known, ["a", "b"], "left_anti"))
         known = known.unionByName(pairs)
-        links = verified(pairs, whole, percent)
-        labels = joined(labels, links)
+        labels = joined(labels, verified(pairs, whole, percent))
         rest = unsettled(rest.drop("root"), labels)
         pivots = pivots.unionByName(next_.select("h", "v"))
-        if links.count() * 10 < pairs.count() or pairs.isEmpty():
+        before, left = left, rest.count()
+        if left > (1 - PAYS) * before:
             break
-    if rest.isEmpty():
+    if not left:
         return labels
-    # What is left: all pairs of different components, but for those inside the largest of the bucket.
-    sizes = rest.groupBy("h", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = cut(sizes.groupBy("h").agg(F.max(F.struct("size", "root")).alias("m")).select("h", F.col("m.root").alias("main")))
-    marked = cut(rest.join(largest, "h"))
-    minor = as_pivot(marked.where("root != main"), "root")
+    # What is left: pairs of different components that meet on a key, but for those inside the largest of the bucket.
+    held = tokens.join(rest.select("v").distinct(), "v", "left_semi")
+    marked = split(rest, held, percent)
+    sizes = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = cut(sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m")).select("key", F.col("m.root").alias("main")))
+    marked = cut(marked.join(largest, "key"))
+    minor = marked.where("root != main").select("key", *(F.col(c).alias(f"p_{c}") for c in (*OWN, "root", "last")))
     once = (F.col("root") == F.col("main")) | (F.col("v") < F.col("p_v"))
-    led = marked.join(minor, "h").where((F.col("root") != F.col("p_root")) & once & may_link(percent=percent))
+    led = marked.join(minor, "key").where((F.col("root") != F.col("p_root")) & once & may_meet(percent))
     return joined(labels, verified(cut(pairs_of(led).join(known, ["a", "b"], "left_anti")), whole, percent))
 
 

@@ -163,3 +163,18 @@ def test_long_words_and_texts():
     assert len(nj.shingle_set("x" * 5_000_000 + " y z")) == 1
     assert len(nj.shingle_set("q " + " ".join(str(k) for k in range(1_000_000)))) == 999_997
     assert time.time() - began < 10
+
+
+def frequent_passages(count, passages=9, each=4):
+    """Texts of the same passages in other orders."""
+    pick = random.Random(11)
+    known = [" ".join(f"w{p}x{j}" for j in range(14)) for p in range(passages)]
+    return [(i + 1, " ".join(pick.sample(known, each)), "x", 0) for i in range(count)]
+
+
+@pytest.mark.parametrize("wide, combined", [(2, 0), (8, 2), (64, 64)])
+def test_frequent_passages_in_other_orders(spark, monkeypatch, wide, combined):
+    monkeypatch.setattr(nj, "WIDE", wide)
+    monkeypatch.setattr(nj, "COMBINED", combined)
+    rows = frequent_passages(220)
+    assert run(spark, rows) == brute(rows)
