@@ -4,20 +4,20 @@ Texts and templates are normalised to lower-case words.  A template of m words i
 compared to every stretch of m words of a text (to the whole text, if it is shorter).
 Sizes prune first: a text with fewer bigrams than ``t / (2 - t)`` of the template's can't
 reach the threshold ``t``, nor can one with too few bigrams of the template anywhere.
-Running sums then bound the overlap of every stretch, and only those that could reach the
-threshold are compared exactly.  Of stretches that overlap the one with the highest
+For the others the overlap of all stretches with a template is summed up at once, from the ends
+between which each place of a bigram counts.  Of stretches that overlap the one with the highest
 coefficient stays; ties go to the earlier one, then to the template named first.
 
 ``licenses`` compares to the templates below and to those of ``license_texts``: notices, headers and
 whole texts of the common licences in their versions, so that the nearest gives the name.
 
-Defined cases: null and empty texts have no licence; repeated rows are scanned row by row;
-no templates give no findings.
+Defined cases: null and empty texts have no licence; repeated rows are scanned row by row; no templates give no
+findings; an empty table gives an empty result; other columns aren't read.  Memory for a long text is in proportion to its words:
+nothing is held for a word and a template at once.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -77,32 +77,46 @@ class Scanner:
         words = [normal_words(t) for _, t in pairs]
         self.codes = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for t in words for w in t))}
         self.sizes = np.array([len(t) for t in words], np.int64)
-        n = len(self.codes) + 1
-        self.ids = np.zeros((n, n), np.int32)  # of each bigram of the templates; 0: of none
-        self.own: list[dict[int, int]] = []  # how often each template has its bigrams
-        ids: dict[tuple[int, int], int] = {}
+        self.base = len(self.codes) + 1
+        ids: dict[int, int] = {}  # of each bigram of the templates
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []  # each template's bigrams, and how often it has them
         for t in words:
             c = [self.codes[w] for w in t]
-            self.own.append(dict(Counter(ids.setdefault(x, len(ids) + 1) for x in zip(c, c[1:]))))
-        for (x, y), k in ids.items():
-            self.ids[x, y] = k
-        self.has = np.zeros((len(ids) + 1, len(pairs)), bool)  # which templates have a bigram
-        for k, own in enumerate(self.own):
-            self.has[list(own), k] = True
+            own = Counter(ids.setdefault(x * self.base + y, len(ids)) for x, y in zip(c, c[1:]))
+            self.own.append((np.array(sorted(own), np.int64), np.array([own[x] for x in sorted(own)], np.int64)))
+        self.keys = np.array(sorted(ids), np.int64)
+        self.of_key = np.array([ids[x] for x in sorted(ids)], np.int64)
+        self.has = np.zeros((len(ids), len(pairs)), bool)  # which templates have a bigram
+        for k, (own, _) in enumerate(self.own):
+            self.has[own, k] = True
         self.parts = Remembered(self._codes, 150_000)
 
     def _codes(self, part: str) -> bytes:
-        return np.array([self.codes.get(w, 0) for w in normal_words(part)], np.uint16).tobytes()
+        return np.array([self.codes.get(w, 0) for w in normal_words(part)], np.uint32).tobytes()
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bigrams that templates have, and their ids."""
+        both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
+        pair = codes[both].astype(np.int64) * self.base + codes[both + 1]
+        k = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        found = self.keys[k] == pair
+        return both[found], self.of_key[k[found]]
+
+    def enough(self, u: np.ndarray, count: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Templates of whose bigrams (u, with their counts in the text) there are enough."""
+        total = np.zeros(len(self.names), np.float32)
+        for k in range(0, len(u), 512):
+            total += count[k : k + 512].astype(np.float32) @ self.has[u[k : k + 512]].astype(np.float32)
+        return np.flatnonzero(total >= least - 1e-3)
 
     def find(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """Template number, first word, end and coefficient of each finding, in order of words."""
-        if not text or not self.names:
+        if not text or not len(self.keys):
             return []
-        codes = np.frombuffer(b"".join(map(self.parts.__getitem__, text.split())), np.uint16)
+        codes = np.frombuffer(b"".join(map(self.parts.__getitem__, text.split())), np.uint32)
         if len(codes) < 2:
             return []
-        ids = self.ids[codes[:-1], codes[1:]]
-        at = np.flatnonzero(ids)
+        at, ids = self.hits(codes)
         if not len(at):
             return []
         widths = np.minimum(self.sizes, len(codes))  # words of the stretches
@@ -110,43 +124,57 @@ class Scanner:
         may = (self.sizes >= 2) & (widths - 1 >= self.threshold / (2 - self.threshold) * (self.sizes - 1) - 1e-9) & (len(at) >= least - 1e-9)
         if not may.any():
             return []
-        few = np.flatnonzero(may)
-        has = self.has[ids[at]][:, few]
-        rated = []
-        for j in np.flatnonzero(has.sum(0) >= least[few] - 1e-9):
-            k, hits = int(few[j]), at[has[:, j]]
-            size, width, own = int(self.sizes[k]), int(widths[k]), self.own[k]
-            pairs, need = width - 1, max(1, math.ceil(least[k] - 1e-9))
-            if not (hits[need - 1 :] - hits[: len(hits) - need + 1] < pairs).any():
+        order = np.argsort(ids, kind="stable")
+        pos = at[order]  # places by id, in order
+        u, first, count = np.unique(ids[order], return_index=True, return_counts=True)
+        found = []
+        for k in self.enough(u, count, np.where(may, least, np.inf)).tolist():
+            own, times = self.own[k]
+            j = np.minimum(np.searchsorted(u, own), len(u) - 1)
+            there = u[j] == own
+            j, times = j[there], times[there]
+            if int(np.minimum(count[j], times).sum()) < least[k] - 1e-9:
                 continue
-            sums = np.zeros(len(ids) + 1, np.int64)
-            sums[hits + 1] = 1
-            sums = np.cumsum(sums)
-            last, both, now = -2, 0, Counter()
-            for start in np.flatnonzero(sums[pairs:] - sums[:-pairs] >= least[k] - 1e-9).tolist():
-                if start == last + 1:  # one bigram leaves the stretch and one comes
-                    gone, new = int(ids[last]), int(ids[last + pairs])
-                    if gone in own:
-                        now[gone] -= 1
-                        both -= now[gone] < own[gone]
-                    if new in own:
-                        both += now[new] < own[new]
-                        now[new] += 1
-                else:
-                    now = Counter(x for x in ids[start : start + pairs].tolist() if x in own)
-                    both = sum(min(c, own[x]) for x, c in now.items())
-                last = start
-                dice = 2.0 * both / (pairs + size - 1)
-                if dice >= self.threshold - 1e-12:
-                    rated.append((-dice, start, k, start + width))
-        rated.sort()
+            starts, both = self.overlaps(pos, first[j], count[j], times, int(widths[k]) - 1, len(codes) - int(widths[k]), least[k])
+            dice = 2.0 * both / (int(widths[k]) - 1 + int(self.sizes[k]) - 1)
+            good = dice >= self.threshold - 1e-12
+            found.append((-dice[good], starts[good], np.full(int(good.sum()), k), starts[good] + int(widths[k])))
+        if not found:
+            return []
+        dice, starts, ks, ends = (np.concatenate(c) for c in zip(*found))
+        best = np.lexsort((ks, starts, dice))
         taken, out = np.zeros(len(codes), bool), []
-        for dice, start, k, end in rated:
-            if not taken[start:end].any():
+        for d, start, k, end in zip(*(c[best].tolist() for c in (dice, starts, ks, ends))):
+            if not (taken[start] or taken[end - 1] or taken[start:end].any()):
                 taken[start:end] = True
-                out.append((k, start, end, -dice))
+                out.append((k, start, end, -d))
         return sorted(out, key=lambda x: x[1])
 
+    @staticmethod
+    def overlaps(pos: np.ndarray, first: np.ndarray, count: np.ndarray, times: np.ndarray, pairs: int, latest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the stretches of ``pairs`` bigrams that have at least ``least`` in common with a template, and how many.
+
+        The template has bigram j ``times[j]`` times; its places in the text are ``count[j]`` from ``first[j]`` on.
+        A place counts for the stretches that it lies in and that begin behind the place of the same
+        bigram so many times before; sums of these ends give the overlap of all stretches at once.
+        """
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        place = np.repeat(first, count) + nth
+        often = np.repeat(times, count)
+        before = np.where(nth >= often, pos[np.maximum(place - often, 0)], -1)
+        p = pos[place]
+        low = np.maximum(np.maximum(before + 1, p - pairs + 1), 0)
+        some = low <= np.minimum(p, latest)
+        edges = np.concatenate([low[some], p[some] + 1])
+        change = np.repeat([1, -1], int(some.sum()))
+        order = np.argsort(edges, kind="stable")
+        edges, upto = edges[order], np.cumsum(change[order])
+        ends = np.minimum(np.append(edges[1:], edges[-1:]), latest + 1)
+        good = (upto >= least - 1e-9) & (ends > edges)
+        sizes = (ends - edges)[good]
+        starts = np.repeat(edges[good], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return starts, np.repeat(upto[good], sizes)
+
 
 def licenses(text: Column, templates: dict[str, str] | None = None, threshold: float = 0.8) -> Column:
     """An array of license, start, end (in words) and dice for each text."""
