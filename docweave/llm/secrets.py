@@ -5,9 +5,9 @@ encoded key are decoded, and reported only if the bytes hold together:
 
 - ``jwt``: a signed token whose header is a JSON object with an ``alg``, and whose
   payload is a JSON object;
-- ``key``: base64 or hex of a DER private key (nested lengths fit exactly and the fields
-  are those of PKCS#1, PKCS#8 or SEC 1) or of an ``openssh-key-v1`` blob whose
-  length-prefixed fields fit;
+- ``key``: base64 (in one line or wrapped) or hex of a DER private key (nested lengths fit exactly and the
+  fields are those of PKCS#1, PKCS#8 or SEC 1) or of an ``openssh-key-v1`` blob whose
+  length-prefixed fields fit; it may begin anywhere in a run, and its lengths tell its end;
 - ``pem``: an armoured private key block whose body confirms in the same way.
 
 A first pass with a linear-time matcher leaves out texts that hold no candidate; it lets
@@ -26,7 +26,9 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,13 +44,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is matched whole
 # A run without a dot is tried from its start only, so a long one takes time in proportion.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){40,}|(?:[0-9A-F]{2}){40,}")
+#: Base64 over one line or several; a key may begin anywhere in it, and its lengths tell where it ends.
+RUN = re.compile(r"[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)*+")
+BREAK = re.compile(r"\r?\n[\x20\t]*")
+HEX_RUN = re.compile(r"[0-9a-f]{80,}|[0-9A-F]{80,}")
+#: Where the bytes of a sequence that begins with a number of one byte, or of an OpenSSH key, may begin.
+BEGIN = re.compile(r"(?=M[A-H][A-Za-z0-9+/_-]C[A-Z]|MI[E-H][A-Za-z0-9+/_-][A-Za-z0-9+/_-]{4}|MI[I-L]|b3BlbnNzaC1rZXktdjEA)")
+HEX_BEGIN = re.compile(r"(?=30(?:[0-7].|81..|82....)0201|6f70656e7373682d6b65792d763100)", re.I)
+#: A key has no more bytes than a length of two bytes tells.
+LONGEST = 0xFFFF + 4
 ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 #: Holds wherever one of the above does.
 MAYBE = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
     r"|[A-Za-z0-9_-]{12}\.[A-Za-z0-9_-]{2}[A-Za-z0-9_-]*\.|[A-Za-z0-9+/_-]{40}|[0-9A-F]{80}|-----BEGIN "
+    r"|M[A-I][A-Za-z0-9+/_-]{2,}\r?\n|b3BlbnNzaC1rZXktdjEA"
 )
 
 
@@ -103,22 +113,124 @@ def is_private_key(data: bytes) -> bool:
 
 
 def _openssh(data: bytes) -> bool:
+    return openssh_size(lambda at, n: data[at : at + n]) is not None
+
+
+Read = Callable[[int, int], bytes]
+
+
+def openssh_size(read: Read) -> int | None:
+    """How many bytes the length-prefixed fields of an ``openssh-key-v1`` blob take; None if they don't fit."""
     at = len(b"openssh-key-v1\0")
 
-    def field() -> bytes | None:
+    def field(least: int) -> bool:
         nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
-            return None
+        head = read(at, 4)
+        size = int.from_bytes(head, "big")
         at += 4 + size
-        return data[at - size : at]
+        return len(head) == 4 and least <= size <= LONGEST and (not size or len(read(at - 1, 1)) == 1)
 
-    if field() is None or field() is None or field() is None:  # cipher, kdf and its options
-        return False
-    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    if not 1 <= keys <= 16:
-        return False
-    return all(field() for _ in range(keys)) and bool(field())
+    if not all(field(0) for _ in range(3)):  # cipher, kdf and its options
+        return None
+    head = read(at, 4)
+    keys, at = int.from_bytes(head, "big"), at + 4
+    return at if len(head) == 4 and 1 <= keys <= 16 and all(field(1) for _ in range(keys + 1)) else None
+
+
+def der_size(read: Read) -> int | None:
+    """How many bytes a sequence takes whose fields fit like those of a private key; it is read header by header."""
+
+    def header(at: int) -> tuple[int, int, int] | None:
+        head = read(at, 4)
+        if len(head) < 2:
+            return None
+        size, own = head[1], 2
+        if size >= 0x80:
+            more = size & 0x7F
+            if not 1 <= more <= 2 or len(head) < 2 + more:
+                return None
+            size, own = int.from_bytes(head[2 : 2 + more], "big"), 2 + more
+        return head[0], at + own, at + own + size
+
+    top = header(0)
+    if top is None or top[0] != 0x30:
+        return None
+    _, at, end = top
+    for n in range(16):  # none of the kinds has more fields
+        field = header(at)
+        if field is None or field[2] > end or (n == 0 and (field[0] != 0x02 or field[2] - field[1] != 1)):
+            return None
+        at = field[2]
+        if at == end:
+            return end if len(read(end - 1, 1)) == 1 else None
+    return None
+
+
+def base64_reader(text: str, start: int) -> Read:
+    """Bytes by place of the base64 that begins at ``start``; fewer where it ends."""
+
+    def read(at: int, n: int) -> bytes:
+        first, last = at // 3, -(-(at + n) // 3)
+        part = text[start + 4 * first : start + 4 * last]
+        data = from_base64(part if len(part) % 4 != 1 else part[:-1]) or b""
+        return data[at - 3 * first : at - 3 * first + n]
+
+    return read
+
+
+def hex_reader(text: str, start: int, end: int) -> Read:
+    def read(at: int, n: int) -> bytes:
+        part = text[start + 2 * at : min(start + 2 * (at + n), end)]
+        return bytes.fromhex(part if len(part) % 2 == 0 else part[:-1])
+
+    return read
+
+
+def key_size(read: Read) -> int | None:
+    """How many bytes the private key at the reader's start takes; None if there is none."""
+    size = openssh_size(read) if read(0, 15) == b"openssh-key-v1\0" else der_size(read)
+    return size if size and size <= LONGEST and is_private_key(read(0, size)) else None
+
+
+def keys_in(text: str) -> list[tuple[int, int]]:
+    """Places of private keys in base64 or hex, wherever in a run they begin; of those that overlap the first."""
+    found = []
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < 40:
+            continue
+        breaks = [(m.start(), m.end()) for m in BREAK.finditer(text, run.start(), run.end())]
+        body, places = run[0], None
+        if breaks:  # the place in the text of each stretch between breaks, by its place in the body
+            body = BREAK.sub("", body)
+            cuts = [run.start(), *(end for _, end in breaks)]
+            lens = [b - a for a, b in zip(cuts, [*(start for start, _ in breaks), run.end()])]
+            places = ([0, *accumulate(lens)][:-1], cuts)
+
+        def place(k: int, places=places, run=run) -> int:
+            if places is None:
+                return run.start() + k
+            line = bisect_right(places[0], k) - 1
+            return places[1][line] + k - places[0][line]
+
+        done = 0
+        for m in BEGIN.finditer(body):
+            if m.start() < done or (size := key_size(base64_reader(body, m.start()))) is None:
+                continue
+            done = m.start() + -(-8 * size // 6)
+            end = place(done - 1) + 1
+            pad = -(done - m.start()) % 4
+            end += len(text[end : end + pad]) - len(text[end : end + pad].lstrip("="))
+            found.append((place(m.start()), end))
+    for run in HEX_RUN.finditer(text):
+        upto = run.start()
+        for m in HEX_BEGIN.finditer(text, run.start(), run.end()):
+            if m.start() < upto:
+                continue
+            size = key_size(hex_reader(text, m.start(), run.end()))
+            if size and all(m.start() + 2 * size <= s or m.start() >= e for s, e in found):
+                upto = m.start() + 2 * size
+                found.append((m.start(), upto))
+    return found
 
 
 def is_signed_token(text: str) -> bool:
@@ -138,16 +250,14 @@ def find(text: str) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     spans += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
-    keys = [(m.start(), 4, m.end()) for m in RUN.finditer(text) if (d := from_base64(m[0])) and is_private_key(d)]
-    for m in HEX_RUN.finditer(text):
-        if is_private_key(bytes.fromhex(m[0])) and all(m.end() <= s or m.start() >= e for s, _, e in keys):
-            keys.append((m.start(), 4, m.end()))
-    spans += keys
+    armoured = []
     for m in ARMOUR.finditer(text):
         data = from_base64("".join(m[2].split()))
         if data and is_private_key(data):
-            spans.append((m.start(), 5, m.end()))
-    return sorted(spans)
+            armoured.append((m.start(), 5, m.end()))
+    # a key within its armour is told once
+    spans += [(a, 4, b) for a, b in keys_in(text) if all(b <= s or a >= e for s, _, e in armoured)]
+    return sorted(spans + armoured)
 
 
 def secret_spans(text: Column) -> Column:
