@@ -36,7 +36,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -186,11 +186,14 @@ class Tokenizers:
         self.base = self.b.vocab_size()
         if self.base * len(self.a_bytes) > 1 << 32:
             raise ValueError("the vocabularies are too large for links of 32 bits")
-        self.size_a = list(map(len, self.a_bytes))
+        self.size_a, self.size_b = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.cells = Remembered(self._cell, 20_000)
         #: By piece: the cell is the piece itself if it begins with a line feed, else a space and the piece.
-        self.words = Words(lambda piece: self._cell(piece if piece[0] == "\n" else " " + piece), 40_000)
+        self.words = Words(lambda piece: self._cell(piece if piece[0] == "\n" else " " + piece), 80_000)
         self.quick = one_word(byte_path)
+        self.tails = Remembered(self._tail, 10_000)
+        #: What a piece of B may have behind a letter; other marks are always pieces apart.
+        self.behind_letters = {y for i in range(self.base) if not self.b.is_byte(i) for x, y in pairwise(self.b.id_to_piece(i)) if x.isalpha()}
         self.marks = Remembered(lambda marks: self.a.encode(marks, add_special_tokens=False).ids, 10_000)
 
     def _piece(self, i: int) -> bytes:
@@ -210,11 +213,12 @@ class Tokenizers:
             a = self.quick(own[: len(own) - len(marks)]) + self.marks[marks] if marks else self.quick(own)
         else:
             a = self.a.encode(cell, add_special_tokens=False).ids
-        parts_b = [self.b_bytes[i] for i in b]
-        ends_a = list(accumulate([self.size_a[i] for i in a]))
-        if ends_a[-1:] != [len(own)] or b"".join(parts_b) != own or not (found or b"".join([self.a_bytes[i] for i in a]) == own):
+        ends_a, ends_b = list(accumulate([self.size_a[i] for i in a])), list(accumulate([self.size_b[i] for i in b]))
+        if not ends_a or not ends_b or ends_a[-1] != len(own) or ends_b[-1] != len(own):
             return None
-        texts, links = groups_of(a, ends_a, b, list(accumulate(map(len, parts_b))), self.base)
+        if not found and not (b"".join([self.a_bytes[i] for i in a]) == own == b"".join([self.b_bytes[i] for i in b])):
+            return None
+        texts, links = groups_of(a, ends_a, b, ends_b, self.base)
         return ";".join(texts), array("I", links).tobytes(), len(a), len(b), len(texts)
 
     def _found(self, text: str) -> list[tuple | None]:
@@ -225,10 +229,32 @@ class Tokenizers:
         pieces = text.replace("\n", " \n").split(" ")
         new = [p for p in set(pieces) if p not in words and p not in words.old and p[0] != "\n"]
         if new:
-            for piece, b in zip(new, self.b.encode(new, num_threads=1)):
-                words.put(piece, self._cell(" " + piece, b))
+            self._learn(new)
         return list(map(words.__getitem__, pieces))
 
+    def _learn(self, new: list[str]) -> None:
+        """Remember pieces; a word with marks behind it is put together from both, where they can be told apart."""
+        words, apart, bare = self.words, [], []
+        for piece in new:
+            found = PLAIN.fullmatch(" " + piece) if self.quick else None
+            if found and (marks := found[2]) and marks[0] not in self.behind_letters:
+                apart.append((piece, piece[: -len(marks)], marks))
+            else:
+                bare.append(piece)
+        own = {w: words.get(w) or words.old.get(w) for _, w, _ in apart}
+        need = list(dict.fromkeys([*bare, *(w for w, made in own.items() if made is None)]))
+        for word, b in zip(need, self.b.encode(need, num_threads=1) if need else []):
+            own[word] = made = self._cell(" " + word, b)
+            words.put(word, made)
+        for piece, word, marks in apart:
+            w, m = own[word], self.tails[marks]
+            words.put(piece, w and m and (f"{w[0]};{m[0]}", w[1] + m[1], w[2] + m[2], w[3] + m[3], w[4] + m[4]))
+
+    def _tail(self, marks: str) -> tuple[str, bytes, int, int, int] | None:
+        """Marks behind a word: a line feed before them keeps B from writing a space."""
+        b = self.b.encode("\n" + marks)
+        return self._cell(marks, b[2:]) if b[:1] == [self.space] else None
+
     def of_text(self, text: str) -> tuple[Closed, int, int] | None:
         """All groups of a text, and its tokens; None if its bytes differ."""
         found = self._found(text)

@@ -92,6 +92,14 @@ def test_any_order_of_composing_gives_the_whole(text, size, order):
     assert len(rows[0].tail_a) == len(rows[0].tail_b) == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aehtéñ ß.,!)('\"-:;\n", max_size=60))
+def test_words_and_marks(text):
+    got = alignment.loaded(*PATHS).of_text(text) if text else None
+    a, b, groups, links = brute(text)
+    assert (got[0].groups, got[1], got[2]) == (groups, len(a), len(b)) if got else not groups
+
+
 def test_chunks_have_open_ends():
     model = alignment.loaded(*PATHS)
     parts = [model.of_chunk(*c) for c in alignment.chunks("unbelievably interoperable 東京 tokenizations " * 3, 16)]
