@@ -59,8 +59,9 @@ STRETCHES, PARITY = 64, 256
 #: Further pivots are sought while the pairs left over are more than so many for each entry, and each
 #: round settles at least so much of the entries.
 COMBINED, PAYS = 64, 0.1
-#: Buckets of more members may be split by the next shingles in common, of which so many are used.
-WIDE, FURTHER = 64, 4
+#: Buckets of more members may be split by the next shingles in common, of which so many are used, where
+#: that makes fewer rows than the bucket has pairs for each of so many (a pair is only compared, a row is moved).
+WIDE, FURTHER, COMPARED = 64, 4, 64
 
 STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], np.uint64)
 #: Bytes of words longer than this are hashed one word at a time.
@@ -487,15 +488,15 @@ def split(rest: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
     Two sets that are similar enough have k shingles in common within the first ones and k - 1 more.  So rows of a wide
     bucket may meet on that shingle and the next one in common, which is any later one (``tokens``:
-    v, h, place) within one place more, and so on.  A bucket is split where that makes fewer rows than
-    its pairs; what stays wide after ``FURTHER`` shingles is left as it is.  ``met`` is the number of
+    v, h, place) within one place more, and so on.  A bucket is split where that makes far fewer rows than
+    it has pairs; what stays wide after ``FURTHER`` shingles is left as it is.  ``met`` is the number of
     shingles in the key and ``last`` the place of the last.
     """
     rows, done = rest.select("*", F.col("h").alias("key"), F.col("place").alias("last"), F.lit(1).alias("met")), []
     end = prefix_size(percent)
     for met in range(1, FURTHER + 1):
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(end + met - F.col("last") - 1).alias("cost"))
-        wide = cut(sizes.where((F.col("size") > WIDE) & (F.col("size") * F.col("size") > 2 * F.col("cost"))).select("key"))
+        wide = cut(sizes.where((F.col("size") > WIDE) & (F.col("size") * F.col("size") > 2 * COMPARED * F.col("cost"))).select("key"))
         if wide.isEmpty():
             break
         done.append(rows.join(wide, "key", "left_anti"))

@@ -86,6 +86,7 @@ def test_small_chunks(spark, monkeypatch):
 def test_many_components_in_a_bucket(spark, monkeypatch, combined):
     """Families of near copies that share their rarest passage; chains, whose ends aren't alike."""
     monkeypatch.setattr(nj, "COMBINED", combined)
+    monkeypatch.setattr(nj, "COMPARED", 1)
     pick = random.Random(3)
     word = lambda: "".join(pick.choice("abcdefgh") for _ in range(5))
     common, rows = " ".join(word() for _ in range(60)), []
@@ -176,5 +177,6 @@ def frequent_passages(count, passages=9, each=4):
 def test_frequent_passages_in_other_orders(spark, monkeypatch, wide, combined):
     monkeypatch.setattr(nj, "WIDE", wide)
     monkeypatch.setattr(nj, "COMBINED", combined)
+    monkeypatch.setattr(nj, "COMPARED", 1)
     rows = frequent_passages(220)
     assert run(spark, rows) == brute(rows)
