@@ -119,15 +119,23 @@ def pair_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def citation_id(payload: Column) -> Column:
+    """What tells one citation from another: its id, or the payload where that has none."""
+    return F.coalesce(F.get_json_object(payload, "$.id"), payload)
+
+
 def fold_parts(parts: DataFrame) -> DataFrame:
-    """Each request's stream of parts (request_id, seq, type, payload) as one row."""
+    """Each request's stream of parts (request_id, seq, type, payload) as one row; of citations with one id the first stays."""
     of = lambda kind: F.when(F.col("type") == kind, F.col("payload"))
     last = lambda kind: F.max(F.when(F.col("type") == kind, F.struct("seq", "payload"))).getField("payload")
-    cited = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == "citation", F.struct("seq", "payload")))), lambda x: x["payload"]))
+    first = parts.where("type = 'citation'").groupBy("request_id", citation_id(F.col("payload")).alias("_id")).agg(F.min(F.struct("seq", "payload")).alias("_c"))
+    cited = first.groupBy("request_id").agg(F.transform(F.sort_array(F.collect_list("_c")), lambda x: x["payload"]).alias("citations"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(of("text").isNotNull(), F.struct("seq", "payload")))), lambda x: x["payload"]), "")
-    return parts.groupBy("request_id").agg(
-        text.alias("text"), cited.alias("citations"), last("suggestions").alias("suggestions"), last("agent-state").alias("agent_state"), last("outcome").alias("outcome"), last("error").alias("error")
+    made = parts.groupBy("request_id").agg(
+        text.alias("text"), last("suggestions").alias("suggestions"), last("agent-state").alias("agent_state"), last("outcome").alias("outcome"), last("error").alias("error")
     )
+    none = F.array().cast("array<string>")
+    return made.join(cited, "request_id", "left").select("request_id", "text", F.coalesce("citations", none).alias("citations"), "suggestions", "agent_state", "outcome", "error")
 
 
 def entry_state(entries: DataFrame) -> DataFrame:

@@ -6,17 +6,17 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docweave.functions import dims
 from docweave.functions.identity import section_id
 from docweave.operators import audits, chunking, conversations, evidence, index, logs, ranking, structure
 from docweave.plans import adapters as ad
 from docweave.plans import oracles
-from docweave.plans.registry import CHUNKS_SQL, ENDED_SQL, QUESTIONS_SQL, answers, as_markdown, chat_log, query, streamed
+from docweave.plans.registry import CHUNKS_SQL, ENDED_SQL, FAR, NO_DELAY_TOO_LONG, QUESTIONS_SQL, answers, as_markdown, chat_log, query, streamed, through_stream
 from docweave.session import shared_folder, stored
 from docweave.sources import corpus, history
 from docweave.streaming import chat_log as chat_log_stream
+from docweave.streaming import in_order
 
 def null_of(kind: str) -> Column:
     return F.lit(None).cast(kind)
@@ -174,23 +174,49 @@ def project_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.project_items(said).select("answer_id", "descriptor")
 
 
+# Files
+
+@query("""SELECT page_id, strlen(html) + 1 AS length, md5(html || chr(10)) AS digest FROM pages WHERE html IS NOT NULL AND strpos(html, chr(10)) = 0 AND strlen(html) + 1 <= 3000""")
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as a tree of files and scanned; large ones are left out by their length, before they are read."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    pages = ad.table(spark, sf_dir, "pages").where("html IS NOT NULL").where(~F.contains("html", F.lit("\n")))
+    pages.select("page_id", "html").write.partitionBy("page_id").text(root)
+    small, _ = corpus.enforce_size(corpus.scan_corpus(spark, root, "*.txt"), 3000)
+    return small.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "length", F.md5("raw").alias("digest"))
+
+
 # Conversations
 
 PART = {"click": "text", "view": "citation", "signup": "agent-state", "purchase": "outcome", "error": "error"}
 
 
-@query("""WITH p AS (SELECT user_id AS request_id, event_id AS seq, event_type, CASE WHEN event_type = 'view' THEN 'c' || event_id % 7 ELSE 'p' || event_id || ' ' END AS payload FROM events),
-c AS (SELECT request_id, payload, min(seq) AS seq FROM p WHERE event_type = 'view' GROUP BY ALL), cc AS (SELECT request_id, string_agg(payload, ',' ORDER BY seq) AS citations FROM c GROUP BY ALL)
+@query("""WITH p AS (SELECT user_id AS request_id, event_id AS seq, event_type, CASE WHEN event_type = 'view' THEN '{"id":"c' || event_id % 7 || '","at":' || event_id || '}' ELSE 'p' || event_id || ' ' END AS payload FROM events),
+c AS (SELECT request_id, arg_min(payload, seq) AS payload, min(seq) AS seq FROM p WHERE event_type = 'view' GROUP BY request_id, seq % 7), cc AS (SELECT request_id, string_agg(payload, ',' ORDER BY seq) AS citations FROM c GROUP BY ALL)
 SELECT p.request_id, md5(coalesce(string_agg(payload, '' ORDER BY seq) FILTER (event_type = 'click'), '')) AS digest, coalesce(any_value(citations), '') AS citations, arg_max(payload, seq) FILTER (event_type = 'signup') AS agent_state,
  arg_max(payload, seq) FILTER (event_type = 'purchase') AS outcome, arg_max(payload, seq) FILTER (event_type = 'error') AS error FROM p LEFT JOIN cc USING (request_id) GROUP BY p.request_id""")
 def folded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.table(spark, sf_dir, "events")
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in PART.items() for x in pair)), F.col("event_type"))
-    said = F.when(F.col("event_type") == "view", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string"))).otherwise(F.concat(F.lit("p"), F.col("event_id").cast("string"), F.lit(" ")))
+    said = F.when(F.col("event_type") == "view", F.format_string('{"id":"c%d","at":%d}', F.col("event_id") % 7, F.col("event_id"))).otherwise(F.concat(F.lit("p"), F.col("event_id").cast("string"), F.lit(" ")))
     got = conversations.fold_parts(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), kind.alias("type"), said.alias("payload")))
     return got.select("request_id", F.md5("text").alias("digest"), F.array_join("citations", ",").alias("citations"), "agent_state", "outcome", "error")
 
 
+@query("""WITH a AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT request_id, md5(text) AS digest, '{"id":"c0","at":0},{"id":"c1","at":1}' AS citations, CASE WHEN turn % 5 = 0 THEN 'broke' END AS error, CASE WHEN turn % 5 > 0 THEN 'done' END AS outcome FROM a""")
+def streamed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in parts - words, citations of which ids repeat, and an end - by a stream over shuffled files."""
+    t = ad.table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    cited = F.transform(F.array(*map(F.lit, range(4))), lambda k: F.struct(F.lit("citation").alias("type"), F.format_string('{"id":"c%d","at":%d}', k % 2, k).alias("payload")))
+    said = F.transform(F.split("text", "(?<= )"), lambda w: F.struct(F.lit("text").alias("type"), w.alias("payload")))
+    end = F.when(F.col("turn") % 5 == 0, F.struct(F.lit("error").alias("type"), F.lit("broke").alias("payload"))).otherwise(F.struct(F.lit("outcome").alias("type"), F.lit("done").alias("payload")))
+    parts = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.posexplode(F.concat(cited, said, F.array(end))).alias("seq", "p"))
+    parts = parts.select("request_id", "seq", "p.type", "p.payload", F.timestamp_seconds(F.col("seq") + 1_700_000_000).alias("ts"))
+    got = through_stream(parts, "ts", "request_id", "payload", in_order.part_stream)
+    return got.where("request_id >= 0").select("request_id", F.md5("text").alias("digest"), F.array_join("citations", ",").alias("citations"), "error", "outcome")
+
+
 @query("""SELECT event_id AS entry_id, CASE WHEN event_id % 2 = 0 THEN 'stream' ELSE 'local' END AS text, CASE WHEN event_id % 5 = 0 THEN 'E' WHEN event_id % 7 = 0 THEN 'L' END AS error,
  CASE WHEN event_id % 3 = 0 THEN 'cancelled' WHEN event_id % 11 = 0 OR event_id % 5 = 0 THEN 'failed' WHEN event_id % 4 > 0 THEN 'completed' ELSE 'running' END AS state FROM events""")
 def entry_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,19 +249,18 @@ def user_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.normalize_user_context(rows)
 
 
-@query("""WITH c AS (SELECT user_id AS owner, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events WHERE event_type = 'click'), n AS (SELECT owner, count(*) AS n FROM c WHERE nth <= 205 GROUP BY ALL)
+@query("""WITH c AS (SELECT user_id AS owner FROM events WHERE event_type = 'click'), n AS (SELECT owner, count(*) AS n FROM c GROUP BY ALL)
 SELECT owner, CASE WHEN owner % 4 >= 2 OR n > 200 THEN 0 ELSE n END AS n_records, CASE WHEN owner % 4 >= 2 OR n > 200 THEN 0 WHEN owner % 4 = 1 THEN 0 ELSE n END AS n_entries FROM n""")
 def stored_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories of both schemas and spoilt ones, read, written and read again; up to 205 records an owner."""
+    """Histories of both schemas and spoilt ones, read, written and read again; those of too many records are spoilt too."""
     e, owner = ad.table(spark, sf_dir, "events").where("event_type = 'click'"), F.col("user_id")
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     at, key = F.lit("2024-01-02T03:04:05.000Z"), F.col("event_id").cast("string")
     entry = F.struct(F.concat(F.lit("e"), key).alias("id"), F.lit("why").alias("prompt"), at.alias("sentAt"), F.lit("live").alias("transportMode"), F.lit(1).alias("more"))
     record = F.struct(
         F.concat(F.lit("c"), key).alias("id"), F.when(owner % 4 == 2, F.lit(" ")).otherwise(F.lit("title")).alias("title"), at.alias("updatedAt"), F.lit(False).alias("pinned"), F.lit(True).alias("archived"),
         F.when(owner % 4 != 1, F.array(entry)).alias("entries"), F.when(owner % 4 == 3, F.lit("x")).alias("unknown"),
     )
-    texts = e.withColumn("_nth", nth).where("_nth <= 205").groupBy(owner.alias("owner")).agg(F.to_json(F.collect_list(record)).alias("json"))
+    texts = e.groupBy(owner.alias("owner")).agg(F.to_json(F.collect_list(record)).alias("json"))
     found, bad = history.read_history(texts)
     again, none = history.read_history(history.write_history(found))
     got = again.groupBy("owner").agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.size("entries")).alias("n_entries"))
@@ -244,6 +269,20 @@ def stored_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Logs
 
+@query(f"""WITH {ENDED_SQL}, ok AS (SELECT *, duration_ms <= 900000 AS within FROM l)
+SELECT request_id, CASE WHEN within THEN ended END AS ended, CASE WHEN within THEN duration_ms END AS duration_ms FROM ok""")
+def streamed_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and ends joined as streams over shuffled files; starts without an end come once the watermark has passed them."""
+    log = chat_log(spark, sf_dir)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    far = [log.where("event = 'started'").limit(1).withColumns({"ts": F.lit(FAR).cast("timestamp"), "request_id": F.lit(-1).cast("long")})]
+    far.append(far[0].withColumns({"ts": F.lit(f"{FAR} 00:00:01").cast("timestamp"), "event": F.lit("completed")}))
+    in_order.shuffled_files(log, f"{path}/in", 3, F.hash("request_id", "event"), far[0].unionByName(far[1]))
+    read = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streamed(chat_log_stream.lifecycle_stream(read, NO_DELAY_TOO_LONG), f"{path}/out")
+    return spark.read.parquet(f"{path}/out").where("request_id >= 0").select("request_id", "ended", "duration_ms")
+
+
 @query("""SELECT event_id AS request_id, 'started' AS event, epoch_us(ts) // 1000 AS ms FROM events
 UNION ALL SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'cancelled' END, epoch_us(ts) // 1000 + CAST(round(value * 1000) AS BIGINT) FROM events WHERE event_type <> 'view'
 UNION ALL SELECT event_id, 'first_chunk', epoch_us(ts) // 1000 + CAST(round(value * 500) AS BIGINT) FROM events WHERE event_type IN ('purchase', 'signup')""")

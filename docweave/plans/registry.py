@@ -14,7 +14,7 @@ from docweave.plans import adapters as ad
 from docweave.plans import oracles
 from docweave.session import cut, shared_folder, stored
 from docweave.sources import corpus
-from docweave.streaming import chat_log as chat_log_stream
+from docweave.streaming import in_order
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -536,7 +536,7 @@ def grounding_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ANSWERS_SQL}, said AS (SELECT DISTINCT answer_id, n::INT AS display_index FROM m), held AS (SELECT answer_id, unnest([1, 2, 3, 4, 5]) AS display_index FROM a)
 SELECT answer_id, 'missing' AS finding, display_index FROM said ANTI JOIN held USING (answer_id, display_index)
 UNION ALL SELECT answer_id, 'unreferenced', display_index FROM held ANTI JOIN said USING (answer_id, display_index)
-UNION ALL SELECT answer_id, 'non_official', 3 FROM a UNION ALL SELECT answer_id, 'malformed', 4 FROM a""")
+UNION ALL SELECT answer_id, 'non_official', 3 FROM a UNION ALL SELECT answer_id, 'malformed', 4 FROM a UNION ALL SELECT answer_id, 'duplicate', unnest([1, 5]) FROM a""")
 def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.citation_audit(answers(spark, sf_dir), answer_citations(spark, sf_dir))
 
@@ -713,28 +713,45 @@ def streamed(made: DataFrame, path: str) -> None:
     made.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
 
 
-def replayed(spark: SparkSession, path: str, schema, **limits) -> DataFrame:
-    """A table read as a stream through the rate limiter, written to the shared folder and read back.
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that processors need; other settings stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
+#: No row of the tables is later than the watermark; the last row moves it past all others.
+NO_DELAY_TOO_LONG, FAR = "3650 days", "2099-01-01"
+
+
+def through_stream(rows: DataFrame, time: str, key: str, order: str, make, files: int = 4) -> DataFrame:
+    """``rows`` written as shuffled files, read as a stream of one file a micro-batch through ``make``, and what that wrote.
 
-    A session of its own has the state store that the limiter needs; other settings stay as they are.
+    A last row, whose key is -1, moves the watermark past all others.
     """
-    own = spark.newSession()
-    for key, value in {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}.items():
-        own.conf.set(f"spark.sql.streaming.{key}", value)
-    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    e = own.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern: the table may be one file
-    asked = e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    streamed(chat_log_stream.rate_limit_stream(asked, **limits), out)
-    return spark.read.parquet(out)
+    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    last = rows.limit(1).withColumns({time: F.lit(FAR).cast("timestamp"), key: F.lit(-1).cast(dict(rows.dtypes)[key])})
+    in_order.shuffled_files(rows, f"{path}/in", files, F.hash(order), last)
+    read = stream_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    streamed(make(read.withWatermark(time, NO_DELAY_TOO_LONG)), f"{path}/out")
+    return spark.read.parquet(f"{path}/out")
 
 
 @query(f"{REPLAY_SQL} SELECT request_id, allowed, wait AS retry_after_ms FROM r")
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same decisions as the replay, by the stateful stream."""
-    path = f"{sf_dir}/events.parquet"
-    return replayed(spark, path, spark.read.parquet(path).schema, most=2, window_ms=DAY).select("request_id", "allowed", "retry_after_ms")
+    """The same decisions as the replay, by the stateful stream over shuffled files."""
+    rows = ad.events(spark, sf_dir).select("request_id", "key", "ts")
+    got = through_stream(rows, "ts", "key", "request_id", lambda s: in_order.rate_limit_stream(s, 2, DAY))
+    return got.where("key >= 0").select("request_id", "allowed", "retry_after_ms")
+
+
+@query(f"WITH {HISTORY_SQL} SELECT * FROM h")
+def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histories again, by a stream of their events in shuffled files."""
+    changes = through_stream(history_events(spark, sf_dir), "at", "conv_id", "event_id", in_order.history_stream)
+    return in_order.latest_history(changes).where("conv_id >= 0").select("conv_id", "title", "updated_ms", "pinned", "archived")
 
 
 @query("SELECT event_id AS request_id, sha256(CASE WHEN event_id % 3 = 0 THEN '10.0.0.' || user_id WHEN event_id % 3 = 1 THEN '10.1.0.' || user_id ELSE 'unidentified-client' END) AS key FROM events")

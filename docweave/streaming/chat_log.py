@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docweave.operators.logs import ENDS
+from docweave.operators.logs import ENDS, token_usage
 
 LOG = "event string, request_id string, ts timestamp, outcome string, error_code string"
 
@@ -20,52 +20,6 @@ def read_log_stream(spark: SparkSession, path: str, schema: str = LOG, kind: str
     return spark.readStream.format(kind).schema(schema).options(**options).load(path).withWatermark("ts", late)
 
 
-class FixedWindow(StatefulProcessor):
-    """Counts a client's requests in a window that begins with the first of them."""
-
-    def __init__(self, most: int, window_ms: int, kept_ms: int):
-        self.most, self.window_ms, self.kept_ms = most, window_ms, kept_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        held = StructType([StructField("count", LongType()), StructField("reset", LongType())])
-        self.open = handle.getValueState("open", held, self.kept_ms) if self.kept_ms else handle.getValueState("open", held)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])  # a micro-batch of one client; maxFilesPerTrigger bounds it
-        count, reset = self.open.get() if self.open.exists() else (0, -1)
-        allowed, retry = [], []
-        for at in batch["ms"]:
-            if reset <= at:
-                count, reset = 1, at + self.window_ms
-                allowed.append(True)
-                retry.append(0)
-            else:
-                ok = count < self.most
-                count += ok
-                allowed.append(ok)
-                retry.append(0 if ok else max(1, reset - at))
-        self.open.update((int(count), int(reset)))
-        yield pd.DataFrame({"request_id": batch["request_id"], "key": key[0], "ms": batch["ms"], "allowed": allowed, "retry_after_ms": retry})
-
-    def close(self) -> None:
-        pass
-
-
-def rate_limit_stream(requests: DataFrame, most: int = 20, window_ms: int = 60_000, kept_ms: int | None = None) -> DataFrame:
-    """As the replay over a finished log, for a stream of (request_id, key, ms).
-
-    ``kept_ms`` is how long an idle client's state is kept by the store (none: for ever).
-    Needs the RocksDB state store.
-    """
-    kinds = dict(requests.dtypes)
-    return requests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FixedWindow(most, window_ms, kept_ms or 0),
-        outputStructType=f"request_id {kinds['request_id']}, key {kinds['key']}, ms long, allowed boolean, retry_after_ms long",
-        outputMode="Append",
-        timeMode="ProcessingTime" if kept_ms else "None",
-    )
-
-
 class Deadline(StatefulProcessor):
     """Reports a request whose first chunk or end has not come when its time is over."""
 
@@ -121,16 +75,23 @@ def timeout_stream(log: DataFrame, limit_ms: int = 45_000, first_chunk_ms: int |
 
 
 def lifecycle_stream(log: DataFrame, late: str = "10 minutes", longest: str = "15 minutes") -> DataFrame:
-    """Starts joined to ends of the same request within ``longest``."""
+    """Starts with the end of the same request within ``longest``; a start without one comes, with nulls, once the watermark says that none can come."""
     start = log.where("event = 'started'").select(F.col("request_id"), F.col("ts").alias("started_at")).withWatermark("started_at", late)
     end = log.where(F.col("event").isin(*ENDS)).select(F.col("request_id").alias("_id"), F.col("ts").alias("ended_at"), "event", "outcome", "error_code").withWatermark("ended_at", late)
     near = (F.col("request_id") == F.col("_id")) & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
-    return start.join(end, near).select("request_id", "started_at", F.col("event").alias("ended"), "outcome", "error_code", (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("duration_ms"))
+    return start.join(end, near, "left_outer").select("request_id", "started_at", F.col("event").alias("ended"), "outcome", "error_code", (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("duration_ms"))
 
 
 def outcome_rate_stream(ended: DataFrame, window: str = "5 minutes") -> DataFrame:
-    """Counts and latencies by window; rows later than the watermark are dropped."""
-    return ended.groupBy(F.window("ts", window), "outcome", "error_code").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("duration_ms", 0.95).alias("p95_ms"))
+    """``logs.outcome_rates`` of a stream with a watermark on ``ts``: a window is told when it is over, and rows later than the watermark are dropped."""
+    return ended.groupBy(F.window("ts", window).alias("w"), "outcome", "error_code").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"), F.percentile_approx("duration_ms", 0.95, 10_000).alias("p95_ms")
+    ).select(F.col("w.start").alias("window_start"), "outcome", "error_code", "n", "mean_ms", "max_ms", "p95_ms")
+
+
+def token_usage_stream(usage: DataFrame, prices: DataFrame, window: str = "1 day") -> DataFrame:
+    """``logs.token_usage`` of a stream with a watermark on ``ts``, joined with the prices at hand."""
+    return token_usage(usage, prices, window)
 
 
 def first_requests(requests: DataFrame) -> DataFrame:
