@@ -15,7 +15,7 @@
    stretches (suffix filter) and then by the digests themselves.  Links join components.
 5. Not all pairs of a bucket are made.  First its pivot, the vertex whose shingles are the
    most frequent (in a group of near copies the text that they were made from), is paired
-   with the others; while the pairs left over are many and each round settles a tenth of the entries, the heaviest vertex
+   with the others; while the pairs left over are many and a round pays, the heaviest vertex
    outside the pivots' components is the next pivot.  What is left are texts that share frequent passages without being
    alike: a bucket with many of them is split by the second shingle in common, and again (``split``), so
    that they don't meet pair by pair.  At last every pair left over whose ends are in different components is
@@ -56,9 +56,9 @@ EACH, LEAST, MOST, SETS = 4096, 1_000_000, 8_000_000, 30_000
 #: Sets that share a digest within a chunk are listed to its range up to so many; else only their number.
 LISTED = 16
 STRETCHES, PARITY = 64, 256
-#: Further pivots are sought while the pairs left over are more than so many for each entry, and each
-#: round settles at least so much of the entries.
-COMBINED, PAYS = 64, 0.1
+#: Further pivots are sought while the pairs left over are more than so many for each entry, and while a round pays:
+#: it settles so much of the entries, or it makes so many pairs for each and finds so many of them linked.
+COMBINED, PAYS, PAIRED = 8, 0.1, 0.01
 #: Buckets of more members may be split by the next shingles in common, of which so many are used, where
 #: that makes fewer rows than the bucket has pairs for each of so many (a pair is only compared, a row is moved).
 WIDE, FURTHER, COMPARED = 64, 4, 64
@@ -533,11 +533,12 @@ def components(entries: DataFrame, whole: DataFrame, percent: int = PERCENT) ->
         led = rest.join(as_pivot(next_, "root"), "h").where(F.col("root") != F.col("p_root")).where(may_link(percent=percent))
         pairs = cut(pairs_of(led).join(known, ["a", "b"], "left_anti"))
         known = known.unionByName(pairs)
-        labels = joined(labels, verified(pairs, whole, percent))
+        links = verified(pairs, whole, percent)
+        labels = joined(labels, links)
         rest = unsettled(rest.drop("root"), labels)
         pivots = pivots.unionByName(next_.select("h", "v"))
-        before, left = left, rest.count()
-        if left > (1 - PAYS) * before:
+        before, left, made = left, rest.count(), pairs.count()
+        if left > (1 - PAYS) * before and (made < PAIRED * before or links.count() < PAYS * made):
             break
     if not left:
         return labels
