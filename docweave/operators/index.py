@@ -118,9 +118,17 @@ def block_bounds(found: DataFrame) -> DataFrame:
     return found.groupBy("bucket", "token", "block").agg(F.max("tf_body").alias("tf_body"), F.min("body_len").alias("body_len"), *flags)
 
 
-def by_bucket(rows: DataFrame, path: str, order: list[str], mode: str = "error") -> None:
-    """A table partitioned by bucket.  Ranges of bucket and ``order`` are dealt, so a token that every chunk has is split."""
-    rows.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").mode(mode).parquet(path)
+#: Blocks whose rows of a bucket go to one file, about.
+SLICE = 4096
+
+
+def by_bucket(rows: DataFrame, path: str, n_blocks: int, mode: str = "error") -> None:
+    """A table partitioned by bucket and sorted by token and block.
+
+    A bucket is dealt in slices of its blocks, whose number grows with theirs, so a token that every chunk has is split.
+    """
+    slice_ = F.pmod(F.xxhash64("block"), F.lit(1 + n_blocks // SLICE))
+    rows.repartition("bucket", slice_).sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def write_tables(fields: DataFrame, root: str, buckets: int, n_blocks: int | None = None) -> None:
@@ -128,14 +136,14 @@ def write_tables(fields: DataFrame, root: str, buckets: int, n_blocks: int | Non
     fields.write.parquet(f"{root}/fields")
     fields = spark.read.schema(fields.schema).parquet(f"{root}/fields")
     n_blocks = n_blocks or max(1, -(-fields.count() // BLOCK))
-    by_bucket(full_postings(fields, n_blocks, buckets), f"{root}/postings", ["token", "block"])
+    by_bucket(full_postings(fields, n_blocks, buckets), f"{root}/postings", n_blocks)
     finish_tables(spark, root, buckets, n_blocks)
 
 
 def finish_tables(spark: SparkSession, root: str, buckets: int, n_blocks: int) -> None:
     """The tables that are made from stored fields and postings."""
     found = spark.read.parquet(f"{root}/postings")
-    by_bucket(block_bounds(found), f"{root}/blocks", ["token", "block"])
+    by_bucket(block_bounds(found), f"{root}/blocks", n_blocks)
     document_frequency(found).write.parquet(f"{root}/frequencies")
     sizes = {"n_blocks": F.lit(n_blocks), "buckets": F.lit(buckets)}
     corpus_stats(spark.read.parquet(f"{root}/fields")).withColumns(sizes).write.parquet(f"{root}/stats")
@@ -210,6 +218,6 @@ def update_index(spark: SparkSession, path: str, old: str, new: str, fields: Dat
     kept = before.postings.join(changes.where("change != 'added'").select("chunk_id"), "chunk_id", "left_anti")
     kept.select(before.postings.columns).write.partitionBy("bucket").parquet(f"{root}/postings")
     more = fields.join(changes.where("change != 'removed'").select("chunk_id"), "chunk_id", "left_semi")
-    by_bucket(full_postings(more, n_blocks, buckets).select(before.postings.columns), f"{root}/postings", ["token", "block"], "append")
+    by_bucket(full_postings(more, n_blocks, buckets).select(before.postings.columns), f"{root}/postings", n_blocks, "append")
     finish_tables(spark, root, buckets, n_blocks)
     publish(spark, path, new, build)
