@@ -489,14 +489,16 @@ def split(rest: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     Two sets that are similar enough have k shingles in common within the first ones and k - 1 more.  So rows of a wide
     bucket may meet on that shingle and the next one in common, which is any later one (``tokens``:
     v, h, place) within one place more, and so on.  A bucket is split where that makes far fewer rows than
-    it has pairs; what stays wide after ``FURTHER`` shingles is left as it is.  ``met`` is the number of
+    it has pairs outside its largest component; what stays wide after ``FURTHER`` shingles is left as it is.  ``met`` is the number of
     shingles in the key and ``last`` the place of the last.
     """
     rows, done = rest.select("*", F.col("h").alias("key"), F.col("place").alias("last"), F.lit(1).alias("met")), []
     end = prefix_size(percent)
     for met in range(1, FURTHER + 1):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(end + met - F.col("last") - 1).alias("cost"))
-        wide = cut(sizes.where((F.col("size") > WIDE) & (F.col("size") * F.col("size") > 2 * COMPARED * F.col("cost"))).select("key"))
+        sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.sum(end + met - F.col("last") - 1).alias("cost"))
+        sizes = sizes.groupBy("key").agg(F.sum("size").alias("size"), F.max("size").alias("main"), F.sum("cost").alias("cost"))
+        twice = F.col("size") * F.col("size") - F.col("main") * F.col("main")  # the pairs that would be made, counted twice
+        wide = cut(sizes.where((F.col("size") > WIDE) & (twice > 2 * COMPARED * F.col("cost"))).select("key"))
         if wide.isEmpty():
             break
         done.append(rows.join(wide, "key", "left_anti"))
