@@ -46,6 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.wordcache import give_back
 from docweave.session import cut, stored
 
 WORDS = 5
@@ -260,7 +261,8 @@ def in_chunks(docs: DataFrame, parts: int) -> DataFrame:
             yield rows_of(schema, len(sizes), kind=[DOC] * len(sizes), id=batch.column(0), n=sizes, name=names, v=numbers, part=np.arange(len(sizes)) % parts)
         if held:
             yield from send(schema, chunk, held)
-        pa.default_memory_pool().release_unused()  # workers stay for other tasks
+        known, held = {}, []
+        give_back()
 
     return docs.mapInArrow(read, FIELDS.format(dict(docs.dtypes)["id"]))
 
@@ -296,7 +298,8 @@ def counted(rows: DataFrame, parts: int) -> DataFrame:
             if keep.any():
                 some = np.repeat(keep, np.where(count > LISTED, 0, count))
                 yield rows_of(schema, 1, kind=[COUNTED], chunk=[chunk], h=[planes(own[keep])], df=[mine[keep].tobytes()], count=[count[keep].tobytes()], sets=[listed[some].tobytes()])
-        pa.default_memory_pool().release_unused()
+        del hs, counts, sets, order, total, df
+        give_back()
 
     return rows.repartitionById(parts, F.col("part")).mapInArrow(read, rows.schema)
 

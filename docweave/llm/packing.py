@@ -18,7 +18,6 @@ are not read.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from array import array
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.bpe import byte_letters
-from docweave.llm.wordcache import Remembered
+from docweave.llm.wordcache import Remembered, held_by_worker
 from docweave.session import cut
 
 #: The printable letter of each byte in a byte-level vocabulary.
@@ -76,7 +75,7 @@ class Words:
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-@functools.lru_cache(maxsize=2)
+@held_by_worker
 def loaded(path: str) -> Words:
     return Words(path)
 

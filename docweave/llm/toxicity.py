@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.wordcache import forget, give_back
+
 STATE, PART, ATTEND = 8, 8, 8
 TRIGRAMS = 1 << 11
 WINDOW, STRIDE = 32, 16
@@ -351,9 +353,12 @@ def score(text: Column, network: Network | None) -> Column:
 
     @F.arrow_udf("double")
     def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         scorer = Scorer(shared.value)
         for texts in batches:
             out = [scorer.scores(texts[lo : lo + 256].to_pylist()) for lo in range(0, len(texts), 256)]
             yield pa.array(np.concatenate(out) if out else np.empty(0))
+        del scorer
+        give_back()
 
     return made(text)
