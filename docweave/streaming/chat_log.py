@@ -75,11 +75,15 @@ def timeout_stream(log: DataFrame, limit_ms: int = 45_000, first_chunk_ms: int |
 
 
 def lifecycle_stream(log: DataFrame, late: str = "10 minutes", longest: str = "15 minutes") -> DataFrame:
-    """Starts with the end of the same request within ``longest``; a start without one comes, with nulls, once the watermark says that none can come."""
-    start = log.where("event = 'started'").select(F.col("request_id"), F.col("ts").alias("started_at")).withWatermark("started_at", late)
-    end = log.where(F.col("event").isin(*ENDS)).select(F.col("request_id").alias("_id"), F.col("ts").alias("ended_at"), "event", "outcome", "error_code").withWatermark("ended_at", late)
+    """Starts with the end of the same request within ``longest``; a start without one comes, with nulls, once the watermark says that none can come.
+
+    Times are compared in whole milliseconds, as durations are: an end in the millisecond of its start counts, whatever their microseconds.
+    """
+    milli = lambda c: F.date_trunc("millisecond", c)
+    start = log.where("event = 'started'").select(F.col("request_id"), F.col("ts").alias("_at"), milli("ts").alias("started_at")).withWatermark("started_at", late)
+    end = log.where(F.col("event").isin(*ENDS)).select(F.col("request_id").alias("_id"), milli("ts").alias("ended_at"), "event", "outcome", "error_code").withWatermark("ended_at", late)
     near = (F.col("request_id") == F.col("_id")) & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + F.expr(f"INTERVAL {longest}"))
-    return start.join(end, near, "left_outer").select("request_id", "started_at", F.col("event").alias("ended"), "outcome", "error_code", (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("duration_ms"))
+    return start.join(end, near, "left_outer").select("request_id", F.col("_at").alias("started_at"), F.col("event").alias("ended"), "outcome", "error_code", (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("duration_ms"))
 
 
 def outcome_rate_stream(ended: DataFrame, window: str = "5 minutes") -> DataFrame:

@@ -97,3 +97,16 @@ def test_windows_and_rows_too_late(rocks, tmp_path, kind):  # noqa: F811
         prices = dims.prices(spark, [("p", "m1", 2.0, 6.0)])
         got, want = chat_log.token_usage_stream(stream, prices, "1 hour"), logs.token_usage(table, prices, "1 hour")
     same(run(got, f"windows_{kind}", spark), want)
+
+
+def test_ends_in_the_millisecond_of_their_start(rocks, tmp_path):  # noqa: F811
+    spark = rocks
+    log = [("started", "a", 700), ("cancelled", "a", 0), ("started", "b", 999), ("completed", "b", 900_000_000), ("started", "c", 0), ("failed", "c", 900_001_000), ("started", "d", 999), ("failed", "d", 900_001_000)]
+    rows = spark.createDataFrame(log, "event string, request_id string, us long").select("event", "request_id", F.timestamp_micros(F.col("us") + 1_700_000_000_000_000).alias("ts"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("error_code"))
+    far = [rows.where(f"event = '{event}'").limit(1).withColumns({"ts": F.lit(at).cast("timestamp"), "request_id": F.lit("z")}) for event, at in (("started", "2031-01-01"), ("completed", "2031-01-01 00:00:01"))]
+    in_order.shuffled_files(rows, str(tmp_path / "in"), 3, F.hash("request_id", "event"), far[0].unionByName(far[1]))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = chat_log.lifecycle_stream(stream, DELAY, "15 minutes").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
+    made.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {(r.request_id, r.started_at.microsecond, r.ended, r.duration_ms) for r in spark.read.parquet(str(tmp_path / "out")).where("request_id != 'z'").collect()}
+    assert got == {("a", 700, "cancelled", 0), ("b", 999, "completed", 900_000), ("c", 0, None, None), ("d", 999, None, None)}
