@@ -412,3 +412,18 @@ def test_places_within_a_millisecond(spark):
     table = spark.createDataFrame(rows, "conv_id long, at string").select("conv_id", F.to_timestamp(F.concat(F.lit("2024-01-10 "), "at")).alias("updated_at"), F.lit(False).alias("pinned"))
     got = conversations.group_conversations(table, F.to_timestamp(F.lit("2024-01-10 23:00:00"))).orderBy("place").collect()
     assert [r.conv_id for r in got] == [0, 1, 2, 3, 4]
+
+
+def test_exact_percentiles(spark):
+    """More latencies than an approximation counts exactly, repeats and nulls among them."""
+    k, day = F.col("id"), F.timestamp_seconds(F.lit(1_700_000_000))
+    rows = spark.range(120_000).select(day.alias("started_at"), F.when(k % 3 == 0, "answered").alias("outcome"), F.lit(None).cast("string").alias("error_code"), F.when(k % 3 != 2, (k * 7919) % 100_003 * F.when(k % 2 == 0, 1).otherwise(5)).alias("duration_ms"))
+    rows = rows.unionByName(rows.where("duration_ms IS NULL").limit(5).withColumn("error_code", F.lit("E")))
+    got = {(r.outcome, r.error_code): (r.n, r.mean_ms, r.max_ms, r.p95_ms) for r in logs.outcome_rates(rows).collect()}
+    want, own = {}, {}
+    for r in rows.collect():
+        own.setdefault((r.outcome, r.error_code), []).append(r.duration_ms)
+    for key, all_ in own.items():
+        d = sorted(x for x in all_ if x is not None)
+        want[key] = (len(all_), sum(d) / len(d), d[-1], d[-(-95 * len(d) // 100) - 1]) if d else (len(all_), None, None, None)
+    assert got == want and len(want) == 3
