@@ -15,12 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docweave.functions.text import squeeze
 from docweave.operators.conversations import citation_id, conversation_title
 
-WAITING = StructType([StructField("ms", LongType()), StructField("id", LongType()), StructField("said", StringType())])
+#: The rows of a key that came in one micro-batch, as JSON: [[ms, id, [fields]]].
+WAITING = StructType([StructField("said", StringType())])
+
+
+def missing(value) -> bool:
+    return value is None or value != value
 
 
 class InOrder(StatefulProcessor):
@@ -41,31 +46,37 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         some = []
         for batch in rows:
-            columns = [batch[f].astype(object).where(batch[f].notna(), None).tolist() for f in self.fields]
-            some += [(int(ms), int(n), json.dumps(list(own))) for ms, n, own in zip(batch["ms"], batch["id"], zip(*columns) if columns else [()] * len(batch))]
-        self.waiting.appendList(some)
-        self.handle.registerTimer(min(some)[0])
-        yield self.told(key, [])
+            columns = [batch["ms"].tolist(), batch["id"].tolist(), *([None if missing(v) else v for v in batch[f].tolist()] for f in self.fields)]
+            some += zip(*columns)
+        first = int(min(r[0] for r in some))
+        # one entry for what a key gets in a micro-batch, as each costs a call to the store
+        self.waiting.appendList([(json.dumps([(int(ms), int(n), own) for ms, n, *own in some]),)])
+        self.handle.registerTimer(first)
+        yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((r for (said,) in self.waiting.get() for r in json.loads(said)), key=lambda r: (r[0], r[1], json.dumps(r[2])))
         ready = [r for r in rows if r[0] <= upto]
+        if not ready:  # an earlier timer has released them
+            return
         left = rows[len(ready) :]
-        state, out = json.loads(self.state.get()[0]) if self.state.exists() else None, []
-        for ms, number, said in ready:
-            state, more = self.step(state, ms, number, *json.loads(said))
+        held = self.state.get()
+        state, out = json.loads(held[0]) if held else None, []
+        for ms, number, own in ready:
+            state, more = self.step(state, ms, number, *own)
             out += more
         if left:
-            self.waiting.put(left)
+            self.waiting.put([(json.dumps(left),)])
             self.handle.registerTimer(left[0][0])
         else:
             self.waiting.clear()
-        if state is None:
-            self.state.clear()
-        else:
+        if state is not None:
             self.state.update((json.dumps(state),))
-        yield self.told(key, out)
+        elif held:
+            self.state.clear()
+        if out:
+            yield self.told(key, out)
 
     def told(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         made = pd.DataFrame(rows, columns=list(self.emits), dtype=object)
