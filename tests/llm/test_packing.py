@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from docweave.llm.packing import fill, loaded, pack, pieces
+from docweave.llm.packing import Words, fill, loaded, pack, pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 THEIRS = Tokenizer.from_file(PATH)
@@ -114,3 +114,14 @@ def test_one_very_long_text(spark):
     made = pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
     assert sum(r.length for r in made) == len(THEIRS.encode(text, add_special_tokens=False).ids) + 1
     assert time.time() - began < 60
+
+
+def test_memory_of_words_is_bounded():
+    """Many distinct words leave no more than two generations of words and parts, and the ids are those of the library."""
+    model = Words(PATH)
+    names = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(200_000)]
+    for lo in range(0, len(names), 50_000):
+        text = " ".join(names[lo : lo + 50_000])
+        assert model.encode(text) == array("I", model.own.encode(text, add_special_tokens=False).ids).tobytes()
+    for held, most in ((model.words, 120_000), (model.parts, 300_000)):
+        assert len(held) + len(held.old) <= most
