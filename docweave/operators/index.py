@@ -87,7 +87,7 @@ class Index(NamedTuple):
 
     fields: DataFrame
     postings: DataFrame  # with what scoring and filters ask about the chunk; by bucket of the token
-    blocks: DataFrame  # the most that a token can add to a chunk of a block; by bucket
+    blocks: DataFrame  # the most that a token can add to a chunk of a block; made from the postings when it is read
     frequencies: DataFrame
     stats: DataFrame  # one row: n_chunks, avg_body_len, n_blocks, buckets
 
@@ -100,7 +100,7 @@ def full_postings(fields: DataFrame, n_blocks: int, buckets: int) -> DataFrame:
     """Postings with the facts of their chunk, its block and the token's bucket.
 
     Fields are dealt by chunk first, which is less to move than their tokens; the tokens of a
-    chunk then meet where they are.
+    chunk then meet where they are, and are not moved again.
     """
     bits = F.array(*(F.struct(F.lit(k).alias("field"), tokens_of(F.col(f"{f}_text")).alias("tokens")) for k, f in enumerate(FIELDS)))
     facts = ["body_len", "chunk_order", "category", "framework_key", "service_key"]
@@ -118,17 +118,13 @@ def block_bounds(found: DataFrame) -> DataFrame:
     return found.groupBy("bucket", "token", "block").agg(F.max("tf_body").alias("tf_body"), F.min("body_len").alias("body_len"), *flags)
 
 
-#: Blocks whose rows of a bucket go to one file, about.
-SLICE = 4096
-
-
-def by_bucket(rows: DataFrame, path: str, n_blocks: int, mode: str = "error") -> None:
+def by_bucket(rows: DataFrame, path: str, mode: str = "error") -> None:
     """A table partitioned by bucket and sorted by token and block.
 
-    A bucket is dealt in slices of its blocks, whose number grows with theirs, so a token that every chunk has is split.
+    Rows stay in the tasks that made them, so each bucket has a file of each task: nothing is moved, and a
+    token that every chunk has is split as the chunks are.
     """
-    slice_ = F.pmod(F.xxhash64("block"), F.lit(1 + n_blocks // SLICE))
-    rows.repartition("bucket", slice_).sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").mode(mode).parquet(path)
+    rows.sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def write_tables(fields: DataFrame, root: str, buckets: int, n_blocks: int | None = None) -> None:
@@ -136,21 +132,21 @@ def write_tables(fields: DataFrame, root: str, buckets: int, n_blocks: int | Non
     fields.write.parquet(f"{root}/fields")
     fields = spark.read.schema(fields.schema).parquet(f"{root}/fields")
     n_blocks = n_blocks or max(1, -(-fields.count() // BLOCK))
-    by_bucket(full_postings(fields, n_blocks, buckets), f"{root}/postings", n_blocks)
+    by_bucket(full_postings(fields, n_blocks, buckets), f"{root}/postings")
     finish_tables(spark, root, buckets, n_blocks)
 
 
 def finish_tables(spark: SparkSession, root: str, buckets: int, n_blocks: int) -> None:
     """The tables that are made from stored fields and postings."""
     found = spark.read.parquet(f"{root}/postings")
-    by_bucket(block_bounds(found), f"{root}/blocks", n_blocks)
     document_frequency(found).write.parquet(f"{root}/frequencies")
     sizes = {"n_blocks": F.lit(n_blocks), "buckets": F.lit(buckets)}
     corpus_stats(spark.read.parquet(f"{root}/fields")).withColumns(sizes).write.parquet(f"{root}/stats")
 
 
 def tables_at(spark: SparkSession, root: str) -> Index:
-    return Index(*(spark.read.parquet(f"{root}/{name}") for name in Index._fields))
+    fields, found, frequencies, stats = (spark.read.parquet(f"{root}/{name}") for name in Index._fields if name != "blocks")
+    return Index(fields, found, block_bounds(found), frequencies, stats)
 
 
 def published(spark: SparkSession, path: str, revision: str) -> str | None:
@@ -218,6 +214,6 @@ def update_index(spark: SparkSession, path: str, old: str, new: str, fields: Dat
     kept = before.postings.join(changes.where("change != 'added'").select("chunk_id"), "chunk_id", "left_anti")
     kept.select(before.postings.columns).write.partitionBy("bucket").parquet(f"{root}/postings")
     more = fields.join(changes.where("change != 'removed'").select("chunk_id"), "chunk_id", "left_semi")
-    by_bucket(full_postings(more, n_blocks, buckets).select(before.postings.columns), f"{root}/postings", n_blocks, "append")
+    by_bucket(full_postings(more, n_blocks, buckets).select(before.postings.columns), f"{root}/postings", "append")
     finish_tables(spark, root, buckets, n_blocks)
     publish(spark, path, new, build)

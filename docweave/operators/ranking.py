@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -169,6 +170,162 @@ def gated(found: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
+#: Chunks of a shard and questions of a part, about, which meet in one group.
+SHARD, PART = 4096, 2048
+#: Below this distance two scores may be equal once they are rounded.
+ROUNDING = 2e-6
+
+
+def questions_in_rows(made: dict[str, DataFrame], vocabulary: DataFrame) -> DataFrame:
+    """One row a question: its filters, tokens by their numbers in order, and groups with weight.
+
+    A group is inner if it is neither the first nor the last term of the question: a field that
+    holds the question's whole text has these as whole terms.
+    """
+    telling = (F.col("df") / F.col("n_chunks") <= COMMON_RATIO) | (F.col("n_chunks") < COMMON_FROM)
+    own = made["terms"].join(vocabulary.select("token", "tid"), "token").groupBy("question_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "tid", telling.alias("telling"), "token"))).alias("hits"), F.first("total").alias("total")
+    )
+    last = made["wanted"].select("question_id", (F.size(terms(F.col("normal"))) - 1).alias("last"))
+    inner = (F.col("group_no") > 0) & (F.col("group_no") < F.col("last"))
+    each = made["weights"].select("question_id", F.explode("groups").alias("g")).select("question_id", "g.*").join(last, "question_id").withColumn("inner", inner)
+    n_inner = each.groupBy("question_id").agg(F.count_if("inner").alias("n_inner"))
+    by_group = each.withColumn("token", F.explode("tokens")).join(vocabulary.select("token", "tid"), "token").groupBy("question_id", "group_no").agg(F.first("weight").alias("weight"), F.first("inner").alias("inner"), F.collect_set("tid").alias("tids"))
+    groups = by_group.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("group_no", "weight", "inner", "tids"))).alias("groups"))
+    several = made["tokens"].groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tokens"))
+    rows = made["wanted"].select("question_id", "q_category", "q_framework", "q_service")
+    for more in (own, groups, n_inner, several):
+        rows = rows.join(more, "question_id")
+    return rows
+
+
+class Shard:
+    """The postings of a shard's chunks: for each token the places of its chunks, and what it adds to them."""
+
+    def __init__(self, rows: pa.Table):
+        chunk = rows["chunk_id"].combine_chunks().dictionary_encode()
+        self.ids, at = chunk.dictionary, chunk.indices.to_numpy(zero_copy_only=False)
+        self.n = len(self.ids)
+        tid = rows["tid"].fill_null(-1).to_numpy()
+        fact = np.flatnonzero(tid < 0)
+        self.facts = np.zeros(self.n, np.int64)
+        self.facts[at[fact]] = fact
+        self.rows = rows
+        order = np.argsort(tid, kind="stable")[len(fact) :]
+        self.at, self.part, self.local = at[order], rows["part"].to_numpy()[order], rows["local"].fill_null(False).to_numpy(zero_copy_only=False)[order]
+        found, start = np.unique(tid[order], return_index=True)
+        self.where = {t: slice(a, b) for t, a, b in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(order)])}
+
+    def passing(self, question: dict) -> np.ndarray:
+        """Which chunks pass the question's filters; an empty key never passes."""
+        good = np.ones(self.n, bool)
+        for name, column in (("q_category", "category"), ("q_framework", "framework_key"), ("q_service", "service_key")):
+            if question[name] is not None:
+                said = self.rows[column].take(pa.array(self.facts)).to_numpy(zero_copy_only=False)
+                good &= (said == question[name]) & (name == "q_category" or question[name] != "")
+        return good
+
+    def union(self, tids: list[int]) -> np.ndarray:
+        lists = [self.at[self.where[t]] for t in tids if t in self.where]
+        return lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists)) if lists else self.at[:0]
+
+    def score(self, question: dict, first: int | None) -> tuple | None:
+        """Places, sums, coverages, bounds and matched tokens of the chunks that pass the gates; with ``first`` of those that may be among so many."""
+        hits = [(k, self.where[h["tid"]], h["telling"]) for k, h in enumerate(question["hits"]) if h["tid"] in self.where]
+        if not any(telling for _, _, telling in hits):
+            return None
+        lists = [self.union(g["tids"]) for g in question["groups"]]
+        sizes, total = [len(x) for x in lists], question["total"]
+        covered = np.bincount(np.concatenate(lists), np.repeat([g["weight"] for g in question["groups"]], sizes), self.n)
+        at = np.concatenate([self.at[s] for _, s, _ in hits])
+        good = (covered / total >= LEAST_COVERAGE) if total else np.zeros(self.n, bool)
+        good &= np.bincount(at[np.concatenate([self.local[s] for _, s, _ in hits])], minlength=self.n) > 0
+        good &= np.bincount(np.concatenate([self.at[s] for _, s, telling in hits if telling]), minlength=self.n) > 0
+        if any(question[q] is not None for q in ("q_category", "q_framework", "q_service")):
+            good &= self.passing(question)
+        chosen = np.flatnonzero(good)
+        if not len(chosen):
+            return None
+        partial = np.bincount(at, np.concatenate([self.part[s] for _, s, _ in hits]), self.n)[chosen]
+        coverage = covered[chosen] / total
+        least = partial + coverage * COVERAGE_WEIGHT
+        most = least.copy()
+        if question["n_tokens"] >= 2:
+            inside = [x for x, g in zip(lists, question["groups"]) if g["inner"]]
+            whole = np.bincount(np.concatenate(inside), minlength=self.n)[chosen] == question["n_inner"] if inside else question["n_inner"] == 0
+            most += np.where(whole, max(PHRASE_BONUS.values()), 0.0)
+        if first is not None:
+            sure = least[least >= LEAST_SCORE + ROUNDING]
+            floor = np.partition(sure, -first)[-first] if len(sure) > first else LEAST_SCORE
+            keep = most >= max(floor, LEAST_SCORE) - ROUNDING
+            chosen, partial, coverage, least, most = (x[keep] for x in (chosen, partial, coverage, least, most))
+        mark = np.full(self.n, -1)
+        mark[chosen] = np.arange(len(chosen))
+        spot, said = mark[at], np.repeat([k for k, _, _ in hits], [s.stop - s.start for _, s, _ in hits])
+        spot, said = spot[spot >= 0], said[spot >= 0]
+        order = np.argsort(spot, kind="stable")
+        return chosen, partial, coverage, least, most, np.bincount(spot, minlength=len(chosen)), said[order]
+
+
+def shard_scores(made: dict[str, DataFrame], built: ix.Index, first: int | None = None, shard: int = SHARD, part: int = PART) -> DataFrame:
+    """Chunks that pass the gates of a question, as :func:`gated`; with ``first`` at least those of the first ranks.
+
+    Chunks lie in shards and questions in parts of bounded size; each pair of them is one group, in which a question's
+    tokens are summed over arrays.  A posting moves once for each part of the questions, whatever number of questions asks
+    for its token, and a group hands on no more than what may reach the first ranks of its shard.  The phrase bonus,
+    which needs texts, counts as possible only where all inner terms of the question are there.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*made["wanted"].schema, *built.fields.schema]}
+    words = made["terms"].groupBy("bucket", "token").agg(*(F.first(c).alias(c) for c in ("df", "idf", "n_chunks", "avg_body_len")))
+    vocabulary = cut(words.withColumn("tid", F.monotonically_increasing_id()))
+    asks = stored(questions_in_rows(made, vocabulary))
+    n_shards, n_parts = 1 + (built.stats.first()["n_chunks"] // shard), 1 + asks.count() // part
+    shard_of = F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int").alias("shard")
+    local = (F.col("tf_body") > 0) | F.col("in_heading") | ((F.col("chunk_order") == 0) & (F.col("in_title") | F.col("in_path")))
+    keys = ("category", "framework_key", "service_key")
+    found = vocabulary.join(built.postings.drop(*keys), ["bucket", "token"])
+    found = found.select(shard_of, "chunk_id", "tid", added(impact(F.col("idf"))).alias("part"), F.coalesce(local, F.lit(False)).alias("local"), F.lit(None).cast("int").alias("chunk_order"), *(F.lit(None).cast("string").alias(k) for k in keys))
+    facts = built.fields.select(shard_of, "chunk_id", F.lit(None).cast("long").alias("tid"), F.lit(0.0).alias("part"), F.lit(False).alias("local"), F.col("chunk_order").cast("int").alias("chunk_order"), *keys)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))
+    left = found.unionByName(facts).withColumn("qpart", parts)
+    right = asks.withColumns({"qpart": F.pmod(F.xxhash64("question_id"), F.lit(n_parts)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))})
+    right = right.withColumn("hits", F.transform("hits", lambda h: F.struct(h["tid"].alias("tid"), h["telling"].alias("telling"))))
+
+    def score(chunks: pa.Table, questions: pa.Table) -> pa.Table:
+        own, ids = Shard(chunks), questions["question_id"]
+        at, out, asked_at = [], [[] for _ in range(6)], []
+        for k, question in enumerate(questions.drop_columns(["question_id"]).to_pylist()):
+            got = own.score(question, first)
+            if got is not None:
+                at.append(got[0])
+                asked_at.append(np.full(len(got[0]), k))
+                for column, values in zip(out, got[1:]):
+                    column.append(values)
+        join = lambda columns, kind: np.concatenate(columns).astype(kind) if columns else np.zeros(0, kind)
+        at, sizes = join(at, np.int64), join(out[4], np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        columns = {
+            "question_id": ids.take(pa.array(join(asked_at, np.int64))).combine_chunks(),
+            "chunk_id": own.ids.take(pa.array(at)),
+            "chunk_order": own.rows["chunk_order"].take(pa.array(own.facts[at])).combine_chunks(),
+            **{name: pa.array(join(x, np.float64)) for name, x in zip(("partial", "coverage", "least", "most"), out)},
+            "matched": pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(out[5], np.int32))),
+        }
+        return pa.table(columns)
+
+    number = min(n_shards * n_parts, 4096)
+    dealt = [rows.repartition(number, "shard", "qpart").groupBy("shard", "qpart") for rows in (left, right)]
+    kind = f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, chunk_order int, partial double, coverage double, least double, most double, matched array<int>"
+    rows = stored(dealt[0].cogroup(dealt[1]).applyInArrow(score, kind))
+    if first is not None:
+        sure = rows.where(F.col("least") >= LEAST_SCORE + ROUNDING).select("question_id", "least")
+        turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("least")))
+        floor = sure.withColumn("_turn", turn).where(F.col("_turn") <= first).where(F.col("_turn") == first).select("question_id", F.col("least").alias("floor"))
+        rows = rows.join(floor, "question_id", "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - ROUNDING))
+    named = rows.join(asks.select("question_id", F.col("hits.token").alias("_names")), "question_id")
+    return named.select("question_id", "chunk_id", "chunk_order", F.transform("matched", lambda k: F.get("_names", k)).alias("matched_terms"), "partial", "coverage")
+
+
 def scored(rows: DataFrame, wanted: DataFrame, tokens: DataFrame, fields: DataFrame) -> DataFrame:
     """Final scores: the coverage's part and the phrase bonus added; low scores left out."""
     several = tokens.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -353,7 +510,7 @@ def prepare(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliases
 def score_questions(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliases: DataFrame, composed: bool = False) -> dict[str, DataFrame]:
     """The tables from terms to all scored candidates, by name."""
     made = prepare(questions, built, stopwords, aliases, composed)
-    passed = gated(candidates(made["terms"], built.postings, made["wanted"]), made["weights"])
+    passed = shard_scores(made, built)
     rows = scored(passed, made["wanted"], made["tokens"], built.fields)
     return made | {"gated": passed, "scored": rows, "ranked": ranked(rows)}
 
@@ -380,6 +537,11 @@ def best_scored(made: dict[str, DataFrame], built: ix.Index, first: int = FIRST_
     return head.unionByName(score(rest, floor))
 
 
+def first_scored(made: dict[str, DataFrame], built: ix.Index, first: int = FIRST_RANKS) -> DataFrame:
+    """Scored candidates, of which each question's first ranks are those among all candidates; for many questions."""
+    return stored(scored(shard_scores(made, built, first), made["wanted"], made["tokens"], built.fields))
+
+
 def build_index(chunks: DataFrame, composed: bool = False, buckets: int = 8) -> ix.Index:
     """The index in the shared folder, for one use; ``index.open_index`` keeps it under a revision."""
     root = f"{shared_folder(chunks.sparkSession)}/{uuid.uuid4().hex}"
@@ -393,13 +555,12 @@ def retrieve(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliase
     Questions that their first ranks don't fill are scored in full and walked to their end.
     """
     made = prepare(questions, built, stopwords, aliases, composed)
-    rows = best_scored(made, built, first)
+    rows = first_scored(made, built, first)
     early = stored(walk(ranked(rows).where(F.col("rank") <= first), built.fields))
     again = cut(open_questions(rows, early, first))
     matches = early
     if not again.isEmpty():
-        terms = made["terms"].join(again, "question_id", "left_semi")
-        passed = gated(candidates(terms, built.postings, made["wanted"]), made["weights"])
-        late = walk(ranked(scored(passed, made["wanted"], made["tokens"], built.fields)), built.fields)
+        left = made | {name: made[name].join(again, "question_id", "left_semi") for name in ("terms", "weights")}
+        late = walk(ranked(scored(shard_scores(left, built), made["wanted"], made["tokens"], built.fields)), built.fields)
         matches = stored(early.join(again, "question_id", "left_anti").unionByName(late))
     return matches, outcomes(made["wanted"], matches, considered(made["wanted"], built.fields, made["tokens"]))

@@ -385,7 +385,7 @@ def best_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's best chunks, duplicates among them."""
     built = ranking.build_index(ad.chunks(spark, sf_dir), composed=True)
     made = ranking.prepare(ad.questions(spark, sf_dir), built, dims.stopwords(spark), dims.aliases(spark), composed=True)
-    return ranking.top_k(ranking.ranked(ranking.best_scored(made, built, first=ranking.MOST_RESULTS)))
+    return ranking.top_k(ranking.ranked(ranking.first_scored(made, built, first=ranking.MOST_RESULTS)))
 
 
 @query(f"WITH {RANK_SQL} SELECT question_id, chunk_id, round(coverage, 9) AS coverage FROM gated")

@@ -123,3 +123,21 @@ def test_questions_that_the_first_ranks_do_not_fill(spark):
     got, _ = ranking.retrieve(*args, first=20)
     assert {(r.question_id, r.rank, r.chunk_id) for r in got.collect()} == want
     assert sum(q == 1 for q, _, _ in want) > 1
+
+
+def test_shards_and_parts_give_what_the_gates_pass(spark):
+    """Whatever shards and parts questions and chunks fall into; with filters, aliases and a phrase that only one chunk has."""
+    rows, questions = corpus(spark, 120)
+    asked = [(7, "w1 w2 w3", 5.0, "go"), (8, "w1 w2 w3", 5.0, "none"), (9, rows[7][5][:30], 3.0, None), (10, "@w1.w2 node.js", 3.0, None)]
+    kind = "question_id long, text string, limit double, category string"
+    questions = questions.selectExpr("*", "CAST(NULL AS STRING) AS category").unionByName(spark.createDataFrame(asked, kind))
+    built = ranking.build_index(chunk(spark, rows))
+    made = ranking.prepare(questions, built, dims.stopwords(spark), dims.aliases(spark))
+    want = ranking.gated(ranking.candidates(made["terms"], built.postings, made["wanted"]), made["weights"])
+    rounded = lambda t: t.withColumns({c: F.round(c, 9) for c in ("partial", "coverage")}).cache()
+    got, want = rounded(ranking.shard_scores(made, built, shard=50, part=4)), rounded(want)
+    same(got, want)
+    assert want.count() > 100
+    key = ["question_id", "rank", "chunk_id", "score"]
+    whole, some = (ranking.ranked(ranking.scored(t, made["wanted"], made["tokens"], built.fields)).where("rank <= 5").select(key) for t in (want, ranking.shard_scores(made, built, 5, shard=50, part=4)))
+    same(some, whole)
