@@ -367,26 +367,28 @@ def near_duplicate_classes(fields: DataFrame) -> DataFrame:
 
     Equal bodies are one class, so copies are never expanded into pairs.  Bodies meet on the
     first tokens of their sets, rare ones first; two sets that are near enough share one of them.
-    Pairs pass the filters of length and place before their sets are compared.
+    Pairs pass the filters of length and place before their sets are compared.  Until then a body goes by
+    a number, as its hash would be most of what a row of a token moves.
     """
-    own = stored(body_classes(fields).where(F.size("tokens") >= NEAR_TOKENS))
-    each = own.select("body_hash", "chars", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    own = stored(body_classes(fields).where(F.size("tokens") >= NEAR_TOKENS).withColumn("no", F.monotonically_increasing_id()))
+    each = own.select("no", "chars", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # Only rows of a token that several bodies have can meet; the place counts all of them.
-    w = Window.partitionBy("body_hash").orderBy("df", "token")
+    w = Window.partitionBy("no").orderBy("df", "token")
     placed = each.join(df, "token").withColumn("place", F.row_number().over(w))
-    lead = cut(placed.where((F.col("place") <= F.floor(F.col("n") * (1 - NEAR_JACCARD) + 1e-9) + 1) & (F.col("df") > 1)).select("token", "body_hash", "chars", "n", "place"))
-    other = lead.select("token", *(F.col(c).alias(f"b_{c}") for c in ("body_hash", "chars", "n", "place")))
-    near = lead.join(other, "token").where(F.col("body_hash") < F.col("b_body_hash"))
+    lead = cut(placed.where((F.col("place") <= F.floor(F.col("n") * (1 - NEAR_JACCARD) + 1e-9) + 1) & (F.col("df") > 1)).select("token", "no", "chars", "n", "place"))
+    other = lead.select("token", *(F.col(c).alias(f"b_{c}") for c in ("no", "chars", "n", "place")))
+    near = lead.join(other, "token").where(F.col("no") < F.col("b_no"))
     ratio = lambda a, b, least: F.least(a, b) >= F.greatest(a, b) * least
     most = F.least("place", "b_place") + F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place"))
     near = near.where(ratio(F.col("chars"), F.col("b_chars"), NEAR_LENGTH) & ratio(F.col("n"), F.col("b_n"), NEAR_JACCARD))
     near = near.where(most * (1 + NEAR_JACCARD) >= (F.col("n") + F.col("b_n")) * NEAR_JACCARD - 1e-9)
-    pairs = near.select(F.col("body_hash").alias("a"), F.col("b_body_hash").alias("b")).distinct()
-    sets = own.select("body_hash", "tokens")
-    both = pairs.join(sets.select(F.col("body_hash").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("body_hash").alias("b"), F.col("tokens").alias("y")), "b")
+    pairs = near.select(F.col("no").alias("x_no"), F.col("b_no").alias("y_no")).distinct()
+    x, y = (own.select(F.col("no").alias(f"{c}_no"), F.col("body_hash").alias(f"{c}_hash"), F.col("tokens").alias(c)) for c in "xy")
+    both = pairs.join(x, "x_no").join(y, "y_no")
     same = F.size(F.array_intersect("x", "y"))
-    return both.where(same / (F.size("x") + F.size("y") - same) >= NEAR_JACCARD).select("a", "b")
+    near = both.where(same / (F.size("x") + F.size("y") - same) >= NEAR_JACCARD)
+    return near.select(F.least("x_hash", "y_hash").alias("a"), F.greatest("x_hash", "y_hash").alias("b"))
 
 
 ITEM = ["chunk_id", "document_id", "score", "matched_terms", "path", "chunk_order"]

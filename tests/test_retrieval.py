@@ -141,3 +141,15 @@ def test_shards_and_parts_give_what_the_gates_pass(spark):
     key = ["question_id", "rank", "chunk_id", "score"]
     whole, some = (ranking.ranked(ranking.scored(t, made["wanted"], made["tokens"], built.fields)).where("rank <= 5").select(key) for t in (want, ranking.shard_scores(made, built, 5, shard=50, part=4)))
     same(some, whole)
+
+
+def test_rows_of_tokens_move_without_hashes(spark, monkeypatch):
+    """Near duplicates are found by numbers of bodies; pairs come back by their hashes, the smaller first."""
+    words = [f"v{k}" for k in range(60)]
+    body = lambda k: " ".join([*words, *(f"only{k}n{j}" for j in range(40 if k > 3 else 0)), f"x{k}"])
+    kept = []
+    monkeypatch.setattr(ranking, "cut", lambda df: kept.append(df.columns) or df)
+    pairs = {tuple(r) for r in ranking.near_duplicate_classes(made(spark, 6, body)).collect()}
+    hashes = sorted(r.body_hash for r in made(spark, 4, body).select("body_hash").collect())
+    assert pairs == {(a, b) for a in hashes for b in hashes if a < b}
+    assert len(kept) == 1 and "body_hash" not in kept[0]
