@@ -49,14 +49,17 @@ def index_fields(chunks: DataFrame, composed: bool = False) -> DataFrame:
 
 
 def field_tokens(fields: DataFrame) -> DataFrame:
-    """A row for each token of each field."""
+    """A row for each token of each field.
+
+    Fields are dealt by chunk first, which is less to move than their tokens; the tokens of a chunk then meet where they are.
+    """
     bits = F.array(*(F.struct(F.lit(k).alias("field"), tokens_of(F.col(f"{f}_text")).alias("tokens")) for k, f in enumerate(FIELDS)))
-    each = fields.select("chunk_id", F.explode(bits).alias("f"))
+    each = fields.select("chunk_id", *(f"{f}_text" for f in FIELDS)).repartition("chunk_id").select("chunk_id", F.explode(bits).alias("f"))
     return each.select("chunk_id", F.col("f.field").alias("field"), F.explode("f.tokens").alias("token"))
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    """Rows of token and chunk: how often in the body, and whether in each other field; summed on the map side first."""
+    """Rows of token and chunk: how often in the body, and whether in each other field."""
     field = F.col("field")
     return field_tokens(fields).groupBy("token", "chunk_id").agg(
         F.count_if(field == 0).alias("tf_body"),

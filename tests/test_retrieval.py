@@ -153,3 +153,11 @@ def test_rows_of_tokens_move_without_hashes(spark, monkeypatch):
     hashes = sorted(r.body_hash for r in made(spark, 4, body).select("body_hash").collect())
     assert pairs == {(a, b) for a in hashes for b in hashes if a < b}
     assert len(kept) == 1 and "body_hash" not in kept[0]
+
+
+def test_tokens_of_a_chunk_meet_where_they_are(spark):
+    """Fields move once, by chunk; the rows of their tokens don't move."""
+    found = index.postings(made(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan, plan
+    assert found.where("token = 'number7' AND tf_body = 1 AND chunk_id = 7").count() == 1
