@@ -19,8 +19,8 @@ TICK = "✓"
 
 
 def normalize_prose(text: Column) -> Column:
-    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "[\t ]+", " ")
-    return strip(F.regexp_replace(F.regexp_replace(lines, " *\n *", " "), r"\s{2,}", " "))
+    """Runs of white space as one space; one pass, which matches only what changes."""
+    return strip(F.regexp_replace(text, r"\s{2,}|[\t\n\r]", " "))
 
 
 def normalize_code(text: Column) -> Column:
@@ -77,7 +77,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
         text.alias("text"),
         F.when((F.col("kind") == "code") & (F.col("language") != ""), F.col("language")).alias("language"),
         F.lit(None).cast("string").alias("anchor"),
-    ).where("text != ''")
+    ).where("kind = 'text' OR text != ''")  # a text has a line that isn't blank, so its long expression isn't needed twice
 
 
 #: The named entities that pages use.
@@ -155,9 +155,12 @@ def compact_blocks(items: DataFrame) -> DataFrame:
 
     Of a run of equal texts the first stays, so comparing with the row before is enough.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    same = (F.col("kind") == "text") & (F.lag("kind").over(order) == "text") & (F.lag("text").over(order) == F.col("text"))
-    return items.where(strip(F.col("text")) != "").withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
+    earlier = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    said = strip(F.col("text")) != ""
+    # empty items go after the window: before it, the filter would work out each text a second time
+    before = F.last(F.when(said, F.struct("kind", "text")), ignorenulls=True).over(earlier)
+    same = (F.col("kind") == "text") & (F.col("_before.kind") == "text") & (F.col("_before.text") == F.col("text"))
+    return items.withColumn("_before", before).where(said & ~F.coalesce(same, F.lit(False))).drop("_before")
 
 
 def pick_titles(items: DataFrame, heads: DataFrame) -> DataFrame:
@@ -197,7 +200,11 @@ def build_sections(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Sections without text are dropped and order counts those that stay; a repeated anchor stays
     with its first section.
     """
-    rows = sectioned(items)
+    return sections_of(sectioned(items))
+
+
+def sections_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`build_sections`, from the rows of :func:`sectioned`, which may be stored."""
     own = rows.groupBy("doc_id", "section_no").agg(
         F.max(F.when(F.col("marker"), F.col("text"))).alias("heading"),
         F.max(F.when(F.col("marker"), F.col("heading_path"))).alias("heading_path"),
@@ -217,14 +224,15 @@ def build_sections(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "doc_id", "section_order", F.lit("duplicate_section_anchor").alias("code"), F.concat(F.lit("another section has the anchor "), "anchor").alias("message"), F.col("pos")
     )
     blocks = rows.where("NOT marker").join(sections.select("doc_id", "section_no", "section_order"), ["doc_id", "section_no"])
-    numbered = Window.partitionBy("doc_id", "section_order").orderBy("pos")
+    numbered = Window.partitionBy("doc_id", "section_no").orderBy("pos")  # as the join has dealt them
     return sections, blocks.select("doc_id", "section_order", (F.row_number().over(numbered) - 1).alias("block_no"), "kind", "text", "language"), doubled
 
 
 def classify_skips(docs: DataFrame, sections: DataFrame) -> DataFrame:
     """Documents (doc_id, raw) without sections, and why."""
     blank = strip(F.coalesce("raw", F.lit(""))) == ""
-    return docs.join(sections.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.when(blank, "empty_source").otherwise("no_retrievable_content").alias("reason"))
+    reasons = docs.select("doc_id", F.when(blank, "empty_source").otherwise("no_retrievable_content").alias("reason"))
+    return reasons.join(sections.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def limit_diagnostics(found: DataFrame, most: int = MOST_DIAGNOSTICS) -> DataFrame:

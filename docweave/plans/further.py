@@ -134,13 +134,12 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corpus built from Markdown, written and read back: some files are blank or hold a title only, and anchors repeat."""
     k = F.col("doc_id")
     docs = as_markdown(spark, sf_dir).withColumn("raw", F.when(k % 5 == 0, F.when(k % 3 == 0, F.lit(" \n")).otherwise(F.lit("# Only a title"))).otherwise(F.col("raw")))
-    items = stored(structure.compact_blocks(structure.markdown_blocks(docs)))
-    by, _, _ = structure.build_sections(items)
-    # anchors by the section's number, so that they repeat whatever the headings are
-    marks = structure.sectioned(items).where("marker").select("doc_id", "section_no", "pos")
-    anchors = marks.join(by, ["doc_id", "section_no"]).select("doc_id", "pos", F.concat(F.lit("a"), (F.col("section_order") % 3).cast("string")).alias("_anchor"))
-    anchored = stored(items.join(anchors, ["doc_id", "pos"], "left").withColumn("anchor", F.col("_anchor")).drop("_anchor"))
-    sections, blocks, doubled = structure.build_sections(anchored)
+    rows = stored(structure.sectioned(structure.compact_blocks(structure.markdown_blocks(docs))))
+    by, _, _ = structure.sections_of(rows)
+    # anchors by the section's number, so that they repeat whatever the headings are; only markers meet them
+    anchors = by.select("doc_id", "section_no", F.concat(F.lit("a"), (F.col("section_order") % 3).cast("string")).alias("anchor"))
+    marks = rows.where("marker").drop("anchor").join(anchors, ["doc_id", "section_no"], "left")
+    sections, blocks, doubled = structure.sections_of(rows.where("NOT marker").unionByName(stored(marks)))
     sections = stored(sections)
     chunks = chunking.number_chunks(chunking.pack_chunks(chunking.expand_blocks(stored(blocks))))
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -1,6 +1,8 @@
 """Examples with literal rows for what the driver tables can't show."""
 
+import itertools
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,42 @@ def test_repeated_anchors_and_labels(spark):
     assert r.message == "said" and tuple(r.position) == (1, 2, 3)
 
 
+def test_prose_of_every_run_of_white_space(spark):
+    """One pass gives what the steps give one after the other: line ends, tabs and spaces, lines, runs."""
+    runs = ["".join(r) for n in range(1, 5) for r in itertools.product(" \t\n\r\x0b\f", repeat=n)]
+    steps = [(r"\r\n?", "\n"), ("[\t ]+", " "), (" *\n *", " "), (r"[ \t\n\x0b\f\r]{2,}", " ")]
+    want = {}
+    for r in runs:
+        text = f"a{r}b"
+        for what, by in steps:
+            text = re.sub(what, by, text)
+        want[r] = text
+    got = spark.createDataFrame([(r,) for r in runs], "r string").select("r", structure.normalize_prose(F.concat(F.lit("a"), "r", F.lit("b"))).alias("t"))
+    assert {x.r: x.t for x in got.collect()} == want
+
+
+def test_repeated_texts_go_past_empty_ones(spark):
+    rows = [(1, 0, "text", "a"), (1, 1, "text", " "), (1, 2, "text", "a"), (1, 3, "heading", "h"), (1, 4, "text", "a"), (1, 5, "code", "\u00a0"), (1, 6, "text", "a"), (1, 7, "text", None), (2, 0, "text", "a")]
+    got = structure.compact_blocks(spark.createDataFrame(rows, "doc_id long, pos int, kind string, text string"))
+    assert sorted((r.doc_id, r.pos) for r in got.collect()) == [(1, 0), (1, 3), (1, 4), (2, 0)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_worked_out_once_and_rows_cut_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "# A\n\nx\n\n# B\n\ny\n\nz"), (2, "# C\n\nw")], "doc_id long, raw string")
+    items = structure.compact_blocks(structure.markdown_blocks(docs))
+    marked = r"(?m)^\s*>\s?"  # a pattern of the text's expression, which the filter of empty items doesn't repeat
+    assert plan_of(items).count(marked) == plan_of(structure.markdown_blocks(docs)).count(marked)
+    structure.sectioned(items).write.parquet(f"{tmp_path}/rows")
+    stored = structure.sections_of(spark.read.parquet(f"{tmp_path}/rows"))
+    for a, b in zip(stored, structure.build_sections(items)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert sorted(tuple(r)[:3] for r in stored[1].collect()) == [(1, 0, 0), (1, 1, 0), (1, 1, 1), (2, 0, 0)]
+
+
 def test_html(spark):
     html = "<html><head><title>A &amp; B</title><meta name='description' content='d'></head><body><h1 id='x'>Top</h1><p>one <b>two</b><p>three<ul><li>item</ul><script>bad()</script><pre>\n a\n  b\n</pre></body></html>"
     page = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
