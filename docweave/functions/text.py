@@ -97,9 +97,34 @@ def unique_tokens(tokens: Column) -> Column:
     return F.array_distinct(tokens)
 
 
+def counted(ordered: Column) -> Column:
+    """Structs of token and n from a sorted array of tokens: where each run of equal ones begins, up to the next."""
+    first = F.filter(
+        F.transform(ordered, lambda t, i: F.when((i == 0) | ~t.eqNullSafe(F.get(ordered, i - 1)), i)), lambda i: i.isNotNull()
+    )
+    # an array of one, so that the places are worked out once
+    return F.flatten(
+        F.transform(
+            F.array(first),
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(F.get(ordered, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long").alias("n")),
+            ),
+        )
+    )
+
+
 def token_frequencies(df: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """Rows of id, token and how often it occurs; summed on the map side first."""
-    return df.select(id_col, F.explode(tokens_col).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of id, token and how often it occurs.
+
+    Each row counts its own tokens.  A first look at the ids alone tells whether any has several
+    rows; only then are counts of one id added up, which moves them all.
+    """
+    rows = df.select(id_col, F.sort_array(tokens_col).alias("_ordered"))
+    each = rows.select(id_col, F.inline(counted(F.col("_ordered"))))
+    if df.groupBy(id_col).count().where("count > 1").isEmpty():
+        return each
+    return each.groupBy(id_col, "token").agg(F.sum("n").alias("n"))
 
 
 def frequency_map(df: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:

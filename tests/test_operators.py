@@ -183,6 +183,19 @@ def test_sections_are_packed_by_stretches(spark, monkeypatch):
     assert sum(seen) == 100 and max(seen) < 20
 
 
+def test_tokens_are_counted_within_rows(spark):
+    rows = [(1, ["b", "a", "b", None, "b", None]), (2, []), (3, None), (4, ["x"]), (5, ["k"] * 5000 + ["j"])]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    want = {(1, "a", 1), (1, "b", 3), (1, None, 2), (4, "x", 1), (5, "k", 5000), (5, "j", 1)}
+    got = text.token_frequencies(docs, "id")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.columns == ["id", "token", "n"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # ids that have one row stay where they are
+    again = docs.union(spark.createDataFrame([(4, ["x", "y"]), (None, ["n"]), (None, ["n"])], docs.schema))
+    more = (want - {(4, "x", 1)}) | {(4, "x", 2), (4, "y", 1), (None, "n", 2)}
+    assert sorted(map(str, map(tuple, text.token_frequencies(again, "id").collect()))) == sorted(map(str, more))
+    assert {r.id: r.frequencies for r in text.frequency_map(docs.where("id > 3"), "id").collect()} == {4: {"x": 1}, 5: {"k": 5000, "j": 1}}
+
+
 def chunk(spark, rows):
     kind = "chunk_id long, document_id long, section_id long, path string, published_path string, title string, heading string, heading_path array<string>, content string, chunk_order int, category string, framework string, service string"
     return spark.createDataFrame([(i, d, s, f"src/pages/paas/{t}/p{i}.mdx", f"/paas/{t}/p{i}/", title, None, [], body, 0, "paas", t, None) for i, d, s, t, title, body in rows], kind)
