@@ -175,12 +175,25 @@ def project_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Files
 
+SHARDS = 16
+
+
+def write_pages(pages: DataFrame, root: str) -> None:
+    """A file for each page below folders that one task alone fills.
+
+    Such a folder moves into place whole, so the end of the write has no step for each page, and
+    the tree is listed by as many tasks as there are folders.
+    """
+    shard = F.concat_ws("-", F.spark_partition_id().cast("string"), F.pmod("page_id", F.lit(SHARDS)).cast("string"))
+    pages.select("page_id", "html", shard.alias("shard")).write.partitionBy("shard", "page_id").text(root)
+
+
 @query("""SELECT page_id, strlen(html) + 1 AS length, md5(html || chr(10)) AS digest FROM pages WHERE html IS NOT NULL AND strpos(html, chr(10)) = 0 AND strlen(html) + 1 <= 3000""")
 def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as a tree of files and scanned; large ones are left out by their length, before they are read."""
     root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     pages = ad.table(spark, sf_dir, "pages").where("html IS NOT NULL").where(~F.contains("html", F.lit("\n")))
-    pages.select("page_id", "html").write.partitionBy("page_id").text(root)
+    write_pages(pages, root)
     small, _ = corpus.enforce_size(corpus.scan_corpus(spark, root, "*.txt"), 3000)
     return small.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), "length", F.md5("raw").alias("digest"))
 

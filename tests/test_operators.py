@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docweave.functions import dims, text
 from docweave.functions.identity import digest_id, section_id
 from docweave.operators import audits, chunking, conversations, evidence, index, logs, policy, ranking, routing, structure
+from docweave.plans import further
 from docweave.sources import corpus, history
 from docweave.streaming import chat_log
 
@@ -196,6 +197,16 @@ def test_tokens_are_counted_within_rows(spark):
     assert {r.id: r.frequencies for r in text.frequency_map(docs.where("id > 3"), "id").collect()} == {4: {"x": 1}, 5: {"k": 5000, "j": 1}}
 
 
+def test_pages_lie_in_folders_of_one_task(spark, tmp_path):
+    """The end of the write and the listing have a step for each folder, not for each page."""
+    rows = [(k, f"<p>{k}</p>") for k in range(200)] + [(7, "<p>again</p>")]
+    further.write_pages(spark.createDataFrame(rows, "page_id long, html string").coalesce(2), f"{tmp_path}/tree")
+    folders = [p for p in (tmp_path / "tree").iterdir() if p.is_dir()]
+    assert len(folders) <= 2 * further.SHARDS and all(p.name.startswith("shard=") for p in folders)
+    found = corpus.scan_corpus(spark, f"{tmp_path}/tree", "*.txt").select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("k"), "raw", "length")
+    assert sorted(map(tuple, found.collect())) == sorted((k, f"{t}\n", len(t) + 1) for k, t in rows)
+
+
 def chunk(spark, rows):
     kind = "chunk_id long, document_id long, section_id long, path string, published_path string, title string, heading string, heading_path array<string>, content string, chunk_order int, category string, framework string, service string"
     return spark.createDataFrame([(i, d, s, f"src/pages/paas/{t}/p{i}.mdx", f"/paas/{t}/p{i}/", title, None, [], body, 0, "paas", t, None) for i, d, s, t, title, body in rows], kind)
