@@ -175,7 +175,8 @@ def project_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Files
 
-SHARDS = 16
+#: More than the 32 folders up to which Spark lists one after the other.
+SHARDS = 64
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
@@ -184,7 +185,7 @@ def write_pages(pages: DataFrame, root: str) -> None:
     Such a folder moves into place whole, so the end of the write has no step for each page, and
     the tree is listed by as many tasks as there are folders.
     """
-    shard = F.concat_ws("-", F.spark_partition_id().cast("string"), F.pmod("page_id", F.lit(SHARDS)).cast("string"))
+    shard = F.concat_ws("-", F.spark_partition_id().cast("string"), F.pmod(F.xxhash64("page_id"), F.lit(SHARDS)).cast("string"))
     pages.select("page_id", "html", shard.alias("shard")).write.partitionBy("shard", "page_id").text(root)
 
 

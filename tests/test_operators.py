@@ -203,6 +203,8 @@ def test_pages_lie_in_folders_of_one_task(spark, tmp_path):
     further.write_pages(spark.createDataFrame(rows, "page_id long, html string").coalesce(2), f"{tmp_path}/tree")
     folders = [p for p in (tmp_path / "tree").iterdir() if p.is_dir()]
     assert len(folders) <= 2 * further.SHARDS and all(p.name.startswith("shard=") for p in folders)
+    further.write_pages(spark.range(0, 200 * 64, 64).selectExpr("id AS page_id", "'x' AS html").coalesce(1), f"{tmp_path}/like")  # ids that are alike are dealt out too
+    assert 32 < sum(p.is_dir() for p in (tmp_path / "like").iterdir()) <= further.SHARDS
     found = corpus.scan_corpus(spark, f"{tmp_path}/tree", "*.txt").select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("k"), "raw", "length")
     assert sorted(map(tuple, found.collect())) == sorted((k, f"{t}\n", len(t) + 1) for k, t in rows)
 
