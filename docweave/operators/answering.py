@@ -35,10 +35,8 @@ def answer_requests(requests: DataFrame, built: Index, shown: DataFrame, limit:
     asks = stored((asks.join(filters, "request_id") if given else asks).withColumnRenamed("request_id", "question_id"))
     found, outcome = ranking.retrieve(asks, built, dims.stopwords(spark), dims.aliases(spark), composed)
     matches = stored(found.select("question_id", "rank", "chunk_id", "score", "matched_terms"))
-    facts = stored(matches.select("question_id", "rank", "chunk_id").join(shown, "chunk_id"))
-    packed, contexts = evidence.pack_context(facts)
-    packed = stored(packed)
-    cited = evidence.citations(packed.select("question_id", "citation_index", "chunk_id", "rank").join(facts.drop("rank"), ["question_id", "chunk_id"]))
+    packed, contexts = evidence.pack_context(matches.select("question_id", "rank", "chunk_id").join(evidence.packable(shown), "chunk_id"))
+    cited = evidence.citations(packed.select("question_id", "citation_index", "chunk_id").join(evidence.shortened(shown), "chunk_id"))
     asked = asks.select(F.col("question_id").alias("request_id")).join(contexts.withColumnRenamed("question_id", "request_id"), "request_id", "left")
     kinds = outcome.select(F.col("question_id").alias("request_id"), F.col("kind").alias("outcome"), "n_matches", "considered_count")
     return {

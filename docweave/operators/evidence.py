@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.text import strip, strip_end
+from docweave.session import stored
 
 BUDGET, SNIPPET = 12_000, 600
 
@@ -21,15 +22,22 @@ def serialize_evidence(citation: Column, title: Column, section: Column, url: Co
     return F.to_json(item, {"ignoreNullFields": "false"})
 
 
+def packable(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Without title, heading and content where these can't fit into a context, whatever else is in it."""
+    said = serialize_evidence(F.lit(1), F.col("title"), F.col("heading"), F.col("published_url"), F.col("content"))
+    fits = F.length(said) + 2 <= budget
+    return rows.withColumns({c: F.when(fits, F.col(c)) for c in ("title", "heading", "content")})
+
+
 def pack_context(matches: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Evidence rows with their citation index, and one formatted context a question.
 
     Matches are at most 20 a question.  Blank or repeated contents and those that do not fit
     are skipped, and later ones may still fit, so this is a fold; the length of an item depends
-    on the index that it gets.
+    on the index that it gets.  Contents that can't fit at all are dropped before they are moved.
     """
     item = F.struct("rank", "chunk_id", "title", "heading", "published_url", "content")
-    listed = matches.groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    listed = packable(matches, budget).groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     kind = dict(matches.dtypes)
     start = F.struct(
         F.lit(2).alias("used"),
@@ -45,7 +53,7 @@ def pack_context(matches: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, D
         more = F.struct(m["chunk_id"].alias("chunk_id"), m["rank"].alias("rank"), trimmed.alias("content"), said.alias("said"))
         return F.struct(F.when(ok, done["used"] + need).otherwise(done["used"]).alias("used"), F.when(ok, F.concat(done["kept"], F.array(more))).otherwise(done["kept"]).alias("kept"))
 
-    folded = listed.select("question_id", F.aggregate("items", start, step, lambda d: d["kept"]).alias("kept"))
+    folded = stored(listed.select("question_id", F.aggregate("items", start, step, lambda d: F.transform(d["kept"], lambda k: k.dropFields("content"))).alias("kept")))
     evidence = folded.select("question_id", F.posexplode("kept").alias("at", "k")).select("question_id", (F.col("at") + 1).alias("citation_index"), F.col("k.chunk_id").alias("chunk_id"), F.col("k.rank").alias("rank"))
     contexts = folded.select("question_id", F.concat(F.lit("["), F.array_join(F.transform("kept", lambda k: k["said"]), ","), F.lit("]")).alias("formatted"))
     return evidence, contexts
@@ -63,6 +71,11 @@ def snippet(content: Column, most: int = SNIPPET) -> Column:
     return F.when(F.length(content) <= most, content).otherwise(F.concat(strip_end(F.substring(content, 1, most - 1)), F.lit("…")))
 
 
+def shortened(rows: DataFrame) -> DataFrame:
+    """With as much of the content as a citation's snippet depends on."""
+    return rows.withColumn("content", F.substring("content", 1, SNIPPET + 1))
+
+
 def citations(evidence: DataFrame) -> DataFrame:
     """One citation for each evidence row that carries its match's columns."""
     url = F.when(F.col("anchor").isNull(), F.col("published_url")).otherwise(F.concat("published_url", F.lit("#"), encode_component(F.col("anchor"))))

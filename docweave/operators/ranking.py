@@ -7,19 +7,21 @@ framework and service (null: no filter).
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions.text import normalize_text, terms, tokens_of
 from docweave.operators import index as ix
-from docweave.session import cut, shared_folder, stored
+from docweave.session import cut, shared_folder, stored, stored_in_turn
 
 # Weights and gates of the score.
 SATURATION, LENGTH_PART = 1.2, 0.75
@@ -170,162 +172,299 @@ def gated(found: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-#: Chunks of a shard and questions of a part, about, which meet in one group.
-SHARD, PART = 4096, 2048
+#: Chunks of a shard and tokens of their bodies at most, and questions of a part, about, that shards meet at a time.
+SHARD, SHARD_TOKENS, PART = 8192, 4_000_000, 16384
+#: Of a question's weight what the tokens may have that a shard is not searched for at first: the most common ones.
+COMMON_WEIGHT = 0.2
 #: Below this distance two scores may be equal once they are rounded.
 ROUNDING = 2e-6
 
 
-def questions_in_rows(made: dict[str, DataFrame], vocabulary: DataFrame) -> DataFrame:
+def number_of(token: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), token)
+
+
+def telling_seed(tokens: DataFrame) -> int:
+    """A seed by which no two tokens have the same number."""
+    for seed in itertools.count():
+        if tokens.groupBy(number_of(F.col("token"), seed)).agg(F.min("token").alias("a"), F.max("token").alias("b")).where("a != b").isEmpty():
+            return seed
+
+
+def in_file(table: pa.Table) -> bytes:
+    """An Arrow table as compressed bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def out_of_file(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all().combine_chunks()
+
+
+def questions_in_rows(made: dict[str, DataFrame], seed: int) -> DataFrame:
     """One row a question: its filters, tokens by their numbers in order, and groups with weight.
 
     A group is inner if it is neither the first nor the last term of the question: a field that
-    holds the question's whole text has these as whole terms.
+    holds the question's whole text has these as whole terms.  Tokens that no chunk has are left out.
     """
     telling = (F.col("df") / F.col("n_chunks") <= COMMON_RATIO) | (F.col("n_chunks") < COMMON_FROM)
-    own = made["terms"].join(vocabulary.select("token", "tid"), "token").groupBy("question_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "tid", telling.alias("telling"), "token"))).alias("hits"), F.first("total").alias("total")
-    )
-    last = made["wanted"].select("question_id", (F.size(terms(F.col("normal"))) - 1).alias("last"))
-    inner = (F.col("group_no") > 0) & (F.col("group_no") < F.col("last"))
-    each = made["weights"].select("question_id", F.explode("groups").alias("g")).select("question_id", "g.*").join(last, "question_id").withColumn("inner", inner)
-    n_inner = each.groupBy("question_id").agg(F.count_if("inner").alias("n_inner"))
-    by_group = each.withColumn("token", F.explode("tokens")).join(vocabulary.select("token", "tid"), "token").groupBy("question_id", "group_no").agg(F.first("weight").alias("weight"), F.first("inner").alias("inner"), F.collect_set("tid").alias("tids"))
-    groups = by_group.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("group_no", "weight", "inner", "tids"))).alias("groups"))
+    hit = F.struct("pos", number_of(F.col("token"), seed).alias("tid"), telling.alias("telling"), "idf", "token")
+    own = made["terms"].groupBy("question_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"), F.first("total").alias("total"))
+    last = made["wanted"].select("question_id", "q_category", "q_framework", "q_service", (F.size(terms(F.col("normal"))) - 1).alias("last"))
     several = made["tokens"].groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    rows = made["wanted"].select("question_id", "q_category", "q_framework", "q_service")
-    for more in (own, groups, n_inner, several):
-        rows = rows.join(more, "question_id")
-    return rows
+    rows = last.join(own, "question_id").join(made["weights"].select("question_id", "groups"), "question_id").join(several, "question_id")
+    inner = lambda g: (g["group_no"] > 0) & (g["group_no"] < F.col("last"))
+    known = lambda g: F.transform(F.filter(g["tokens"], lambda t: F.array_contains("hits.token", t)), lambda t: number_of(t, seed))
+    groups = F.filter(F.transform("groups", lambda g: F.struct(g["weight"].alias("weight"), inner(g).alias("inner"), known(g).alias("tids"))), lambda g: F.size(g["tids"]) > 0)
+    return rows.select("question_id", "q_category", "q_framework", "q_service", "hits", "total", "n_tokens", groups.alias("groups"), F.size(F.filter("groups", inner)).alias("n_inner"))
 
 
-class Shard:
-    """The postings of a shard's chunks: for each token the places of its chunks, and what it adds to them."""
+class Part:
+    """The questions of a part as arrays; tokens go by their places in ``tids``."""
 
     def __init__(self, rows: pa.Table):
-        chunk = rows["chunk_id"].combine_chunks().dictionary_encode()
-        self.ids, at = chunk.dictionary, chunk.indices.to_numpy(zero_copy_only=False)
-        self.n = len(self.ids)
-        tid = rows["tid"].fill_null(-1).to_numpy()
-        fact = np.flatnonzero(tid < 0)
-        self.facts = np.zeros(self.n, np.int64)
-        self.facts[at[fact]] = fact
-        self.rows = rows
-        order = np.argsort(tid, kind="stable")[len(fact) :]
-        self.at, self.part, self.local = at[order], rows["part"].to_numpy()[order], rows["local"].fill_null(False).to_numpy(zero_copy_only=False)[order]
-        found, start = np.unique(tid[order], return_index=True)
-        self.where = {t: slice(a, b) for t, a, b in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(order)])}
-
-    def passing(self, question: dict) -> np.ndarray:
-        """Which chunks pass the question's filters; an empty key never passes."""
-        good = np.ones(self.n, bool)
+        self.ids = rows["question_id"].combine_chunks()
+        plain = rows.select(["q_category", "q_framework", "q_service", "total", "n_tokens", "n_inner"]).to_pylist()
+        hits, groups = rows["hits"].combine_chunks(), rows["groups"].combine_chunks()
+        self.tids, hit = np.unique(np.asarray(hits.values.field("tid")), return_inverse=True)
+        inside = groups.values.field("tids")
+        # a group's tokens are some of the question's, so all of them have a place
+        held = np.searchsorted(self.tids, np.asarray(inside.values))
+        telling, idf = hits.values.field("telling").to_numpy(zero_copy_only=False), np.asarray(hits.values.field("idf"))
+        weight, inner = np.asarray(groups.values.field("weight")), groups.values.field("inner").to_numpy(zero_copy_only=False)
+        h, g, t = (np.asarray(x.offsets) for x in (hits, groups, inside))
+        self.questions = []
+        for k, q in enumerate(plain):
+            of_hits, of_groups = slice(h[k], h[k + 1]), slice(g[k], g[k + 1])
+            starts = t[g[k] : g[k + 1] + 1]
+            q |= {"at": hit[of_hits], "telling": telling[of_hits], "idf": idf[of_hits], "weight": weight[of_groups], "inner": inner[of_groups]}
+            q["groups"] = starts[:-1] - starts[0]
+            place = np.argsort(q["at"])
+            tokens, sizes = held[starts[0] : starts[-1]], np.diff(starts)
+            q["held"] = place[np.searchsorted(q["at"][place], tokens)]
+            # the least weights together stay below what a chunk needs, so it has one of the others
+            order = np.argsort(q["weight"], kind="stable")
+            summed = np.cumsum(q["weight"][order])
+            n = int(np.searchsorted(summed, COMMON_WEIGHT * q["total"], "right"))
+            rare = np.ones(len(order), bool)
+            rare[order[:n]] = False
+            rare = np.repeat(rare, sizes)
+            q["rare"], q["rare_weight"] = tokens[rare], np.repeat(q["weight"], sizes)[rare]
+            q["need"] = LEAST_COVERAGE * q["total"] - (summed[n - 1] if n else 0.0) - 1e-9 * q["total"]
+            self.questions.append(q)
+
+
+class Shard:
+    """The postings of a shard's chunks, by token and then place of the chunk."""
+
+    def __init__(self, chunks: bytes, tokens: bytes, hits: bytes, part: Part, mean: float):
+        self.chunks, found, rows = out_of_file(chunks), out_of_file(tokens), out_of_file(hits)
+        self.n, self.mean = len(self.chunks), mean
+        self.length = self.chunks["body_len"].to_numpy()
+        self.first = self.chunks["chunk_order"].fill_null(-1).to_numpy() == 0
+        tid, start = found["tid"].to_numpy(), np.append(found["start"].to_numpy(), len(rows))
+        self.at, self.tf, self.flags = (rows[c].to_numpy() for c in ("at", "tf", "flags"))
+        self.keys = np.repeat(np.arange(len(tid)) * self.n, np.diff(start)) + self.at
+        # of each of the part's tokens its place here, or -1
+        spot = np.minimum(np.searchsorted(tid, part.tids), len(tid) - 1)
+        here = tid[spot] == part.tids
+        self.spot = np.where(here, spot, -1)
+        self.start, self.stop = np.where(here, start[spot], 0), np.where(here, start[spot + 1], 0)
+
+    def passing(self, question: dict, chosen: np.ndarray) -> np.ndarray:
+        """Which of the chunks pass the question's filters; an empty key never passes."""
+        good = np.ones(len(chosen), bool)
         for name, column in (("q_category", "category"), ("q_framework", "framework_key"), ("q_service", "service_key")):
             if question[name] is not None:
-                said = self.rows[column].take(pa.array(self.facts)).to_numpy(zero_copy_only=False)
+                said = self.chunks[column].take(pa.array(chosen)).to_numpy()
                 good &= (said == question[name]) & (name == "q_category" or question[name] != "")
         return good
 
-    def union(self, tids: list[int]) -> np.ndarray:
-        lists = [self.at[self.where[t]] for t in tids if t in self.where]
-        return lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists)) if lists else self.at[:0]
+    def postings_of(self, question: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the question's tokens and the chosen chunks that have them the places of both, and of the posting."""
+        a, b = self.start[question["at"]], self.stop[question["at"]]
+        if len(a) * len(chosen) * 4 < (b - a).sum():
+            asked = self.spot[question["at"]][:, None] * self.n + chosen
+            found = np.searchsorted(self.keys, asked)
+            found[found == len(self.keys)] = 0
+            k, c = np.nonzero(self.keys[found] == asked)
+            return k, c, found[k, c]
+        mark = np.full(self.n, -1)
+        mark[chosen] = np.arange(len(chosen))
+        found = np.concatenate([np.arange(x, y) for x, y in zip(a, b)])
+        c = mark[self.at[found]]
+        keep = c >= 0
+        return np.repeat(np.arange(len(a)), b - a)[keep], c[keep], found[keep]
+
+    def added(self, idf: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """What postings add to the score, field by field."""
+        tf, flags = self.tf[found], self.flags[found]
+        scaled = (1 - LENGTH_PART) + LENGTH_PART * (self.length[self.at[found]] / self.mean) if self.mean else np.ones(len(found))
+        own = np.where(tf > 0, idf * (tf * (SATURATION + 1)) / (tf + SATURATION * scaled), 0.0)
+        for k, f in enumerate(ix.FIELDS):
+            if k:
+                own += np.where(flags & (1 << k), idf * FIELD_BOOST[f], 0.0)
+        return own
 
     def score(self, question: dict, first: int | None) -> tuple | None:
-        """Places, sums, coverages, bounds and matched tokens of the chunks that pass the gates; with ``first`` of those that may be among so many."""
-        hits = [(k, self.where[h["tid"]], h["telling"]) for k, h in enumerate(question["hits"]) if h["tid"] in self.where]
-        if not any(telling for _, _, telling in hits):
+        """Places, sums, coverages, bounds and matched tokens of the chunks that pass the gates; with ``first`` of those that may be among so many.
+
+        Rare tokens come first: a chunk that they don't bring far enough fails the gate of coverage whatever common
+        tokens it has, so only the others are looked at token by token.
+        """
+        a, b = self.start[question["rare"]], self.stop[question["rare"]]
+        sizes = b - a
+        if question["rare_weight"][sizes > 0].sum() < question["need"] or not question["total"]:
             return None
-        lists = [self.union(g["tids"]) for g in question["groups"]]
-        sizes, total = [len(x) for x in lists], question["total"]
-        covered = np.bincount(np.concatenate(lists), np.repeat([g["weight"] for g in question["groups"]], sizes), self.n)
-        at = np.concatenate([self.at[s] for _, s, _ in hits])
-        good = (covered / total >= LEAST_COVERAGE) if total else np.zeros(self.n, bool)
-        good &= np.bincount(at[np.concatenate([self.local[s] for _, s, _ in hits])], minlength=self.n) > 0
-        good &= np.bincount(np.concatenate([self.at[s] for _, s, telling in hits if telling]), minlength=self.n) > 0
-        if any(question[q] is not None for q in ("q_category", "q_framework", "q_service")):
-            good &= self.passing(question)
-        chosen = np.flatnonzero(good)
+        lists = [self.at[x:y] for x, y in zip(a.tolist(), b.tolist()) if x < y]
+        if not lists:
+            return None
+        chosen = np.flatnonzero(np.bincount(np.concatenate(lists), np.repeat(question["rare_weight"], sizes), self.n) >= question["need"])
         if not len(chosen):
             return None
-        partial = np.bincount(at, np.concatenate([self.part[s] for _, s, _ in hits]), self.n)[chosen]
-        coverage = covered[chosen] / total
+        k, c, found = self.postings_of(question, chosen)
+        has = np.zeros((len(question["at"]), len(chosen)), bool)
+        has[k, c] = True
+        grouped = np.logical_or.reduceat(has[question["held"]], question["groups"], axis=0)
+        covered = (grouped * question["weight"][:, None]).sum(axis=0)
+        flags, first_of_all = self.flags[found], self.first[self.at[found]]
+        place = {f: 1 << n for n, f in enumerate(ix.FIELDS)}
+        local = (self.tf[found] > 0) | (flags & place["heading"] > 0) | (first_of_all & (flags & (place["title"] | place["path"]) > 0))
+        good = (covered / question["total"] >= LEAST_COVERAGE) & has[question["telling"]].any(axis=0)
+        good &= np.bincount(c[local], minlength=len(chosen)) > 0
+        if any(question[q] is not None for q in ("q_category", "q_framework", "q_service")):
+            good &= self.passing(question, chosen)
+        if not good.any():
+            return None
+        parts = np.zeros(has.shape)
+        parts[k, c] = self.added(question["idf"][k], found)
+        partial, coverage = parts.sum(axis=0)[good], (covered / question["total"])[good]
         least = partial + coverage * COVERAGE_WEIGHT
         most = least.copy()
         if question["n_tokens"] >= 2:
-            inside = [x for x, g in zip(lists, question["groups"]) if g["inner"]]
-            whole = np.bincount(np.concatenate(inside), minlength=self.n)[chosen] == question["n_inner"] if inside else question["n_inner"] == 0
+            whole = grouped[question["inner"]].sum(axis=0)[good] == question["n_inner"]
             most += np.where(whole, max(PHRASE_BONUS.values()), 0.0)
+        chosen, has = chosen[good], has[:, good]
         if first is not None:
             sure = least[least >= LEAST_SCORE + ROUNDING]
             floor = np.partition(sure, -first)[-first] if len(sure) > first else LEAST_SCORE
             keep = most >= max(floor, LEAST_SCORE) - ROUNDING
-            chosen, partial, coverage, least, most = (x[keep] for x in (chosen, partial, coverage, least, most))
-        mark = np.full(self.n, -1)
-        mark[chosen] = np.arange(len(chosen))
-        spot, said = mark[at], np.repeat([k for k, _, _ in hits], [s.stop - s.start for _, s, _ in hits])
-        spot, said = spot[spot >= 0], said[spot >= 0]
-        order = np.argsort(spot, kind="stable")
-        return chosen, partial, coverage, least, most, np.bincount(spot, minlength=len(chosen)), said[order]
+            chosen, partial, coverage, least, most, has = (x[..., keep] for x in (chosen, partial, coverage, least, most, has))
+        return chosen, partial, coverage, least, most, has.sum(axis=0), np.nonzero(has.T)[1]
+
 
+def packed_shards(built: ix.Index, seed: int, shard: int = SHARD) -> DataFrame:
+    """A row for each shard of chunks: facts of its chunks, tokens by number, and postings, each as one column of bytes.
 
-def shard_scores(made: dict[str, DataFrame], built: ix.Index, first: int | None = None, shard: int = SHARD, part: int = PART) -> DataFrame:
+    Chunks stay in the tasks that read them, so nothing is moved; a shard holds a bounded number of chunks and tokens.
+    """
+    numbers = lambda f: F.transform(tokens_of(F.col(f"{f}_text")), lambda t: number_of(t, seed)).alias(f)
+    facts = ["chunk_id", "chunk_order", "category", "framework_key", "service_key", "body_len"]
+    rows = built.fields.select(*facts, *map(numbers, ix.FIELDS))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, size = np.arange(batch.num_rows), np.cumsum(batch["body_len"].to_numpy(zero_copy_only=False))
+            ends = np.flatnonzero(np.diff(k // shard) | np.diff(size // SHARD_TOKENS)) + 1
+            for a, b in itertools.pairwise([0, *ends.tolist(), batch.num_rows]):
+                own = batch.slice(a, b - a)
+                tids, at, field = [], [], []
+                for n, f in enumerate(ix.FIELDS):
+                    lengths = pc.fill_null(pc.list_value_length(own[f]), 0).to_numpy(zero_copy_only=False)
+                    tids.append(own[f].flatten().to_numpy(zero_copy_only=False))
+                    at.append(np.repeat(np.arange(own.num_rows, dtype=np.int32), lengths))
+                    field.append(np.full(len(at[-1]), n, np.int8))
+                tids, at, field = (np.concatenate(x) for x in (tids, at, field))
+                order = np.lexsort((at, tids))
+                tids, at, field = tids[order], at[order], field[order]
+                fresh = np.append(True, tids[1:] != tids[:-1])[: len(tids)]
+                begin = np.flatnonzero(fresh | np.append(True, at[1:] != at[:-1])[: len(tids)])
+                tf = np.add.reduceat((field == 0).astype(np.int32), begin) if len(begin) else np.zeros(0, np.int32)
+                flags = np.bitwise_or.reduceat(np.int8(1) << field, begin) if len(begin) else np.zeros(0, np.int8)
+                yield pa.RecordBatch.from_pydict({
+                    "chunks": [in_file(pa.Table.from_batches([own.select(facts)]))],
+                    "tokens": [in_file(pa.table({"tid": tids[fresh], "start": np.flatnonzero(fresh[begin]).astype(np.int32)}))],
+                    "hits": [in_file(pa.table({"at": at[begin], "tf": tf, "flags": flags}))],
+                }, pa.schema([(c, pa.binary()) for c in ("chunks", "tokens", "hits")]))
+
+    return rows.mapInArrow(pack, "chunks binary, tokens binary, hits binary")
+
+
+def shard_scores(made: dict[str, DataFrame], built: ix.Index, first: int | None = None, shard: int = SHARD, part: int = PART, shards: tuple[int, DataFrame] | None = None) -> DataFrame:
     """Chunks that pass the gates of a question, as :func:`gated`; with ``first`` at least those of the first ranks.
 
-    Chunks lie in shards and questions in parts of bounded size; each pair of them is one group, in which a question's
-    tokens are summed over arrays.  A posting moves once for each part of the questions, whatever number of questions asks
-    for its token, and a group hands on no more than what may reach the first ranks of its shard.  The phrase bonus,
-    which needs texts, counts as possible only where all inner terms of the question are there.
+    Chunks lie in shards and questions in parts of bounded size.  One part after the other is broadcast as one row and
+    meets all shards where they lie, so neither postings nor questions are copied on disk whatever their numbers; the
+    product of both is in time only.  What a part's questions get is cut to their first ranks before the next part begins.
+    The phrase bonus, which needs texts, counts as possible only where all inner terms of the question are there.
     """
+    spark = built.fields.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in [*made["wanted"].schema, *built.fields.schema]}
-    words = made["terms"].groupBy("bucket", "token").agg(*(F.first(c).alias(c) for c in ("df", "idf", "n_chunks", "avg_body_len")))
-    vocabulary = cut(words.withColumn("tid", F.monotonically_increasing_id()))
-    asks = stored(questions_in_rows(made, vocabulary))
-    n_shards, n_parts = 1 + (built.stats.first()["n_chunks"] // shard), 1 + asks.count() // part
-    shard_of = F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int").alias("shard")
-    local = (F.col("tf_body") > 0) | F.col("in_heading") | ((F.col("chunk_order") == 0) & (F.col("in_title") | F.col("in_path")))
-    keys = ("category", "framework_key", "service_key")
-    found = vocabulary.join(built.postings.drop(*keys), ["bucket", "token"])
-    found = found.select(shard_of, "chunk_id", "tid", added(impact(F.col("idf"))).alias("part"), F.coalesce(local, F.lit(False)).alias("local"), F.lit(None).cast("int").alias("chunk_order"), *(F.lit(None).cast("string").alias(k) for k in keys))
-    facts = built.fields.select(shard_of, "chunk_id", F.lit(None).cast("long").alias("tid"), F.lit(0.0).alias("part"), F.lit(False).alias("local"), F.col("chunk_order").cast("int").alias("chunk_order"), *keys)
-    parts = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)))
-    left = found.unionByName(facts).withColumn("qpart", parts)
-    right = asks.withColumns({"qpart": F.pmod(F.xxhash64("question_id"), F.lit(n_parts)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))})
-    right = right.withColumn("hits", F.transform("hits", lambda h: F.struct(h["tid"].alias("tid"), h["telling"].alias("telling"))))
-
-    def score(chunks: pa.Table, questions: pa.Table) -> pa.Table:
-        own, ids = Shard(chunks), questions["question_id"]
-        at, out, asked_at = [], [[] for _ in range(6)], []
-        for k, question in enumerate(questions.drop_columns(["question_id"]).to_pylist()):
-            got = own.score(question, first)
-            if got is not None:
-                at.append(got[0])
-                asked_at.append(np.full(len(got[0]), k))
-                for column, values in zip(out, got[1:]):
-                    column.append(values)
-        join = lambda columns, kind: np.concatenate(columns).astype(kind) if columns else np.zeros(0, kind)
-        at, sizes = join(at, np.int64), join(out[4], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        columns = {
-            "question_id": ids.take(pa.array(join(asked_at, np.int64))).combine_chunks(),
-            "chunk_id": own.ids.take(pa.array(at)),
-            "chunk_order": own.rows["chunk_order"].take(pa.array(own.facts[at])).combine_chunks(),
-            **{name: pa.array(join(x, np.float64)) for name, x in zip(("partial", "coverage", "least", "most"), out)},
-            "matched": pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(out[5], np.int32))),
-        }
-        return pa.table(columns)
-
-    number = min(n_shards * n_parts, 4096)
-    dealt = [rows.repartition(number, "shard", "qpart").groupBy("shard", "qpart") for rows in (left, right)]
+    seed, table = shards or stored_shards(made, built, shard)
+    asks = stored(questions_in_rows(made, seed))
+    n_parts, mean = 1 + asks.count() // part, built.stats.first()["avg_body_len"]
+    dealt = asks.withColumn("hits", F.transform("hits", lambda h: F.struct(h["tid"].alias("tid"), h["telling"].alias("telling"), h["idf"].alias("idf"))))
+    dealt = dealt.withColumn("qpart", F.pmod(F.xxhash64("question_id"), F.lit(n_parts)).cast("int"))
+
+    def pack(questions: pa.Table) -> pa.Table:
+        return pa.table({"qpart": questions["qpart"][:1], "questions": pa.array([in_file(questions.drop_columns(["qpart"]))], pa.binary())})
+
+    parts = stored(dealt.groupBy("qpart").applyInArrow(pack, "qpart int, questions binary"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if asked is None:  # the same in all rows of a job
+                    asked = Part(out_of_file(batch["questions"][row].as_py()))
+                own = Shard(*(batch[c][row].as_py() for c in ("chunks", "tokens", "hits")), asked, mean)
+                at, asked_at, out = [], [], [[] for _ in range(6)]
+                for k, question in enumerate(asked.questions):
+                    got = own.score(question, first)
+                    if got is not None:
+                        at.append(got[0])
+                        asked_at.append(np.full(len(got[0]), k))
+                        for column, values in zip(out, got[1:]):
+                            column.append(values)
+                join = lambda columns, kind: np.concatenate(columns).astype(kind) if columns else np.zeros(0, kind)
+                at = join(at, np.int64)
+                offsets = np.concatenate([[0], np.cumsum(join(out[4], np.int64))]).astype(np.int32)
+                columns = {
+                    "question_id": asked.ids.take(pa.array(join(asked_at, np.int64))),
+                    "chunk_id": own.chunks["chunk_id"].combine_chunks().take(pa.array(at)),
+                    "chunk_order": own.chunks["chunk_order"].combine_chunks().take(pa.array(at)).cast(pa.int32()),
+                    **{name: pa.array(join(x, np.float64)) for name, x in zip(("partial", "coverage", "least", "most"), out)},
+                    "matched": pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(out[5], np.int32))),
+                }
+                yield from pa.table(columns).to_batches(10_000)
+
     kind = f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, chunk_order int, partial double, coverage double, least double, most double, matched array<int>"
-    rows = stored(dealt[0].cogroup(dealt[1]).applyInArrow(score, kind))
-    if first is not None:
+
+    def scores(number: int) -> DataFrame:
+        rows = table.crossJoin(F.broadcast(parts.where(F.col("qpart") == number).select("questions"))).mapInArrow(score, kind)
+        if first is None:
+            return rows
+        rows = stored(rows)
         sure = rows.where(F.col("least") >= LEAST_SCORE + ROUNDING).select("question_id", "least")
         turn = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("least")))
         floor = sure.withColumn("_turn", turn).where(F.col("_turn") <= first).where(F.col("_turn") == first).select("question_id", F.col("least").alias("floor"))
-        rows = rows.join(floor, "question_id", "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - ROUNDING))
+        return rows.join(floor, "question_id", "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor") - ROUNDING)).drop("floor")
+
+    rows = stored_in_turn(spark, [functools.partial(scores, number) for number in range(n_parts)])
     named = rows.join(asks.select("question_id", F.col("hits.token").alias("_names")), "question_id")
     return named.select("question_id", "chunk_id", "chunk_order", F.transform("matched", lambda k: F.get("_names", k)).alias("matched_terms"), "partial", "coverage")
 
 
+def stored_shards(made: dict[str, DataFrame], built: ix.Index, shard: int = SHARD) -> tuple[int, DataFrame]:
+    """The shards of an index and the seed of their tokens' numbers, for several calls of :func:`shard_scores`."""
+    seed = telling_seed(built.frequencies.select("token").unionByName(made["tokens"].select("token")))
+    return seed, stored(packed_shards(built, seed, shard))
+
+
 def scored(rows: DataFrame, wanted: DataFrame, tokens: DataFrame, fields: DataFrame) -> DataFrame:
     """Final scores: the coverage's part and the phrase bonus added; low scores left out."""
     several = tokens.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -362,6 +501,55 @@ def body_classes(fields: DataFrame) -> DataFrame:
     return own.select("body_hash", F.length("body_text").alias("chars"), F.array_distinct(tokens_of(F.col("body_text"))).alias("tokens"))
 
 
+#: Sizes of sets that may be near enough lie in one class or in two that follow each other.
+SIZE_STEP = 1.001 / NEAR_JACCARD
+
+
+def signatures(numbers: Column) -> Column:
+    """Of a set of numbers some signatures, at least one of which it shares with every set that is near enough; none of a small set.
+
+    Two sets that are near enough differ in a bounded number of elements.  Dealt into one part more than that, at least
+    one part is the same in both; a signature is the sum of a part.  The number of parts goes by the class of the
+    set's size, and a set has those of its own class and of the next, as the other set may be of either.
+    """
+
+    @F.arrow_udf("array<long>")
+    def dealt(sets: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False)
+        values = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        large = n >= NEAR_TOKENS
+        level = np.floor(np.log(np.maximum(n, NEAR_TOKENS) / NEAR_TOKENS) / np.log(SIZE_STEP)).astype(np.int64)
+        parts = [np.where(large, (2 * NEAR_TOKENS * SIZE_STEP ** (level + k + 1) * (1 - NEAR_JACCARD) / (1 + NEAR_JACCARD) + 1e-6).astype(np.int64) + 1, 0) for k in (0, 1)]
+        offsets = np.concatenate([[0], np.cumsum(parts[0] + parts[1])])
+        sums = np.zeros(offsets[-1], np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        row, values = row[large[row]], values[large[row]]
+        mixed = lambda x: (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        for k, begin in ((0, offsets[:-1]), (1, offsets[:-1] + parts[0])):
+            np.add.at(sums, begin[row] + (values % np.maximum(parts[k], 1).astype(np.uint64)[row]).astype(np.int64), mixed(values))
+            many = np.arange(parts[k].sum()) - np.repeat(np.cumsum(parts[k]) - parts[k], parts[k])
+            name = np.repeat((level + k) << 32, parts[k]) + many
+            sums[np.repeat(begin, parts[k]) + many] ^= mixed(mixed(name.astype(np.uint64) + np.uint64(1)))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sums.view(np.int64)))
+
+    return dealt(numbers)
+
+
+def near_bodies(ranks: DataFrame, fields: DataFrame) -> DataFrame:
+    """chunk_id, chars and tokens (as numbers) of the ranked chunks whose body shares a signature with another body among them.
+
+    The others have no near duplicate there, so they are compared by the hash of their body alone.
+    """
+    chosen = fields.join(ranks.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    sets = F.transform(F.array_distinct(tokens_of(F.col("body_text"))), lambda t: F.xxhash64(t))
+    own = chosen.select("chunk_id", F.xxhash64("body_hash").alias("body"), F.length("body_text").alias("chars"), sets.alias("tokens"))
+    own = stored(own.withColumn("signatures", signatures(F.col("tokens"))).where(F.size("signatures") > 0))
+    each = own.select("chunk_id", "body", F.explode("signatures").alias("signature"))
+    shared = each.groupBy("signature").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a < b")
+    near = each.join(shared, "signature", "left_semi").select("chunk_id").distinct()
+    return stored(own.select("chunk_id", "chars", "tokens").join(near, "chunk_id", "left_semi"))
+
+
 def near_duplicate_classes(fields: DataFrame) -> DataFrame:
     """Pairs of distinct bodies that count as near duplicates, each once (a < b).
 
@@ -417,15 +605,14 @@ class Kept:
         return both / (n + m - both) >= NEAR_JACCARD
 
 
-def walk(ranks: DataFrame, fields: DataFrame) -> DataFrame:
+def walk(ranks: DataFrame, bodies: DataFrame) -> DataFrame:
     """Each question's candidates in rank order, without those that repeat a kept one, until its limit.
 
     A question's rows reach one task sorted by rank and are read as a stream; the state is the rows kept so
-    far, so memory doesn't grow with the candidates, and a full question skips the rest.
+    far, so memory doesn't grow with the candidates, and a full question skips the rest.  ``bodies`` are the
+    :func:`near_bodies` of the ranks; rows of other chunks move without tokens.
     """
-    body = F.col("body_text")
-    sets = F.transform(F.array_distinct(tokens_of(body)), lambda t: F.xxhash64(t))
-    rows = ranks.join(fields.select("chunk_id", F.length(body).alias("chars"), sets.alias("tokens")), "chunk_id")
+    rows = ranks.join(bodies, "chunk_id", "left").withColumns({"chars": F.coalesce("chars", F.lit(0)), "tokens": F.coalesce("tokens", F.array().cast("array<long>"))})
     kinds = dict(ranks.dtypes)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -446,7 +633,7 @@ def walk(ranks: DataFrame, fields: DataFrame) -> DataFrame:
     return dealt.mapInPandas(read, f"question_id {kinds['question_id']}, rank int, {columns}")
 
 
-def open_questions(rows: DataFrame, kept: DataFrame, first: int) -> DataFrame:
+def open_questions(rows: DataFrame, kept: DataFrame, first: int | Column) -> DataFrame:
     """Questions that the first ranks didn't fill and that may have more."""
     n = kept.groupBy("question_id").agg(F.count(F.lit(1)).alias("_kept"))
     seen = rows.groupBy("question_id", "limit").agg(F.count(F.lit(1)).alias("_seen")).join(n, "question_id", "left")
@@ -459,11 +646,12 @@ def suppress_duplicates(rows: DataFrame, fields: DataFrame, first: int = FIRST_R
     The first ranks do for most questions; those that they don't fill are walked over all their candidates.
     Distinct sections of one document never repeat each other.
     """
-    early = stored(walk(ranked(rows).where(F.col("rank") <= first), fields))
+    bodies = near_bodies(rows, fields)
+    early = stored(walk(ranked(rows).where(F.col("rank") <= first), bodies))
     again = cut(open_questions(rows, early, first))
     if again.isEmpty():
         return early
-    late = walk(ranked(rows.join(again, "question_id", "left_semi")), fields)
+    late = walk(ranked(rows.join(again, "question_id", "left_semi")), bodies)
     return early.join(again, "question_id", "left_anti").unionByName(late)
 
 
@@ -539,9 +727,9 @@ def best_scored(made: dict[str, DataFrame], built: ix.Index, first: int = FIRST_
     return head.unionByName(score(rest, floor))
 
 
-def first_scored(made: dict[str, DataFrame], built: ix.Index, first: int = FIRST_RANKS) -> DataFrame:
+def first_scored(made: dict[str, DataFrame], built: ix.Index, first: int = FIRST_RANKS, shards: tuple[int, DataFrame] | None = None) -> DataFrame:
     """Scored candidates, of which each question's first ranks are those among all candidates; for many questions."""
-    return stored(scored(shard_scores(made, built, first), made["wanted"], made["tokens"], built.fields))
+    return stored(scored(shard_scores(made, built, first, shards=shards), made["wanted"], made["tokens"], built.fields))
 
 
 def build_index(chunks: DataFrame, composed: bool = False, buckets: int = 8) -> ix.Index:
@@ -554,15 +742,24 @@ def build_index(chunks: DataFrame, composed: bool = False, buckets: int = 8) ->
 def retrieve(questions: DataFrame, built: ix.Index, stopwords: DataFrame, aliases: DataFrame, composed: bool = False, first: int = FIRST_RANKS) -> tuple[DataFrame, DataFrame]:
     """The whole pipeline over an index: matches (ranked from 1, duplicates left out) and outcomes.
 
-    Questions that their first ranks don't fill are scored in full and walked to their end.
+    A question's first ranks up to twice its limit are walked; those that they don't fill go on to all first ranks,
+    and those that these don't fill are scored in full and walked to their end.
     """
     made = prepare(questions, built, stopwords, aliases, composed)
-    rows = first_scored(made, built, first)
-    early = stored(walk(ranked(rows).where(F.col("rank") <= first), built.fields))
-    again = cut(open_questions(rows, early, first))
-    matches = early
+    shards = stored_shards(made, built)
+    rows = stored(ranked(first_scored(made, built, first, shards)).where(F.col("rank") <= first))
+    bodies = near_bodies(rows, built.fields)
+    twice = F.least(F.col("limit") * 2, F.lit(first))
+    lead = rows.where(F.col("rank") <= twice)
+    matches = stored(walk(lead, bodies))
+    again = cut(open_questions(lead, matches, twice))
+    if not again.isEmpty():
+        later = walk(rows.join(again, "question_id", "left_semi"), bodies)
+        matches = stored(matches.join(again, "question_id", "left_anti").unionByName(later))
+    again = cut(open_questions(rows, matches, first))
     if not again.isEmpty():
         left = made | {name: made[name].join(again, "question_id", "left_semi") for name in ("terms", "weights")}
-        late = walk(ranked(scored(shard_scores(left, built), made["wanted"], made["tokens"], built.fields)), built.fields)
-        matches = stored(early.join(again, "question_id", "left_anti").unionByName(late))
+        late = stored(scored(shard_scores(left, built, shards=shards), made["wanted"], made["tokens"], built.fields))
+        late = walk(ranked(late), near_bodies(late, built.fields))
+        matches = stored(matches.join(again, "question_id", "left_anti").unionByName(late))
     return matches, outcomes(made["wanted"], matches, considered(made["wanted"], built.fields, made["tokens"]))

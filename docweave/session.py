@@ -42,6 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
 _open = threading.local()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder, which the ``scratch`` around removes."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    for folders in getattr(_open, "stack", [])[-1:]:
+        folders.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table as Parquet into the shared folder and read it back.
 
@@ -49,9 +57,7 @@ def stored(df: DataFrame) -> DataFrame:
     reader doesn't need are not read.  They stay until the ``scratch`` around ends or, without
     one, until the folder is cleared.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    for folders in getattr(_open, "stack", [])[-1:]:
-        folders.append(path)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -83,6 +89,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def stored_in_turn(spark: SparkSession, makes: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The tables that ``makes`` plan as one, written one after the other; what each stored on the way is removed before the next."""
+    path = new_folder(spark)
+    for make in makes:
+        with scratch(spark):
+            made = make()
+            made.write.mode("append").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def kept(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``make`` plans, written to ``path`` and read back; what it stored on the way is removed."""
     with scratch(spark):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import dims
-from docweave.operators import index, ranking
+from docweave.operators import evidence, index, ranking
 from tests.test_operators import chunk
 
 
@@ -161,3 +161,93 @@ def test_tokens_of_a_chunk_meet_where_they_are(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_COL" in plan, plan
     assert found.where("token = 'number7' AND tf_body = 1 AND chunk_id = 7").count() == 1
+
+
+def moved(spark, action):
+    """Bytes that an action writes for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = so_far()
+    action()
+    return so_far() - before
+
+
+def test_postings_are_not_copied_for_parts_of_the_questions(spark):
+    """What scoring moves doesn't grow with the number of parts and shards, and the rows stay the same."""
+    rows, questions = corpus(spark, 1200)
+    built = ranking.build_index(chunk(spark, rows))
+    made = ranking.prepare(questions, built, dims.stopwords(spark), dims.aliases(spark))
+    got = {}
+
+    def score(part, shard):
+        made_rows = ranking.shard_scores(made, built, part=part, shard=shard)
+        got[part] = {(r.question_id, r.chunk_id, tuple(r.matched_terms), round(r.coverage, 9)) for r in made_rows.collect()}
+
+    one, many = moved(spark, lambda: score(100, 5000)), moved(spark, lambda: score(1, 300))
+    assert got[1] == got[100] and len(got[1]) > 100
+    assert many < 1.5 * one, (one, many)
+
+
+def test_ranked_rows_move_without_tokens_unless_another_body_is_near(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    bodies = [words(4000) for _ in range(8)]
+    bodies += [f"{bodies[0]} more", bodies[1], words(5)]
+    fields = index.index_fields(chunk(spark, [(k, k, None, "go", "t", b) for k, b in enumerate(bodies)])).cache()
+    kinds = "question_id long, chunk_id long, document_id long, section_id long, path string, chunk_order int, limit int, matched_terms array<string>, score double"
+    rows = spark.createDataFrame([(q, k, k, None, f"p{k}", 0, 20, ["t"], 1.0 / (k + 1)) for q in range(40) for k in range(11) if q or k in (0, 8)], kinds)
+    scored = rows.join(fields.select("chunk_id", "body_hash", (F.col("body_text") == "").alias("body_empty")), "chunk_id").cache()
+    assert scored.count() and fields.count()
+    got = {}
+
+    def walk():
+        got.update({(r.question_id, r.chunk_id): r.rank for r in ranking.suppress_duplicates(scored, fields, 60).collect()})
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = moved(spark, walk)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {k for q, k in got if q == 7} == {0, 1, 2, 3, 4, 5, 6, 7, 10} and {k for q, k in got if q == 0} == {0}
+    assert n < 40 * 11 * 4000 * 8 / 3, n
+
+
+def test_sets_that_are_near_share_a_signature(spark):
+    """At the edges of the classes of sizes, and as different as near sets may be."""
+    rng = random.Random(3)
+    rows = []
+    for n in [20, 21, 22, 39, 40, 41, 100, 379, 400, 401, 2000]:
+        own = [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+        for less in (0, n // 40, n // 20):
+            for more in range(0, n // 20 + 1, max(1, n // 60)):
+                other = own[less:] + [rng.randrange(-(2**63), 2**63) for _ in range(more)]
+                if (n - less) / (n + more) >= 0.95 and len(other) >= 20:
+                    rows.append((own, rng.sample(other, len(other))))
+    rows.append(([1] * 5, [2] * 5))
+    table = spark.createDataFrame(rows, "a array<long>, b array<long>").repartition(3)
+    got = table.select("*", ranking.signatures(F.col("a")).alias("x"), ranking.signatures(F.col("b")).alias("y")).collect()
+    assert len(got) > 40 and all(set(r.x) & set(r.y) for r in got if len(r.a) > 5)
+    assert all(r.x == r.y == [] for r in got if len(r.a) == 5)
+    distinct = [tuple(r.x) for r in got if len(r.a) > 5]
+    assert not set(got[0].x) & {s for r, x in zip(got, distinct) if set(r.a).isdisjoint(got[0].a) for s in r.x}
+
+
+def test_contents_that_do_not_fit_are_not_moved(spark):
+    rng = random.Random(5)
+    long = [" ".join(str(rng.random()) for _ in range(3000)) for _ in range(10)]
+    rows = [(q, k, k, "t", None, "https://x/", long[k] if k < 10 else f"short {k}") for q in range(5) for k in range(12)]
+    matches = spark.createDataFrame(rows, "question_id long, rank int, chunk_id long, title string, heading string, published_url string, content string").cache()
+    assert matches.count() == 60
+    got = {}
+
+    def pack():
+        kept, contexts = evidence.pack_context(matches)
+        got.update({(r.question_id, r.citation_index): r.chunk_id for r in kept.collect()})
+        assert all(r.formatted.count('"content":"short') == 2 for r in contexts.collect())
+
+    assert moved(spark, pack) < sum(map(len, long)) / 5
+    assert got == {(q, n): 9 + n for q in range(5) for n in (1, 2)}
