@@ -496,9 +496,13 @@ def top_k(rows: DataFrame) -> DataFrame:
 
 
 def body_classes(fields: DataFrame) -> DataFrame:
-    """One row for each distinct body: its hash, its distinct tokens and its length."""
-    own = fields.where("body_text != ''").select("body_hash", "body_text").dropDuplicates(["body_hash"])
-    return own.select("body_hash", F.length("body_text").alias("chars"), F.array_distinct(tokens_of(F.col("body_text"))).alias("tokens"))
+    """One row for each distinct body of enough distinct tokens: its hash, its length, and these tokens as one text.
+
+    Tokens are cut where the fields are made; only they are moved.
+    """
+    own = fields.select("body_hash", F.length("body_text").alias("chars"), F.array_distinct(tokens_of(F.col("body_text"))).alias("tokens"))
+    own = own.select("body_hash", "chars", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("words"))
+    return own.dropDuplicates(["body_hash"]).where(F.col("n") >= NEAR_TOKENS)
 
 
 #: Sizes of sets that may be near enough lie in one class or in two that follow each other.
@@ -553,30 +557,71 @@ def near_bodies(ranks: DataFrame, fields: DataFrame) -> DataFrame:
 def near_duplicate_classes(fields: DataFrame) -> DataFrame:
     """Pairs of distinct bodies that count as near duplicates, each once (a < b).
 
-    Equal bodies are one class, so copies are never expanded into pairs.  Bodies meet on the
-    first tokens of their sets, rare ones first; two sets that are near enough share one of them.
-    Pairs pass the filters of length and place before their sets are compared.  Until then a body goes by
-    a number, as its hash would be most of what a row of a token moves.
+    Equal bodies are one class, so copies are never expanded into pairs.  Bodies meet on signatures of parts of
+    their sets (:func:`signatures`): two sets that are near enough have the whole of a part in common, which others
+    hardly do, whatever words they share.  Only signatures that several bodies have are paired, and pairs pass the
+    filters of length before their sets are compared.  Until then a body goes by a number, as its hash would be most of what a row moves.
     """
-    own = stored(body_classes(fields).where(F.size("tokens") >= NEAR_TOKENS).withColumn("no", F.monotonically_increasing_id()))
-    each = own.select("no", "chars", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # Only rows of a token that several bodies have can meet; the place counts all of them.
-    w = Window.partitionBy("no").orderBy("df", "token")
-    placed = each.join(df, "token").withColumn("place", F.row_number().over(w))
-    lead = cut(placed.where((F.col("place") <= F.floor(F.col("n") * (1 - NEAR_JACCARD) + 1e-9) + 1) & (F.col("df") > 1)).select("token", "no", "chars", "n", "place"))
-    other = lead.select("token", *(F.col(c).alias(f"b_{c}") for c in ("no", "chars", "n", "place")))
-    near = lead.join(other, "token").where(F.col("no") < F.col("b_no"))
+    own = body_classes(fields).withColumns({"no": F.monotonically_increasing_id(), "signatures": signatures(F.transform(F.split("words", " "), lambda t: F.xxhash64(t)))})
+    own = stored(own)
+    each = own.select("no", "chars", "n", F.size("signatures").alias("_size"), F.posexplode("signatures").alias("_at", "signature"))
+    # those of the set's own class come first; two sets that both have another as one of the next class share one of their own, too
+    each = each.select("no", "chars", "n", "signature", (F.col("_at") < F.floor(F.col("_size") / 2)).alias("own"))
+    several = each.groupBy("signature").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lead = cut(each.join(several, "signature"))
+    other = lead.select("signature", *(F.col(c).alias(f"b_{c}") for c in ("no", "chars", "n", "own")))
+    near = lead.join(other, "signature").where((F.col("no") < F.col("b_no")) & (F.col("own") | F.col("b_own")))
     ratio = lambda a, b, least: F.least(a, b) >= F.greatest(a, b) * least
-    most = F.least("place", "b_place") + F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place"))
     near = near.where(ratio(F.col("chars"), F.col("b_chars"), NEAR_LENGTH) & ratio(F.col("n"), F.col("b_n"), NEAR_JACCARD))
-    near = near.where(most * (1 + NEAR_JACCARD) >= (F.col("n") + F.col("b_n")) * NEAR_JACCARD - 1e-9)
     pairs = near.select(F.col("no").alias("x_no"), F.col("b_no").alias("y_no")).distinct()
-    x, y = (own.select(F.col("no").alias(f"{c}_no"), F.col("body_hash").alias(f"{c}_hash"), F.col("tokens").alias(c)) for c in "xy")
-    both = pairs.join(x, "x_no").join(y, "y_no")
-    same = F.size(F.array_intersect("x", "y"))
-    near = both.where(same / (F.size("x") + F.size("y") - same) >= NEAR_JACCARD)
-    return near.select(F.least("x_hash", "y_hash").alias("a"), F.greatest("x_hash", "y_hash").alias("b"))
+    return compared(pairs, compared_in(lead), own.select("no", "body_hash", "words"))
+
+
+#: Bodies of a block, about.
+TOGETHER = 64
+
+
+def compared_in(lead: DataFrame) -> DataFrame:
+    """Number and block of each body of ``lead`` (no, signature, df); bodies with the same most common signature go together."""
+    top = stored(lead.groupBy("no").agg(F.max(F.struct("df", "signature"))["signature"].alias("signature")))
+    n_blocks = 1 + top.count() // TOGETHER
+    sizes = top.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("n"))
+    turn = F.pmod(F.xxhash64("no"), F.col("n"))
+    return stored(top.join(sizes, "signature").select("no", F.pmod(F.xxhash64("signature", turn), F.lit(n_blocks)).cast("int").alias("block")))
+
+
+def compared(pairs: DataFrame, blocks: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Of pairs of bodies (x_no, y_no) those whose sets are near enough, by their hashes.
+
+    The pairs of two blocks are one group, which gets each of their bodies once, so the words of a body move once for
+    each block that has others like it and not once for each of them.
+    """
+    x, y = (blocks.select(F.col("no").alias(f"{c}_no"), F.col("block").alias(f"_{c}")) for c in "xy")
+    dealt = pairs.join(x, "x_no").join(y, "y_no")
+    dealt = stored(dealt.select("x_no", "y_no", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
+    members = dealt.select(F.col("a").alias("p"), F.col("b").alias("q"), F.explode(F.array("x_no", "y_no")).alias("no")).distinct().join(bodies, "no")
+
+    def compare(pairs: pa.Table, bodies: pa.Table) -> pa.Table:
+        said = pc.split_pattern(bodies["words"].combine_chunks(), " ")
+        codes = said.values.dictionary_encode()
+        ends, codes, n = np.asarray(said.offsets), codes.indices.to_numpy(), len(codes.dictionary)
+        sets = [codes[a:b] for a, b in itertools.pairwise(ends)]
+        order = np.argsort(bodies["no"].to_numpy())
+        x, y = (order[np.searchsorted(bodies["no"].to_numpy(), pairs[c].to_numpy(), sorter=order)] for c in ("x_no", "y_no"))
+        kept, mark, last = [], np.zeros(n, bool), None
+        for k in np.argsort(x, kind="stable").tolist():
+            a, b = sets[x[k]], sets[y[k]]
+            if x[k] != last:
+                mark[:] = False
+                mark[a] = True
+                last = x[k]
+            same = int(np.count_nonzero(mark[b]))
+            if same / (len(a) + len(b) - same) >= NEAR_JACCARD:
+                kept.append(k)
+        a, b = (bodies["body_hash"].take(pa.array(c[kept])) for c in (x, y))
+        return pa.table({"a": pc.min_element_wise(a, b), "b": pc.max_element_wise(a, b)})
+
+    return dealt.groupBy("a", "b").cogroup(members.groupBy("p", "q")).applyInArrow(compare, "a string, b string")
 
 
 ITEM = ["chunk_id", "document_id", "score", "matched_terms", "path", "chunk_order"]

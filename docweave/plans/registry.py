@@ -441,7 +441,7 @@ SELECT a.body_hash AS a, b.body_hash AS b FROM n a JOIN n b ON a.body_hash < b.b
 AND least(len(a.t), len(b.t)) >= greatest(len(a.t), len(b.t)) * 0.95e0
 WHERE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.95e0""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.near_duplicate_classes(stored(fields(spark, sf_dir)))
+    return ranking.near_duplicate_classes(fields(spark, sf_dir))
 
 
 # Evidence and citations

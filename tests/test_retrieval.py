@@ -251,3 +251,44 @@ def test_contents_that_do_not_fit_are_not_moved(spark):
 
     assert moved(spark, pack) < sum(map(len, long)) / 5
     assert got == {(q, n): 9 + n for q in range(5) for n in (1, 2)}
+
+
+def test_families_of_near_bodies_over_several_blocks(spark, monkeypatch):
+    """Chains and large groups of edited copies, equal bodies and sizes that differ, against all pairs."""
+    monkeypatch.setattr(ranking, "TOGETHER", 4)
+    rng, bodies = random.Random(6), []
+    for size in (19, 20, 21, 40, 77, 300):
+        own = [f"b{size}w{j}" for j in range(size)]
+        for _ in range(14):
+            bodies.append(" ".join(own))
+            if rng.random() < 0.7:
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                own.append(f"n{rng.randrange(10**6)}")
+        bodies += [" ".join(reversed(own)), bodies[-1], " ".join(own) + " " + "long" * size]
+    fields = made(spark, len(bodies), lambda k: bodies[k])
+    by_hash = {r.body_hash: r.body_text for r in fields.select("body_hash", "body_text").collect()}
+    want = set()
+    for a in by_hash:
+        for b in by_hash:
+            x, y, n, m = set(by_hash[a].split()), set(by_hash[b].split()), len(by_hash[a]), len(by_hash[b])
+            if a < b and min(len(x), len(y)) >= 20 and min(n, m) >= max(n, m) * 0.85 and len(x & y) / len(x | y) >= 0.95:
+                want.add((a, b))
+    got = [tuple(r) for r in ranking.near_duplicate_classes(fields).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+
+
+def test_near_duplicates_move_bodies_and_not_rows_of_tokens(spark):
+    rng = random.Random(7)
+    family = [f"f{rng.randrange(10**9)}" for _ in range(400)]
+    bodies = [" ".join(f"x{rng.randrange(10**9)}" for _ in range(400)) for _ in range(60)] + [" ".join([*family, f"y{k}"]) for k in range(60)]
+    fields = made(spark, 120, lambda k: bodies[k]).cache()
+    assert fields.count() == 120
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        n = moved(spark, lambda: got.extend(ranking.near_duplicate_classes(fields).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 60 * 59 // 2
+    assert n < 2 * sum(map(len, bodies)), (n, sum(map(len, bodies)))
