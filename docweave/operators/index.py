@@ -81,8 +81,8 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-#: Chunks of a block of postings, whose greatest impacts are kept.
-BLOCK = 32
+#: Chunks of a block of postings, whose greatest impacts are kept, and blocks that a task makes, about.
+BLOCK, TASK_BLOCKS = 32, 64
 
 
 class Index(NamedTuple):
@@ -103,11 +103,11 @@ def full_postings(fields: DataFrame, n_blocks: int, buckets: int) -> DataFrame:
     """Postings with the facts of their chunk, its block and the token's bucket.
 
     Fields are dealt by chunk first, which is less to move than their tokens; the tokens of a
-    chunk then meet where they are, and are not moved again.
+    chunk then meet where they are, and are not moved again.  A task gets a bounded number of chunks, so that it needn't spill their tokens.
     """
     bits = F.array(*(F.struct(F.lit(k).alias("field"), tokens_of(F.col(f"{f}_text")).alias("tokens")) for k, f in enumerate(FIELDS)))
     facts = ["body_len", "chunk_order", "category", "framework_key", "service_key"]
-    each = fields.repartition("chunk_id").select("chunk_id", *facts, F.explode(bits).alias("f"))
+    each = fields.repartition(1 + n_blocks // TASK_BLOCKS, "chunk_id").select("chunk_id", *facts, F.explode(bits).alias("f"))
     field = F.col("field")
     found = each.select("chunk_id", *facts, F.col("f.field").alias("field"), F.explode("f.tokens").alias("token")).groupBy("chunk_id", "token", *facts).agg(
         F.count_if(field == 0).alias("tf_body"), *(F.max(field == k).alias(f"in_{f}") for k, f in enumerate(FIELDS) if k)
